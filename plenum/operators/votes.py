@@ -58,54 +58,43 @@ def bucketed(obs: DataFrame) -> DataFrame:
     return obs.withColumn("bkey", V.bkey(*[F.col(c) for c in ("pointer", "tag", "num", "str", "rule")]))
 
 
-def _low_median(n: str) -> list[Column]:
-    """Weighted low median of ``(num, str)`` pairs collected with their counts.
-
-    The list holds the distinct raw values of ONE bucket, whose width bounds it.
-    """
-    return [
-        F.sum(n).alias("n"),
-        F.array_sort(F.collect_list(F.struct("num", "str", F.col(n).alias("w")))).alias("_vals"),
-    ]
-
-
-def _pick(vals: Column) -> Column:
-    """First value whose cumulative weight reaches half the total."""
-    total = F.aggregate(vals, F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
-    empty = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("num"),
-                     F.lit(None).cast("string").alias("str"))
-    return F.aggregate(
-        vals, empty,
-        lambda a, x: F.when(a["seen"] * 2 >= total, a).otherwise(
-            F.struct((a["seen"] + x["w"]).alias("seen"), x["num"].alias("num"), x["str"].alias("str"))),
-    )
+# The list holds the distinct raw values of ONE bucket, whose width bounds it; the pick is the first
+# value whose cumulative weight reaches half the total: a value somebody chose, never an average.
+_LOW_MEDIAN = """aggregate(vals,
+  named_struct('seen', 0L, 'num', cast(null as double), 'str', cast(null as string)),
+  (a, x) -> if(a.seen * 2 >= n, a, named_struct('seen', a.seen + x.w, 'num', x.num, 'str', x.str)))"""
 
 
 def bucket_counts(obs: DataFrame, by: list[str]) -> DataFrame:
-    """Buckets per ``by`` with their size ``n`` and low-median member ``(num, str)``."""
-    distinct = obs.groupBy(*by, "bkey", "num", "str").agg(F.count(F.lit(1)).alias("w"))
+    """Buckets per ``by`` with their size ``n`` and low-median member ``(num, str)``.
+
+    Raw values are counted first (map-side), so bucket keys are built once per distinct value.
+    """
+    distinct = obs.groupBy(*by, "tag", "num", "str", "rule").agg(F.expr("count(1) as w"))
     return (
-        distinct.groupBy(*by, "bkey").agg(*_low_median("w"))
-        .withColumn("_v", _pick(F.col("_vals")))
-        .select(*by, "bkey", "n", F.col("_v.num").alias("num"), F.col("_v.str").alias("str"))
+        bucketed(distinct)
+        .groupBy(*by, "bkey", "tag")
+        .agg(F.expr("sum(w) as n"), F.expr("collect_list(struct(num, str, rule, w)) as vals"))
+        .withColumn("v", F.expr(
+            "if(size(vals) = 1, named_struct('seen', n, 'num', vals[0].num, 'str', vals[0].str), "
+            + _LOW_MEDIAN.replace("aggregate(vals", "aggregate(array_sort(vals)", 1) + ")"))
+        .selectExpr(*by, "bkey", "tag", "n", "v.num as num", "v.str as str", "vals[0].rule as rule")
     )
 
 
 def _modal(counts: DataFrame, by: list[str], total: str, top: str) -> DataFrame:
     """Largest bucket per ``by``; ties go to the smallest key. min over a struct, never a window."""
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("bkey"), F.col("num"), F.col("str")))
     return (
-        counts.groupBy(*by).agg(F.sum("n").alias(total), best.alias("_m"))
-        .select(*by, F.col("_m.bkey").alias("bkey"), F.col("_m.num").alias("num"),
-                F.col("_m.str").alias("str"), total, (-F.col("_m.neg")).alias(top))
+        counts.groupBy(*by)
+        .agg(F.expr(f"sum(n) as {total}"), F.expr("min(struct(-n as neg, bkey, tag, num, str, rule)) as m"))
+        .selectExpr(*by, "m.bkey", "m.tag", "m.num", "m.str", "m.rule", total, f"-m.neg as {top}")
     )
 
 
 def document_votes(obs: DataFrame) -> DataFrame:
     """Each document's own verdict per pointer, with its internal agreement."""
     by = ["corpus", "doc", "pointer"]
-    counts = bucket_counts(bucketed(obs), by)
-    return _modal(counts, by, "observations", "modal_observations").withColumn(
+    return _modal(bucket_counts(obs, by), by, "observations", "modal_observations").withColumn(
         "internal_agreement", F.col("modal_observations") / F.col("observations"))
 
 
@@ -136,7 +125,7 @@ def severity_of(status: Column) -> Column:
 
 def support(doc_votes: DataFrame) -> DataFrame:
     """Documents behind each bucket of each pointer, with the representative value."""
-    one = doc_votes.select("corpus", "pointer", "bkey", "num", "str")
+    one = doc_votes.select("corpus", "pointer", "tag", "num", "str", "rule")
     return bucket_counts(one, ["corpus", "pointer"])
 
 
