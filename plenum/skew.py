@@ -65,3 +65,25 @@ def running(
         *[(F.col(f"_run_{n}") + F.col(f"_pre_{n}")).alias(n) for n in sums],
         *[F.coalesce(F.col(f"_run_{n}"), F.col(f"_pre_{n}")).alias(n) for n in lasts],
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, hot: int = 5_000_000) -> DataFrame:
+    """1-based row number per key in ``order``.
+
+    A plain window while the largest key fits a task. Beyond that the rows are range-partitioned on
+    (keys, order), checkpointed so the cut stays put if an executor is lost, numbered inside each
+    piece and shifted by the sizes of the pieces before it.
+    """
+    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= hot:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    return (
+        ranged.withColumn("_rn", here).join(shift, [*keys, "_piece"])
+        .withColumn(name, (F.col("_rn") + F.col("_shift")).cast("bigint")).drop("_rn", "_shift", "_piece")
+        .select(*df.columns, name)
+    )
