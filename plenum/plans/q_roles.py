@@ -12,6 +12,7 @@ from plenum.operators import votes as O
 from plenum.plans import sqlparts as S
 from plenum.plans.q_text import HTML_SQL, collapse_sql, page_blocks
 from plenum.plans.registry import query, table
+from plenum.skew import settle
 
 # looks of the page blocks, valid in both dialects; tags of the pages stand for properties
 LOOKS = {
@@ -126,7 +127,8 @@ cl AS (SELECT *, confidence < 0.55 AS needs_review FROM c4)"""
 
 
 def context(spark, sf):
-    return FE.context(features(spark, sf))
+    # the features are measured once; context and classification read them several times
+    return FE.context(settle(features(spark, sf)))
 
 
 def classified(spark, sf):

@@ -87,3 +87,20 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, hot: i
         .withColumn(name, (F.col("_rn") + F.col("_shift")).cast("bigint")).drop("_rn", "_shift", "_piece")
         .select(*df.columns, name)
     )
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, and continue from the written table.
+
+    It lands in the session's checkpoint folder (shared by all executors), so a lost executor costs
+    no recomputation, later reads prune columns, and the plan above stays small.
+    """
+    from uuid import uuid4
+
+    from plenum.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/plenum-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
