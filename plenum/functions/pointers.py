@@ -19,7 +19,7 @@ def ptr(*tokens: Column) -> Column:
 
 
 def split(pointer: Column) -> Column:
-    return F.transform(F.split(F.substring(pointer, 2, 1 << 30), "/"), unescape)
+    return F.transform(F.split(F.substring(pointer, 2, 1 << 30), "/"), lambda t: unescape(t))
 
 
 def under(pointer: Column, prefix: str) -> Column:
