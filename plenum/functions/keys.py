@@ -3,8 +3,8 @@
 All are JVM-side Column expressions. Spark has no Unicode normalisation builtin, so the tables are
 derived at import from the Unicode database of the driver: one-to-one foldings go through
 ``translate``; one-to-many foldings and composition of combining marks run only on rows whose text
-contains such a character. Not covered: Hangul syllable composition and reordering of several
-marks on one letter.
+contains such a character. Not covered: composition of Hangul syllables from single letters, and
+characters beyond the Basic Multilingual Plane.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 DASHES = "‐‑‒–—―−"
 SINGLE_QUOTES = "‘’‚‛"
 DOUBLE_QUOTES = "“”„«»"
-SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
+_WS = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
+# only what has to change: other blanks, and a space followed by more of them; single spaces are left
+SPACE = rf"[{_WS}&&[^ ]][{_WS}]*| [{_WS}]+"
 # Fixed patterns: a typed heading number, a form-question number.
 HEADING_NUMBER = r"^\s*(?:\d+(?:\.\d+)*|[IVXLC]+|[A-Za-z])[.)]?(?:\s+|\s*[-\x{2013}]\s*)(?=\S)"
 QUESTION_NUMBER = r"^\s*\(?\d{1,3}\)?\s*[-\x{2010}\x{2012}-\x{2015}.:)]\s*(?=\S)"
@@ -28,7 +31,8 @@ QUESTION_NUMBER = r"^\s*\(?\d{1,3}\)?\s*[-\x{2010}\x{2012}-\x{2015}.:)]\s*(?=\S)
 
 def _chars(codes) -> str:
     """Code points as a regex character class body, runs as ranges."""
-    out, codes = [], sorted(codes)
+    out: list[str] = []
+    codes = sorted(codes)
     i = 0
     while i < len(codes):
         j = i
@@ -62,7 +66,12 @@ def _tables(form: str) -> tuple[str, str, str, str]:
         ch = chr(code)
         apart = unicodedata.normalize("NFD", ch)
         if len(apart) > 1 and unicodedata.normalize("NFC", ch) == ch:
-            many[apart] = ch
+            # marks in any order, and half-composed letters, are the same character
+            for marks in permutations(apart[1:]):
+                for k in range(len(marks)):
+                    spelt = unicodedata.normalize("NFC", apart[0] + "".join(marks[:k])) + "".join(marks[k:])
+                    if unicodedata.normalize("NFC", spelt) == ch:
+                        many[spelt] = ch
     special = f"[{_chars(wide)}]|\\P{{M}}\\p{{M}}+"
     return "".join(src), "".join(dst), json.dumps(many, ensure_ascii=False), f"(?s){special}|(?:(?!{special}).)+"
 
@@ -73,7 +82,7 @@ def _needs_work() -> str:
     folded = DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + "…"
     calm = [c for c in range(0x250) if unicodedata.normalize("NFKC", chr(c)) == chr(c)
             and unicodedata.category(chr(c)) != "Cf" and chr(c) not in folded]
-    return f"[^{_chars(calm)}]"
+    return f"[^{_chars(c for c in calm if c > 31)}]|  |^ | $"
 
 
 def _normal(text: Column, form: str) -> Column:
@@ -100,13 +109,13 @@ def match_key(text: Column) -> Column:
         DASHES + SINGLE_QUOTES + DOUBLE_QUOTES,
         "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
     full = F.replace(folded, F.lit("…"), F.lit("..."))
-    return collapse(F.when(text.rlike(_needs_work()), full).otherwise(text))
+    return F.when(text.rlike(_needs_work()), collapse(full)).otherwise(text)
 
 
 def exact_key(text: Column) -> Column:
     """B2: strict key, for verifying required wording."""
     full = _normal(_without_format_chars(text), "NFC")
-    return collapse(F.when(text.rlike(_needs_work()), full).otherwise(text))
+    return F.when(text.rlike(_needs_work()), collapse(full)).otherwise(text)
 
 
 def heading_key(text: Column) -> Column:

@@ -21,8 +21,13 @@ DIRECTIVE = r"^:::+\s*([A-Za-z0-9_-]*)\s*$"
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)"
 ESCAPES = r"([\\`*_\[\]])"
 
-_DOC = Window.partitionBy("doc").orderBy("idx")
-_UPTO = _DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+def _doc():
+    return Window.partitionBy("doc").orderBy("idx")
+
+
+def _upto():
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _ordered_text(rows: DataFrame, by: list[str], order: str, text: str, glue: str, name: str) -> DataFrame:
@@ -81,9 +86,9 @@ def markdown_blocks(texts: DataFrame) -> DataFrame:
     """
     lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
     fence, math = F.col("line").rlike(r"^\s{0,3}```"), F.col("line").rlike(r"^\s*\$\$\s*$")
-    work = lines.withColumn("_f", F.count(F.when(fence, 1)).over(_UPTO)).withColumn("_isf", fence)
+    work = lines.withColumn("_f", F.count(F.when(fence, 1)).over(_upto())).withColumn("_isf", fence)
     inside = (F.col("_f") % 2 == 1) | F.col("_isf")
-    work = work.withColumn("_m", F.count(F.when(~inside & math, 1)).over(_UPTO)).withColumn("_ism", ~inside & math)
+    work = work.withColumn("_m", F.count(F.when(~inside & math, 1)).over(_upto())).withColumn("_ism", ~inside & math)
     c = F.col("line")
     klass = (
         F.when(inside, "code").when((F.col("_m") % 2 == 1) | F.col("_ism"), "math").when(c.rlike(r"^\s*$"), "blank")
@@ -94,9 +99,9 @@ def markdown_blocks(texts: DataFrame) -> DataFrame:
     work = work.withColumn("type", klass)
     alone = F.col("type").isin("heading", "list_item", "toc", "pagebreak", "hr", "directive", "footnote")
     opening = (F.col("type") == "code") & F.col("_isf") & (F.col("_f") % 2 == 1)
-    prior = F.lag("type").over(_DOC)
+    prior = F.lag("type").over(_doc())
     starts = alone | opening | prior.isNull() | (prior != F.col("type"))
-    grouped = work.withColumn("_g", F.sum(F.when(starts, 1).otherwise(0)).over(_UPTO)).where("type <> 'blank'")
+    grouped = work.withColumn("_g", F.sum(F.when(starts, 1).otherwise(0)).over(_upto())).where("type <> 'blank'")
     block = grouped.groupBy("doc", "_g", "type").agg(F.min("idx").alias("idx"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("raw"))
     level = F.when(F.col("type") == "heading", F.length(F.regexp_extract("raw", r"^(#{1,6})", 1))).when(F.col("type") == "list_item", F.floor(F.length(F.regexp_extract("raw", r"^(\s*)", 1)) / 2).cast("int"))
     body = (
@@ -119,12 +124,12 @@ def pair_captions(blocks: DataFrame) -> DataFrame:
     ``blocks``: doc, idx, type, text, label.
     """
     cap = (F.col("type") == "para") & F.col("text").rlike(CAPTION)
-    work = blocks.withColumn("_cap", cap).withColumn("_pt", F.lag("type").over(_DOC)).withColumn("_nt", F.lead("type").over(_DOC))
+    work = blocks.withColumn("_cap", cap).withColumn("_pt", F.lag("type").over(_doc())).withColumn("_nt", F.lead("type").over(_doc()))
     work = work.withColumn("_fig", F.col("_cap") & F.coalesce(F.col("_pt") == "figure", F.lit(False)))
     work = work.withColumn("_tab", F.col("_cap") & ~F.col("_fig") & F.coalesce(F.col("_nt") == "table", F.lit(False)))
     info = F.struct("text", "label")
-    below = F.when((F.col("type") == "figure") & F.coalesce(F.lead("_fig").over(_DOC), F.lit(False)), F.lead(info).over(_DOC))
-    above = F.when((F.col("type") == "table") & F.coalesce(F.lag("_tab").over(_DOC), F.lit(False)), F.lag(info).over(_DOC))
+    below = F.when((F.col("type") == "figure") & F.coalesce(F.lead("_fig").over(_doc()), F.lit(False)), F.lead(info).over(_doc()))
+    above = F.when((F.col("type") == "table") & F.coalesce(F.lag("_tab").over(_doc()), F.lit(False)), F.lag(info).over(_doc()))
     paired = work.withColumn("_c", F.coalesce(below, above)).where("not _fig and not _tab")
     return paired.select("doc", "idx", "type", "text", F.col("_c.text").alias("caption"), F.coalesce("label", "_c.label").alias("label"))
 
@@ -146,8 +151,8 @@ def nest_lists(blocks: DataFrame) -> DataFrame:
 
     ``blocks``: doc, idx, is_item, ordered, level. An item may be one deeper than the one before at most.
     """
-    changed = F.col("is_item") & (F.coalesce(~F.lag("is_item").over(_DOC), F.lit(True)) | (F.lag("ordered").over(_DOC) != F.col("ordered")))
-    items = blocks.withColumn("list_id", F.sum(F.when(changed, 1).otherwise(0)).over(_UPTO)).where("is_item")
+    changed = F.col("is_item") & (F.coalesce(~F.lag("is_item").over(_doc()), F.lit(True)) | (F.lag("ordered").over(_doc()) != F.col("ordered")))
+    items = blocks.withColumn("list_id", F.sum(F.when(changed, 1).otherwise(0)).over(_upto())).where("is_item")
     one = Window.partitionBy("doc", "list_id").orderBy("idx")
     upto = one.rowsBetween(Window.unboundedPreceding, 0)
     items = items.withColumn("_i", F.row_number().over(one)).withColumn("_l", F.when(F.col("_i") == 1, 0).otherwise(F.col("level")))
@@ -207,9 +212,9 @@ def to_markdown(blocks: DataFrame) -> DataFrame:
     pagebreak | figure | footnote), level, ordered, label, text, alt. Tables carry their rendered text.
     """
     label = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit(" {#"), F.col("label"), F.lit("}"))).otherwise("")
-    prior = F.lag("type").over(_DOC)
-    work = blocks.withColumn("_new", (F.col("type") != "list_item") | prior.isNull() | (prior != "list_item") | (F.lag("ordered").over(_DOC) != F.col("ordered")))
-    work = work.withColumn("_g", F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(_UPTO))
+    prior = F.lag("type").over(_doc())
+    work = blocks.withColumn("_new", (F.col("type") != "list_item") | prior.isNull() | (prior != "list_item") | (F.lag("ordered").over(_doc()) != F.col("ordered")))
+    work = work.withColumn("_g", F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(_upto()))
     nth = F.row_number().over(Window.partitionBy("doc", "_g", "level").orderBy("idx"))
     t, safe = F.col("type"), escape(F.coalesce("text", F.lit("")))
     shown = (

@@ -19,6 +19,14 @@ PROSE_WORDS = 8
 IMPLICIT_HALF_POINTS = 20
 
 
+def _doc():
+    return Window.partitionBy("doc").orderBy("idx")
+
+
+def _whole():
+    return Window.partitionBy("doc")
+
+
 def words_of(text: Column) -> Column:
     flat = K.collapse(text)
     return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " ")))
@@ -58,13 +66,6 @@ def body_ordinal(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("body_ordinal", F.when(counts, F.count(F.when(counts, 1)).over(so_far)))
 
 
-_DOC = Window.partitionBy("doc").orderBy("idx")
-_SO_FAR = _DOC.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
-_AFTER = _DOC.rowsBetween(1, Window.unboundedFollowing)
-_WHOLE = Window.partitionBy("doc")
-
-
 def sequence_kind(instructions: DataFrame) -> DataFrame:
     """Figure/Table of a SEQ instruction; ``(doc, idx, seq_no, instruction)`` to one row a block."""
     kind = F.initcap(F.nullif(F.regexp_extract("instruction", r"(?i)\bSEQ\s+(\w+)", 1), F.lit("")))
@@ -101,7 +102,7 @@ def modal_body(blocks: DataFrame) -> DataFrame:
                " struct('style' as prop, nullif(style_name, '') as val)))"))
     counted = weighed.where("val is not null").groupBy("doc", "prop", "val").agg(
         F.sum("wp").alias("wp"), F.sum("wf").alias("wf"))
-    has = F.sum(F.when(F.col("prop") == "size", F.col("wp")).otherwise(0)).over(_WHOLE) > 0
+    has = F.sum(F.when(F.col("prop") == "size", F.col("wp")).otherwise(0)).over(_whole()) > 0
     weight = F.when(has, F.col("wp")).otherwise(F.col("wp") + F.col("wf"))
     top = counted.withColumn("w", weight).where("w > 0").groupBy("doc").agg(*[
         F.min(F.when(F.col("prop") == p, F.struct((-F.col("w")).alias("w"), "val")))["val"].alias(f"modal_{p}")
@@ -112,7 +113,7 @@ def modal_body(blocks: DataFrame) -> DataFrame:
 def style_share(blocks: DataFrame) -> DataFrame:
     """Share of a document's non-empty paragraphs carrying each style."""
     n = blocks.where("kind = 'p' and not is_empty").groupBy("doc", "style_name").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("doc", "style_name", (F.col("n") / F.sum("n").over(_WHOLE)).alias("share"))
+    return n.select("doc", "style_name", (F.col("n") / F.sum("n").over(_whole())).alias("share"))
 
 
 SIGNATURE = ["style_name", "size", "bold", "italic", "caps", "alignment", "indent_left", "outline_level",

@@ -11,8 +11,13 @@ from plenum.functions import keys as K
 MIN_WORDS, MAX_WORDS = 5, 14
 MAX_LEVEL = 9
 
-_DOC = Window.partitionBy("doc").orderBy("idx")
-_SO_FAR = _DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+def _doc():
+    return Window.partitionBy("doc").orderBy("idx")
+
+
+def _so_far():
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def heading_level(blocks: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
     title = F.when(title == "", "(untitled)").otherwise(title)
     for k in range(MAX_LEVEL + 1):
         here = F.when(F.col("_level") == k, F.struct("idx", title.alias("title")))
-        work = work.withColumn(f"_h{k}", F.last(here, ignorenulls=True).over(_SO_FAR))
+        work = work.withColumn(f"_h{k}", F.last(here, ignorenulls=True).over(_so_far()))
     newest = None
     opened = []
     for k in range(MAX_LEVEL + 1):
@@ -46,7 +51,7 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
 def ordinals(blocks: DataFrame) -> DataFrame:
     """Nth paragraph of how many since its heading."""
     work = blocks if "_level" in blocks.columns else heading_level(blocks)
-    work = work.withColumn("_sec", F.count("_level").over(_SO_FAR))
+    work = work.withColumn("_sec", F.count("_level").over(_so_far()))
     section = Window.partitionBy("doc", "_sec")
     return (
         work.withColumn("ordinal", F.row_number().over(section.orderBy("idx")))

@@ -21,6 +21,14 @@ STYLE_ROLES = [
 ]
 
 
+def _doc():
+    return Window.partitionBy("doc").orderBy("idx")
+
+
+def _so_far():
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def role_for_style_name(name: Column) -> Column:
     """Role a (normalised) style name declares, or null."""
     out = None
@@ -124,13 +132,9 @@ def level_of(role: Column) -> Column:
     return F.nullif(F.regexp_extract(role, r"^heading(\d+)$", 1), F.lit("")).cast("int")
 
 
-_DOC = Window.partitionBy("doc").orderBy("idx")
-_SO_FAR = _DOC.rowsBetween(Window.unboundedPreceding, 0)
-
-
 def one_title(scored: DataFrame) -> DataFrame:
     """The first title stays, later ones are headings."""
-    nth = F.count(F.when(F.col("role") == "title", 1)).over(_SO_FAR)
+    nth = F.count(F.when(F.col("role") == "title", 1)).over(_so_far())
     late = (F.col("role") == "title") & (nth > 1)
     return scored.withColumn("role", F.when(late, "heading").otherwise(F.col("role")))
 
@@ -176,8 +180,8 @@ def repair_level_skips(scored: DataFrame) -> DataFrame:
 
     The sequential rule ``l'[i] = min(l[i], l'[i-1] + 1)`` is ``i + min over j <= i of (l[j] - j)``.
     """
-    nth = F.count("level").over(_SO_FAR)
-    fixed = F.col("_i") + F.min(F.col("level") - F.col("_i")).over(_SO_FAR)
+    nth = F.count("level").over(_so_far())
+    fixed = F.col("_i") + F.min(F.col("level") - F.col("_i")).over(_so_far())
     skipped = F.col("level").isNotNull() & (F.col("_fixed") < F.col("level"))
     return (
         scored.withColumn("_i", nth).withColumn("_fixed", fixed.cast("int")).withColumn("_skip", skipped)

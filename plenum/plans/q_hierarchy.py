@@ -208,12 +208,13 @@ def events(spark, sf):
     return table(spark, sf, "events").selectExpr("user_id as doc", "ts", "event_id", "event_type = 'purchase' as is_break", "event_type", "value")
 
 
-HOUR = F.date_trunc("hour", F.col("ts"))
+def hour():
+    return F.date_trunc("hour", F.col("ts"))
 
 
 @query("c12_section_assignment", f"SELECT event_id, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id {_EV}), 0) AS BIGINT) AS section FROM events")
 def c12(spark, sf):
-    return H.assign_sections(events(spark, sf), ["ts", "event_id"], HOUR).select("event_id", "section")
+    return H.assign_sections(events(spark, sf), ["ts", "event_id"], hour()).select("event_id", "section")
 
 
 def slots(spark, sf):
@@ -226,7 +227,7 @@ _SLOT = """sl AS (SELECT user_id, event_id AS sec, event_type, last_value(CASE W
 
 
 def resolved_slots(spark, sf):
-    return H.active(H.inherit_slots(slots(spark, sf), ["ts", "sec"], HOUR))
+    return H.active(H.inherit_slots(slots(spark, sf), ["ts", "sec"], hour()))
 
 
 @query("c13_slot_inheritance", f"WITH {_SLOT} SELECT sec, 'rId' || src AS resolved_rid, src AS defined_in, active FROM sl")

@@ -14,6 +14,7 @@ from plenum.plans import sqlparts as S
 from plenum.plans.q_text import LINES_SQL, collapse_sql, lines, match_sql
 from plenum.plans.q_votes import (DV_SQL, LINEITEM, VOTES_SQL, lineitem_ballots, lineitem_votes, spark_specs, supplier_docs)
 from plenum.plans.registry import query, table
+from plenum.skew import settle
 
 
 def source_lines(spark, sf):
@@ -56,7 +57,8 @@ def n3(spark, sf):
     b = lines(spark, sf).withColumn("corpus", F.col("lang")).withColumn("k0", K.match_key(F.col("text"))).withColumn(
         "key", F.when(F.col("idx") == 0, F.substring("k0", 1, 1)).otherwise(F.col("k0")))
     n = table(spark, sf, "documents").groupBy(F.col("lang").alias("corpus")).agg(F.count("*").alias("n_docs"))
-    return RD.filter_lines(b.select("corpus", "doc", "idx", "key"), n, 0.1).select("doc", "idx", "kept")
+    # the keys are read twice: to count support and to filter
+    return RD.filter_lines(settle(b.select("corpus", "doc", "idx", "key")), n, 0.1).select("doc", "idx", "kept")
 
 
 _PIECES = """inline(array(struct(0 as seq, 'begin' as piece, cast(null as string) as text), struct(1 as seq, 'instr' as piece, 'SEQ Fig' as text), struct(2 as seq, 'begin' as piece, null as text),
