@@ -22,9 +22,9 @@ MAX_VECTORS = 2_000
 def agreement_by_document(doc_votes: DataFrame, voted: DataFrame, docs: DataFrame) -> DataFrame:
     """H1: share of a document's votes that went with the corpus; 1.0 for a silent document.
 
-    The join key (corpus, pointer) is skewed by nature (every document speaks on a common pointer),
-    but the right side has one row per key, so the modal buckets are folded into one map per corpus
-    when they are few, which turns the join into a lookup without any shuffle of the votes.
+    Every document speaks on a common pointer, so the votes are skewed on (corpus, pointer); the modal
+    side has one row per key, which adaptive execution broadcasts or, if it is large, joins in split
+    partitions.
     """
     modal = voted.select("corpus", "pointer", F.col("bkey").alias("modal_bkey"))
     spoken = (

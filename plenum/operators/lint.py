@@ -13,7 +13,7 @@ from plenum.functions import codec
 from plenum.functions import keys as K
 from plenum.functions import values as V
 from plenum.operators.roles import role_for_style_name
-from plenum.skew import small
+from plenum.skew import few, small
 
 # Fixed values
 RANK = {"error": 0, "warn": 1, "info": 2}
@@ -94,9 +94,8 @@ def property_deviations(classified: DataFrame, roles: DataFrame, rules: DataFram
 
 def aggregate_deviations(wrong: DataFrame, deviations: DataFrame) -> DataFrame:
     """One finding per (code, role, property, wrong value) with a count and the first place."""
-    severity = F.when(F.bool_or(~F.col("needs_review")), "error").otherwise("warn")
     first = F.min_by("needs_review", "idx")
-    styled = wrong.groupBy("doc", "role", "style_name", "want_style").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"), first.alias("review"), severity.alias("_s"))
+    styled = wrong.groupBy("doc", "role", "style_name", "want_style").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"), first.alias("review"))
     a = finding(styled, "style.wrong", F.when(F.col("review"), "warn").otherwise("error"), F.concat(F.lit("/styles/paragraph/"), "want_style"), F.col("want_style"), F.col("style_name"), F.col("n"), F.col("idx"))
     b = deviations.groupBy("doc", "role", "prop", "pointer", "severity", "expected", "bkey").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"), F.min_by("actual", "idx").alias("actual"))
     return a.unionByName(finding(b, F.concat(F.lit("style."), "prop"), F.col("severity"), F.col("pointer"), F.col("expected"), F.col("actual"), F.col("n"), F.col("idx")))
@@ -122,7 +121,7 @@ def header_checks(docs: DataFrame, slots: DataFrame, rules: DataFrame) -> DataFr
     """header/footer missing or reading differently. ``slots``: doc, pointer, text."""
     live = rules.where("severity <> 'off' and pointer like '/hdrftr/%/text'").select("pointer", "severity", F.col("value").alias("expected"))
     # a profile has at most six slots: the rule list is one small array per document
-    arr = live.agg(F.collect_list(F.struct("pointer", "severity", "expected")).alias("rules"))
+    arr = few(live, "header rules").agg(F.collect_list(F.struct("pointer", "severity", "expected")).alias("rules"))
     want = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(F.broadcast(arr.withColumn("k", F.lit(1))), "k").select("doc", F.inline("rules"))
     got = want.join(slots.select("doc", "pointer", F.col("text").alias("actual")), ["doc", "pointer"], "left")
     bad = got.where(F.col("actual").isNull() | (K.match_key(F.col("actual")) != K.match_key(F.col("expected"))))
@@ -154,7 +153,7 @@ def placeholder_checks(docs: DataFrame, values: DataFrame, required: DataFrame,
 
     ``required``: name, framed, inferred; ``has_controls``: doc of documents carrying our controls.
     """
-    arr = required.agg(F.collect_list(F.struct("name", "framed", "inferred")).alias("r"))
+    arr = few(required, "required fields").agg(F.collect_list(F.struct("name", "framed", "inferred")).alias("r"))
     want = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(F.broadcast(arr.withColumn("k", F.lit(1))), "k").select("doc", F.inline("r"))
     seen = want.join(values, ["doc", "name"], "left").join(has_controls.select("doc").distinct().withColumn("_c", F.lit(True)), "doc", "left")
     blind = F.col("_c").isNull() & ~F.col("framed") & F.col("inferred")
@@ -165,7 +164,7 @@ def placeholder_checks(docs: DataFrame, values: DataFrame, required: DataFrame,
 
 def section_checks(docs: DataFrame, headings: DataFrame, required: DataFrame) -> DataFrame:
     """Required sections missing, and present ones out of order. ``headings``: doc, idx, key; ``required``: pos, key."""
-    arr = required.agg(F.collect_list(F.struct("pos", "key")).alias("r"))
+    arr = few(required, "required sections").agg(F.collect_list(F.struct("pos", "key")).alias("r"))
     want = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(F.broadcast(arr.withColumn("k", F.lit(1))), "k").select("doc", F.inline("r"))
     first = headings.groupBy("doc", "key").agg(F.min("idx").alias("idx"))
     joined = want.join(first, ["doc", "key"], "left")
@@ -186,8 +185,8 @@ def boilerplate_checks(docs: DataFrame, blocks: DataFrame, wording: DataFrame, n
     w = small(wording.select("slot", F.col("text").alias("wanted"), K.match_key(F.col("text")).alias("mk"), K.exact_key(F.col("text")).alias("ek")))
     hits = blocks.withColumn("mk", K.match_key(F.col("text"))).where("mk <> ''").join(w, "mk").groupBy("doc", "slot").agg(
         F.bool_or(K.exact_key(F.col("text")) == F.col("ek")).alias("exact"), F.min(F.struct("idx", "text")).alias("m"))
-    arr = wording.agg(F.collect_list(F.struct("slot", F.col("text").alias("wanted"))).alias("r"))
-    every = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(arr.withColumn("k", F.lit(1)), "k").select("doc", F.inline("r"))
+    arr = few(wording, "required passages").agg(F.collect_list(F.struct("slot", F.col("text").alias("wanted"))).alias("r"))
+    every = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(F.broadcast(arr.withColumn("k", F.lit(1))), "k").select("doc", F.inline("r"))
     joined = every.join(hits, ["doc", "slot"], "left")
     if near is not None:
         joined = joined.join(near.select("doc", "slot", F.col("text").alias("near")), ["doc", "slot"], "left")

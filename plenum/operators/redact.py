@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.operators.skeleton import OPTIONAL  # noqa: F401  (slots reach here already filtered)
 from plenum.skew import small
 
 # Fixed values

@@ -36,6 +36,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     for module in _MODULES:
-        full = f"plenum.plans.{module}"
-        if importlib.util.find_spec(full) is not None:
-            importlib.import_module(full)
+        importlib.import_module(f"plenum.plans.{module}")

@@ -14,6 +14,13 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def few(df: DataFrame, what: str, max_rows: int = 10_000) -> DataFrame:
+    """A list a person owns (rules, required wording): refused, not truncated, when it is longer."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} {what}: this is data, not a profile")
+    return df
+
+
 def running(
     df: DataFrame,
     keys: list[str],
