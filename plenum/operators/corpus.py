@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators.votes import percent
+from plenum.skew import settle
 
 # Fixed values
 OUTLIER_AGREEMENT = 0.60
@@ -94,7 +95,9 @@ def best_medoids(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFram
     Returns ``(corpus, medoid_a, medoid_b, size_a, size_b, strength, is_split)``.
     Each candidate pair is one row carrying two distance arrays, so the search spreads over tasks.
     """
-    d = distances(vectors, max_vectors)
+    # a bounded table read by every step of the search
+    vectors = settle(vectors)
+    d = settle(distances(vectors, max_vectors))
     both = d.unionByName(d.select("corpus", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     own = vectors.select("corpus", F.col("vector").alias("a"), F.col("vector").alias("b"),
                          F.lit(0.0).alias("distance"))
