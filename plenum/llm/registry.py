@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_blocks",)
+MODULES = ("exact_blocks", "language_ranks")
 
 
 def load_all() -> tuple[dict, dict]:
