@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_blocks", "language_ranks")
+MODULES = ("quality_neighbours", "language_ranks", "exact_blocks")
 
 
 def load_all() -> tuple[dict, dict]:
