@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_neighbours", "language_ranks", "exact_blocks")
+MODULES = ("quality_neighbours", "mpeg_audio", "language_ranks", "exact_blocks")
 
 
 def load_all() -> tuple[dict, dict]:
