@@ -79,12 +79,14 @@ def name_blocks(blocks: DataFrame) -> DataFrame:
                     .select("print", (F.col("least") == F.col("most")).alias("pure")))
     pure = prints.where("pure").select("print", F.lit(None).cast("binary").alias("block"))
     shared = prints.where(~F.col("pure")).select("print")
-    mixed = blocks.join(shared, "print", "left_semi").select("print", "block").distinct()
-    names = sorted_ids(pure.unionByName(mixed), ["print", "block"], "name")
+    several = not shared.isEmpty()  # then, and only then, blocks travel a second time
+    if several:
+        pure = pure.unionByName(blocks.join(shared, "print", "left_semi").select("print", "block").distinct())
+    names = sorted_ids(pure, ["print", "block"], "name")
     by_print = names.where("block is null").select("print", "name")
     by_bytes = names.where("block is not null").select("print", "block", F.col("name").alias("own_name"))
     one = blocks.select("row", "idx", "print").join(by_print, "print", "left").where("name is not null").select("row", "idx", "name")
-    if shared.isEmpty():
+    if not several:
         return settle(one)
     other = blocks.join(by_bytes, ["print", "block"]).select("row", "idx", F.col("own_name").alias("name"))
     return settle(one.unionByName(other))
