@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_neighbours", "piece_viterbi", "super_minhash", "temperature_mix", "mpeg_audio", "suffix_doubling", "contextual_pii", "language_ranks", "exact_blocks")
+MODULES = ("quality_neighbours", "piece_viterbi", "phrase_automata", "super_minhash", "temperature_mix", "mpeg_audio", "suffix_doubling", "contextual_pii", "language_ranks", "exact_blocks")
 
 
 def load_all() -> tuple[dict, dict]:
