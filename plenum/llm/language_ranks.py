@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import documents, fresh, held_out
+from plenum.llm.common import documents, held_out
 
 NAME = "op9_language_rank_profiles"
 ORACLE = None  # ranking n-grams of whole texts has no practical SQL
@@ -134,12 +134,17 @@ def trainable(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs``, with all its columns, without the rows whose text has no language (``und``)."""
-    key = fresh(docs, "row_no")
-    found = predict(docs.select(F.monotonically_increasing_id().alias("key"), F.col("text").cast("string")), learn(trainable(docs)))
-    known = found.where(F.col("lang_pred") != UNKNOWN).select(F.col("key").alias(key))
-    return docs.withColumn(key, F.monotonically_increasing_id()).join(known, key, "left_semi").drop(key)
+def keep_known(docs: DataFrame, profile_size: int = PROFILE_SIZE) -> DataFrame:
+    """``docs``, with all its columns, without the rows whose text has no language; without profiles, rows with a letter stay."""
+    profiles, at = learn(trainable(docs)), docs.columns.index("text")
+
+    def run(batches):
+        model = Profiles(profiles, profile_size)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([model.nearest(t)[0] != UNKNOWN if model.names else len(ngrams(t)) > 0 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plenum.llm.common import documents, fresh
+from plenum.llm.common import documents
 
 NAME = "op2_piece_viterbi"
 ORACLE = None  # a segmentation search has no SQL
@@ -238,49 +239,44 @@ def encode_texts(vocabulary: Vocabulary, texts: list, store: dict[str, bytes]) -
     return out
 
 
-def encode(rows: DataFrame, model: bytes) -> DataFrame:
-    """``rows(key, text)`` to ``(key, n_ids, ids, decoded, round_trip)``."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("key", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("round_trip", pa.bool_())])
+def _lists(parts: list) -> pa.Array:
+    """Int32 bytes per text as one list column."""
+    offsets, total = [], 0
+    for part in parts:
+        offsets.append(None if part is None else total)
+        total += len(part or b"") // 4
+    flat = pa.array(memoryview(b"".join(p for p in parts if p)).cast("i"), pa.int32()) if total else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array([*offsets, total], pa.int32()), flat)
+
+
+def encoded(docs: DataFrame, model: bytes | None = None) -> DataFrame:
+    """``docs``, with its columns, and ``piece_ids``, ``n_pieces``, ``decoded_text`` and ``round_trip``; own columns of these names give way."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_model() if model is None else model)
+    new = T.StructType.fromDDL("piece_ids array<int>, n_pieces long, decoded_text string, round_trip boolean")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in new.names])
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, *new.fields])
 
     def run(batches):
         vocabulary, store = Vocabulary(shared.value), {}
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and size < CHUNK:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                part = texts[at:upto]
-                ids = [None if raw is None else array("i", raw) for raw in encode_texts(vocabulary, part, store)]
-                decoded = [None if x is None else vocabulary.decode(x) for x in ids]
-                offsets, total = [], 0
-                for x in ids:
-                    offsets.append(None if x is None else total)
-                    total += len(x or ())
-                flat = pa.array(memoryview(b"".join(x.tobytes() for x in ids if x)).cast("i"), pa.int32()) if total else pa.array([], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array([*offsets, total], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[at:upto], pa.int64()), pa.array([None if x is None else len(x) for x in ids], pa.int64()), lists,
-                    pa.array(decoded, pa.string()), pa.array([None if d is None else d == t for d, t in zip(decoded, part)], pa.bool_())], schema=schema)
-                at = upto
-
-    return rows.mapInArrow(run, "key long, n_ids long, ids array<int>, decoded string, round_trip boolean")
-
-
-def encoded(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """``docs``, with its columns, and ``piece_ids``, ``n_pieces`` and ``decoded_text``; null texts get nulls."""
-    model = read_model(model_file)
-    row = fresh(docs, "row_no")
-    taken = [c for c in docs.columns if c.lower() not in ("piece_ids", "n_pieces", "decoded_text")]
-    found = encode(docs.select(F.monotonically_increasing_id().alias("key"), F.col("text").cast("string")), model).select(
-        F.col("key").alias(row), F.col("ids").alias("piece_ids"), F.col("n_ids").alias("n_pieces"), F.col("decoded").alias("decoded_text"))
-    return docs.select(*taken).withColumn(row, F.monotonically_increasing_id()).join(found, row).drop(row)
+            texts = batch.column(at).to_pylist()
+            low = 0
+            while low < len(texts):
+                high, size = low, 0
+                while high < len(texts) and size < CHUNK:
+                    size += len(texts[high] or "")
+                    high += 1
+                part = texts[low:high]
+                ids = encode_texts(vocabulary, part, store)
+                decoded = [None if x is None else vocabulary.decode(array("i", x)) for x in ids]
+                found = [_lists(ids), pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string()),
+                         pa.array([None if d is None else d == t for d, t in zip(decoded, part)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, *found], [*batch.schema.names, *new.names])
+                low = high
+
+    return docs.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string"))
-    found = encode(docs, read_model())
-    return found.select(F.col("key").alias("doc_id"), "n_ids", "ids", "round_trip", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return encoded(docs).select("doc_id", F.col("n_pieces").alias("n_ids"), F.col("piece_ids").alias("ids"), "round_trip", F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"))

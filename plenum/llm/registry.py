@@ -14,4 +14,8 @@ def load_all() -> tuple[dict, dict]:
         queries[module.NAME] = module.query
         if module.ORACLE is not None:
             oracles[module.NAME] = module.ORACLE
+    pipeline = importlib.import_module("corpus_pipeline")
+    queries["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL is not None:
+        oracles["pipeline"] = pipeline.ORACLE_SQL
     return queries, oracles

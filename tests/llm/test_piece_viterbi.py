@@ -108,5 +108,5 @@ def test_edges(make_docs, store, spark):
     by = {r.doc_id: r for r in pv.query(spark, store(docs)).collect()}
     assert by[1].ids is None and by[1].n_ids is None and by[2].ids == [] and by[3].round_trip is False and by[7].round_trip and by[8].round_trip
     out = pv.encoded(docs)
-    assert out.count() == 8 and out.columns == [*docs.columns[:-1], "piece_ids", "n_pieces", "decoded_text"]
+    assert out.count() == 8 and out.columns == [*docs.columns[:-1], "piece_ids", "n_pieces", "decoded_text", "round_trip"]
     assert pv.query(spark, store(make_docs([]))).count() == 0
