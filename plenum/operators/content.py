@@ -157,10 +157,12 @@ def nest_lists(blocks: DataFrame) -> DataFrame:
     upto = one.rowsBetween(Window.unboundedPreceding, 0)
     items = items.withColumn("_i", F.row_number().over(one)).withColumn("_l", F.when(F.col("_i") == 1, 0).otherwise(F.col("level")))
     items = items.withColumn("depth", (F.col("_i") + F.min(F.col("_l") - F.col("_i")).over(upto)).cast("int"))
-    parent = F.lit(None).cast("int")
-    for k in range(1, 10):
-        parent = F.when(F.col("depth") == k, F.last(F.when(F.col("depth") == k - 1, F.col("idx")), ignorenulls=True).over(upto)).otherwise(parent)
-    return items.withColumn("parent", parent).drop("_i", "_l")
+    # depth grows by one at most, so the last item before a run of deeper ones is the parent at any depth:
+    # the last item one level up, read per (list, level) over levels of neighbouring depth
+    pairs = items.select("*", F.explode(F.array(F.col("depth"), F.col("depth") + 1)).alias("_at"))
+    level = Window.partitionBy("doc", "list_id", "_at").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    above = F.last(F.when(F.col("_at") == F.col("depth") + 1, F.col("idx")), ignorenulls=True).over(level)
+    return pairs.withColumn("parent", above).where("_at = depth").drop("_i", "_l", "_at")
 
 
 def shape_tables(cells: DataFrame) -> DataFrame:

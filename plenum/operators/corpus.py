@@ -17,7 +17,6 @@ W_AGREEMENT, W_STYLES, W_COMPLETENESS, W_DIRECT = 0.45, 0.30, 0.25, 0.60
 
 # Distances are taken between distinct vote vectors. The number of pairs is quadratic in them, so
 # a corpus beyond this bound is refused instead of being sampled.
-MAX_VECTORS = 2_000
 
 
 def agreement_by_document(doc_votes: DataFrame, voted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -58,21 +57,12 @@ def vote_vectors(doc_votes: DataFrame) -> DataFrame:
     )
 
 
-def check_vectors(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFrame:
-    worst = vectors.groupBy("corpus").count().agg(F.max("count")).first()[0] or 0
-    if worst > max_vectors:
-        raise ValueError(
-            f"a corpus has {worst} distinct vote vectors; pairwise distances are exact up to "
-            f"{max_vectors}. Vote on fewer pointers or split the corpus by a key.")
-    return vectors
-
-
-def distances(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFrame:
+def distances(vectors: DataFrame) -> DataFrame:
     """H3: share of shared pointers on which two vectors differ (1.0 when nothing is shared).
 
-    The result is the upper triangle of the matrix over distinct vectors, whose number is checked.
+    The result is the upper triangle of the matrix over distinct vectors, however many there are.
     """
-    v = check_vectors(vectors, max_vectors)
+    v = vectors
     a = v.select("corpus", F.col("vector").alias("a"), F.col("profile").alias("pa"))
     b = v.select("corpus", F.col("vector").alias("b"), F.col("profile").alias("pb"))
     shared = F.array_intersect(F.map_keys("pa"), F.map_keys("pb"))
@@ -84,12 +74,12 @@ def distances(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFrame:
     )
 
 
-def split(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFrame:
+def split(vectors: DataFrame) -> DataFrame:
     """H4: corpora that are really two conventions."""
-    return best_medoids(vectors, max_vectors).where("is_split").drop("is_split")
+    return best_medoids(vectors).where("is_split").drop("is_split")
 
 
-def best_medoids(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFrame:
+def best_medoids(vectors: DataFrame) -> DataFrame:
     """H4: the best pair of medoids by exhaustive search over distinct vectors, weighted by members.
 
     Returns ``(corpus, medoid_a, medoid_b, size_a, size_b, strength, is_split)``.
@@ -97,7 +87,7 @@ def best_medoids(vectors: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFram
     """
     # a bounded table read by every step of the search
     vectors = settle(vectors)
-    d = settle(distances(vectors, max_vectors))
+    d = settle(distances(vectors))
     both = d.unionByName(d.select("corpus", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     own = vectors.select("corpus", F.col("vector").alias("a"), F.col("vector").alias("b"),
                          F.lit(0.0).alias("distance"))

@@ -35,12 +35,15 @@ def words_of(text: Column) -> Column:
 def lexical(blocks: DataFrame) -> DataFrame:
     """Word count, closing punctuation, capitals, caption opening, emptiness."""
     letters = F.regexp_replace("text", r"[^\p{L}]", "")
+    blank = K.collapse(F.col("text")) == ""
+    if "has_drawing" in blocks.columns:  # a paragraph that holds only a picture has no text and is not empty
+        blank = blank & ~F.coalesce("has_drawing", F.lit(False))
     return (
         blocks.withColumn("words", words_of(F.col("text")))
         .withColumn("ends_with_terminal", K.collapse(F.col("text")).rlike(TERMINAL))
         .withColumn("all_caps", letters.rlike(r"^\p{Lu}+$"))
         .withColumn("caption_lead", F.col("text").rlike(CAPTION_LEAD))
-        .withColumn("is_empty", K.collapse(F.col("text")) == "")
+        .withColumn("is_empty", blank)
     )
 
 
@@ -134,7 +137,7 @@ def context(blocks: DataFrame) -> DataFrame:
     modal, share = modal_body(measured), style_share(measured)
     return (
         measured.join(modal, "doc", "left").join(share, ["doc", "style_name"], "left")
-        .withColumn("size_ratio", F.col("size") / F.col("modal_size"))
+        .withColumn("size_ratio", F.coalesce("size", F.lit(IMPLICIT_HALF_POINTS)) / F.coalesce("modal_size", F.lit(IMPLICIT_HALF_POINTS)))
         .withColumn("share", F.coalesce("share", F.lit(0.0)))
         .withColumn("signature", signature())
     )

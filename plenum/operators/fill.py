@@ -71,14 +71,16 @@ def expand_repeats(templated: DataFrame, rows: DataFrame, collection: str) -> Da
 
 def fill_report(filled: DataFrame) -> DataFrame:
     """M5: per record the names filled, those with no place, and the markers still standing."""
-    keys = F.array_distinct(F.filter(F.transform("tokens", lambda t: t["key"]), lambda k: k.isNotNull()))
+    named = lambda ts: F.array_distinct(F.filter(F.transform(ts, lambda t: t["key"]), lambda k: k.isNotNull()))
+    keys = named("tokens")
+    texts = named(F.filter("tokens", lambda t: t["kind"] != "image"))  # an image marker has a place, but text does not fill it
     left = F.regexp_extract_all("text", F.lit(CLEAR_MARKER), F.lit(0))
-    per = filled.withColumn("keys", keys).groupBy("record").agg(
-        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"),
+    per = filled.withColumn("keys", keys).withColumn("texts", texts).groupBy("record").agg(
+        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.array_distinct(F.flatten(F.collect_list("texts"))).alias("texts"),
         F.array_distinct(F.flatten(F.collect_list(left))).alias("left"), F.any_value("answers").alias("answers"))
     names = F.map_keys("answers")
     return per.select(
-        "record", F.array_sort(F.array_intersect("keys", names)).alias("filled"),
+        "record", F.array_sort(F.array_intersect("texts", names)).alias("filled"),
         F.array_sort(F.array_except(names, "keys")).alias("unknown"), F.array_sort("left").alias("leftover"))
 
 
@@ -135,7 +137,8 @@ def refill(saved: DataFrame, templated: DataFrame, changed: DataFrame) -> DataFr
 
     ``changed``: record, changes map.
     """
-    records = saved.where("idx = 0").select("record", "template_id", "answers").join(changed, "record", "left").withColumn(
+    one = saved.groupBy("record", "template_id").agg(F.any_value("answers").alias("answers"))  # every block of an output keeps the same answers
+    records = one.join(changed, "record", "left").withColumn(
         "answers", F.when(F.col("changes").isNull(), F.col("answers")).otherwise(F.map_concat(
             F.map_filter("answers", lambda k, v: ~F.map_contains_key("changes", k)), "changes"))).drop("changes")
     return fill(templated, records)

@@ -51,12 +51,29 @@ def effective_severity(rules: DataFrame, muted: DataFrame, overrides: DataFrame)
         codec.is_derived(F.col("pointer")), "off").otherwise(F.coalesce("_o", "severity"))).drop("_m", "_o")
 
 
-def single_valued(rules: DataFrame, actual: DataFrame, codes: dict[str, str]) -> DataFrame:
-    """One value per document against the rule; both bucketed. ``actual``: doc, pointer, bkey, value."""
-    code = F.lit("page.property")
-    for pointer, name in codes.items():
-        code = F.when(F.col("pointer") == pointer, name).otherwise(code)
-    live = small(rules.where("severity <> 'off'").select("pointer", "severity", F.col("bkey").alias("want"), F.col("value").alias("expected")))
+# The page rules and the finding each one raises.
+PAGE_RULES = {
+    "/page/primary/orientation": "page.orientation",
+    "/page/primary/width": "page.size",
+    "/page/primary/height": "page.size",
+    "/page/primary/margins/top": "page.margins",
+    "/page/primary/margins/bottom": "page.margins",
+    "/page/primary/margins/left": "page.margins",
+    "/page/primary/margins/right": "page.margins",
+    "/page/primary/margins/header": "page.margins",
+    "/page/primary/margins/footer": "page.margins",
+    "/page/primary/columns": "page.columns",
+}
+
+
+def single_valued(rules: DataFrame, actual: DataFrame, codes: dict[str, str] | None = None) -> DataFrame:
+    """One value per document against the rule; both bucketed. ``actual``: doc, pointer, bkey, value.
+
+    Only pointers of the code table are checked; a rule without a code is no page rule.
+    """
+    codes = PAGE_RULES if codes is None else codes
+    code = F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), F.col("pointer"))
+    live = small(rules.where("severity <> 'off'").where(F.col("pointer").isin(list(codes))).select("pointer", "severity", F.col("bkey").alias("want"), F.col("value").alias("expected")))
     hits = actual.join(live, "pointer").where("bkey <> want")
     return finding(hits, code, F.col("severity"), F.col("pointer"), F.col("expected"), F.col("value"))
 
@@ -71,7 +88,7 @@ def role_styles(style_names: DataFrame, recorded: DataFrame) -> DataFrame:
 def wrong_styles(classified: DataFrame, roles: DataFrame) -> DataFrame:
     """P5: blocks whose style is not their role's."""
     live = classified.where("role not in ('empty', 'placeholder')")
-    return live.join(small(roles), "role").where("style_name <> want_style")
+    return live.join(small(roles), "role").where("not (style_name <=> want_style)")
 
 
 def property_deviations(classified: DataFrame, roles: DataFrame, rules: DataFrame, props: dict[str, tuple[str, str]]) -> DataFrame:
@@ -149,17 +166,21 @@ def placeholder_values(blocks: DataFrame, frames: DataFrame, tag_prefix: str = "
 
 
 def placeholder_checks(docs: DataFrame, values: DataFrame, required: DataFrame, has_controls: DataFrame) -> DataFrame:
-    """Required fields that are empty, missing, or cannot be checked.
+    """Fields that are empty (required or not), required fields that are missing, and one finding per
+    document for those that cannot be checked.
 
     ``required``: name, framed, inferred; ``has_controls``: doc of documents carrying our controls.
     """
     arr = few(required, "required fields").agg(F.collect_list(F.struct("name", "framed", "inferred")).alias("r"))
     want = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(F.broadcast(arr.withColumn("k", F.lit(1))), "k").select("doc", F.inline("r"))
-    seen = want.join(values, ["doc", "name"], "left").join(has_controls.select("doc").distinct().withColumn("_c", F.lit(True)), "doc", "left")
+    absent = want.join(values.select("doc", "name"), ["doc", "name"], "left_anti").join(
+        has_controls.select("doc").distinct().withColumn("_c", F.lit(True)), "doc", "left")
     blind = F.col("_c").isNull() & ~F.col("framed") & F.col("inferred")
-    code = F.when(F.col("value") == "", "placeholder.empty").when(F.col("value").isNull() & blind, "placeholder.unverifiable").when(F.col("value").isNull(), "placeholder.missing")
-    sev = F.when(code == "placeholder.empty", "warn").when(code == "placeholder.unverifiable", "info").otherwise("error")
-    return finding(seen.withColumn("code", code).withColumn("sev", sev).where("code is not null"), F.col("code"), F.col("sev"), F.concat(F.lit("/placeholders/"), "name"), idx=F.col("idx"))
+    rule = F.concat(F.lit("/placeholders/"), "name")
+    empty = finding(values.where("value = ''"), "placeholder.empty", "warn", rule, idx=F.col("idx"))
+    missing = finding(absent.where(~blind), "placeholder.missing", "error", rule)
+    unseen = absent.where(blind).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    return empty.unionByName(missing).unionByName(finding(unseen, "placeholder.unverifiable", "info", "/placeholders", n=F.col("n")))
 
 
 def section_checks(docs: DataFrame, headings: DataFrame, required: DataFrame) -> DataFrame:

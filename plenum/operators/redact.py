@@ -114,9 +114,17 @@ def drop_payload(parts: DataFrame) -> DataFrame:
     return parts.withColumn("dropped", bad)
 
 
+# Notes that are furniture, not content.
+STRUCTURAL_NOTES = ["separator", "continuationSeparator", "continuationNotice"]
+
+
 def unreferenced_notes(notes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Notes nothing refers to; separators always stay. ``notes``: doc, note_id, note_type."""
-    return notes.where("coalesce(note_type, 'normal') = 'normal'").join(refs.select("doc", "note_id").distinct(), ["doc", "note_id"], "left_anti")
+    """Notes nothing refers to. ``notes``: doc, kind (footnote or endnote), note_id, note_type; ``refs``: doc, kind, note_id.
+
+    Each kind counts its own ids; structural notes and ids below one always stay.
+    """
+    loose = notes.where(~F.coalesce(F.col("note_type").isin(STRUCTURAL_NOTES), F.lit(False)) & (F.col("note_id") > 0))
+    return loose.join(refs.select("doc", "kind", "note_id").distinct(), ["doc", "kind", "note_id"], "left_anti")
 
 
 def prune_rels(rels: DataFrame, used: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ MAX_GAP = 300
 PRESENT = 0.75
 OPTIONAL = 0.40
 ANCHOR_SHARE = 0.5  # share of documents a body token needs to anchor a column
+BACKBONE_SHARE = 0.9  # share of documents an anchor needs to part one gap from the next
 
 
 def items(classified: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def token_profile(rows: DataFrame) -> DataFrame:
 def similarity(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """``2 * shared tokens / total tokens`` for the requested ``(corpus, a, b)`` pairs.
 
-    The multiset overlap is an upper bound of the ordered ratio; :func:`ordered_similarity` gives that.
+    The multiset overlap is an upper bound of a ratio that minds the order.
     """
     t = token_profile(rows)
     ta = t.select("corpus", F.col("doc").alias("a"), "kind", "key", F.col("n").alias("na"))
@@ -67,25 +68,6 @@ def similarity(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             2 * F.coalesce("shared", F.lit(0)) / total).alias("similarity")))
 
 
-def ordered_similarity(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """I2, exact mode: the longest-matching-block ratio of the requested pairs of token sequences."""
-    token = F.concat_ws("\x00", "kind", "key")
-    seq = rows.groupBy("corpus", "doc").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda x: x["t"]).alias("seq"))
-    joined = (
-        pairs.join(seq.select("corpus", F.col("doc").alias("a"), F.col("seq").alias("sa")), ["corpus", "a"])
-        .join(seq.select("corpus", F.col("doc").alias("b"), F.col("seq").alias("sb")), ["corpus", "b"]))
-
-    def ratios(batches):
-        from difflib import SequenceMatcher
-        for pdf in batches:
-            pdf["similarity"] = [
-                SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(pdf.sa, pdf.sb)]
-            yield pdf[["corpus", "a", "b", "similarity"]]
-
-    return joined.mapInPandas(ratios, "corpus string, a string, b string, similarity double")
-
-
 def medoid_scores(rows: DataFrame) -> DataFrame:
     """Sum of similarities of each document to all others, without forming pairs.
 
@@ -117,28 +99,32 @@ def wide_sections(rows: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     return size.groupBy("corpus", "section").agg(F.max("n").alias("widest")).where(F.col("widest") > max_gap)
 
 
-def align(rows: DataFrame, totals: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
-    """I4: adds ``col`` to every item of the sections that can be aligned.
+def align(rows: DataFrame, totals: DataFrame, max_gap: int | None = MAX_GAP) -> DataFrame:
+    """I4: adds ``col`` to every item of the sections that can be aligned (all of them without ``max_gap``).
+
+    Gaps lie between anchors that nearly all documents share: a block that some documents lack does not
+    move what follows it into another gap.
 
     ``rows``: corpus, section (string), doc, pos, kind, key, is_heading; ``totals``: corpus, n_docs.
     """
-    narrow = rows.join(wide_sections(rows, max_gap).select("corpus", "section"), ["corpus", "section"], "left_anti")
+    narrow = rows if max_gap is None else rows.join(wide_sections(rows, max_gap).select("corpus", "section"), ["corpus", "section"], "left_anti")
     in_key = Window.partitionBy("corpus", "section", "doc", "kind", "key").orderBy("pos")
     counted = narrow.withColumn("occ", F.row_number().over(in_key))
     share = counted.groupBy("corpus", "section", "kind", "key", "occ", "is_heading").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
         share.join(totals, "corpus")
         .where((F.col("n") >= 2) & (F.col("is_heading") | (F.col("n") >= ANCHOR_SHARE * F.col("n_docs"))))
-        .select("corpus", "section", "kind", "key", "occ", F.concat_ws("|", F.lit("k"), "kind", "key", F.col("occ").cast("string")).alias("anchor")))
+        .select("corpus", "section", "kind", "key", "occ", F.concat_ws("|", F.lit("k"), "kind", "key", F.col("occ").cast("string")).alias("anchor"),
+                (F.col("n") >= BACKBONE_SHARE * F.col("n_docs")).alias("backbone")))
     marked = counted.join(anchors, ["corpus", "section", "kind", "key", "occ"], "left")
     flow = Window.partitionBy("corpus", "section", "doc").orderBy("pos")
-    gap = F.coalesce(F.last("anchor", ignorenulls=True).over(flow.rowsBetween(Window.unboundedPreceding, -1)), F.lit("start"))
+    gap = F.coalesce(F.last(F.when(F.col("backbone"), F.col("anchor")), ignorenulls=True).over(flow.rowsBetween(Window.unboundedPreceding, -1)), F.lit("start"))
     placed = marked.withColumn("gap", gap)
     loose = Window.partitionBy("corpus", "section", "doc", "gap", "kind", F.col("anchor").isNull()).orderBy("pos")
     return (
         placed.withColumn("ord", F.row_number().over(loose))
         .withColumn("col", F.coalesce("anchor", F.concat_ws("|", F.lit("g"), "gap", "kind", F.col("ord").cast("string"))))
-        .drop("occ", "anchor", "gap", "ord"))
+        .drop("occ", "anchor", "backbone", "gap", "ord"))
 
 
 def two_tier(rows: DataFrame, totals: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
@@ -147,7 +133,7 @@ def two_tier(rows: DataFrame, totals: DataFrame, max_gap: int = MAX_GAP) -> Data
     Returns items with ``section`` replaced by the heading column and ``col``; heading rows carry
     their own column as section.
     """
-    heads = align(rows.where("is_heading").withColumn("_sec", F.col("section")).withColumn("section", F.lit("headings")), totals, max_gap)
+    heads = align(rows.where("is_heading").withColumn("_sec", F.col("section")).withColumn("section", F.lit("headings")), totals, None)
     heads = heads.withColumn("section", F.col("col"))
     names = heads.select("corpus", "doc", "_sec", F.col("col").alias("_head"))
     bodies = (

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import keys as K
-from plenum.skew import settle
 
 POINT_TOLERANCE = 0.06  # fixed value
 
@@ -25,24 +24,23 @@ def counts(elements: DataFrame) -> DataFrame:
 def text_faults(before: DataFrame, after: DataFrame) -> DataFrame:
     """R2: lost, invented and reordered text per document.
 
-    Keys are made distinct before the anti joins. The order check compares fingerprints of the two
-    sequences (hashes of each key with its successor, summed and xored), so no document is gathered.
+    Both sides go through one partitioning by document. Keys are counted per side; the order is compared
+    by sums and xors over hashes of (position, key), which differ when any key stands somewhere else.
     """
-    # each side is read by four branches: keys are computed once and written
-    b, a = settle(before.where("not chrome")), settle(after.where("not chrome"))
-    lost = b.join(a.select("doc", "key").distinct(), ["doc", "key"], "left_anti").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).select("doc", F.lit("lost").alias("fault"), "n")
-    added = a.join(b.select("doc", "key").distinct(), ["doc", "key"], "left_anti").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).select("doc", F.lit("invented").alias("fault"), "n")
-
-    def chain(df, name):
-        follow = F.lead("key").over(Window.partitionBy("doc").orderBy("seq"))
-        linked = df.withColumn("nxt", follow)
-        return linked.groupBy("doc").agg(
-            F.count(F.lit(1)).alias(f"n_{name}"), F.bit_xor(F.xxhash64("key", "nxt")).alias(f"h_{name}"),
-            F.sum(F.xxhash64("key", "nxt").cast("decimal(20,0)")).alias(f"s_{name}"))
-    moved = chain(b, "b").join(chain(a, "a"), "doc").where("n_b <> n_a or h_b <> h_a or s_b <> s_a")
-    faulty = lost.select("doc").union(added.select("doc")).distinct()
-    reordered = moved.join(faulty, "doc", "left_anti").select("doc", F.lit("reordered").alias("fault"), F.col("n_b").alias("n"))
-    return lost.unionByName(added).unionByName(reordered)
+    side = lambda df, was: df.where("not chrome").select("doc", "seq", "key", F.lit(was).alias("was"))
+    both = side(before, True).unionByName(side(after, False)).repartition("doc")
+    placed = both.withColumn("at", F.row_number().over(Window.partitionBy("doc", "was").orderBy("seq", "key")))
+    mark = F.xxhash64("at", "key")
+    per_key = placed.groupBy("doc", "key").agg(
+        F.count(F.when(F.col("was"), 1)).alias("b"), F.count(F.when(~F.col("was"), 1)).alias("a"),
+        F.sum(F.when(F.col("was"), mark).otherwise(-mark.cast("decimal(20,0)")).cast("decimal(38,0)")).alias("s"), F.bit_xor(mark).alias("x"))
+    per = per_key.groupBy("doc").agg(
+        F.sum(F.when(F.col("a") == 0, F.col("b")).otherwise(0)).alias("lost"), F.sum(F.when(F.col("b") == 0, F.col("a")).otherwise(0)).alias("invented"),
+        F.sum("b").alias("n_b"), F.sum("a").alias("n_a"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    moved = (F.col("lost") == 0) & (F.col("invented") == 0) & ((F.col("n_b") != F.col("n_a")) | (F.col("s") != 0) | (F.col("x") != 0))
+    fault = lambda name, when, n: F.when(when, F.struct(F.lit(name).alias("fault"), F.col(n).alias("n")))
+    return per.select("doc", F.inline(F.array_compact(F.array(
+        fault("lost", F.col("lost") > 0, "lost"), fault("invented", F.col("invented") > 0, "invented"), fault("reordered", moved, "n_b")))))
 
 
 def count_faults(before: DataFrame, after: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

@@ -29,11 +29,11 @@ SEVERITY = {
 
 
 def ballots(df: DataFrame, doc: Column, specs: list[tuple[str, str, Column]],
-            corpus: Column | None = None) -> DataFrame:
+            corpus: Column | None = None, seq: Column | None = None) -> DataFrame:
     """wide rows to ``(corpus, doc, pointer, tag, num, str, rule)``; nulls have no opinion.
 
     ``specs`` is ``(pointer, tag, column)``; ``s``/``b``/``t`` tags fill ``str``, the rest ``num``.
-    One generator over the scan: no shuffle, only the named columns are read.
+    One generator over the scan: no shuffle, only the named columns are read. ``seq`` adds the place of a value in its document.
     """
     entries = []
     for pointer, tag, col in specs:
@@ -46,8 +46,9 @@ def ballots(df: DataFrame, doc: Column, specs: list[tuple[str, str, Column]],
             F.lit(None).cast("string").alias("rule"),
         ))
     corpus = F.lit("all") if corpus is None else corpus
+    placed = [] if seq is None else [seq.alias("seq")]
     return (
-        df.select(corpus.cast("string").alias("corpus"), doc.cast("string").alias("doc"),
+        df.select(corpus.cast("string").alias("corpus"), doc.cast("string").alias("doc"), *placed,
                   F.inline(F.array(*entries)))
         .where("num is not null or str is not null")
     )
@@ -98,6 +99,15 @@ def document_votes(obs: DataFrame) -> DataFrame:
         "internal_agreement", F.col("modal_observations") / F.col("observations"))
 
 
+def single_values(obs: DataFrame) -> DataFrame:
+    """F8: one value per document and pointer: the first, in sequence, of the modal bucket. ``obs`` has ``seq``."""
+    by = ["corpus", "doc", "pointer"]
+    first = bucketed(obs).groupBy(*by, "bkey").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "num", "str")).alias("v"))
+    return first.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("bkey"), F.col("v"))).alias("m")).select(
+        *by, F.col("m.bkey").alias("bkey"), F.col("m.v.num").alias("num"), F.col("m.v.str").alias("str"))
+
+
 def corpus_sizes(docs: DataFrame) -> DataFrame:
     """Documents per corpus, from the document list (silent documents count)."""
     return docs.select("corpus", "doc").distinct().groupBy("corpus").agg(

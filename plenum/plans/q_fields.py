@@ -150,11 +150,19 @@ def k1(spark, sf):
     return BX.compare_copies(copies(spark, sf), bases(spark, sf))
 
 
-@query("k2_varying_spans")
+_SPANS = """c AS (SELECT c_nationkey AS form, 0 AS idx, c_custkey, 'Account holder: ' AS a, c_name AS v, '' AS z, 'text' AS kind, 'account_holder' AS name FROM customer
+ UNION ALL SELECT c_nationkey, 1, c_custkey, 'Market segment: ', c_mktsegment, ' (main)', 'text', 'market_segment' FROM customer
+ UNION ALL SELECT c_nationkey, 2, c_custkey, 'Balance due: ', CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR), '', 'number', 'balance_due' FROM customer
+ UNION ALL SELECT c_nationkey, 3, c_custkey, 'Opened on ', '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0'), '', 'date', 'opened_on' FROM customer),
+g AS (SELECT CAST(form AS VARCHAR) AS form, idx, first(a ORDER BY c_custkey) AS label, first(v ORDER BY c_custkey) AS v, first(z ORDER BY c_custkey) AS z, first(kind) AS kind, first(name) AS name FROM c GROUP BY form, idx HAVING min(v) <> max(v))"""
+
+
+@query("k2_varying_spans", f"WITH {_SPANS} SELECT form, idx, label || v || z AS base, length(label) AS start, length(label) + length(v) AS stop, label FROM g")
 def k2(spark, sf):
     return BX.varying_spans(copies(spark, sf), bases(spark, sf))
 
 
-@query("k3_marked_template")
+@query("k3_marked_template", f"""WITH {_SPANS} SELECT form, idx, length(label) AS start, length(label) + length(v) AS stop, kind, name,
+ '{{{{' || CASE kind WHEN 'text' THEN '' ELSE kind || ': ' END || name || '}}}}' AS marker FROM g""")
 def k3(spark, sf):
     return BX.name_spans(BX.varying_spans(copies(spark, sf), bases(spark, sf))).select("form", "idx", "start", "stop", "kind", "name", "marker")

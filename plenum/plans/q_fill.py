@@ -72,7 +72,7 @@ def m4(spark, sf):
     return FL.expand_repeats(t, rows, "items").select("record", "pos", "text")
 
 
-@query("m5_fill_report", """SELECT CAST(c_custkey AS VARCHAR) AS record, 'balance,code,due,full_name,photo,segment,status,vip' AS filled, 'extra' AS unknown, '{{full_name}} {{image: photo}} {{nobody}}' AS leftover FROM customer""")
+@query("m5_fill_report", """SELECT CAST(c_custkey AS VARCHAR) AS record, 'balance,code,due,full_name,segment,status,vip' AS filled, 'extra' AS unknown, '{{full_name}} {{image: photo}} {{nobody}}' AS leftover FROM customer""")
 def m5(spark, sf):
     r = FL.fill_report(FL.fill(template(spark, sf), records(spark, sf)))
     return r.select("record", F.array_join("filled", ",").alias("filled"), F.array_join("unknown", ",").alias("unknown"), F.array_join("leftover", " ").alias("leftover"))

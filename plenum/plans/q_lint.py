@@ -41,12 +41,15 @@ def p2(spark, sf):
     return r.select("pointer", "severity")
 
 
-@query("p3_single_valued", VOTES_SQL + f"SELECT dv.doc, 'page.property' AS code, v.severity, pointer AS rule_id, coalesce(v.str, {S.num_text('v.num')}) AS expected, coalesce(dv.str, {S.num_text('dv.num')}) AS actual FROM dv JOIN votes v USING (corpus, pointer) WHERE v.in_donor AND v.severity <> 'off' AND dv.bkey <> v.bkey")
+_PAGE = {"/lineitem/quantity": "page.size", "/lineitem/returnflag": "page.orientation", "/lineitem/discount": "page.margins"}
+
+
+@query("p3_single_valued", VOTES_SQL + f"SELECT dv.doc, c.code, v.severity, pointer AS rule_id, coalesce(v.str, {S.num_text('v.num')}) AS expected, coalesce(dv.str, {S.num_text('dv.num')}) AS actual FROM dv JOIN votes v USING (corpus, pointer) JOIN (VALUES {', '.join(f"('{p}', '{c}')" for p, c in _PAGE.items())}) c(p, code) ON c.p = pointer WHERE v.in_donor AND v.severity <> 'off' AND dv.bkey <> v.bkey")
 def p3(spark, sf):
     dv = settle(O.document_votes(lineitem_ballots(spark, sf)))
     r = PR.rules_table(O.votes(dv, O.corpus_sizes(supplier_docs(spark, sf))))
     actual = dv.select("doc", "pointer", "bkey", V.shown(F.col("num"), F.col("str")).alias("value"))
-    return LI.single_valued(r, actual, {}).select("doc", "code", "severity", "rule_id", "expected", "actual")
+    return LI.single_valued(r, actual, _PAGE).select("doc", "code", "severity", "rule_id", "expected", "actual")
 
 
 # the profile's styles are those of the styled pages; roles without one fall back to a recorded name
@@ -63,7 +66,7 @@ _ROLE = """CASE WHEN style = 'title' THEN 'title' WHEN regexp_full_match(style,
 P_SQL = f"""{SCORE_SQL}, us AS (SELECT DISTINCT style_name AS style FROM cl WHERE CAST(doc AS INT) % 2 = 0),
 rs AS (SELECT role, min(style) AS want FROM (SELECT {_ROLE} AS role, style FROM us) WHERE role IS NOT NULL GROUP BY role),
 rm AS (SELECT * FROM rs UNION ALL SELECT * FROM (VALUES {', '.join(f"('{r}', '{' '.join(s.lower().split())}')" for r, s in _RECORDED)}) t(role, want) WHERE role NOT IN (SELECT role FROM rs)),
-wr AS (SELECT cl.*, want FROM cl JOIN rm USING (role) WHERE role NOT IN ('empty', 'placeholder') AND style_name <> want),
+wr AS (SELECT cl.*, want FROM cl JOIN rm USING (role) WHERE role NOT IN ('empty', 'placeholder') AND style_name IS DISTINCT FROM want),
 rg AS (SELECT cl.*, want FROM cl JOIN rm USING (role) WHERE role NOT IN ('empty', 'placeholder') AND style_name = want)"""
 
 
@@ -169,12 +172,15 @@ def p10(spark, sf):
     return LI.placeholder_values(account_lines(spark, sf), frames(spark, sf))
 
 
-@query("p11_placeholder_checks", f"""WITH pv AS ({_PV}), rq AS (SELECT CAST(c_custkey AS VARCHAR) AS doc, c_custkey % 2 = 0 AS ctl, n AS name FROM customer, (VALUES ('account'), ('segment'), ('owner'), ('signature')) t(n))
-SELECT rq.doc, CASE WHEN value = '' THEN 'placeholder.empty' WHEN NOT ctl AND name = 'owner' THEN 'placeholder.unverifiable' ELSE 'placeholder.missing' END AS code, '/placeholders/' || name AS rule_id FROM rq LEFT JOIN pv USING (doc, name) WHERE value IS NULL OR value = ''""")
+@query("p11_placeholder_checks", f"""WITH pv AS ({_PV}), rq AS (SELECT CAST(c_custkey AS VARCHAR) AS doc, c_custkey % 2 = 0 AS ctl, n AS name FROM customer, (VALUES ('account'), ('segment'), ('owner'), ('signature')) t(n)),
+ab AS (SELECT rq.*, NOT ctl AND name = 'owner' AS blind FROM rq ANTI JOIN pv USING (doc, name))
+SELECT doc, 'placeholder.empty' AS code, '/placeholders/' || name AS rule_id, 1 AS n FROM pv WHERE value = ''
+UNION ALL SELECT doc, 'placeholder.missing', '/placeholders/' || name, 1 FROM ab WHERE NOT blind
+UNION ALL SELECT doc, 'placeholder.unverifiable', '/placeholders', count(*) FROM ab WHERE blind GROUP BY doc""")
 def p11(spark, sf):
     b = account_lines(spark, sf)
     req = table(spark, sf, "region").limit(1).selectExpr("inline(array(struct('account' as name, true as framed, true as inferred), struct('segment' as name, true as framed, true as inferred), struct('owner' as name, false as framed, true as inferred), struct('signature' as name, false as framed, false as inferred)))")
-    return LI.placeholder_checks(b, LI.placeholder_values(b, frames(spark, sf)), req, b.where("sdt_tag is not null")).select("doc", "code", "rule_id")
+    return LI.placeholder_checks(b, LI.placeholder_values(b, frames(spark, sf)), req, b.where("sdt_tag is not null")).select("doc", "code", "rule_id", "n")
 
 
 @query("p12_section_checks", """WITH h AS (SELECT l_orderkey, l_returnflag AS key, min(l_linenumber) AS idx FROM lineitem GROUP BY ALL), d AS (SELECT DISTINCT l_orderkey FROM lineitem), r AS (SELECT * FROM (VALUES (0, 'A'), (1, 'N'), (2, 'R')) t(pos, key)),

@@ -1,4 +1,4 @@
-"""Office packages built by Spark from customer rows, read back and shredded; ballots of derived packages."""
+"""Fields, images and ballots of documents in office packages, from the given tables."""
 
 from __future__ import annotations
 
@@ -19,59 +19,9 @@ from plenum.skew import settle
 from plenum.sources import office as OF
 from plenum.sources import profiles as PF
 
-NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
-_XML = f"""concat('<w:document {NS}><w:body><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>', c_name, '</w:t></w:r></w:p>',
- '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>Segment</w:t></w:r></w:p></w:tc><w:tc><w:sdt><w:sdtPr><w:tag w:val="plenum.segment"/></w:sdtPr><w:sdtContent><w:p><w:r><w:rPr><w:b/><w:sz w:val="22"/></w:rPr><w:t>', c_mktsegment, '</w:t></w:r></w:p></w:sdtContent></w:sdt></w:tc></w:tr></w:tbl>',
- '<w:p><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:del><w:r><w:delText>old</w:delText></w:r></w:del><w:r><w:tab/><w:t>end</w:t></w:r></w:p>',
- '<w:p><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> DOCPROPERTY "Na', 'tion" </w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>', c_nationkey, '</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p></w:body></w:document>')"""
-
-
-def archives(spark, sf):
-    """One archive per customer; customer 0 mod 97 gets a broken one."""
-    rows = table(spark, sf, "customer").selectExpr("cast(c_custkey as string) as doc", f"{_XML} as xml", "c_custkey % 97 = 0 as broken")
-
-    def pack(batches):
-        import io
-        import zipfile
-        for pdf in batches:
-            out = []
-            for xml, broken in zip(pdf.xml, pdf.broken):
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("word/document.xml", xml)
-                out.append(b"not a zip" if broken else buffer.getvalue())
-            yield pdf[["doc"]].assign(content=out)
-
-    return rows.mapInPandas(pack, "doc string, content binary")
-
-
-@query("a1_corpus_scan", "SELECT CASE WHEN c_custkey % 97 = 0 THEN 'quarantined' ELSE 'word/document.xml' END AS part, count(*) AS n FROM customer GROUP BY ALL")
-def a1(spark, sf):
-    parts, bad = OF.unpack(archives(spark, sf))
-    return parts.groupBy("part").agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.lit("quarantined").alias("part")).agg(F.count("*").alias("n")))
-
-
-def shredded(spark, sf):
-    return OF.shred(OF.unpack(archives(spark, sf))[0])
-
-
-_OK = "FROM customer WHERE c_custkey % 97 <> 0"
-
-
-@query("a3_shred_blocks", f"""SELECT CAST(c_custkey AS VARCHAR) AS doc, i AS idx, CASE WHEN i = 1 THEN 'tbl' ELSE 'p' END AS kind, CASE WHEN i IN (2, 3) THEN 'table' ELSE 'body' END AS ctx_kind, CASE i WHEN 2 THEN 1 WHEN 3 THEN 2 END AS col, i = 3 AS in_sdt,
- CASE i WHEN 0 THEN c_name WHEN 2 THEN 'Segment' WHEN 3 THEN c_mktsegment WHEN 4 THEN 'new' || chr(9) || 'end' WHEN 5 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END AS text FROM (SELECT * {_OK}), range(0, 6) t(i)""")
-def a3(spark, sf):
-    return OF.blocks(shredded(spark, sf)).select("doc", "idx", "kind", "ctx_kind", "col", "in_sdt", "text")
-
-
-@query("a3_instructions", f"SELECT CAST(c_custkey AS VARCHAR) AS doc, 5 AS idx, 'DOCPROPERTY' AS source, 'nation' AS slug {_OK}")
-def a3_instr(spark, sf):
-    return FI.instruction_fields(CO.field_instructions(shredded(spark, sf).where("piece is not null"))).select("doc", "idx", "source", "slug")
-
-
-@query("l4_control_fields", f"SELECT CAST(c_custkey AS VARCHAR) AS doc, 'segment' AS slug, 'sdt' AS source, c_mktsegment AS value, 1.0 AS confidence {_OK} UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'date_of_birth' END, 'ffData', c_name, CASE WHEN c_custkey % 2 = 0 THEN 0.9 END FROM customer")
+@query("l4_control_fields", f"SELECT CAST(c_custkey AS VARCHAR) AS doc, 'segment' AS slug, 'sdt' AS source, c_mktsegment AS value, 1.0 AS confidence FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'date_of_birth' END, 'ffData', c_name, CASE WHEN c_custkey % 2 = 0 THEN 0.9 END FROM customer")
 def l4(spark, sf):
-    b = OF.blocks(shredded(spark, sf)).where("coalesce(sdt_tag, '') <> ''")
+    b = table(spark, sf, "customer").selectExpr("cast(c_custkey as string) as doc", "3 as idx", "'plenum.segment' as sdt_tag", "c_mktsegment as text")
     none = F.lit(None).cast("array<string>")
     sdt = b.select("doc", "idx", F.lit(0).alias("ordinal"), F.lit("sdt").alias("source"), F.col("sdt_tag").alias("tag"), F.lit("text").alias("field_kind"), none.alias("choices"), F.col("text").alias("result"), F.lit("").alias("default_text"))
     ff = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.lit(9).alias("idx"), F.lit(0).alias("ordinal"), F.lit("ffData").alias("source"), F.expr("if(c_custkey % 2 = 0, '3. Date of birth', 'Text42')").alias("tag"),
@@ -79,20 +29,6 @@ def l4(spark, sf):
     return FI.control_fields(sdt.unionByName(ff)).select("doc", "slug", "source", "value", F.col("confidence").cast("double").alias("confidence"))
 
 
-_P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-
-
-@query("a10_slide_blocks", "SELECT CAST(s_suppkey AS VARCHAR) AS doc, s AS slide, CASE s WHEN 0 THEN 'Second ' || s_name WHEN 1 THEN 'First' ELSE 'Stray' END AS text FROM supplier, range(0, 3) t(s)")
-def a10(spark, sf):
-    slide = lambda t: f"""concat('<p:sld {_P}><a:p><a:r><a:t>', {t}, '</a:t></a:r></a:p></p:sld>')"""
-    rel = lambda i, n: f'<Relationship Id="r{i}" Type="x/slide" Target="slides/slide{n}.xml"/>'
-    parts = table(spark, sf, "supplier").selectExpr(
-        "cast(s_suppkey as string) as doc", f"""inline(array(struct('ppt/slides/slide1.xml' as part, cast({slide("'First'")} as binary) as bytes), struct('ppt/slides/slide2.xml' as part, cast({slide("concat('Second ', s_name)")} as binary) as bytes),
-        struct('ppt/slides/slide3.xml' as part, cast({slide("'Stray'")} as binary) as bytes), struct('ppt/presentation.xml' as part, cast('<p:presentation {_P}><p:sldIdLst><p:sldId r:id="r2"/><p:sldId r:id="r1"/></p:sldIdLst></p:presentation>' as binary) as bytes),
-        struct('ppt/_rels/presentation.xml.rels' as part, cast('<Relationships>{rel(1, 1)}{rel(2, 2)}{rel(3, 3)}</Relationships>' as binary) as bytes)))""")
-    return OF.slide_blocks(parts).select("doc", F.col("slide").cast("int").alias("slide"), "text")
-
-
 _IMG = """case p_partkey % 4 when 0 then unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size * 10), 8, '0'), lpad(hex(p_size * 20), 8, '0'), '0806000000'))
  when 1 then unhex(concat('474946383961', lpad(hex(p_size), 2, '0'), '00', lpad(hex(p_size + 1), 2, '0'), '00', '457869660000'))
  when 2 then unhex(concat('FFD8FFE000104A46494600010101012C012C0000FFC0000B08', lpad(hex(p_size * 3), 4, '0'), lpad(hex(p_size * 4), 4, '0'), '010111')) else unhex('00112233') end"""
@@ -121,9 +57,12 @@ def f2(spark, sf):
     return OB.style_ballots(st, used, [("/run/size", "sz", "size")]).groupBy("pointer").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
 
 
-@query("f3_rendered_ballots", f"SELECT p AS pointer, v AS value, count(*) AS n FROM (SELECT c_custkey, unnest(['/rendered/title/run/bold', '/rendered/normal/run/bold', '/rendered/normal/run/size']) AS p, unnest([NULL, 'true', '22']) AS v {_OK}) WHERE v IS NOT NULL GROUP BY ALL")
+@query("f3_rendered_ballots", """WITH b AS (SELECT o_custkey, lower(o_orderpriority) AS st, CAST(floor(o_totalprice / 10000) AS INT) AS size, o_orderstatus = 'F' AS bold FROM orders)
+SELECT '/rendered/' || st || '/run/size' AS pointer, CAST(size AS VARCHAR) AS value, count(*) AS n FROM b GROUP BY ALL
+UNION ALL SELECT '/rendered/' || st || '/run/bold', CAST(bold AS VARCHAR), count(*) FROM b GROUP BY ALL""")
 def f3(spark, sf):
-    b = OF.blocks(shredded(spark, sf)).withColumn("style_name", F.lower(F.coalesce("style_id", F.lit("normal")))).withColumn("corpus", F.lit("all"))
+    b = table(spark, sf, "orders").selectExpr("'all' as corpus", "cast(o_custkey as string) as doc", "'p' as kind", "false as in_del", "lower(o_orderpriority) as style_name",
+                                              "cast(floor(o_totalprice / 10000) as int) as size", "o_orderstatus = 'F' as bold")
     out = OB.rendered_ballots(b, [], [("/run/size", "sz", "size"), ("/run/bold", "b", "bold")])
     return out.groupBy("pointer", F.coalesce("str", F.col("num").cast("int").cast("string")).alias("value")).agg(F.count("*").alias("n"))
 

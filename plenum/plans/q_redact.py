@@ -105,12 +105,15 @@ def n6(spark, sf):
     return RD.drop_payload(pkg_parts(spark, sf)).select("doc", "dropped")
 
 
-@query("n7_unreferenced_notes", "SELECT CAST(o_custkey AS VARCHAR) AS doc, o_orderkey AS note_id FROM orders WHERE o_orderstatus <> 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("n7_unreferenced_notes", """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS doc, k AS kind, o_orderkey - 2 AS note_id, CASE o_orderstatus WHEN 'P' THEN 'separator' WHEN 'F' THEN 'normal' END AS note_type, o_orderkey FROM orders, (VALUES ('footnote'), ('endnote')) t(k)),
+u AS (SELECT DISTINCT l_orderkey, CASE WHEN l_linenumber % 2 = 1 THEN 'footnote' ELSE 'endnote' END AS kind FROM lineitem)
+SELECT doc, kind, note_id FROM n WHERE note_type IS DISTINCT FROM 'separator' AND note_id > 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.l_orderkey = n.o_orderkey AND u.kind = n.kind)""")
 def n7(spark, sf):
     o = table(spark, sf, "orders")
-    notes = o.selectExpr("cast(o_custkey as string) as doc", "o_orderkey as note_id", "if(o_orderstatus = 'P', 'separator', 'normal') as note_type")
-    refs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("note_id")).distinct().join(notes.select("doc", "note_id"), "note_id")
-    return RD.unreferenced_notes(notes, refs).select("doc", "note_id")
+    notes = o.selectExpr("cast(o_custkey as string) as doc", "explode(array('footnote', 'endnote')) as kind", "o_orderkey - 2 as note_id", "case o_orderstatus when 'P' then 'separator' when 'F' then 'normal' end as note_type")
+    used = table(spark, sf, "lineitem").selectExpr("l_orderkey - 2 as note_id", "if(l_linenumber % 2 = 1, 'footnote', 'endnote') as kind").distinct()
+    refs = used.join(o.selectExpr("cast(o_custkey as string) as doc", "o_orderkey - 2 as note_id"), "note_id")
+    return RD.unreferenced_notes(notes, refs).select("doc", "kind", "note_id")
 
 
 # a customer is a package, its orders are relationships to media, line items are the uses

@@ -67,7 +67,7 @@ pr AS (SELECT *, row_number() OVER (PARTITION BY doc, prop ORDER BY w DESC, val)
 modal AS (SELECT doc, CAST(max(CASE WHEN prop = 'size' THEN val END) AS INT) AS modal_size, max(CASE WHEN prop = 'font' THEN val END) AS modal_font,
   max(CASE WHEN prop = 'style' THEN val END) AS modal_style FROM pr WHERE rn = 1 GROUP BY doc),
 share AS (SELECT doc, style_name, count(*) / sum(count(*)) OVER (PARTITION BY doc) AS share FROM ft WHERE NOT is_empty GROUP BY doc, style_name),
-cx AS (SELECT a.*, modal_size, coalesce(share, 0.0) AS share, size / modal_size AS size_ratio,
+cx AS (SELECT a.*, modal_size, coalesce(share, 0.0) AS share, coalesce(size, 20) / coalesce(modal_size, 20) AS size_ratio,
   concat_ws('|', style_name, size, bold, false, false, coalesce(alignment, '~'), coalesce(CAST(indent_left AS VARCHAR), '~'), coalesce(CAST(outline_level AS VARCHAR), '~'), coalesce(CAST(ilvl AS VARCHAR), '~'), is_bullet) AS signature
   FROM adj a LEFT JOIN modal USING (doc) LEFT JOIN share USING (doc, style_name))"""
 

@@ -62,16 +62,16 @@ def align_sql(src: str, out: str, max_gap: int = 300) -> str:
 {o}_w AS (SELECT DISTINCT corpus, section FROM (SELECT corpus, section, doc, count(*) AS n FROM {src} GROUP BY ALL) WHERE n > {max_gap}),
 {o}_c AS (SELECT *, row_number() OVER (PARTITION BY corpus, section, doc, kind, key ORDER BY pos) AS occ FROM {src}
   WHERE (corpus, section) NOT IN (SELECT (corpus, section) FROM {o}_w)),
-{o}_a AS (SELECT corpus, section, kind, key, occ, concat_ws('|', 'k', kind, key, occ) AS anchor FROM
+{o}_a AS (SELECT corpus, section, kind, key, occ, concat_ws('|', 'k', kind, key, occ) AS anchor, n >= 0.9 * n_docs AS backbone FROM
   (SELECT corpus, section, kind, key, occ, is_heading, count(*) AS n FROM {o}_c GROUP BY ALL) JOIN tot USING (corpus) WHERE n >= 2 AND (is_heading OR n >= 0.5 * n_docs)),
 {o}_m AS (SELECT * FROM {o}_c LEFT JOIN {o}_a USING (corpus, section, kind, key, occ)),
-{o}_g AS (SELECT *, coalesce(last_value(anchor IGNORE NULLS) OVER (PARTITION BY corpus, section, doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS gap FROM {o}_m),
+{o}_g AS (SELECT *, coalesce(last_value(CASE WHEN backbone THEN anchor END IGNORE NULLS) OVER (PARTITION BY corpus, section, doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS gap FROM {o}_m),
 {o}_o AS (SELECT *, row_number() OVER (PARTITION BY corpus, section, doc, gap, kind, anchor IS NULL ORDER BY pos) AS ord FROM {o}_g),
-{o} AS (SELECT * EXCLUDE (occ, anchor, gap, ord), coalesce(anchor, concat_ws('|', 'g', gap, kind, ord)) AS col FROM {o}_o)"""
+{o} AS (SELECT * EXCLUDE (occ, anchor, backbone, gap, ord), coalesce(anchor, concat_ws('|', 'g', gap, kind, ord)) AS col FROM {o}_o)"""
 
 
 TIER_SQL = f"""{FORM_SQL},
-hsrc AS (SELECT * REPLACE ('headings' AS section), section AS sec FROM fi WHERE is_heading),{align_sql('hsrc', 'hal')},
+hsrc AS (SELECT * REPLACE ('headings' AS section), section AS sec FROM fi WHERE is_heading),{align_sql('hsrc', 'hal', 1 << 40)},
 bsrc AS (SELECT b.* REPLACE (coalesce(h.col, '') AS section) FROM (SELECT * FROM fi WHERE NOT is_heading) b LEFT JOIN hal h ON h.corpus = b.corpus AND h.doc = b.doc AND h.sec = b.section),{align_sql('bsrc', 'bal')},
 al AS (SELECT corpus, section, doc, pos, kind, key, text, is_heading, col FROM bal UNION ALL SELECT corpus, col, doc, pos, kind, key, text, is_heading, col FROM hal)"""
 
@@ -191,12 +191,6 @@ def i2(spark, sf):
     return SK.similarity(pairs, coarse_turns(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("i2_ordered_similarity")
-def i2_ordered(spark, sf):
-    pairs = table(spark, sf, "conversations").selectExpr("'talk' as corpus", "cast(conv_id as string) as a", "cast(conv_id + 1 as string) as b").distinct()
-    return SK.ordered_similarity(pairs, coarse_turns(spark, sf))
-
-
 @query("i3_medoid", f"""WITH {_COARSE_SQL}, pairs AS (SELECT x.doc AS a, y.doc AS b, 2 * sum(least(x.n, y.n)) / any_value(lx.len + ly.len) AS sim
  FROM tp x JOIN tp y ON x.kind = y.kind AND x.key = y.key AND x.doc <> y.doc JOIN tl lx ON lx.doc = x.doc JOIN tl ly ON ly.doc = y.doc GROUP BY ALL)
 SELECT tl.doc, round(coalesce(sum(sim), 0), 6) AS score FROM tl LEFT JOIN pairs ON a = tl.doc GROUP BY ALL""")

@@ -78,11 +78,17 @@ def g2(spark, sf):
         "modal_observations", F.round("internal_agreement", 6).alias("internal_agreement"))
 
 
-@query("f8_single_value", DV_SQL + f"""
-SELECT doc, pointer, coalesce(str, {S.num_text('num')}) AS value FROM dv""")
+_SEQ_BALLOTS = S.ballots("lineitem", "l_suppkey", LINEITEM).replace("SELECT 'all' AS corpus", "SELECT l_orderkey * 10 + l_linenumber AS seq, 'all' AS corpus")
+
+
+@query("f8_single_value", f"""WITH o AS ({_SEQ_BALLOTS}), k AS (SELECT *, {S.BKEY} AS bkey FROM o),
+c AS (SELECT doc, pointer, bkey, count(*) AS n FROM k GROUP BY ALL),
+m AS (SELECT doc, pointer, bkey FROM c QUALIFY row_number() OVER (PARTITION BY doc, pointer ORDER BY n DESC, bkey) = 1)
+SELECT doc, pointer, coalesce(str, {S.num_text('num')}) AS value FROM k SEMI JOIN m USING (doc, pointer, bkey)
+QUALIFY row_number() OVER (PARTITION BY doc, pointer ORDER BY seq) = 1""")
 def f8(spark, sf):
-    return O.document_votes(lineitem_ballots(spark, sf)).select(
-        "doc", "pointer", V.shown(F.col("num"), F.col("str")).alias("value"))
+    obs = O.ballots(table(spark, sf, "lineitem"), F.col("l_suppkey"), spark_specs(LINEITEM), seq=F.expr("l_orderkey * 10 + l_linenumber"))
+    return O.single_values(obs).select("doc", "pointer", V.shown(F.col("num"), F.col("str")).alias("value"))
 
 
 VOTE_COLS = ["pointer", "bkey", "observed_in", "modal_count", "n_docs", "status", "severity",

@@ -74,26 +74,22 @@ def running(
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, hot: int = 5_000_000) -> DataFrame:
-    """1-based row number per key in ``order``.
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """1-based row number (bigint) per key in ``order``, one way at every size.
 
-    A plain window while the largest key fits a task. Beyond that the rows are range-partitioned on
-    (keys, order), checkpointed so the cut stays put if an executor is lost, numbered inside each
-    piece and shifted by the sizes of the pieces before it.
+    The rows are range-partitioned on (keys, order) and written, so that the cut stays put if an executor
+    is lost; they are numbered inside each piece and shifted by the sizes of the pieces before it. A null
+    key is a key like any other.
     """
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= hot:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()).checkpoint()
+    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    shift = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     here = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
-    return (
-        ranged.withColumn("_rn", here).join(shift, [*keys, "_piece"])
-        .withColumn(name, (F.col("_rn") + F.col("_shift")).cast("bigint")).drop("_rn", "_shift", "_piece")
-        .select(*df.columns, name)
-    )
+    on = F.col("_piece") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return ranged.withColumn("_rn", here).join(shift, on).withColumn(name, (F.col("_rn") + F.col("_shift")).cast("bigint")).select(*df.columns, name)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from plenum.sources import profiles as PF
 from plenum.sources.text import html_blocks
 from pyspark.sql import functions as F
 
-NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
 
 
 def archive(entries):
@@ -29,22 +28,6 @@ def test_quarantine(spark, tmp_path):
     assert {r.reason for r in bad.collect()} == {"not a readable archive: BadZipFile", "compression ratio above 200", "duplicate entry names"}
 
 
-def test_shred(spark):
-    xml = f"""<w:document {NS}><w:body>
-      <w:customXml><w:p><w:r><w:t>in wrapper</w:t></w:r></w:p></w:customXml>
-      <w:p><w:r><w:t>host</w:t></w:r><mc:AlternateContent><mc:Choice><w:r><w:t>!</w:t></w:r></mc:Choice><mc:Fallback><w:r><w:t>?</w:t></w:r></mc:Fallback></mc:AlternateContent>
-        <w:r><w:pict><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p>
-      <w:del><w:p><w:r><w:delText>gone</w:delText></w:r></w:p></w:del>
-      <w:tbl><w:tr><w:tc><w:tbl><w:tr><w:tc><w:p/></w:tc><w:tc><w:p><w:r><w:t>deep</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl>
-    </w:body></w:document>"""
-    parts = spark.createDataFrame([("d", "word/document.xml", xml.encode()), ("d", "word/footer1.xml", f"<w:ftr {NS}><w:p><w:r><w:t>foot</w:t></w:r></w:p></w:ftr>".encode())], "doc string, part string, bytes binary")
-    b = OF.blocks(OF.shred(parts)).orderBy("part", "idx").collect()
-    got = [(r.kind, r.ctx_kind, r.text, r.in_textbox, r.in_del, r.table_depth, r.col) for r in b]
-    assert got == [("p", "body", "in wrapper", False, False, 0, None), ("p", "body", "host!", False, False, 0, None), ("p", "body", "boxed", True, False, 0, None), ("p", "body", "", False, True, 0, None),
-                   ("tbl", "body", "", False, False, 0, None), ("tbl", "table", "", False, False, 1, 1), ("p", "table", "", False, False, 2, 1), ("p", "table", "deep", False, False, 2, 2), ("p", "footer", "foot", False, False, 0, None)]
-    assert len({(r.part, r.path) for r in b}) == len(b)
-
-
 def test_tiff_and_bad_dpi(spark):
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 256, 4, 1, 960) + struct.pack("<HHII", 257, 4, 1, 480) + b"\0\0\0\0"
     jpeg = bytes.fromhex("FFD8FFE000104A464946000101010000000000 00FFC0000B0800600060010111".replace(" ", ""))
@@ -87,7 +70,9 @@ def test_watch_folder(spark, tmp_path):
     from plenum.streaming.watch import watch
     inbox = tmp_path / "in"
     inbox.mkdir()
-    (inbox / "a.docx").write_bytes(archive([("word/document.xml", f"<w:document {NS}><w:body><w:p><w:r><w:t>hi</w:t></w:r></w:p></w:body></w:document>")]))
+    (inbox / "a.txt").write_bytes(b"hi\nthere")
+    (inbox / "b.txt").write_bytes(b"\xff\xfe")
     q = watch(spark, str(inbox), lambda b: b.select("doc", "text"), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(60)
-    assert [r.text for r in spark.read.parquet(str(tmp_path / "out" / "findings")).collect()] == ["hi"]
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out" / "findings")).collect()) == ["hi", "there"]
+    assert spark.read.parquet(str(tmp_path / "out" / "quarantine")).count() == 1

@@ -7,6 +7,7 @@ from plenum import skew
 from plenum.functions import codec
 from plenum.functions import keys as K
 from plenum.operators import byexample as BX
+from plenum.operators import content as CO
 from plenum.operators import features as FE
 from plenum.operators import fields as FI
 from plenum.operators import fill as FL
@@ -190,6 +191,65 @@ def test_stripping_twice_changes_nothing(spark):
 
 def test_hot_key_numbering_and_running(spark):
     df = spark.range(1000).selectExpr("'hot' as k", "id", "id % 7 = 0 as hit")
-    assert skew.numbered(df, ["k"], ["id"], "n", hot=10).where("n <> id + 1").count() == 0
+    assert skew.numbered(df.repartition(7), ["k"], ["id"], "n").where("n <> id + 1").count() == 0
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, id long")
+    assert sorted((r.k or "", r.id, r.n) for r in skew.numbered(nulls, ["k"], ["id"], "n").collect()) == [("", 1, 1), ("", 2, 2), ("a", 1, 1)]
     run = skew.running(df, ["k"], ["id"], F.floor(F.col("id") / 64), sums={"s": F.col("hit").cast("int")}, lasts={"l": F.when(F.col("hit"), F.col("id"))})
     assert run.where("s <> floor(id / 7) + 1 or l <> floor(id / 7) * 7").count() == 0
+
+
+def test_text_moved_around_a_repeated_line_is_reordered(spark):
+    def snap(lines):
+        return spark.createDataFrame([("d", False, i, k) for i, k in enumerate(lines)], "doc string, chrome boolean, seq int, key string")
+    faults = VE.text_faults(snap("ABACA"), snap("ACABA")).collect()
+    assert [(r.fault, r.n) for r in faults] == [("reordered", 5)]
+    assert VE.text_faults(snap("ABACA"), snap("ABACA")).count() == 0
+    assert sorted((r.fault, r.n) for r in VE.text_faults(snap("AAB"), snap("BCC")).collect()) == [("invented", 2), ("lost", 2)]
+
+
+def test_many_headings_keep_the_heading_tier(spark):
+    rows = [("c", d, i, "h1", f"part {i}", True) for d in ("a", "b") for i in range(350 if d == "a" else 5)]
+    df = spark.createDataFrame(rows, "corpus string, doc string, pos int, kind string, key string, is_heading boolean").withColumn("text", F.col("key"))
+    out = SK.two_tier(SK.sections(df).withColumn("section", F.col("section").cast("string")), spark.createDataFrame([("c", 2)], "corpus string, n_docs bigint"))
+    assert out.where("is_heading").count() == 355
+
+
+def test_a_block_some_documents_lack_does_not_split_a_field(spark):
+    texts = {"a": ["Start", "extra", "value one", "End"], "b": ["Start", "extra", "value two", "End"], "c": ["Start", "value three", "End"]}
+    rows = [("c", "s", d, i, "body", t.lower(), False) for d, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "corpus string, section string, doc string, pos int, kind string, key string, is_heading boolean")
+    out = SK.align(df, spark.createDataFrame([("c", 3)], "corpus string, n_docs bigint"))
+    assert len({r.col for r in out.where("key like 'value%'").collect()}) == 1
+
+
+def test_placeholders_empty_missing_and_unverifiable(spark):
+    docs = spark.createDataFrame([("d",)], "doc string")
+    values = spark.createDataFrame([("d", "note", 4, "")], "doc string, name string, idx int, value string")
+    need = spark.createDataFrame([("x", False, True), ("y", False, True), ("z", True, True)], "name string, framed boolean, inferred boolean")
+    got = sorted((r.code, r.rule_id, r.n) for r in LI.placeholder_checks(docs, values, need, docs.where("false")).collect())
+    assert got == [("placeholder.empty", "/placeholders/note", 1), ("placeholder.missing", "/placeholders/z", 1), ("placeholder.unverifiable", "/placeholders", 2)]
+
+
+def test_a_block_without_a_style_is_wrong_too(spark):
+    c = spark.createDataFrame([("d", 0, "body", None), ("d", 1, "body", "normal")], "doc string, idx int, role string, style_name string")
+    roles = spark.createDataFrame([("body", "normal")], "role string, want_style string")
+    assert [r.idx for r in LI.wrong_styles(c, roles).collect()] == [0]
+
+
+def test_deep_lists_have_parents(spark):
+    b = spark.createDataFrame([("d", i, True, False, i) for i in range(14)] + [("d", 14, True, False, 3)], "doc string, idx int, is_item boolean, ordered boolean, level int")
+    got = {r.idx: (r.depth, r.parent) for r in CO.nest_lists(b).collect()}
+    assert got[13] == (13, 12) and got[14] == (3, 2) and got[0] == (0, None)
+
+
+def test_pictures_are_not_empty_and_sizes_have_a_default(spark):
+    b = spark.createDataFrame([("d", 0, "", True), ("d", 1, " ", False)], "doc string, idx int, text string, has_drawing boolean")
+    assert [r.is_empty for r in FE.lexical(b).orderBy("idx").collect()] == [False, True]
+
+
+def test_refill_of_a_template_that_starts_elsewhere(spark):
+    t = FL.templates(spark.createDataFrame([(1, 3, "{{a}}!")], "template_id int, idx int, text string"))
+    r = spark.createDataFrame([("r", 1, {"a": "x"})], "record string, template_id int, answers map<string,string>")
+    saved = FL.session(FL.fill(t, r))
+    changed = spark.createDataFrame([("r", {"a": "y"})], "record string, changes map<string,string>")
+    assert [x.text for x in FL.refill(saved, t, changed).collect()] == ["y!"]

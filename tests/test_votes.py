@@ -94,9 +94,14 @@ def test_identical_documents_do_not_split(spark):
     assert C.split(vectors(spark, [(f"d{i}", 22) for i in range(1, 7)])).count() == 0
 
 
-def test_vector_bound_is_refused_not_sampled(spark):
-    with pytest.raises(ValueError):
-        C.distances(vectors(spark, [(f"d{i}", i) for i in range(1, 7)]), max_vectors=5)
+def test_any_number_of_vectors(spark):
+    assert C.distances(vectors(spark, [(f"d{i}", i) for i in range(1, 41)])).count() == 40 * 39 // 2
+
+
+def test_single_value_is_the_first_of_the_modal_bucket(spark):
+    rows = [("all", "d", "/p/top", "len", float(v), None, None, i) for i, v in enumerate((900, 1443, 1440, 1438))]
+    obs = spark.createDataFrame(rows, "corpus string, doc string, pointer string, tag string, num double, str string, rule string, seq long")
+    assert O.single_values(obs).first().num == 1443.0
 
 
 def test_pins(spark):
