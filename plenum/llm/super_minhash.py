@@ -69,14 +69,28 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out.reshape(-1, size)
 
 
-def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit key per band, different between bands."""
-    bits = values.view(_U).reshape(len(values), bands, rows)
-    with np.errstate(over="ignore"):
-        key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=_U) * FACTOR), (len(values), bands))
-        for k in range(rows):
-            key = mix(key * FACTOR + bits[:, :, k])
-    return key.view(np.int64)
+def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key per band: four values of the signature in 16 bits each, so that keys can also be compared by value."""
+    short = mix(values.view(_U)).reshape(len(values), bands, ROWS) & _U(0xFFFF)
+    return (short << (_U(16) * np.arange(ROWS, dtype=_U))).sum(axis=2, dtype=_U).view(np.int64)
+
+
+def agreeing(left: str, right: str):
+    """How many values of two signatures agree, from their band keys."""
+    def differing(x, y):
+        bits = x.bitwiseXOR(y)
+        for n in (8, 4, 2, 1):  # gathers the sixteen bits of each value in its lowest
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0001000100010001)))
+
+    apart = F.aggregate(F.zip_with(left, right, differing), F.lit(0), lambda total, n: total + n)
+    return ROWS * F.size(left) - apart
+
+
+def least_agreement(percent: int, bands: int = BANDS) -> int:
+    """Five standard deviations under what a pair at the threshold shows on average (one such pair in 3 million is below)."""
+    n, p = bands * ROWS, percent / 100
+    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
 
 def _list_column(parts: list[np.ndarray]) -> pa.Array:
@@ -96,13 +110,13 @@ def _pieces(batch, limit: int = 4 << 20):
         low = high
 
 
-def sketch(rows: DataFrame, words: int, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def sketch(rows: DataFrame, words: int, bands: int = BANDS) -> DataFrame:
     """``rows(row, text, doc_id)`` to ``(row, doc_id, n, print_a, print_b, keys)``; ``keys`` is empty without shingles."""
     def run(batches):
         for batch in batches:
             for low, high, raw, at in _pieces(batch):
                 sets = shingle_sets(raw, at, words)
-                keys = band_keys(signatures(sets, bands * per_band), bands, per_band)
+                keys = band_keys(signatures(sets, bands * ROWS), bands)
                 with np.errstate(over="ignore"):  # two independent folds of the set: 128 bits name it
                     a = np.array([mix(s).sum(dtype=_U) for s in sets], _U).view(np.int64)
                     b = np.array([np.bitwise_xor.reduce(mix(s * FACTOR + _U(7)), initial=_U(0)) for s in sets], _U).view(np.int64)
@@ -141,9 +155,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> DataFrame:
     """Components ``(node, root)`` of the class leaders ``(row, n, keys)`` that are linked with another one."""
-    entries = leaders.select("row", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("row").alias("center")).where("members > 1")
-    entries = settle(entries.join(buckets.select("key", "center"), "key"))
+    entries = leaders.select("row", F.posexplode("keys").alias("band", "key"))
+    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("row").alias("center")).where("members > 1")
+    entries = settle(entries.join(buckets.select("band", "key", "center"), ["band", "key"]))
     candidates = entries.select("row").distinct()
     sets = settle(full_sets(rows.join(candidates, "row", "left_semi"), words))
     # a shingle that one candidate alone has cannot be in any intersection
@@ -156,14 +170,17 @@ def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> Data
     spokes = entries.where("row <> center").select(F.col("center").alias("a"), F.col("row").alias("b")).distinct()
     first = confirm(spokes.join(b, "b").join(a, "a").where(_reachable(percent)).select("a", "b"), sets, percent)
     found = settle(components(first))
-    placed = entries.select("key", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    placed = entries.select("band", "key", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("band", "key", "row", F.coalesce("root", "row").alias("root"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
     able = sizes.where(100 * F.col("shared") >= percent * F.col("n"))  # cannot link with anything otherwise
-    open_ = settle(placed.join(mixed, "key", "left_semi").join(able, "row"))
-    left = open_.select("key", F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-    right = open_.select("key", F.col("row").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _reachable(percent))
-    second = confirm(across.select("a", "b").distinct(), sets, percent)
+    open_ = settle(placed.join(mixed, ["band", "key"], "left_semi").join(able, "row").join(leaders.select("row", "keys"), "row"))
+    side = lambda name: open_.select("band", "key", *[F.col(c).alias(f"{n}_{name}") for c, n in (("root", "root"), ("n", "n"), ("shared", "shared"), ("keys", "keys"))], F.col("row").alias(name))
+    left, right = side("a"), side("b")
+    # a pair is met in every band it shares and taken in the first
+    foremost = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == left["band"] + 1
+    across = left.join(right, (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+                       & _reachable(percent) & foremost & (agreeing("keys_a", "keys_b") >= least_agreement(percent)))
+    second = confirm(across.select("a", "b"), sets, percent)
     return components(first.unionByName(second))
 
 

@@ -70,6 +70,15 @@ def test_estimate_is_close():
     assert abs((s[0] == s[1]).mean() - 900 / 1100) < 0.05
 
 
+def test_agreement_counts_equal_values(spark):
+    rng = np.random.default_rng(6)
+    a = rng.random((5, 128))
+    b = np.where(rng.random((5, 128)) < 0.7, a, rng.random((5, 128)))
+    rows = [(x.tolist(), y.tolist(), int((p == q).sum())) for p, q, x, y in zip(a, b, sm.band_keys(a, 32), sm.band_keys(b, 32))]
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>, want int")
+    assert frame.select((sm.agreeing("x", "y") == frame["want"]).alias("ok")).where("not ok").count() == 0
+
+
 def test_shingle_counts_match_plain_sets():
     texts = ["A b\tC", "a", "", " \n", "x y", "é É e", "a b c a b c a b c", "w" * 5000 + " b c d", "q " * 700, "a\x0bb\x0cc"]
     raw = [t.encode() for t in texts]
