@@ -148,18 +148,18 @@ def warnings(sizes: DataFrame, agreement: DataFrame, voted: DataFrame, splits: D
     n = F.col("n_docs")
     small = sizes.where(n < MIN_CORPUS).select(
         "corpus", F.lit("small").alias("kind"), F.lit("").alias("subject"),
-        F.format_string("only %d exemplar(s): every agreement figure is %s granular", n,
+        F.format_string("with %d document(s) agreement moves in steps of %s", n,
                         percent(1 / F.greatest(n, F.lit(1)))).alias("message"))
     odd = outliers(agreement).select(
         "corpus", F.lit("outlier").alias("kind"), F.col("doc").alias("subject"),
-        F.format_string("%s agrees with only %s of the consensus", "doc", percent(F.col("agreement"))).alias("message"))
+        F.format_string("%s shares %s of the common votes", "doc", percent(F.col("agreement"))).alias("message"))
     two = splits.select(
         "corpus", F.lit("split").alias("kind"), F.concat_ws(" / ", "medoid_a", "medoid_b").alias("subject"),
-        F.format_string("the corpus splits into %d + %d documents", "size_a", "size_b").alias("message"))
+        F.format_string("two groups of %d and %d documents", "size_a", "size_b").alias("message"))
     undecided = (
         voted.where("status = 'undecided'").groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
         .select("corpus", F.lit("undecided").alias("kind"), F.lit("").alias("subject"),
-                F.format_string("%d propert(y/ies) have no majority at all", "n").alias("message")))
+                F.format_string("%d pointer(s) without a majority", "n").alias("message")))
     return small.unionByName(odd).unionByName(two).unionByName(undecided)
 
 

@@ -32,9 +32,9 @@ def finding(df: DataFrame, code, severity, rule_id, expected=None, actual=None,
 def refusals(flags: DataFrame) -> DataFrame:
     """Documents that must not be restyled. ``flags``: doc, track_changes, protected, write_protected, alt_chunk, revisions."""
     reasons = F.array_compact(F.array(
-        F.when(F.col("track_changes"), "track changes is turned on"), F.when(F.col("protected"), "document protection is enforced"),
-        F.when(F.col("write_protected"), "the document is write-protected"), F.when(F.col("alt_chunk"), "the document imports content that cannot be inspected"),
-        F.when(~F.col("track_changes") & F.col("revisions"), "the document contains tracked changes")))
+        F.when(F.col("track_changes"), "change tracking is on"), F.when(F.col("protected"), "editing is restricted"),
+        F.when(F.col("write_protected"), "writing needs a password"), F.when(F.col("alt_chunk"), "embedded foreign content is out of reach"),
+        F.when(~F.col("track_changes") & F.col("revisions"), "unresolved revisions remain")))
     return finding(flags.withColumn("reason", F.explode(reasons)), "document.refused", "error", None, actual=F.col("reason"))
 
 

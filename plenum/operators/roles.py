@@ -42,31 +42,31 @@ _PCT = "concat(cast(cast(rint({x} * 100) as bigint) as string), '%')"
 _X = "concat(cast(cast(rint(size_ratio * 10) / 10 as decimal(10,1)) as string), 'x')"
 # the evidence table: (role, weight, evidence, prior, condition), in reporting order
 _SIGNALS = [
-    ("style_role", "0.35D", f"concat('styled ', style_name, ', but so is ', {_PCT.format(x='share')}, ' of the document')",
+    ("style_role", "0.35D", f"concat('style ', style_name, ' is shared by ', {_PCT.format(x='share')}, ' of the paragraphs')",
      True, f"style_role is not null and share >= {COMMON_SHARE}"),
-    ("style_role", "0.95D", "concat('styled ', style_name, ', a profile style')",
+    ("style_role", "0.95D", "concat('style ', style_name, ', which the profile uses')",
      False, f"style_role is not null and share < {COMMON_SHARE} and known_style"),
-    ("style_role", "0.85D", "concat('styled ', style_name, ' (not in the profile)')",
+    ("style_role", "0.85D", "concat('style ', style_name, ', unknown to the profile')",
      False, f"style_role is not null and share < {COMMON_SHARE} and not known_style"),
     ("concat('heading', cast(outline_level + 1 as string))", "0.90D",
-     "concat('outline level ', cast(outline_level as string))", False, "outline_level is not null and outline_level < 9"),
-    ("if(is_bullet, 'list_bullet', 'list_number')", "0.95D", "concat('numbered at level ', cast(coalesce(ilvl, 0) as string))",
+     "concat('outlined at depth ', cast(outline_level as string))", False, "outline_level is not null and outline_level < 9"),
+    ("if(is_bullet, 'list_bullet', 'list_number')", "0.95D", "concat('list numbering, level ', cast(coalesce(ilvl, 0) as string))",
      False, "numbered"),
-    ("'caption'", "0.92D", "concat('contains a SEQ ', seq_kind, ' field')", False, "seq_kind in ('Figure', 'Table')"),
-    ("'caption'", "0.70D", "concat('starts like a caption and ', if(follows_graphic, 'follows', 'precedes'), ' a figure or table')",
+    ("'caption'", "0.92D", "concat('counts up a ', seq_kind, ' sequence')", False, "seq_kind in ('Figure', 'Table')"),
+    ("'caption'", "0.70D", "concat('opens with caption wording, ', if(follows_graphic, 'follows', 'precedes'), ' a graphic')",
      False, "coalesce(seq_kind not in ('Figure', 'Table'), true) and caption_lead and (follows_graphic or precedes_graphic)"),
-    ("'title'", "0.65D", f"concat({_X}, ' the body text size, at the top of the document')",
+    ("'title'", "0.65D", f"concat({_X}, ' as large as body text, among the first paragraphs')",
      False, "not numbered and size_ratio >= 1.8 and words < 25 and body_ordinal <= 3"),
-    ("'heading'", "0.65D", f"concat({_X}, ' the body text size')", False,
+    ("'heading'", "0.65D", f"concat({_X}, ' as large as body text')", False,
      "not numbered and ((size_ratio >= 1.8 and words < 25 and coalesce(body_ordinal > 3, true))"
      " or (size_ratio >= 1.12 and not (size_ratio >= 1.8 and words < 25) and words < 30 and not ends_with_terminal))"),
-    ("'caption'", "0.55D", f"concat({_X}, ' the body size, next to a figure or table')", False,
+    ("'caption'", "0.55D", f"concat({_X}, ' of body text size, beside a graphic')", False,
      "not numbered and size_ratio <= 0.92 and (follows_graphic or precedes_graphic)"),
-    ("'body'", "0.60D", "'the same size as the body text'", False,
+    ("'body'", "0.60D", "'sized like body text'", False,
      "not numbered and size_ratio between 0.93 and 1.07"),
-    ("'heading'", "0.60D", "'bold, short, unpunctuated and keeps with the next'", False,
+    ("'heading'", "0.60D", "'short bold line without end mark that stays with the next'", False,
      "bold and words > 0 and words < 12 and not ends_with_terminal and keep_next"),
-    ("'heading'", "0.45D", "'short all-capitals line'", False,
+    ("'heading'", "0.45D", "'few words, all capitals'", False,
      "all_caps and words > 0 and words < 12 and not ends_with_terminal"),
 ]
 
@@ -81,7 +81,7 @@ def signals(blocks: DataFrame, known_styles: list[str] | None = None, placeholde
         f"if({cond}, struct({i} as seq, {role} as role, {weight} as weight, {text} as evidence, {str(prior).lower()} as prior), null)"
         for i, (role, weight, text, prior, cond) in enumerate(_SIGNALS))
     alone = "array(struct({n} as seq, '{role}' as role, 0.99D as weight, {text} as evidence, false as prior))"
-    default = "array(struct(90 as seq, 'body' as role, 0.50D as weight, 'nothing distinguishes it from body text' as evidence, false as prior))"
+    default = "array(struct(90 as seq, 'body' as role, 0.50D as weight, 'no sign of anything but body text' as evidence, false as prior))"
     prepared = (
         blocks.where("kind = 'p'")
         .withColumn("numbered", F.coalesce(F.col("num_id") != 0, F.lit(False)))
@@ -92,8 +92,8 @@ def signals(blocks: DataFrame, known_styles: list[str] | None = None, placeholde
         .withColumn("_fired", F.expr(f"array_compact(array({fired}))"))
     )
     return prepared.withColumn("signals", F.expr(
-        f"""case when is_empty then {alone.format(n=91, role='empty', text="'no text'")}
-        when declared then {alone.format(n=92, role='placeholder', text="concat('content control tagged ', sdt_tag)")}
+        f"""case when is_empty then {alone.format(n=91, role='empty', text="'blank'")}
+        when declared then {alone.format(n=92, role='placeholder', text="concat('control with tag ', sdt_tag)")}
         when exists(_fired, s -> not s.prior) then _fired else concat(_fired, {default}) end"""
     )).drop("_sr", "_fired", "style_role", "known_style", "declared", "numbered")
 

@@ -104,7 +104,7 @@ def name_candidates(slots: DataFrame, values: DataFrame, properties: DataFrame |
     add(tags, 2, F.col("name"), 1.0, "a content control")
     said = F.nullif(F.trim(F.regexp_extract(F.coalesce("instruction", F.lit("")), DOC_PROPERTY, 1)), F.lit(""))
     add(values.withColumn("p", said).where("p is not null").groupBy(*BY).agg(F.min("p").alias("p")), 3,
-        K.slug(F.col("p")), 0.95, "a DOCPROPERTY field")
+        K.slug(F.col("p")), 0.95, "document property")
     if properties is not None:
         props = properties.select("corpus", "doc", F.col("name").alias("pname"), F.trim("value").alias("value")).where("value <> ''")
         n = values.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_values"))
@@ -238,8 +238,8 @@ def prompts(located: DataFrame, texts: DataFrame, settings: DataFrame | None = N
         rows = rows.withColumn("default", F.lit(None).cast("string")).withColumn("prompt", F.lit(None).cast("string"))
     value = F.col("donor_value")
     times = F.expr("(length(block) - length(replace(block, donor_value, ''))) div length(donor_value)")
-    reason = (F.when(F.trim(value) == "", "the value is empty").when(times == 0, "the value is not in the block")
-              .when(times > 1, "the value appears more than once"))
+    reason = (F.when(F.trim(value) == "", "no value").when(times == 0, "value not found in its block")
+              .when(times > 1, "value not unique in its block"))
     shown = F.coalesce("default", "prompt", K.humanise(F.col("name")))
     return rows.withColumn("reason", reason).withColumn("shown", shown).select(
         "corpus", "name", "donor_index", "reason", F.col("default").isNull().alias("is_prompt"),

@@ -62,14 +62,14 @@ def dangling(child: DataFrame, parent: DataFrame, on: list[str], fault: str) ->
 def unpaired(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Range marks that start and never end, or end and never start. doc, part, mark."""
     on = ["doc", "part", "mark"]
-    return dangling(starts, ends, on, "starts but never ends").unionByName(dangling(ends, starts, on, "ends but never starts"))
+    return dangling(starts, ends, on, "opened, not closed").unionByName(dangling(ends, starts, on, "closed, not opened"))
 
 
 def final_section(children: DataFrame) -> DataFrame:
     """The closing section must be there, once, and last. ``children``: doc, pos, tag."""
     sect = F.col("tag") == "sectPr"
     per = children.groupBy("doc").agg(F.count(F.when(sect, 1)).alias("n"), F.max(F.when(sect, F.col("pos"))).alias("at"), F.max("pos").alias("last"))
-    fault = F.when(F.col("n") == 0, "no final section").when(F.col("n") > 1, "several closing sections").when(F.col("at") != F.col("last"), "content after the closing section")
+    fault = F.when(F.col("n") == 0, "section end missing").when(F.col("n") > 1, "section end repeated").when(F.col("at") != F.col("last"), "section end not last")
     return per.select("doc", fault.alias("fault")).where("fault is not null")
 
 

@@ -100,11 +100,11 @@ def h4(spark, sf):
 
 
 @query("h5_warnings", H_SQL + """
-SELECT corpus, 'small' AS kind, '' AS subject, 'only ' || n_docs || ' exemplar(s): every agreement figure is '
-  || CAST(CAST(round_even(100.0 / n_docs, 0) AS BIGINT) AS VARCHAR) || '% granular' AS message FROM sz WHERE n_docs < 3
-UNION ALL SELECT corpus, 'outlier', doc, doc || ' agrees with only '
-  || CAST(CAST(round_even(agreement * 100, 0) AS BIGINT) AS VARCHAR) || '% of the consensus' FROM agr WHERE agreement < 0.6
-UNION ALL SELECT corpus, 'undecided', '', count(*) || ' propert(y/ies) have no majority at all'
+SELECT corpus, 'small' AS kind, '' AS subject, 'with ' || n_docs || ' document(s) agreement moves in steps of '
+  || CAST(CAST(round_even(100.0 / n_docs, 0) AS BIGINT) AS VARCHAR) || '%' AS message FROM sz WHERE n_docs < 3
+UNION ALL SELECT corpus, 'outlier', doc, doc || ' shares '
+  || CAST(CAST(round_even(agreement * 100, 0) AS BIGINT) AS VARCHAR) || '% of the common votes' FROM agr WHERE agreement < 0.6
+UNION ALL SELECT corpus, 'undecided', '', count(*) || ' pointer(s) without a majority'
   FROM votes WHERE status = 'undecided' GROUP BY corpus""")
 def h5(spark, sf):
     docs, dv, v, agreement = judged(spark, sf)

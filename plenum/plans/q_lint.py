@@ -24,8 +24,8 @@ def flags(spark, sf):
     return table(spark, sf, "documents").selectExpr("cast(doc_id as string) as doc", *[f"{e} as {n}" for n, e in _FLAGS.items()])
 
 
-@query("p1_refusals", """SELECT CAST(doc_id AS VARCHAR) AS doc, 'track changes is turned on' AS actual FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'document protection is enforced' FROM documents WHERE doc_id % 70 = 0
-UNION ALL SELECT CAST(doc_id AS VARCHAR), 'the document is write-protected' FROM documents WHERE doc_id % 90 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'the document contains tracked changes' FROM documents WHERE doc_id % 25 = 0 AND doc_id % 50 <> 0""")
+@query("p1_refusals", """SELECT CAST(doc_id AS VARCHAR) AS doc, 'change tracking is on' AS actual FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'editing is restricted' FROM documents WHERE doc_id % 70 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'writing needs a password' FROM documents WHERE doc_id % 90 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'unresolved revisions remain' FROM documents WHERE doc_id % 25 = 0 AND doc_id % 50 <> 0""")
 def p1(spark, sf):
     return LI.refusals(flags(spark, sf)).select("doc", "actual")
 

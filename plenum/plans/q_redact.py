@@ -218,14 +218,14 @@ def r3(spark, sf):
             .unionByName(VE.dangling(o.select(F.col("o_orderkey").alias("k")), li.select(F.col("l_orderkey").alias("k")), ["k"], "order without lines")))
 
 
-@query("r3_unpaired_marks", """SELECT 'starts but never ends' AS fault, user_id || '/p/' || m AS subject FROM (SELECT DISTINCT user_id, event_id % 40 AS m FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, event_id % 40 FROM events WHERE event_type = 'click')
-UNION ALL SELECT 'ends but never starts', user_id || '/p/' || m FROM (SELECT DISTINCT user_id, event_id % 40 AS m FROM events WHERE event_type = 'click' EXCEPT SELECT user_id, event_id % 40 FROM events WHERE event_type = 'view')""")
+@query("r3_unpaired_marks", """SELECT 'opened, not closed' AS fault, user_id || '/p/' || m AS subject FROM (SELECT DISTINCT user_id, event_id % 40 AS m FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, event_id % 40 FROM events WHERE event_type = 'click')
+UNION ALL SELECT 'closed, not opened', user_id || '/p/' || m FROM (SELECT DISTINCT user_id, event_id % 40 AS m FROM events WHERE event_type = 'click' EXCEPT SELECT user_id, event_id % 40 FROM events WHERE event_type = 'view')""")
 def r3_marks(spark, sf):
     e = table(spark, sf, "events").selectExpr("user_id as doc", "'p' as part", "event_id % 40 as mark", "event_type")
     return VE.unpaired(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
 
 
-@query("r3_final_section", """SELECT CAST(l_orderkey AS VARCHAR) AS doc, CASE WHEN n = 0 THEN 'no final section' WHEN n > 1 THEN 'several closing sections' ELSE 'content after the closing section' END AS fault FROM (SELECT l_orderkey, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n, max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS a, max(l_linenumber) AS m FROM lineitem GROUP BY 1) WHERE n <> 1 OR a <> m""")
+@query("r3_final_section", """SELECT CAST(l_orderkey AS VARCHAR) AS doc, CASE WHEN n = 0 THEN 'section end missing' WHEN n > 1 THEN 'section end repeated' ELSE 'section end not last' END AS fault FROM (SELECT l_orderkey, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n, max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS a, max(l_linenumber) AS m FROM lineitem GROUP BY 1) WHERE n <> 1 OR a <> m""")
 def r3_final(spark, sf):
     return VE.final_section(table(spark, sf, "lineitem").selectExpr("cast(l_orderkey as string) as doc", "l_linenumber as pos", "if(l_returnflag = 'R', 'sectPr', 'p') as tag"))
 

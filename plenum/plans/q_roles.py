@@ -81,19 +81,19 @@ SIG_SQL = f"""{FT_SQL},
 sr AS (SELECT *, num_id IS NOT NULL AND num_id <> 0 AS numbered, {_ROLE_OF} AS r0 FROM cx),
 sp AS (SELECT *, CASE WHEN r0 = 'body' AND numbered THEN NULL ELSE r0 END AS style_role FROM sr),
 ev AS (
- SELECT doc, idx, 0 AS seq, style_role AS role, 0.35 AS weight, 'styled ' || style_name || ', but so is ' || CAST(CAST(round_even(share * 100, 0) AS BIGINT) AS VARCHAR) || '% of the document' AS evidence, true AS prior FROM sp WHERE style_role IS NOT NULL AND share >= 0.7 AND NOT is_empty
- UNION ALL SELECT doc, idx, 2, style_role, 0.85, 'styled ' || style_name || ' (not in the profile)', false FROM sp WHERE style_role IS NOT NULL AND share < 0.7 AND NOT is_empty
- UNION ALL SELECT doc, idx, 3, 'heading' || (outline_level + 1), 0.90, 'outline level ' || outline_level, false FROM sp WHERE outline_level < 9 AND NOT is_empty
- UNION ALL SELECT doc, idx, 4, CASE WHEN is_bullet THEN 'list_bullet' ELSE 'list_number' END, 0.95, 'numbered at level ' || coalesce(ilvl, 0), false FROM sp WHERE numbered AND NOT is_empty
- UNION ALL SELECT doc, idx, 6, 'caption', 0.70, 'starts like a caption and ' || CASE WHEN follows_graphic THEN 'follows' ELSE 'precedes' END || ' a figure or table', false FROM sp WHERE caption_lead AND (follows_graphic OR precedes_graphic) AND NOT is_empty
- UNION ALL SELECT doc, idx, 7, 'title', 0.65, {_XR} || ' the body text size, at the top of the document', false FROM sp WHERE NOT numbered AND size_ratio >= 1.8 AND words < 25 AND body_ordinal <= 3 AND NOT is_empty
- UNION ALL SELECT doc, idx, 8, 'heading', 0.65, {_XR} || ' the body text size', false FROM sp WHERE NOT numbered AND NOT is_empty AND ((size_ratio >= 1.8 AND words < 25 AND coalesce(body_ordinal > 3, true)) OR (size_ratio >= 1.12 AND NOT (size_ratio >= 1.8 AND words < 25) AND words < 30 AND NOT ends_with_terminal))
- UNION ALL SELECT doc, idx, 9, 'caption', 0.55, {_XR} || ' the body size, next to a figure or table', false FROM sp WHERE NOT numbered AND size_ratio <= 0.92 AND (follows_graphic OR precedes_graphic) AND NOT is_empty
- UNION ALL SELECT doc, idx, 10, 'body', 0.60, 'the same size as the body text', false FROM sp WHERE NOT numbered AND size_ratio BETWEEN 0.93 AND 1.07 AND NOT is_empty
- UNION ALL SELECT doc, idx, 11, 'heading', 0.60, 'bold, short, unpunctuated and keeps with the next', false FROM sp WHERE bold AND words > 0 AND words < 12 AND NOT ends_with_terminal AND keep_next AND NOT is_empty
- UNION ALL SELECT doc, idx, 12, 'heading', 0.45, 'short all-capitals line', false FROM sp WHERE all_caps AND words > 0 AND words < 12 AND NOT ends_with_terminal AND NOT is_empty
- UNION ALL SELECT doc, idx, 91, 'empty', 0.99, 'no text', false FROM sp WHERE is_empty),
-sg AS (SELECT * FROM ev UNION ALL SELECT doc, idx, 90, 'body', 0.50, 'nothing distinguishes it from body text', false FROM sp
+ SELECT doc, idx, 0 AS seq, style_role AS role, 0.35 AS weight, 'style ' || style_name || ' is shared by ' || CAST(CAST(round_even(share * 100, 0) AS BIGINT) AS VARCHAR) || '% of the paragraphs' AS evidence, true AS prior FROM sp WHERE style_role IS NOT NULL AND share >= 0.7 AND NOT is_empty
+ UNION ALL SELECT doc, idx, 2, style_role, 0.85, 'style ' || style_name || ', unknown to the profile', false FROM sp WHERE style_role IS NOT NULL AND share < 0.7 AND NOT is_empty
+ UNION ALL SELECT doc, idx, 3, 'heading' || (outline_level + 1), 0.90, 'outlined at depth ' || outline_level, false FROM sp WHERE outline_level < 9 AND NOT is_empty
+ UNION ALL SELECT doc, idx, 4, CASE WHEN is_bullet THEN 'list_bullet' ELSE 'list_number' END, 0.95, 'list numbering, level ' || coalesce(ilvl, 0), false FROM sp WHERE numbered AND NOT is_empty
+ UNION ALL SELECT doc, idx, 6, 'caption', 0.70, 'opens with caption wording, ' || CASE WHEN follows_graphic THEN 'follows' ELSE 'precedes' END || ' a graphic', false FROM sp WHERE caption_lead AND (follows_graphic OR precedes_graphic) AND NOT is_empty
+ UNION ALL SELECT doc, idx, 7, 'title', 0.65, {_XR} || ' as large as body text, among the first paragraphs', false FROM sp WHERE NOT numbered AND size_ratio >= 1.8 AND words < 25 AND body_ordinal <= 3 AND NOT is_empty
+ UNION ALL SELECT doc, idx, 8, 'heading', 0.65, {_XR} || ' as large as body text', false FROM sp WHERE NOT numbered AND NOT is_empty AND ((size_ratio >= 1.8 AND words < 25 AND coalesce(body_ordinal > 3, true)) OR (size_ratio >= 1.12 AND NOT (size_ratio >= 1.8 AND words < 25) AND words < 30 AND NOT ends_with_terminal))
+ UNION ALL SELECT doc, idx, 9, 'caption', 0.55, {_XR} || ' of body text size, beside a graphic', false FROM sp WHERE NOT numbered AND size_ratio <= 0.92 AND (follows_graphic OR precedes_graphic) AND NOT is_empty
+ UNION ALL SELECT doc, idx, 10, 'body', 0.60, 'sized like body text', false FROM sp WHERE NOT numbered AND size_ratio BETWEEN 0.93 AND 1.07 AND NOT is_empty
+ UNION ALL SELECT doc, idx, 11, 'heading', 0.60, 'short bold line without end mark that stays with the next', false FROM sp WHERE bold AND words > 0 AND words < 12 AND NOT ends_with_terminal AND keep_next AND NOT is_empty
+ UNION ALL SELECT doc, idx, 12, 'heading', 0.45, 'few words, all capitals', false FROM sp WHERE all_caps AND words > 0 AND words < 12 AND NOT ends_with_terminal AND NOT is_empty
+ UNION ALL SELECT doc, idx, 91, 'empty', 0.99, 'blank', false FROM sp WHERE is_empty),
+sg AS (SELECT * FROM ev UNION ALL SELECT doc, idx, 90, 'body', 0.50, 'no sign of anything but body text', false FROM sp
  WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.doc = sp.doc AND ev.idx = sp.idx AND NOT ev.prior))"""
 
 SCORE_SQL = f"""{SIG_SQL},

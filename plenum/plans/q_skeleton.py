@@ -125,7 +125,7 @@ ph AS (SELECT {B}, name AS pname, count(*) AS hits FROM va JOIN props USING (cor
 nv AS (SELECT {B}, count(*) AS nval FROM va GROUP BY ALL),
 cand AS (
  SELECT {B}, 1 AS rank, 'account_number' AS name, 1.0 AS confidence, 'a confirmed name' AS source FROM sl WHERE framed AND trim(prefix) = 'Account No.' AND trim(suffix) = ''
- UNION ALL SELECT {B}, 3, 'desk_number', 0.95, 'a DOCPROPERTY field' FROM va WHERE pos = 9 GROUP BY ALL
+ UNION ALL SELECT {B}, 3, 'desk_number', 0.95, 'document property' FROM va WHERE pos = 9 GROUP BY ALL
  UNION ALL SELECT {B}, 4, 'market_segment', 0.85, 'a document property' FROM ph JOIN nv USING ({B}) WHERE hits >= greatest(2, nval // 2)
  UNION ALL SELECT {B}, 5, regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 0.60, 'the label beside it' FROM
   (SELECT *, coalesce(nullif(trim(regexp_replace(trim(coalesce(prefix, '')), '[:–-]+$', '')), ''), nullif(regexp_extract(previous_text, '^\\s*([A-Za-z][A-Za-z0-9 /&''.-]{{1,40}}?)\\s*[:–-]\\s*$', 1), '')) AS label FROM sl WHERE kind = 'placeholder') WHERE label IS NOT NULL
@@ -326,7 +326,7 @@ def j8_lists(spark, sf):
 
 
 @query("j10_prompts", f"""WITH {NAME_SQL}, lo AS (SELECT n.name, CAST(a.pos AS INT) AS donor_index, a.text AS block, va.value FROM named n JOIN (SELECT * FROM al WHERE doc = {_DONOR}) a USING ({B}) JOIN (SELECT * FROM va WHERE doc = {_DONOR}) va USING ({B}) WHERE n.kind = 'placeholder')
-SELECT name, donor_index, CASE WHEN (length(block) - length(replace(block, value, ''))) // length(value) > 1 THEN 'the value appears more than once' END AS reason,
+SELECT name, donor_index, CASE WHEN (length(block) - length(replace(block, value, ''))) // length(value) > 1 THEN 'value not unique in its block' END AS reason,
  CASE WHEN (length(block) - length(replace(block, value, ''))) // length(value) = 1 THEN replace(block, value, list_aggregate(list_transform(string_split(name, '_'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ')) END AS text FROM lo""")
 def j10(spark, sf):
     a, n, v = named(spark, sf)
