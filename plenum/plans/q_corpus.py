@@ -11,6 +11,7 @@ from plenum.plans import sqlparts as S
 from plenum.plans.q_votes import (NATION_DOCS, NATION_OBS, nation_ballots, nation_docs, spark_specs,
                                   VOTES_SQL, lineitem_ballots, supplier_docs)
 from plenum.plans.registry import query, table
+from plenum.skew import settle
 
 CUSTOMER = [
     ("/customer/segment", "s", "c_mktsegment"),
@@ -44,7 +45,7 @@ H_SQL = f"WITH {NATION_OBS},{S.votes(NATION_DOCS)}" + AGREE_SQL.format(docs=NATI
 
 def judged(spark, sf):
     docs = nation_docs(spark, sf)
-    dv = O.document_votes(nation_ballots(spark, sf))
+    dv = settle(O.document_votes(nation_ballots(spark, sf)))  # read by the votes and by every document's agreement
     v = O.votes(dv, O.corpus_sizes(docs))
     return docs, dv, v, C.agreement_by_document(dv, v, docs)
 

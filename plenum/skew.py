@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A table is broadcast only when a count proves it small.
+# A table is broadcast only when a count and its bytes prove it small.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows; else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast after counting at most ``max_rows + 1`` rows and the bytes they hold; else leave the join to AQE."""
+    held = F.sum(F.length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), held).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def few(df: DataFrame, what: str, max_rows: int = 10_000) -> DataFrame:
@@ -92,11 +95,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return ranged.withColumn("_rn", here).join(shift, on).withColumn(name, (F.col("_rn") + F.col("_shift")).cast("bigint")).select(*df.columns, name)
 
 
+_SETTLED: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read, and continue from the written table.
 
     It lands in the session's checkpoint folder (shared by all executors), so a lost executor costs
-    no recomputation, later reads prune columns, and the plan above stays small.
+    no recomputation, later reads prune columns, and the plan above stays small. ``release`` removes it.
     """
     from uuid import uuid4
 
@@ -105,5 +111,15 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/plenum-{uuid4().hex}"
+    _SETTLED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every written intermediate of this process; call it once results that rest on them are written."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _SETTLED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

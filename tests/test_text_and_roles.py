@@ -253,3 +253,16 @@ def test_refill_of_a_template_that_starts_elsewhere(spark):
     saved = FL.session(FL.fill(t, r))
     changed = spark.createDataFrame([("r", {"a": "y"})], "record string, changes map<string,string>")
     assert [x.text for x in FL.refill(saved, t, changed).collect()] == ["y!"]
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 500,)] * 20, "t string")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(skew.small(df)) and not hinted(skew.small(df, max_rows=5)) and not hinted(skew.small(df, max_bytes=100))
+
+
+def test_written_intermediates_can_be_released(spark):
+    kept = skew.settle(spark.range(3)).inputFiles()[0].removeprefix("file:")
+    assert skew.release(spark) >= 1
+    import os
+    assert not os.path.exists(kept)
