@@ -52,18 +52,18 @@ def p3(spark, sf):
     return LI.single_valued(r, actual, _PAGE).select("doc", "code", "severity", "rule_id", "expected", "actual")
 
 
-# the profile's styles are those of the styled pages; roles without one fall back to a recorded name
+# the profile's styles are those of the pages; roles without one fall back to a recorded name
 _RECORDED = [("title", "Title"), ("heading1", "House  Heading"), ("list_number", "List Number"), ("caption", "Caption")]
 
 
 def roles_to_styles(spark, sf, c):
-    used = c.where("cast(doc as int) % 2 = 0").select(F.col("style_name").alias("style")).distinct()
+    used = c.select(F.col("style_name").alias("style")).distinct()
     rec = table(spark, sf, "region").limit(1).selectExpr("inline(array(" + ", ".join(f"struct('{r}' as role, '{s}' as style)" for r, s in _RECORDED) + "))")
     return LI.role_styles(used, rec)
 
 
 _ROLE = """CASE WHEN style = 'title' THEN 'title' WHEN regexp_full_match(style, 'heading \\d') THEN 'heading' || style[9] WHEN regexp_full_match(style, 'list bullet ?\\d?') THEN 'list_bullet' WHEN style = 'normal' THEN 'body' END"""
-P_SQL = f"""{SCORE_SQL}, us AS (SELECT DISTINCT style_name AS style FROM cl WHERE CAST(doc AS INT) % 2 = 0),
+P_SQL = f"""{SCORE_SQL}, us AS (SELECT DISTINCT style_name AS style FROM cl),
 rs AS (SELECT role, min(style) AS want FROM (SELECT {_ROLE} AS role, style FROM us) WHERE role IS NOT NULL GROUP BY role),
 rm AS (SELECT * FROM rs UNION ALL SELECT * FROM (VALUES {', '.join(f"('{r}', '{' '.join(s.lower().split())}')" for r, s in _RECORDED)}) t(role, want) WHERE role NOT IN (SELECT role FROM rs)),
 wr AS (SELECT cl.*, want FROM cl JOIN rm USING (role) WHERE role NOT IN ('empty', 'placeholder') AND style_name IS DISTINCT FROM want),
@@ -193,11 +193,13 @@ def p12(spark, sf):
 
 
 # required wording: the first line of each benchmark passage
-_WORDING = "SELECT item_id AS slot, string_split(text, chr(10))[1] AS wtext FROM benchmark"
+_WORDING = "SELECT slot, wtext FROM (SELECT item_id * 100 + unnest(range(len(s))) AS slot, unnest(s) AS wtext FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark)) WHERE wtext <> ''"
 
 
 def wording(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("slot"), F.get(F.split("text", "\n"), 0).alias("text"))
+    """Every line of every passage is required wording."""
+    cut = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return cut.where("text <> ''").select((F.col("item_id") * 100 + F.col("line")).alias("slot"), "text")
 
 
 _BOIL = f"""WITH {LINES_SQL}, w AS ({_WORDING}), hit AS (SELECT doc, slot, bool_or({exact_sql('text')} = {exact_sql('wtext')}) AS exact FROM tb JOIN w ON {match_sql('text')} = {match_sql('wtext')} GROUP BY ALL)"""

@@ -46,16 +46,12 @@ def n2(spark, sf):
     return RD.collapse_cleared(cleared(spark, sf)).select("doc", "idx", "dropped")
 
 
-# page texts agree within a language when lines repeat: the first word of a line stands for a header line
-_HEAD = "CASE WHEN idx = 0 THEN string_split(key, ' ')[1] ELSE key END"
-
-
-@query("n3_line_agreement", f"""WITH {LINES_SQL}, k AS (SELECT lang AS corpus, doc, idx, {match_sql('text')} AS key0 FROM tb), kk AS (SELECT corpus, doc, idx, CASE WHEN idx = 0 THEN left(key0, 1) ELSE key0 END AS key FROM k),
+# page texts agree within a language when whole lines repeat
+@query("n3_line_agreement", f"""WITH {LINES_SQL}, k AS (SELECT lang AS corpus, doc, idx, {match_sql('text')} AS key FROM tb), kk AS (SELECT * FROM k),
 sz AS (SELECT lang AS corpus, count(*) AS n FROM documents GROUP BY lang), sup AS (SELECT corpus, key, count(DISTINCT doc) AS d FROM kk WHERE key <> '' GROUP BY ALL)
 SELECT doc, CAST(idx AS INT) AS idx, key = '' OR n < 2 OR coalesce(d - 1 >= greatest(1, floor((n - 1) * 0.1)), false) AS kept FROM kk JOIN sz USING (corpus) LEFT JOIN sup USING (corpus, key)""")
 def n3(spark, sf):
-    b = lines(spark, sf).withColumn("corpus", F.col("lang")).withColumn("k0", K.match_key(F.col("text"))).withColumn(
-        "key", F.when(F.col("idx") == 0, F.substring("k0", 1, 1)).otherwise(F.col("k0")))
+    b = lines(spark, sf).withColumn("corpus", F.col("lang")).withColumn("key", K.match_key(F.col("text")))
     n = table(spark, sf, "documents").groupBy(F.col("lang").alias("corpus")).agg(F.count("*").alias("n_docs"))
     # the keys are read twice: to count support and to filter
     return RD.filter_lines(settle(b.select("corpus", "doc", "idx", "key")), n, 0.1).select("doc", "idx", "kept")
@@ -141,13 +137,13 @@ def n8_media(spark, sf):
     return RD.orphan_media(parts, RD.prune_rels(r, used).where("not dropped"))
 
 
-# every second word of the twelve most common line openings is a "name"
-_NAMES = "SELECT DISTINCT substr(text, 1, 9) AS identity FROM benchmark"
+# the lines of the benchmark passages are what must not survive
+_NAMES = "SELECT DISTINCT identity FROM (SELECT unnest(string_split(text, chr(10))) AS identity FROM benchmark) WHERE length(identity) > 2"
 
 
 @query("n9_identity_survivors", f"SELECT CAST(doc_id AS VARCHAR) AS doc, lang AS part, identity FROM documents JOIN ({_NAMES}) ON contains(text, identity)")
 def n9(spark, sf):
-    names = table(spark, sf, "benchmark").select(F.substring("text", 1, 9).alias("identity")).distinct()
+    names = table(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("identity")).where("length(identity) > 2").distinct()
     texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("lang").alias("part"), "text")
     return RD.identity_survivors(texts, names)
 

@@ -164,38 +164,29 @@ def i1(spark, sf):
 
 def turns(spark, sf):
     t = X.turn_blocks(table(spark, sf, "conversations"))
-    return t.select(F.lit("talk").alias("corpus"), F.lit("").alias("section"), "doc", F.col("idx").alias("pos"), "kind", F.substring("key", 1, 40).alias("key"), "text", F.lit(False).alias("is_heading"))
+    return t.select(F.lit("talk").alias("corpus"), F.lit("").alias("section"), "doc", F.col("idx").alias("pos"), "kind", "key", "text", F.lit(False).alias("is_heading"))
 
 
-# two turns are the same token when speaker and opening agree; openings repeat across copies
-_TURN_SQL = f"""tn AS (SELECT 'talk' AS corpus, '' AS section, CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INT) AS pos, role AS kind, substr(lower({match_sql('text')}), 1, 40) AS key, text, false AS is_heading FROM conversations),
+# two turns are the same token when speaker and whole text agree
+_TURN_SQL = f"""tn AS (SELECT 'talk' AS corpus, '' AS section, CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INT) AS pos, role AS kind, lower({match_sql('text')}) AS key, text, false AS is_heading FROM conversations),
 tot AS (SELECT 'talk' AS corpus, count(DISTINCT conv_id) AS n_docs FROM conversations),
 tp AS (SELECT corpus, doc, kind, key, count(*) AS n FROM tn GROUP BY ALL), tl AS (SELECT corpus, doc, count(*) AS len FROM tn GROUP BY ALL)"""
-# coarse tokens for similarity: speaker and closing sign
-_COARSE = "concat(kind, right(trim(text), 1))"
 
 
-def coarse_turns(spark, sf):
-    return turns(spark, sf).withColumn("key", F.expr("right(trim(text), 1)"))
-
-
-_COARSE_SQL = _TURN_SQL.replace(f"substr(lower({match_sql('text')}), 1, 40) AS key", "right(trim(text), 1) AS key")
-
-
-@query("i2_similarity", f"""WITH {_COARSE_SQL}, pr AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS a, CAST(conv_id + 1 AS VARCHAR) AS b FROM conversations),
+@query("i2_similarity", f"""WITH {_TURN_SQL}, pr AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS a, CAST(conv_id + 1 AS VARCHAR) AS b FROM conversations),
 sh AS (SELECT pr.a, pr.b, sum(least(x.n, y.n)) AS shared FROM pr JOIN tp x ON x.doc = pr.a JOIN tp y ON y.doc = pr.b AND x.kind = y.kind AND x.key = y.key GROUP BY ALL)
 SELECT pr.a, pr.b, round(CASE WHEN coalesce(la.len, 0) + coalesce(lb.len, 0) = 0 THEN 1.0 ELSE 2 * coalesce(shared, 0) / (coalesce(la.len, 0) + coalesce(lb.len, 0)) END, 6) AS similarity
 FROM pr LEFT JOIN tl la ON la.doc = pr.a LEFT JOIN tl lb ON lb.doc = pr.b LEFT JOIN sh ON sh.a = pr.a AND sh.b = pr.b""")
 def i2(spark, sf):
     pairs = table(spark, sf, "conversations").selectExpr("'talk' as corpus", "cast(conv_id as string) as a", "cast(conv_id + 1 as string) as b").distinct()
-    return SK.similarity(pairs, coarse_turns(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return SK.similarity(pairs, turns(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("i3_medoid", f"""WITH {_COARSE_SQL}, pairs AS (SELECT x.doc AS a, y.doc AS b, 2 * sum(least(x.n, y.n)) / any_value(lx.len + ly.len) AS sim
+@query("i3_medoid", f"""WITH {_TURN_SQL}, pairs AS (SELECT x.doc AS a, y.doc AS b, 2 * sum(least(x.n, y.n)) / any_value(lx.len + ly.len) AS sim
  FROM tp x JOIN tp y ON x.kind = y.kind AND x.key = y.key AND x.doc <> y.doc JOIN tl lx ON lx.doc = x.doc JOIN tl ly ON ly.doc = y.doc GROUP BY ALL)
 SELECT tl.doc, round(coalesce(sum(sim), 0), 6) AS score FROM tl LEFT JOIN pairs ON a = tl.doc GROUP BY ALL""")
 def i3(spark, sf):
-    return SK.medoid_scores(coarse_turns(spark, sf)).select("doc", F.round("score", 6).alias("score"))
+    return SK.medoid_scores(turns(spark, sf)).select("doc", F.round("score", 6).alias("score"))
 
 
 @query("i4_align", f"WITH {_TURN_SQL},{align_sql('tn', 'al')} SELECT doc, pos, kind, col FROM al")
