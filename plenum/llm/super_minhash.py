@@ -38,6 +38,7 @@ from plenum.llm.shingles import FACTOR, mix, shingle_sets
 NAME = "op4_super_minhash"
 ORACLE = None  # all-pairs set similarity of whole texts is too slow in SQL
 BANDS, ROWS = 32, 4
+KEYS = 64  # keys kept per signature: the first BANDS look for candidates, all of them estimate a pair's similarity
 STAGE_WORDS, STAGE_PERCENT = 5, 80  # stages on word shingles unless a contract says otherwise
 QUERY_WORDS, QUERY_PERCENT = 3, 85
 _U = np.uint64
@@ -87,7 +88,7 @@ def agreeing(left: str, right: str):
     return ROWS * F.size(left) - apart
 
 
-def least_agreement(percent: int, bands: int = BANDS) -> int:
+def least_agreement(percent: int, bands: int = KEYS) -> int:
     """Five standard deviations under what a pair at the threshold shows on average (one such pair in 3 million is below)."""
     n, p = bands * ROWS, percent / 100
     return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
@@ -110,7 +111,7 @@ def _pieces(batch, limit: int = 4 << 20):
         low = high
 
 
-def sketch(rows: DataFrame, words: int, bands: int = BANDS) -> DataFrame:
+def sketch(rows: DataFrame, words: int, bands: int = KEYS) -> DataFrame:
     """``rows(row, text, doc_id)`` to ``(row, doc_id, n, print_a, print_b, keys)``; ``keys`` is empty without shingles."""
     def run(batches):
         for batch in batches:
@@ -155,7 +156,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> DataFrame:
     """Components ``(node, root)`` of the class leaders ``(row, n, keys)`` that are linked with another one."""
-    entries = leaders.select("row", F.posexplode("keys").alias("band", "key"))
+    entries = leaders.select("row", F.posexplode(F.slice("keys", 1, BANDS)).alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("row").alias("center")).where("members > 1")
     entries = settle(entries.join(buckets.select("band", "key", "center"), ["band", "key"]))
     candidates = entries.select("row").distinct()
@@ -177,7 +178,7 @@ def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> Data
     side = lambda name: open_.select("band", "key", *[F.col(c).alias(f"{n}_{name}") for c, n in (("root", "root"), ("n", "n"), ("shared", "shared"), ("keys", "keys"))], F.col("row").alias(name))
     left, right = side("a"), side("b")
     # a pair is met in every band it shares and taken in the first
-    foremost = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == left["band"] + 1
+    foremost = F.array_position(F.zip_with(F.slice("keys_a", 1, BANDS), F.slice("keys_b", 1, BANDS), lambda x, y: x == y), True) == left["band"] + 1
     across = left.join(right, (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
                        & _reachable(percent) & foremost & (agreeing("keys_a", "keys_b") >= least_agreement(percent)))
     second = confirm(across.select("a", "b"), sets, percent)
