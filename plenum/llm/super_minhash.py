@@ -38,7 +38,7 @@ from plenum.llm.shingles import FACTOR, mix, shingle_sets
 NAME = "op4_super_minhash"
 ORACLE = None  # all-pairs set similarity of whole texts is too slow in SQL
 BANDS, ROWS = 32, 4
-KEYS = 64  # keys kept per signature: the first BANDS look for candidates, all of them estimate a pair's similarity
+KEYS = 128  # keys kept per signature: the first BANDS look for candidates, all of them estimate a pair's similarity
 STAGE_WORDS, STAGE_PERCENT = 5, 80  # stages on word shingles unless a contract says otherwise
 QUERY_WORDS, QUERY_PERCENT = 3, 85
 _U = np.uint64
@@ -166,15 +166,15 @@ def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> Data
     alone = alone.groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
     sizes = settle(sets.select("row", F.size("shingles").cast("long").alias("n")).join(alone, "row", "left")
                    .select("row", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")))
-    a = sizes.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-    b = sizes.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    spokes = entries.where("row <> center").select(F.col("center").alias("a"), F.col("row").alias("b")).distinct()
-    first = confirm(spokes.join(b, "b").join(a, "a").where(_reachable(percent)).select("a", "b"), sets, percent)
+    sized = settle(entries.join(sizes, "row"))
+    middle = sizes.select(F.col("row").alias("center"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
+    spokes = sized.where("row <> center").withColumnsRenamed({"n": "n_b", "shared": "shared_b"}).join(middle, "center").where(_reachable(percent))
+    first = confirm(spokes.select(F.col("center").alias("a"), F.col("row").alias("b")).distinct(), sets, percent)
     found = settle(components(first))
-    placed = entries.select("band", "key", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("band", "key", "row", F.coalesce("root", "row").alias("root"))
+    placed = sized.join(found.withColumnRenamed("node", "row"), "row", "left").select("band", "key", "row", "n", "shared", F.coalesce("root", "row").alias("root"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    able = sizes.where(100 * F.col("shared") >= percent * F.col("n"))  # cannot link with anything otherwise
-    open_ = settle(placed.join(mixed, ["band", "key"], "left_semi").join(able, "row").join(leaders.select("row", "keys"), "row"))
+    able = placed.where(100 * F.col("shared") >= percent * F.col("n"))  # cannot link with anything otherwise
+    open_ = settle(able.join(mixed, ["band", "key"], "left_semi").join(leaders.select("row", "keys"), "row"))
     side = lambda name: open_.select("band", "key", *[F.col(c).alias(f"{n}_{name}") for c, n in (("root", "root"), ("n", "n"), ("shared", "shared"), ("keys", "keys"))], F.col("row").alias(name))
     left, right = side("a"), side("b")
     # a pair is met in every band it shares and taken in the first
