@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
@@ -39,7 +40,7 @@ ORACLE = None  # a segmentation search has no SQL
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20  # a larger file is no piece vocabulary
 MARK = "▁"
-STORE_WORDS, STORE_LENGTH = 400_000, 64
+STORE_WORDS, STORE_LENGTH = 250_000, 64
 CHUNK = 8 << 20
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -224,18 +225,48 @@ def read_model(path: str = MODEL_FILE) -> bytes:
     return data
 
 
-def encode_texts(vocabulary: Vocabulary, texts: list, store: dict[str, bytes]) -> list:
-    """Int32 bytes per text; ``store`` keeps words between calls and is emptied when it has grown too large."""
+class Store:
+    """Words met lately and their ids: two generations, the older one forgotten when the younger is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Takes over what the older generation knows; returns the others."""
+        young, old = self.young, self.old
+        absent = []
+        for word in words:
+            if word not in young:
+                known = old.get(word)
+                if known is None:
+                    absent.append(word)
+                else:
+                    young[word] = known
+        return absent
+
+    def age(self, long_words: list[str]) -> None:
+        for word in long_words:  # rarely met again
+            self.young.pop(word, None)
+        if len(self.young) > STORE_WORDS:
+            self.old, self.young = self.young, {}
+
+
+@lru_cache(maxsize=2)
+def loaded(model: bytes) -> tuple[Vocabulary, Store]:
+    """A model and its words, kept by a worker process from task to task."""
+    return Vocabulary(model), Store()
+
+
+def encode_texts(vocabulary: Vocabulary, texts: list, store: Store) -> list:
+    """Int32 bytes per text; ``store`` keeps words between calls."""
     split = [None if t is None else vocabulary.words(t.encode("utf-8", "replace").decode("utf-8")) for t in texts]
-    new = {w for words in split if words for w in words if w not in store}
-    own = dict(vocabulary.encode_sorted(sorted(new)))
-    store.update(own)
-    out = [None if words is None else b"".join(map(store.__getitem__, words)) for words in split]
-    if len(store) > STORE_WORDS:
-        store.clear()
-    for word in own:  # long words are rarely met again
-        if len(word) > STORE_LENGTH:
-            store.pop(word, None)
+    new = store.missing({w for words in split if words for w in words})
+    new.sort()
+    store.young.update(vocabulary.encode_sorted(new))
+    look = store.young.__getitem__
+    out = [None if words is None else b"".join(map(look, words)) for words in split]
+    store.age([w for w in new if len(w) > STORE_LENGTH])
     return out
 
 
@@ -257,7 +288,7 @@ def encoded(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, *new.fields])
 
     def run(batches):
-        vocabulary, store = Vocabulary(shared.value), {}
+        vocabulary, store = loaded(shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             low = 0

@@ -42,7 +42,7 @@ def samples(spark):
 
 
 def run(vocabulary, texts):
-    store = {}
+    store = pv.Store()
     return [list(pv.array("i", x)) for x in pv.encode_texts(vocabulary, texts, store)]
 
 
@@ -86,10 +86,10 @@ def test_full_store_changes_nothing(spark, merging, monkeypatch):
     texts = samples(spark)
     want = run(merging, texts)
     monkeypatch.setattr(pv, "STORE_WORDS", 10)
-    store, got = {}, []
+    store, got = pv.Store(), []
     for text in texts:
         got += [list(pv.array("i", x)) for x in pv.encode_texts(merging, [text], store)]
-        assert len(store) <= 10
+        assert len(store.young) <= 10
     assert got == want
 
 
