@@ -4,7 +4,8 @@ A passage counts as repeated where twenty consecutive words also start earlier.
 
 *Confirm.* Every window of twenty words chooses one phrase of eight words in it (the least by hash, leftmost
 among equals); equal windows choose alike. Choices travel as packed numbers, dealt out by phrase; phrases
-chosen twice or more recur, and each is led by its first place.
+chosen twice or more recur, and each is led by its first place. Phrases are told apart by two independent 48-bit
+hashes, since only the text of the leading place is compiled.
 
 *Compile.* Recurring phrases are gathered in shards by the document that leads them, so that the phrases of
 one passage, and of all its copies, meet in one shard and a document visits few shards. A shard has about
@@ -17,7 +18,7 @@ compared inside the task; where a shard is dealt over several tasks, the first w
 compared once more across them. Each window has one chosen phrase, hence one shard, so nothing is missed and
 nothing is compared twice.
 
-Windows are compared by 128-bit hashes of their words, phrases by their text.
+Windows are compared by 128-bit hashes of their words, phrases by 96 bits and found by their text.
 
 Defined cases: null text has no words; a text of fewer than twenty words loses none; windows that overlap an
 earlier equal window of their own document count (only the later one is removed); rows that share a document
@@ -46,13 +47,14 @@ WINDOW, PHRASE = 20, 8
 SHARD_PHRASES, TASK_DOCUMENTS = 20_000, 20_000
 FLUSH = 500_000
 _U = np.uint64
+_SECOND = _U(0xA4093822299F31D0)  # sets the second phrase hash apart from the first
 
 
 def chosen(h: np.ndarray) -> dict[str, np.ndarray]:
-    """Choices of one document with word hashes ``h``: phrase hash, its first word, first window, how many windows."""
+    """Choices of one document with word hashes ``h``: two phrase hashes, its first word, first window, how many windows."""
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return {"g": np.zeros(0, _U), "at": np.zeros(0, np.int64), "q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
+        return {"g": np.zeros(0, _U), "c": np.zeros(0, _U), "at": np.zeros(0, np.int64), "q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
     g = np.zeros(len(h) - PHRASE + 1, _U)
     for k in range(PHRASE):
         g = mix(g * FACTOR + h[k: len(h) - PHRASE + 1 + k])
@@ -60,7 +62,10 @@ def chosen(h: np.ndarray) -> dict[str, np.ndarray]:
     views = np.lib.stride_tricks.sliding_window_view(g, width)
     at = views.argmin(axis=1) + np.arange(n)  # argmin takes the leftmost
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return {"g": g[at[first]] & _LOW48, "at": at[first], "q": first, "n": np.diff(np.append(first, n))}
+    c = np.zeros(len(first), _U)
+    for k in range(PHRASE):
+        c = mix(c * FACTOR + mix(h[at[first] + k] ^ _SECOND))
+    return {"g": g[at[first]] & _LOW48, "c": c & _LOW48, "at": at[first], "q": first, "n": np.diff(np.append(first, n))}
 
 
 def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +101,7 @@ def _choices(buckets: int):
                 n = len(found["g"])
                 if n:
                     full = lambda v: np.full(n, v, np.int64)
-                    held.append({"g": found["g"].view(np.int64), "c": full(0), "q": found["at"], "x": full(0), "n": full(0), "row": full(row), "doc": full(doc)})
+                    held.append({"g": found["g"].view(np.int64), "c": found["c"].view(np.int64), "q": found["at"], "x": full(0), "n": full(0), "row": full(row), "doc": full(doc)})
                     size += n
                 if size >= FLUSH:
                     yield from flush()
@@ -107,6 +112,12 @@ def _choices(buckets: int):
     return run
 
 
+def _repeated(*keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys stand beside an equal one."""
+    new = np.append(_groups(*keys)[0], True)
+    return ~(new[1:] & new[:-1])
+
+
 def recurring(batches):
     """One partition of buckets: choices of phrases chosen more than once, with the row that leads the phrase."""
     parts = [unpack(b)[0] for batch in batches for b in batch.column(1).to_pylist()]
@@ -114,14 +125,12 @@ def recurring(batches):
         return
     rows = _joined(parts)
     order = np.argsort(rows["g"], kind="stable")
-    g = rows["g"][order]
-    same = np.zeros(len(g) + 1, bool)
-    same[1:-1] = g[1:] == g[:-1]
-    order = order[same[1:] | same[:-1]]
-    order = order[np.lexsort((rows["q"][order], rows["row"][order], rows["doc"][order], rows["g"][order]))]
+    order = order[_repeated(rows["g"][order])]
+    order = order[np.lexsort((rows["q"][order], rows["row"][order], rows["doc"][order], rows["c"][order], rows["g"][order]))]
+    order = order[_repeated(rows["g"][order], rows["c"][order])]
     if not len(order):
         return
-    new, group = _groups(rows["g"][order])
+    new, group = _groups(rows["g"][order], rows["c"][order])
     row, q = rows["row"][order], rows["q"][order]
     lead = row[np.flatnonzero(new)][group]
     for at in range(0, len(order), 200_000):
