@@ -10,17 +10,21 @@ strings that chose it, about sixteen.
 
 *Rank 20.* Spark deals the sampled positions out by the rank of their first 20 bytes. Positions whose 20 bytes
 occur in one document only leave here. Of the others, those with equal surroundings (from the first to the
-last byte of the strings they stand for) and a smaller document are covered as a whole.
+last byte of the strings they stand for) and a smaller document are covered as a whole. A lot of positions in
+which one 20-byte string has more than ``HOT`` different surroundings sends one of them, marked, to the meeting;
+the others need no meeting, for they stay open anyway.
 
 *Rank 50.* What is left is the rim of matches: one position per distinct surrounding. It goes back to its
-document, the strings it stands for are ranked by pairs (rank of bytes 0-24, rank of bytes 25-49), again dealt
-out by Spark, and a string whose pair also occurs in a smaller document is covered. The surrounding of the
+document, the strings it stands for are ranked by pairs (rank of bytes 0-24, rank of bytes 25-49), dealt out by
+Spark by the rank of the whole string, and a string whose pair also occurs in a smaller document is covered. Each
+task settles its own strings first, so a string arrives at most once per lot and document it is first in. The surrounding of the
 smallest document speaks for all later ones with the same surrounding, so a passage with thousands of copies
 sends one position to this step.
 
 A rank is a 48-bit hash where only a filter depends on it, and 96 bits and more where a decision does.
 Positions travel as packed, compressed columns, one block per task and bucket; before they leave a task,
-repeated surroundings are settled in it, so a passage that fills the corpus arrives once per task.
+repeated surroundings are settled in it, so a passage that fills the corpus arrives once per task. The number of
+partitions follows the bytes of the texts and, for the strings of the rim, their count.
 
 Defined cases: null counts as empty; texts under 50 bytes lose nothing; matches inside one document, and
 between rows that share a document id, remove nothing; a null id counts as greater than all others; repeated
@@ -51,7 +55,9 @@ FLUSH = 500_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
-_COVERED = 0x80
+_COVERED, _OPEN, _HOT, _MANY = 0x80, 0x40, 0x20, 0x1F  # marks above the number of strings
+HOT = 64
+PART_BYTES, PART_STRINGS = 32 << 20, 2_000_000
 _WIDE = 2 * LENGTH - SEED_LENGTH  # bytes of the widest surrounding
 
 
@@ -155,15 +161,29 @@ def settle_in_task(rows: dict[str, np.ndarray]) -> None:
     rows["n"][order[doc > first]] |= _COVERED
 
 
-def _blocks(rows: dict[str, np.ndarray], buckets: int, extra: np.ndarray | None = None):
-    """Packed blocks by bucket; what is covered already goes to a bucket of its document."""
-    key = np.where(rows["n"] & _COVERED, rows["row"], rows["g"]).astype(_U)
+def open_in_task(rows: dict[str, np.ndarray]) -> None:
+    """Marks as open the positions of a hot string of the lot, all but one, which says so to the other lots."""
+    live = np.flatnonzero(rows["n"] & _COVERED == 0)
+    live = live[np.argsort(rows["g"][live], kind="stable")]
+    if not len(live):
+        return
+    new, group = _groups(rows["g"][live])
+    starts, doc = np.flatnonzero(new), rows["doc"][live]
+    several = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)  # hence several surroundings
+    hot = (several & (np.bincount(group) > HOT))[group]
+    rows["n"][live[hot & ~new]] |= _OPEN
+    rows["n"][live[hot & new]] |= _HOT
+
+
+def _blocks(rows: dict[str, np.ndarray], buckets: int):
+    """Packed blocks by bucket; what is settled already goes to a bucket of its document."""
+    key = np.where(rows["n"] & (_COVERED | _OPEN), rows["row"], rows["g"]).astype(_U)
     bucket = (mix(key) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for low, high in zip(edges, np.append(edges[1:], len(order))):
         at = order[low:high]
-        yield int(bucket[at[0]]), pack({k: v[at] for k, v in rows.items()}, b"" if extra is None else extra[at].tobytes())
+        yield int(bucket[at[0]]), pack({k: v[at] for k, v in rows.items()})
 
 
 def _emit(pairs):
@@ -196,6 +216,7 @@ def _positions(buckets: int):
             rows = _joined(held)
             held.clear()
             settle_in_task(rows)
+            open_in_task(rows)
             yield from _emit(_blocks(rows, buckets))
 
         size = 0
@@ -233,32 +254,63 @@ def rank_seeds(batches):
         return
     rows = _joined(parts)
     del parts
-    done = (rows["n"] & _COVERED) > 0
-    yield from _mark_rows(rows["row"][done], rows["q"][done], rows["n"][done] & ~_COVERED, rows["x"][done], np.zeros(int(done.sum()), bool))
+    done, hot = (rows["n"] & (_COVERED | _OPEN)) > 0, (rows["n"] & _HOT) > 0
+    open_ = (rows["n"][done] & _OPEN) > 0
+    rows["n"] &= _MANY
+    yield from _mark_rows(*(rows[k][done] for k in ("row", "q", "n", "x")), open_)
     order = np.argsort(np.where(done, -1, rows["g"]), kind="stable")[int(done.sum()):]
     _, group = _groups(rows["g"][order])
     if not len(order):
         return
     doc = rows["doc"][order]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    several = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))[group]
+    known = np.logical_or.reduceat(hot[order], starts)
+    several = (known | (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)))[group]
+    hot[order] = known[group]
     order = order[several]
     order = order[np.lexsort((rows["doc"][order], rows["c"][order], rows["g"][order]))]
     if not len(order):
         return
-    rows = {k: v[order] for k, v in rows.items()}
+    rows, hot = {k: v[order] for k, v in rows.items()}, hot[order]
     new, kind = _groups(rows["g"], rows["c"])
     first = rows["doc"][np.flatnonzero(new)][kind]
     _, group = _groups(rows["g"])
     kinds = np.bincount(group, weights=new)[group]
     covered = rows["doc"] > first
-    say = covered | (kinds > 1)
+    say = covered | (kinds > 1) | hot
     yield from _mark_rows(*(rows[k][say] for k in ("row", "q", "n", "x")), ~covered[say])
 
 
+_SALTED = mix(np.arange(1, 257, dtype=_U) * _U(0xA4093822299F31D0))  # another number for each byte
+
+
+def pair_ranks(wide: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every string of every surrounding: which surrounding, its offset there, two independent ranks of its pair."""
+    half, inv, many = LENGTH // 2, inverses(_WIDE + 1), int(n.max(initial=0))
+    pick = np.arange(many) < n[:, None]
+    ranks = []
+    for values in (wide.astype(_U) + _U(1), _SALTED[wide]):
+        sums = np.zeros((len(wide), _WIDE + 1), _U)
+        np.cumsum(values * powers(_WIDE), axis=1, out=sums[:, 1:])
+        a, b, c = sums[:, :many], sums[:, half: half + many], sums[:, LENGTH: LENGTH + many]
+        ranks.append((mix(mix((b - a) * inv[:many]) * FACTOR + mix((c - b) * inv[half: half + many])) & _LOW48)[pick].view(np.int64))
+    return *np.nonzero(pick), *ranks
+
+
 def _rims(buckets: int):
-    """Marked texts to packed surroundings of open positions."""
+    """Marked texts to packed strings of open positions."""
     def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            rows = _joined(held)
+            held.clear()
+            settle_in_task(rows)
+            settled = rows["n"] & _COVERED > 0
+            rows["g"][settled] = rows["c"][settled] = 0
+            yield from _emit(_blocks(rows, buckets))
+
         for batch in batches:
             raw, at = utf8_column(batch.column(2))
             row, doc = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(2))
@@ -267,52 +319,42 @@ def _rims(buckets: int):
             of = np.repeat(np.arange(batch.num_rows), many)
             q, n, x, open_ = (marks.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
             pick = np.flatnonzero(open_)
-            if not len(pick):
-                continue
-            of, q, n, x = of[pick], q[pick].astype(np.int64), n[pick].astype(np.int64), x[pick].astype(np.int64)
+            of, q, n = of[pick], q[pick].astype(np.int64), n[pick].astype(np.int64)
             data = np.frombuffer(raw, np.uint8)
-            for low in range(0, len(of), 50_000):
-                s = slice(low, low + 50_000)
+            for low in range(0, len(of), 10_000):
+                s = slice(low, low + 10_000)
                 base = at[of[s]] + q[s]
                 wide = base[:, None] + np.arange(_WIDE)
                 wide = np.where(np.arange(_WIDE) < (n[s] + LENGTH - 1)[:, None], data[np.minimum(wide, len(data) - 1)], 0).astype(np.uint8)
-                seed = np.take_along_axis(wide, x[s][:, None] + np.arange(SEED_LENGTH), 1)
-                g = mix(((seed.astype(_U) + _U(1)) * powers(SEED_LENGTH)).sum(axis=1, dtype=_U)) & _LOW48
-                rows = {"g": g.view(np.int64), "c": np.zeros(len(g), np.int64), "q": q[s], "x": x[s], "n": n[s], "row": row[of[s]], "doc": doc[of[s]]}
-                yield from _emit(_blocks(rows, buckets, wide))
+                rim, j, g, c = pair_ranks(wide, n[s])
+                held.append({"g": g, "c": c, "q": q[s][rim] + j, "x": np.zeros(len(g), np.int64), "n": np.ones(len(g), np.int64), "row": row[of[s]][rim], "doc": doc[of[s]][rim]})
+                size += len(g)
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
 def rank_pairs(batches):
     """One partition of buckets: strings whose pair of ranks occurs in a smaller document, as runs ``(row, q, n)``."""
-    parts = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
+    parts = [unpack(b)[0] for batch in batches for b in batch.column(1).to_pylist()]
     if not parts:
         return
-    rows = _joined([p[0] for p in parts])
-    wide = np.frombuffer(b"".join(p[1] for p in parts), np.uint8).reshape(-1, _WIDE)
+    rows = _joined(parts)
     del parts
-    half, inv = LENGTH // 2, inverses(_WIDE + 1)
-    found = []
-    for low in range(0, len(wide), 50_000):
-        part = wide[low: low + 50_000]
-        sums = np.zeros((len(part), _WIDE + 1), _U)
-        np.cumsum((part.astype(_U) + _U(1)) * powers(_WIDE), axis=1, out=sums[:, 1:])
-        n, x, g = (rows[k][low: low + 50_000] for k in ("n", "x", "g"))
-        for j in range(int(n.max(initial=0))):
-            pick = np.flatnonzero(n > j)
-            at = mix((sums[pick, j + half] - sums[pick, j]) * inv[j] + (g[pick].view(_U) << _U(8)) + (x[pick] - j).view(_U))
-            then = mix((sums[pick, j + LENGTH] - sums[pick, j + half]) * inv[j + half])
-            found.append((at, then, rows["doc"][low + pick], rows["row"][low + pick], rows["q"][low + pick] + j))
-    at, then, doc, row, q = (np.concatenate([f[i] for f in found]) for i in range(5))
-    order = np.lexsort((doc, then, at))
-    new, group = _groups(at[order], then[order])
-    doc = doc[order]
-    hit = order[doc > doc[np.flatnonzero(new)][group]]
+    done = rows["n"] & _COVERED > 0
+    order = np.flatnonzero(~done)
+    order = order[np.lexsort((rows["doc"][order], rows["c"][order], rows["g"][order]))]
+    new, group = _groups(rows["g"][order], rows["c"][order])
+    doc = rows["doc"][order]
+    hit = np.concatenate([np.flatnonzero(done), order[doc > doc[np.flatnonzero(new)][group]]])
     if not len(hit):
         return
-    hit = hit[np.lexsort((q[hit], row[hit]))]
-    row, q = row[hit], q[hit]
+    hit = hit[np.lexsort((rows["q"][hit], rows["row"][hit]))]
+    row, q = rows["row"][hit], rows["q"][hit]
     first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (q[1:] > q[:-1] + 1)]))
     last = np.append(first[1:], len(row)) - 1
     for s in range(0, len(first), 200_000):
@@ -369,13 +411,14 @@ def _finish(with_text: bool):
 
 def removed(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """``RESULT`` for ``docs(row, doc_id, text)``; ``kept`` holds the remaining bytes, or their hex digest."""
-    parts = shuffle_partitions(docs.sparkSession)
-    buckets = 8 * parts
+    least = shuffle_partitions(docs.sparkSession)
     texts = docs.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = texts.mapInArrow(_positions(buckets), "bucket int, block binary")
+    parts = max(least, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    blocks = texts.mapInArrow(_positions(8 * parts), "bucket int, block binary")
     marks = settle(blocks.repartition(parts, "bucket").mapInArrow(rank_seeds, "row long, q int, n short, x short, open boolean"))
     marked = texts.join(marks.groupBy("row").agg(F.collect_list(F.struct("q", "n", "x", "open")).alias("marks")), "row", "left")
-    rims = marked.where("marks is not null").select("row", "doc", "text", "marks").mapInArrow(_rims(buckets), "bucket int, block binary")
+    parts = max(least, -(-(marks.where("open").agg(F.sum("n")).first()[0] or 0) // PART_STRINGS))
+    rims = marked.where("marks is not null").select("row", "doc", "text", "marks").mapInArrow(_rims(8 * parts), "bucket int, block binary")
     runs = rims.repartition(parts, "bucket").mapInArrow(rank_pairs, "row long, q int, n int")
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("q", "n")).alias("runs"))
     none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)

@@ -83,3 +83,36 @@ def test_kept_text_and_spans(make_docs):
     docs = make_docs([(1, base), (2, "head " + base[50:200] + " tail")])
     by = {r.doc_id: r for r in sd.removed(sd.keyed(docs)).collect()}
     assert by[2].kept == b"head  tail" and [tuple(s) for s in by[2].spans] == [(5, 155)] and by[1].kept == base.encode()
+
+
+def _hot(n):
+    rng = random.Random(5)
+    own = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    rows = [(i, own(60) + "0123456789 LICENCE 0123456789" + own(60)) for i in range(n)]
+    return rows + [(n + i, rows[i][1][20 + i % 9: 120]) for i in range(0, n, 3)]
+
+
+def test_a_hot_seed_is_dealt_over_many_buckets():
+    """A string with other surroundings in every document: neither its positions nor its rims meet in one bucket."""
+    import pyarrow as pa
+    rows = _hot(300)
+    share = lambda many: max(many.values()) / sum(many.values())
+    seeds, rims = {}, {}
+    for b in sd._positions(64)(iter(_batches(rows))):
+        for bucket, blob in zip(*b.to_pydict().values()):
+            seeds[bucket] = seeds.get(bucket, 0) + len(sd.unpack(blob)[0]["g"])
+    assert share(seeds) < 0.1
+    kind = pa.list_(pa.struct([("q", pa.int32()), ("n", pa.int16()), ("x", pa.int16()), ("open", pa.bool_())]))
+    at = [[{"q": 40, "n": 20, "x": 20, "open": True}] for _ in rows[:300]]
+    batch = pa.RecordBatch.from_arrays([*_batches(rows[:300])[0].columns, pa.array(at, kind)], ["row", "doc", "text", "marks"])
+    for b in sd._rims(64)(iter([batch])):
+        for bucket, blob in zip(*b.to_pydict().values()):
+            rims[bucket] = rims.get(bucket, 0) + len(sd.unpack(blob)[0]["g"])
+    assert share(rims) < 0.1
+
+
+def test_a_hot_seed_changes_no_result(make_docs, spark, store, monkeypatch):
+    rows = _hot(300)
+    monkeypatch.setattr(sd, "PART_BYTES", 10_000)
+    monkeypatch.setattr(sd, "PART_STRINGS", 10_000)
+    assert rows_of(sd.query(spark, store(make_docs(rows)))) == brute(rows)
