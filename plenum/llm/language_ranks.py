@@ -135,7 +135,10 @@ def trainable(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, profile_size: int = PROFILE_SIZE) -> DataFrame:
-    """``docs``, with all its columns, without the rows whose text has no language; without profiles, rows with a letter stay."""
+    """``docs``, with all its columns, without the rows whose text is ``und``, that is, has no letter.
+
+    No text goes for being far out of place in every profile; without profiles, rows with a letter stay too.
+    """
     profiles, at = learn(trainable(docs)), docs.columns.index("text")
 
     def run(batches):
