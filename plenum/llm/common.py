@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plenum.skew import settle
 
-__all__ = ["documents", "fresh", "held_out", "settle", "shuffle_partitions", "sorted_ids", "utf8_column", "rounds_for"]
+__all__ = ["documents", "fresh", "held_out", "join_facts", "path_exists", "scratch_path", "settle", "shuffle_partitions", "sorted_ids", "utf8_column", "rounds_for"]
 
 # The six ASCII white-space bytes of the contracts: blank, tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -64,3 +64,33 @@ def utf8_column(column) -> tuple[bytes, np.ndarray]:
 def rounds_for(n: int) -> int:
     """How often a list of ``n`` must be halved until one is left."""
     return max(0, math.ceil(math.log2(max(1, n))))
+
+
+HOT_SHARE = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row per ``key``) where no key may be null and one key may hold most rows.
+
+    ``held(key, rows_held)`` says how many rows each key has. Keys with more than a thousandth of all rows are fewer
+    than a thousand, whatever the input: their facts are broadcast. The rest is joined by key.
+    """
+    total = held.agg(F.sum("rows_held")).first()[0] or 0
+    hot = settle(facts.join(held.where(F.col("rows_held") * HOT_SHARE > total).select(key), key))
+    spread = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key)
+    return spread.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names."""
+    from uuid import uuid4
+
+    from plenum.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
