@@ -8,9 +8,10 @@ piece of the SentencePiece vocabulary (B) end at one byte, the text is cut into
 between two sure cuts; inside it the tokens' decoded bytes are laid one after the other. A run whose tokens do not
 spell its bytes shows that the texts differ, and such a document has no tokens.
 
-*Chunks.* No token of either vocabulary crosses a single blank between two characters that are not white space (A's
-pattern and B's pieces are such; B is checked when it is loaded), so a text falls into chunks that are aligned once
-and kept in a bounded store of the worker. Groups end at chunk ends, hence a document's groups are its chunks'.
+*Chunks.* No token of either vocabulary reaches across the start of a single blank or line end that stands between
+two characters that are not white space (A's pattern and B's pieces are such; B is checked when it is loaded), so a
+text falls into chunks that are aligned once and kept in a bounded store of the worker. New chunks are encoded many
+at a time, as one text. Groups end at chunk ends, hence a document's groups are its chunks'.
 
 *Links.* The shorter token of a link is a suffix of the longer, so the vocabularies themselves bound the possible
 pairs (one for each suffix of an entry that the other vocabulary has, some hundred thousand). Pairs are numbered on
@@ -27,8 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ ORACLE = None  # tokenizers have no SQL
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
 STORE_CHUNKS, STORE_LINKS, STORE_LENGTH = 400_000, 4_000_000, 64
-SLICE, ENCODE = 2 << 20, 1 << 18  # characters taken at a time from texts, and to the libraries
+SLICE, ENCODE = 2 << 20, 1 << 14  # characters taken at a time from texts, and to the libraries
 
 
 def byte_signs() -> dict[str, int]:
@@ -71,9 +74,13 @@ class Pair:
             self.a_bytes[i] = bytes(sign[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         whole = [p for i, p in enumerate(pieces) if not self.b.IsByte(i)]
-        if any(MARK in p.lstrip(MARK) for p in whole):
-            raise ValueError("pieces that cross a blank cannot be aligned chunk by chunk")
+        if any(MARK in p.lstrip(MARK) or "\n" in p[1:] for p in whole):
+            raise ValueError("pieces that cross a blank or a line end cannot be aligned chunk by chunk")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        numbers = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.written = [np.array([n + sign for n in numbers], object) for sign in ",|;"]
+        self.digits = np.array([len(n) + 1 for n in numbers], np.int64)
         self.codes = self._links()
 
     def _links(self) -> np.ndarray:
@@ -90,40 +97,96 @@ class Pair:
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pairs[:, 0] * len(self.b_bytes) + pairs[:, 1]
 
-    def aligned(self, words: list[str]) -> list[tuple[list, list] | None]:
-        """Of chunks (a blank and a word): the groups of A's and of B's ids, or None."""
-        out, at = [], 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) < ENCODE):
-                size += len(words[end]) + 8
-                end += 1
-            lot = words[at:end]
-            for word, x, y in zip(lot, self.a.encode_batch([" " + w for w in lot], add_special_tokens=False),
-                                  self.b.encode(lot, return_type="proto", num_threads=1)):
-                out.append(self._groups(word, x, y.pieces))
-            at = end
-        return out
-
-    def _groups(self, word: str, x, pieces):
-        text = " " + word
+    def lot(self, keys: list[str]):
+        """Of chunks that stand alone: ``(A's tokens, B's tokens, groups)``, the groups in writing, the links of all.
+
+        The chunks are encoded as one text behind a chunk of its own; None where the tokens do not spell it.
+        """
+        data = [" a", *map(chunk_of, keys)]
+        text = "".join(data)
+        raw = text.encode("utf-8")
+        x, pieces = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        a, b = np.array(x.ids), np.array([p.id for p in pieces])
+        spans = np.fromiter(chain.from_iterable(x.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        ends = np.cumsum([len(d) for d in data])
+        if len(raw) != len(text):
+            spans, ends = byte_places(text)[spans], byte_places(text)[ends]
+        cuts = np.array([p.end for p in pieces]) + 1  # the blank of the first chunk is the one that the library adds
+        a_ends = refined_all(spans[:, 0], spans[:, 1], a, self.a_sizes)
+        b_ends = refined_all(np.concatenate([[0], cuts[:-1]]), cuts, b, self.b_sizes)
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        closes = np.searchsorted(both, ends)
+        if (b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw
+                or closes[-1] >= len(both) or not np.array_equal(both[closes], ends)):
+            return None
+        ga, gb = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        na, nb = np.bincount(ga, minlength=len(both)).cumsum(), np.bincount(gb, minlength=len(both)).cumsum()
+        last_a, last_b = na - 1, nb - 1
+        place_a, place_b = np.arange(len(a)) + np.concatenate([[0], nb[:-1]])[ga], np.arange(len(b)) + na[gb]
+        signs, sizes = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+        signs[place_a], signs[place_b] = self.written[0][a], self.written[0][b]
+        signs[place_a[last_a]], signs[place_b[last_b]] = self.written[1][a[last_a]], self.written[2][b[last_b]]
+        sizes[place_a], sizes[place_b] = self.digits[a], self.digits[b]
+        line, upto = "".join(signs.tolist()), sizes.cumsum()[(na + nb)[closes] - 1].tolist()
+        groups = [line[low: high - 1] for low, high in zip(upto, upto[1:])]
+        counts = np.diff(np.stack([na[closes], nb[closes], closes + 1], axis=1), axis=0)
+        return counts, groups, (a[last_a] * len(self.b_bytes) + b[last_b])[closes[0] + 1:]
+
+    def alone(self, key: str):
+        """``lot`` for one chunk of any kind, behind the same first chunk; no tokens where they do not spell it."""
+        text = " a" + chunk_of(key)
         data = text.encode("utf-8")
-        ids, spans = x.ids, x.offsets
-        if len(data) != len(text):
-            place = [0]
-            for c in text:
-                n = ord(c)
-                place.append(place[-1] + (1 if n < 0x80 else 2 if n < 0x800 else 3 if n < 0x10000 else 4))
-            spans = [(place[s], place[e]) for s, e in spans]
-        a_ends = refined(spans, [self.a_bytes[i] for i in ids], data)
-        b_ids = [p.id for p in pieces]
+        x, pieces = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        at = byte_places(text).tolist()
+        ids = [p.id for p in pieces]
         # the first piece also stands for the blank that the library adds; all other spans lie one byte further on
-        b_spans = [(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(pieces)]
-        b_ends = refined(b_spans, [self.b_bytes[i] for i in b_ids], data)
+        a_ends = refined([(at[s], at[e]) for s, e in x.offsets], [self.a_bytes[i] for i in x.ids], data)
+        b_ends = refined([(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(pieces)], [self.b_bytes[i] for i in ids], data)
         if a_ends is None or b_ends is None:
-            return None
+            return np.zeros((1, 3), np.int64), [""], np.zeros(0, np.int64)
         both = set(a_ends).intersection(b_ends)
-        return _cut(ids, a_ends, both), _cut(b_ids, b_ends, both)
+        a, b = _cut(x.ids, a_ends, both)[1:], _cut(ids, b_ends, both)[1:]
+        groups = ";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in zip(a, b))
+        return np.array([[sum(map(len, a)), sum(map(len, b)), len(a)]]), [groups], np.array([p[-1] * len(self.b_bytes) + q[-1] for p, q in zip(a, b)], np.int64)
+
+    def aligned(self, keys: list[str]):
+        """``lot`` for chunks of all kinds, lot by lot; yields ``(keys, counts, groups, links)``."""
+        plain = [k for k in keys if not k[0].isspace() and not k[-1].isspace() or k[0] == "\n" and k[1:2] and not k[1].isspace() and not k[-1].isspace()]
+        at = 0
+        while at < len(plain):
+            end, size = at, 0
+            while end < len(plain) and (end == at or size + len(plain[end]) < ENCODE):
+                size += len(plain[end]) + 1
+                end += 1
+            found = self.lot(plain[at:end])
+            for part, some in [(plain[at:end], found)] if found else [([k], self.alone(k)) for k in plain[at:end]]:
+                yield part, *some
+            at = end
+        stand = set(plain)
+        for k in keys:
+            if k not in stand:
+                yield [k], *self.alone(k)
+
+
+def chunk_of(key: str) -> str:
+    """The chunk that a key names: its own white space and text, or a blank and the text."""
+    return key if key[0] in " \n" else " " + key
+
+
+def byte_places(text: str) -> np.ndarray:
+    """Where each character starts in UTF-8, and the end."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
+
+
+def refined_all(starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """End bytes of many tokens: sure cuts as the spans give them, between them the decoded bytes one by one."""
+    before = np.concatenate([[0], np.maximum.accumulate(ends)[:-1]])
+    sure = (ends > before) & np.concatenate([starts[1:] >= ends[:-1], [True]])
+    upto = np.cumsum(sizes[ids])
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(ids)), -1))
+    base = np.where(last >= 0, ends[last] - upto[last], 0)
+    return np.where(sure, ends, base + upto)
 
 
 def refined(spans: list[tuple[int, int]], tokens: list[bytes], data: bytes) -> list[int] | None:
@@ -155,17 +218,19 @@ def _cut(ids: list[int], ends: list[int], both: set[int]) -> list[list[int]]:
     return out[:-1]
 
 
-def words_of(text: str) -> list[str]:
-    """The chunks of a text without their first blank: cut at single blanks between characters that are no white space."""
-    parts = text.split(" ")
-    out = [parts[0]]
-    for part in parts[1:]:
-        before = out[-1]
-        if before and part and not before[-1].isspace() and not part[0].isspace():
-            out.append(part)
-        else:
-            out[-1] = f"{before} {part}"
-    return out
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+
+
+def keys_of(text: str) -> list[str]:
+    """Keys of the chunks of a text: cut before single blanks and line ends between characters that are no white space.
+
+    A chunk that starts with its only blank goes by its text without it, any other by itself.
+    """
+    parts = text.split()
+    between = text.count(" ") + text.count("\n")
+    if len(parts) == between + 1 and sum(map(len, parts)) + between == len(text):
+        return text.replace("\n", " \n").split(" ") if "\n" in text else parts
+    return [c[1:] if c[0] == " " and c[1:2] and not c[1].isspace() else c for c in CUT.split(" " + text)]
 
 
 class Store:
@@ -180,23 +245,21 @@ class Store:
         self.groups: list[str] = []
         self.sizes, self.links, self.starts = array("i"), array("i"), array("q", [0])
 
-    def add(self, words: list[str]) -> dict[str, int]:
+    def add(self, keys: list[str]) -> dict[str, int]:
         """Aligns new chunks; the long ones are numbered for this time only."""
-        once, n_b = {}, len(self.pair.b_bytes)
-        codes: list[int] = []
-        for word, found in zip(words, self.pair.aligned(words)):
-            (self.number if len(word) <= STORE_LENGTH else once)[word] = len(self.groups)
-            a, b = found or ((), ())
-            self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in zip(a, b)))
-            self.sizes.extend((sum(map(len, a)), sum(map(len, b)), len(a)))
-            codes += [x[-1] * n_b + y[-1] for x, y in zip(a, b)]
-            self.starts.append(self.starts[-1] + len(a))
-        self.links.extend(np.searchsorted(self.pair.codes, np.array(codes, np.int64)).tolist())
+        once: dict[str, int] = {}
+        for part, counts, groups, codes in self.pair.aligned(keys):
+            for i, key in enumerate(part, len(self.groups)):
+                (self.number if len(key) <= STORE_LENGTH else once)[key] = i
+            self.groups += groups
+            self.sizes.frombytes(counts.astype(np.int32).tobytes())
+            self.links.frombytes(np.searchsorted(self.pair.codes, codes).astype(np.int32).tobytes())
+            self.starts.frombytes((self.starts[-1] + np.cumsum(counts[:, 2])).astype(np.int64).tobytes())
         return once
 
     def documents(self, texts: list[str | None]):
         """Of every text: tokens of A, of B, groups, the groups in writing; and (text, link, times) of all."""
-        split = [words_of(t) if t else [] for t in texts]
+        split = [keys_of(t) if t else [] for t in texts]
         known = self.number
         once = self.add([w for w in set().union(*split) if w not in known])
         if once:

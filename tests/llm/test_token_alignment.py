@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from plenum.llm import token_alignment as ta
@@ -101,6 +102,19 @@ def test_refined_lays_decoded_bytes_between_sure_cuts():
     assert ta.refined([(0, 1), (1, 1), (1, 3), (3, 6)], [b" ", b"\xc3", b"\xa9", "中".encode()], data) == [1, 2, 3, 6]
     assert ta.refined([(0, 1), (1, 3), (3, 6)], [b" ", b"e!", "中".encode()], data) is None
     assert ta.refined([], [], b"") == []
+    sizes = np.array([1, 1, 1, 3])
+    for starts, ends in (([0, 1, 1, 3], [1, 3, 3, 6]), ([0, 1, 1, 3], [1, 1, 3, 6])):
+        assert ta.refined_all(np.array(starts), np.array(ends), np.arange(4), sizes).tolist() == [1, 2, 3, 6]
+
+
+def test_keys_name_their_chunks_and_lots_equal_single_chunks(pair):
+    for text in filter(None, texts()):
+        assert "".join(map(ta.chunk_of, ta.keys_of(text))) == " " + text
+    keys = sorted({k for t in filter(None, texts()) for k in ta.keys_of(t)})
+    for part, counts, groups, links in pair.aligned(keys):
+        each = [pair.alone(k) for k in part]
+        assert groups == [g for _, e, _ in each for g in e] and links.tolist() == [c for _, _, e in each for c in e.tolist()]
+        assert counts.tolist() == [c for e, _, _ in each for c in e.tolist()]
 
 
 def test_groups_in_writing_and_empty_table(spark, make_docs, store, pair):
