@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_neighbours", "piece_viterbi", "phrase_automata", "super_minhash", "temperature_mix", "mpeg_audio", "suffix_doubling", "contextual_pii", "language_ranks", "exact_blocks", "token_counts", "token_alignment")
+MODULES = ("quality_neighbours", "piece_viterbi", "phrase_automata", "super_minhash", "temperature_mix", "mpeg_audio", "suffix_doubling", "contextual_pii", "language_ranks", "exact_blocks", "token_counts", "token_alignment", "collocations")
 
 
 def load_all() -> tuple[dict, dict]:
