@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.skew import settle
+from plenum.skew import settle, small
 
-__all__ = ["documents", "fresh", "held_out", "join_facts", "path_exists", "scratch_path", "settle", "shuffle_partitions", "sorted_ids", "utf8_column", "rounds_for"]
+__all__ = ["documents", "fresh", "held_out", "join_facts", "path_exists", "scratch_path", "settle", "shuffle_partitions", "sorted_ids", "utf8_column", "rounds_for", "with_rows"]
 
 # The six ASCII white-space bytes of the contracts: blank, tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -28,6 +29,33 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a file scan, at most filtered and with its columns computed: then its rows have places."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long ``name`` that tells its rows apart and is the same in every scan, however files are split.
+
+    The number is a row's place: its file, in the order of paths, and its index there. What is not a scan of Parquet
+    files is written once and numbered as written; numbers given in passing would change from scan to scan.
+    """
+    spark = df.sparkSession
+    place = lambda some: some.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    path, index = fresh(df, "file_path"), fresh(df, "row_index")
+    try:
+        placed = place(df if _scans_files(df) else settle(df))
+    except AnalysisException:  # files of a kind whose rows have no index
+        placed = place(settle(df))
+    files = sorted(row[0] for row in placed.select(path).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), f"{name} long, {path} string")
+    joined = placed.join(small(numbers), path)
+    return joined.select(*df.columns, F.shiftleft(F.col(name), 36).bitwiseOR(F.col(index)).alias(name))
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold no model may learn from; a null id is in the learning part of no model and held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import documents, settle
+from plenum.llm.common import documents, settle, with_rows
 
 NAME = "op8_contextual_pii"
 ORACLE = None  # the scored graph is iterative; the seeds are tested against plain matching
@@ -150,6 +150,6 @@ def by_document(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = with_rows(documents(spark, sf_dir).select("doc_id", "text"), "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = by_document(docs)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")

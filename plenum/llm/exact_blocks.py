@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import SPACE_BYTES, documents, fresh, rounds_for, settle, sorted_ids
+from plenum.llm.common import SPACE_BYTES, documents, fresh, rounds_for, settle, sorted_ids, with_rows
 
 NAME = "op10_exact_block_naming"
 BLOCK_BYTES = 4096
@@ -141,15 +141,16 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The two columns that are read, and a number for each row of a stored table."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """The two columns that are read, and the number of each row."""
+    return with_rows(docs.select("doc_id", "text"), "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, with all its columns, without the rows whose content another row keeps."""
     row = fresh(docs, "row_no")
-    kept = groups(keyed(docs), block_bytes).where("kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    rows = with_rows(docs, row)
+    kept = groups(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes)
+    return rows.join(kept.where("kept").select(F.col("row").alias(row)), row, "left_semi").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import documents, settle, shuffle_partitions, utf8_column
+from plenum.llm.common import documents, settle, shuffle_partitions, utf8_column, with_rows
 from plenum.llm.shingles import FACTOR, mix, words
 from plenum.llm.suffix_doubling import _LOW48, LAST, _emit, _groups, _joined, inverses, pack, powers, unpack
 
@@ -310,7 +310,7 @@ def removed(docs: DataFrame, with_text: bool = True, **sizes) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_rows(docs.select("doc_id", "text"), "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import documents, fresh, settle, utf8_column
+from plenum.llm.common import documents, fresh, settle, utf8_column, with_rows
 from plenum.llm.components import components
 from plenum.llm.shingles import FACTOR, mix, shingle_sets
 
@@ -186,15 +186,19 @@ def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> Data
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    return with_rows(docs.select("doc_id", "text"), "row").select("row", F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def groups(docs: DataFrame, words: int = STAGE_WORDS, percent: int = STAGE_PERCENT) -> DataFrame:
-    """``(row, doc_id, n_shingles, component_id, kept, stays)`` for every row of ``docs``.
+    """``grouped`` for every row of ``docs(doc_id, text)``."""
+    return grouped(keyed(docs), words, percent)
+
+
+def grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(row, doc_id, n_shingles, component_id, kept, stays)`` for every one of ``rows(row, text, doc_id)``.
 
     ``kept`` says that the id is the component's name; ``stays`` marks exactly one row of a component.
     """
-    rows = keyed(docs)
     known = settle(sketch(rows, words))
     classes = settle(known.where("n > 0").groupBy("n", "print_a", "print_b").agg(
         F.min("row").alias("leader"), F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")))
@@ -213,8 +217,9 @@ def groups(docs: DataFrame, words: int = STAGE_WORDS, percent: int = STAGE_PERCE
 def drop_near_copies(docs: DataFrame, words: int = STAGE_WORDS, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs``, with all its columns, with one row of each component (the one with the smallest id)."""
     row = fresh(docs, "row_no")
-    stay = groups(docs, words, percent).where("stays").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").drop(row)
+    rows = with_rows(docs, row)
+    stay = grouped(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")), words, percent)
+    return rows.join(stay.where("stays").select(F.col("row").alias(row)), row, "left_semi").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import documents, fresh, settle
+from plenum.llm.common import documents, fresh, settle, with_rows
 
 NAME = "op5_temperature_mix"
 ORACLE = None  # the exponent is the fixed point of a search
@@ -48,10 +48,15 @@ def token_cost(text) -> F.Column:
     return (words + 1).cast("long")
 
 
-def costs(docs: DataFrame) -> DataFrame:
-    """Written table ``(row, doc_id, source, tokens)``: all that mixing needs to know of a document."""
+def costs(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Written table ``(row, doc_id, source, tokens)``: all that mixing needs to know of a document.
+
+    ``row`` names the column that numbers the rows; without it they get numbers that hold for this table.
+    """
+    if row is None:
+        row, docs = "row", with_rows(docs.select("doc_id", "source", "text"), "row")
     return settle(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), token_cost(F.col("text").cast("string")).alias("tokens")))
 
 
@@ -127,17 +132,18 @@ def draw(rows: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS, see
     return even.unionByName(cut)
 
 
-def mix(docs: DataFrame, budget: int | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, budget: int | None = None, row: str | None = None, **options) -> DataFrame:
     """How often each row of ``docs`` is drawn."""
-    rows = costs(docs)
+    rows = costs(docs, row)
     return draw(rows, weights(rows, budget, **options))
 
 
 def resample(docs: DataFrame, budget: int | None = None, **options) -> DataFrame:
     """``docs``, with its columns, every row as often as the mixture draws it."""
     row, n = fresh(docs, "row_no"), fresh(docs, "copies_no")
-    times = mix(docs, budget, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(times, row)
+    rows = with_rows(docs, row)
+    times = mix(rows, budget, row, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
+    joined = rows.join(times, row)
     return joined.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
