@@ -38,45 +38,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm.common import documents, settle, shuffle_partitions, utf8_column, with_rows
-from plenum.llm.shingles import FACTOR, mix, words
-from plenum.llm.suffix_doubling import _LOW48, LAST, _emit, _groups, _joined, inverses, pack, powers, unpack
+from plenum.llm.shingles import _SPACE, FACTOR, mix
+from plenum.llm.suffix_doubling import _LOW48, LAST, _emit, _groups, _joined, inverses, pack, powers, prefix_sums, unpack
 
 NAME = "op3_phrase_automata"
 ORACLE = None  # windows of all words of all documents are too many for SQL
 WINDOW, PHRASE = 20, 8
 SHARD_PHRASES, TASK_DOCUMENTS = 20_000, 20_000
-FLUSH = 500_000
+FLUSH, LOT = 500_000, 1 << 20
 _U = np.uint64
+_LENGTHS = _U(0xD6E8FEB86659FD93)
+_PLACES = _U((1 << 31) - 1)  # no text has more words
 _SECOND = _U(0xA4093822299F31D0)  # sets the second phrase hash apart from the first
 
 
-def chosen(h: np.ndarray) -> dict[str, np.ndarray]:
-    """Choices of one document with word hashes ``h``: two phrase hashes, its first word, first window, how many windows."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and which text it is in."""
+    raw = b"\n".join(texts)
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    border = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = border[::2], border[1::2]
+    sums = prefix_sums(data)
+    h = mix((sums[end] - sums[start]) * inverses(len(data) + 1)[start] + (end - start).astype(_U) * _LENGTHS)
+    return h, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+
+
+def _rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` numbers."""
+    sums = np.zeros(len(h) + 1, _U)
+    np.cumsum(h * powers(len(h)), out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * inverses(len(h) - size + 1))
+
+
+def chosen(h: np.ndarray, of: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Choices of documents with word hashes ``h``: document, two phrase hashes, the phrase's first word, first window, how many windows.
+
+    ``of`` says which document each word is in; words and windows are counted from its first word.
+    """
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return {"g": np.zeros(0, _U), "c": np.zeros(0, _U), "at": np.zeros(0, np.int64), "q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
-    g = np.zeros(len(h) - PHRASE + 1, _U)
-    for k in range(PHRASE):
-        g = mix(g * FACTOR + h[k: len(h) - PHRASE + 1 + k])
-    width = WINDOW - PHRASE + 1
-    views = np.lib.stride_tricks.sliding_window_view(g, width)
-    at = views.argmin(axis=1) + np.arange(n)  # argmin takes the leftmost
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    c = np.zeros(len(first), _U)
-    for k in range(PHRASE):
-        c = mix(c * FACTOR + mix(h[at[first] + k] ^ _SECOND))
-    return {"g": g[at[first]] & _LOW48, "c": c & _LOW48, "at": at[first], "q": first, "n": np.diff(np.append(first, n))}
+        return {k: np.zeros(0, _U if k in "gc" else np.int64) for k in ("of", "g", "c", "at", "q", "n")}
+    of = np.zeros(len(h), np.int64) if of is None else of
+    g = _rolling(mix(h), PHRASE)
+    # hash above, place below: the least of a window is its leftmost least hash
+    least = (g & ~_PLACES) | np.arange(len(g), dtype=_U)
+    width, have = WINDOW - PHRASE + 1, 1
+    while have * 2 <= width:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    at = (np.minimum(least[:n], least[width - have: width - have + n]) & _PLACES).astype(np.int64)
+    inside = of[:n] == of[WINDOW - 1:]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:n] != of[: n - 1])])
+    first = np.flatnonzero(inside & (new | np.concatenate([[True], ~inside[:-1]])))
+    last = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+    c = _rolling(mix(h ^ _SECOND), PHRASE)[at[first]]
+    begin = np.searchsorted(of, of[first])
+    return {"of": of[first], "g": g[at[first]] & _LOW48, "c": c & _LOW48, "at": at[first] - begin, "q": first - begin, "n": last - first + 1}
 
 
 def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of every window."""
-    out = []
-    n = len(h) - WINDOW + 1
-    for salt in (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344)):
-        sums = np.zeros(len(h) + 1, _U)
-        np.cumsum(mix(h ^ salt) * powers(len(h)), out=sums[1:])
-        out.append(mix((sums[WINDOW:] - sums[:-WINDOW]) * inverses(n)))
-    return out[0], out[1]
+    return _rolling(mix(h ^ _U(0x243F6A8885A308D3)), WINDOW), _rolling(mix(h ^ _U(0x13198A2E03707344)), WINDOW)
 
 
 def _choices(buckets: int):
@@ -95,18 +120,20 @@ def _choices(buckets: int):
 
         for batch in batches:
             raw, at = utf8_column(batch.column(2))
-            for i, (row, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                text = raw[at[i]: at[i + 1]]
-                found = chosen(words(text, np.array([0, len(text)]))[0])
+            row, doc = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(2))
+            low = 0
+            while low < len(row):
+                high = min(len(row), max(low + 1, int(np.searchsorted(at, at[low] + LOT))))
+                found = chosen(*word_hashes([raw[at[i]: at[i + 1]] for i in range(low, high)]))
                 n = len(found["g"])
-                if n:
-                    full = lambda v: np.full(n, v, np.int64)
-                    held.append({"g": found["g"].view(np.int64), "c": found["c"].view(np.int64), "q": found["at"], "x": full(0), "n": full(0), "row": full(row), "doc": full(doc)})
-                    size += n
+                of = found["of"] + low
+                held.append({"g": found["g"].view(np.int64), "c": found["c"].view(np.int64), "q": found["at"], "x": np.zeros(n, np.int64), "n": np.zeros(n, np.int64), "row": row[of], "doc": doc[of]})
+                size += n
+                low = high
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
-        if held:
+        if size:
             yield from flush()
 
     return run
@@ -182,13 +209,17 @@ class _Shard:
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
-        text, found = plain(raw)
+        line = b" %b " % b" ".join(raw.split())
+        text = line.decode("utf-8", "replace")
         hits = np.array([end - size + 1 for end, size in self.automaton.iter(text)], np.int64) if len(self.automaton) else np.zeros(0, np.int64)
         if not len(hits):
             return
-        begins = np.cumsum([0, *[len(w.decode("utf-8", "replace")) + 1 for w in found[:-1]]])  # where the blank before each word stands
+        signs = np.frombuffer(line, np.uint8)
+        begins = np.flatnonzero(signs == 32)[:-1]  # the blank before each word, as the count of characters before it
+        if len(text) != len(line):
+            begins = begins - np.cumsum(signs & 0xC0 == 0x80)[begins]
         places = np.searchsorted(begins, hits)
-        h = words(raw, np.array([0, len(raw)]))[0]
+        h = word_hashes([raw])[0]
         own = chosen(h)
         pick = np.flatnonzero(np.isin(own["at"], places))
         if not len(pick):

@@ -59,7 +59,7 @@ def test_kept_text(make_docs):
 def test_phrases_that_share_the_first_hash_are_all_kept(make_docs, monkeypatch):
     """Every phrase gets the same first hash; what a worker runs is sent along with it."""
     real = pa.chosen
-    monkeypatch.setattr(pa, "chosen", lambda h: (found := real(h)) | {"g": found["g"] * 0})
+    monkeypatch.setattr(pa, "chosen", lambda *h: (found := real(*h)) | {"g": found["g"] * 0})
     one, two = ([f"{k}{i}" for i in range(40)] for k in "ab")
     rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join([*one[5:35], "x", *two[:30]])), (4, " ".join(two[10:]))]
     got = pa.removed(pa.keyed(make_docs(rows)), with_text=False).select("doc_id", "n_words", "n_removed", "kept")
