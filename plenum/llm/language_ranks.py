@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ ORACLE = None  # ranking n-grams of whole texts has no practical SQL
 PROFILE_SIZE = 300
 MAX_TRAIN_ROWS = 20_000
 UNKNOWN = "und"
+SLICE = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -69,13 +71,41 @@ def ranked(codes: np.ndarray, size: int) -> np.ndarray:
     return gram[np.lexsort((gram, -n))[:size]]
 
 
+def text_slices(batch, column: int, limit: int = SLICE):
+    """Row ranges of a batch whose texts have about ``limit`` bytes, so that only so much is unpacked at a time."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(lengths, dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + limit, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several lists of n-grams as one list."""
+    gram, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(gram, kind="stable")
+    gram, n = gram[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _count_by_language(batches):
+    """Counts per batch and language; n-grams are counted text slice by text slice, never gathered uncounted."""
     for batch in batches:
         of: dict[str, list] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            of.setdefault(lang, []).append(ngrams(text))
-        for lang, parts in of.items():
-            gram, n = counted(np.concatenate(parts))
+        for part in text_slices(batch, 1):
+            codes: dict[str, list] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                codes.setdefault(lang, []).append(ngrams(text))
+            for lang, each in codes.items():
+                held = of.setdefault(lang, [])
+                held.append(counted(np.concatenate(each)))
+                if len(held) > 8:
+                    held[:] = [_added(held)]
+        for lang, held in of.items():
+            gram, n = _added(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
@@ -119,13 +149,16 @@ class Profiles:
 
 def predict(rows: DataFrame, profiles: dict[str, list[int]], profile_size: int = PROFILE_SIZE) -> DataFrame:
     """``rows(key, text)`` to ``(key, lang_pred, score)``; ``key`` is any long column placed first."""
+    shared = rows.sparkSession.sparkContext.broadcast(profiles)
+
     def run(batches):
-        model = Profiles(profiles, profile_size)
+        model = Profiles(shared.value, profile_size)
         for batch in batches:
-            found = [model.nearest(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                ["key", "lang_pred", "score"])
+            for part in text_slices(batch, 1):
+                found = [model.nearest(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                    ["key", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "key long, lang_pred string, score double")
 
@@ -139,13 +172,13 @@ def keep_known(docs: DataFrame, profile_size: int = PROFILE_SIZE) -> DataFrame:
 
     No text goes for being far out of place in every profile; without profiles, rows with a letter stay too.
     """
-    profiles, at = learn(trainable(docs)), docs.columns.index("text")
+    shared, at = docs.sparkSession.sparkContext.broadcast(learn(trainable(docs))), docs.columns.index("text")
 
     def run(batches):
-        model = Profiles(profiles, profile_size)
+        model = Profiles(shared.value, profile_size)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            yield batch.filter(pa.array([model.nearest(t)[0] != UNKNOWN if model.names else len(ngrams(t)) > 0 for t in texts], pa.bool_()))
+            for part in text_slices(batch, at):
+                yield part.filter(pa.array([model.nearest(t)[0] != UNKNOWN if model.names else len(ngrams(t)) > 0 for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
