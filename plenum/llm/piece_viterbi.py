@@ -40,8 +40,8 @@ ORACLE = None  # a segmentation search has no SQL
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20  # a larger file is no piece vocabulary
 MARK = "▁"
-STORE_WORDS, STORE_LENGTH = 250_000, 64
-CHUNK = 8 << 20
+STORE_WORDS, STORE_LENGTH = 200_000, 64
+CHUNK = 4 << 20
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -290,14 +290,13 @@ def encoded(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     def run(batches):
         vocabulary, store = loaded(shared.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and size < CHUNK:
-                    size += len(texts[high] or "")
+            while low < batch.num_rows:
+                part, high, size = [], low, 0
+                while high < batch.num_rows and size < CHUNK:
+                    part.append(batch.column(at)[high].as_py())
+                    size += len(part[-1] or "")
                     high += 1
-                part = texts[low:high]
                 ids = encode_texts(vocabulary, part, store)
                 decoded = [None if x is None else vocabulary.decode(array("i", x)) for x in ids]
                 found = [_lists(ids), pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string()),
