@@ -6,6 +6,8 @@ behind a size check; block tables are never joined to each other.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,15 @@ from plenum.functions import codec
 from plenum.functions import keys as K
 from plenum.functions import values as V
 from plenum.operators.roles import role_for_style_name
-from plenum.skew import few, small
+from plenum.skew import few, numbered, settle, small
 
 # Fixed values
 RANK = {"error": 0, "warn": 1, "info": 2}
 STRUCTURE_WARN = ["structure.section_order", "structure.boilerplate_missing", "structure.section_missing"]
+TRIGRAM_BITS = 14
+WORDING_BLOCK = 2000
 NEAR_MISS = 0.80
+TRIGRAM_BITS, WORDING_BLOCK = 14, 2000  # slots of the trigram table, and wordings it holds at a time
 FINDING = ["doc", "code", "severity", "rule_id", "expected", "actual", "n", "idx"]
 
 
@@ -218,21 +223,77 @@ def boilerplate_checks(docs: DataFrame, blocks: DataFrame, wording: DataFrame, n
     return finding(bad.withColumn("code", code), F.col("code"), structure_severity(F.col("code")), F.concat(F.lit("/skeleton/slots/"), F.col("slot").cast("string")), F.col("wanted"), F.coalesce("m.text", "near"), idx=F.col("m.idx"))
 
 
+def _reach(longer):
+    """Most edits two texts may differ by: fewer than a fifth of the longer one."""
+    return (longer - 1) // 5
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """Slots of the distinct trigrams of a text; trigrams that share a slot only make a text look nearer."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < 3:
+        return np.zeros(0, np.int64)
+    code = (points[:-2] * np.uint64(0x9E3779B1) + points[1:-1]) * np.uint64(0x85EBCA77) + points[2:]
+    code = code * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique((code >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64))
+
+
+class _Wordings:
+    """Trigrams of a block of wordings, shortest first, as a table (slot, wording)."""
+
+    def __init__(self, texts: list[str]):
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        self.numbers, self.length = np.array(order), np.array([len(texts[i]) for i in order])
+        self.table, self.many = np.zeros((1 << TRIGRAM_BITS, len(texts)), np.uint8), np.zeros(len(texts), np.int64)
+        for column, i in enumerate(order):
+            slots = _trigrams(texts[i])
+            self.table[slots, column], self.many[column] = 1, len(slots)
+
+    def candidates(self, text: str) -> np.ndarray:
+        """Wordings that an edit distance within reach does not rule out: one edit spoils three trigrams at most."""
+        n = len(text)
+        low, high = np.searchsorted(self.length, [n - _reach(n), n + (n + 3) // 4], side="left")
+        length = self.length[low:high]
+        reach = _reach(np.maximum(length, n))
+        shared = self.table[_trigrams(text), low:high].sum(axis=0, dtype=np.int64)
+        return self.numbers[low:high][(np.abs(length - n) <= reach) & (self.many[low:high] - shared <= 3 * reach)]
+
+
+def _candidates(texts: DataFrame, wordings: list[tuple[int, str]]) -> DataFrame:
+    """``(bk, number)``: which of a block of wordings each text may be near."""
+    shared = texts.sparkSession.sparkContext.broadcast(wordings)
+
+    def run(batches):
+        block, numbers = _Wordings([w for _, w in shared.value]), np.array([i for i, _ in shared.value])
+        for batch in batches:
+            found = [(text, block.candidates(text)) for text in batch.column(0).to_pylist()]
+            found = [(text, numbers[c]) for text, c in found if len(c)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, c in found for _ in c], pa.string()), pa.array([int(i) for _, c in found for i in c], pa.int64())], ["bk", "number"])
+
+    return texts.mapInArrow(run, "bk string, number long")
+
+
 def near_misses(blocks: DataFrame, wording: DataFrame) -> DataFrame:
     """The closest block above .80 for each wording, ``1 - edit distance / longer length``.
 
-    Two texts this close differ by less than a quarter in length, so blocks meet wording through
-    length classes of ratio 1.25 (a wording covers three of them): an equi-join that loses no pair.
+    An exact bounded similarity search: distinct texts are counted against an inverted table of the wordings'
+    trigrams, which rules out what cannot be within reach (and nothing else), and only the rest is measured, by an edit
+    distance that stops at the bound. Wordings are taken in blocks of ``WORDING_BLOCK``, however many there are.
     """
-    klass = lambda n: F.floor(F.log(n) / F.log(F.lit(1.25)))
-    n = F.length("wk")
-    w = wording.select("slot", K.match_key(F.col("text")).alias("wk")).where("wk <> ''").withColumn(
-        "size", F.explode(F.sequence(klass(F.greatest(F.floor(n * 0.8), F.lit(1))), klass(F.ceil(n * 1.25)))))
-    b = blocks.withColumn("bk", K.match_key(F.col("text"))).where("bk <> ''").select("doc", "idx", "bk", klass(F.length("bk")).alias("size"))
+    keyed = wording.select("slot", K.match_key(F.col("text")).alias("wk")).where("wk <> ''")
+    distinct = numbered(keyed.select("wk").distinct(), [], ["wk"], "number")
+    distinct = settle(distinct.withColumn("block", F.floor((F.col("number") - 1) / F.lit(WORDING_BLOCK)).cast("int")))
+    known = settle(blocks.withColumn("bk", K.match_key(F.col("text"))).where("bk <> ''").select("doc", "idx", "bk"))
+    texts = settle(known.select("bk").distinct())
+    found = None
+    for block in range(int(distinct.agg(F.max("block")).first()[0] or 0) + 1):
+        part = [(r.number, r.wk) for r in distinct.where(F.col("block") == block).select("number", "wk").toLocalIterator()]
+        near = _candidates(texts, part)
+        found = near if found is None else found.unionByName(near)
     longer = F.greatest(F.length("bk"), F.length("wk"))
-    pairs = b.join(small(w), "size").where(F.abs(F.length("bk") - F.length("wk")) < 0.2 * longer).where("bk <> wk")
-    best = pairs.withColumn("ratio", F.round(1 - F.levenshtein("bk", "wk") / longer, 9)).where(F.col("ratio") > NEAR_MISS).groupBy("doc", "slot").agg(
-        F.min(F.struct((-F.col("ratio")).alias("r"), "bk", "idx")).alias("m"))
+    measured = found.join(small(distinct.drop("block")), "number").where("bk <> wk").withColumn("edits", F.expr("levenshtein(bk, wk, cast((greatest(length(bk), length(wk)) - 1) div 5 as int))")).where("edits >= 0")
+    ratios = settle(measured.select("bk", "wk", F.round(1 - F.col("edits") / longer, 9).alias("ratio")).where(F.col("ratio") > NEAR_MISS))
+    best = known.join(small(ratios), "bk").join(small(keyed), "wk").groupBy("doc", "slot").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "bk", "idx")).alias("m"))
     return best.select("doc", "slot", F.col("m.idx").alias("idx"), F.col("m.bk").alias("text"), (-F.col("m.r")).alias("ratio"))
 
 

@@ -266,3 +266,40 @@ def test_written_intermediates_can_be_released(spark):
     assert skew.release(spark) >= 1
     import os
     assert not os.path.exists(kept)
+
+
+def test_near_misses_match_plain_edit_distance(spark, monkeypatch):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    monkeypatch.setattr(LI, "WORDING_BLOCK", 4)  # several blocks
+    made = ["".join(rng.choices("abé ß😀", k=n)).strip() for n in (1, 2, 3, 5, 9, 20, 21, 40, 60, 90)]
+
+    def spoil(t):
+        out = list(t)
+        for _ in range(rng.randint(0, len(t) // 4 + 1)):
+            i = rng.randrange(len(out) + 1)
+            out[i:i + rng.randint(0, 1)] = rng.choices("abxyé", k=rng.randint(0, 1))
+        return "".join(out)
+
+    texts = [t for t in (spoil(w) for w in made for _ in range(12)) if t] + ["", "unlike anything"]
+    blocks = spark.createDataFrame([(f"d{i % 7}", i, t) for i, t in enumerate(texts)], "doc string, idx int, text string")
+    wording = spark.createDataFrame(list(enumerate(made)), "slot int, text string")
+    key = lambda t: " ".join(t.split())
+    want = {}
+    for i, t in enumerate(texts):
+        for slot, w in enumerate(made):
+            a, b = key(t), key(w)
+            if a and b and a != b and (r := round(1 - edits(a, b) / max(len(a), len(b)), 9)) > .8:
+                want[f"d{i % 7}", slot] = max(want.get((f"d{i % 7}", slot), 0), r)
+    got = {(r.doc, r.slot): r.ratio for r in LI.near_misses(blocks, wording).collect()}
+    assert got == want and len(got) > 10
+    assert LI.near_misses(blocks.limit(0), wording).count() == 0 and LI.near_misses(blocks, wording.limit(0)).count() == 0
