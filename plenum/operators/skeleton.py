@@ -2,15 +2,19 @@
 
 Alignment is keyed, not pairwise: a token most documents share anchors a column, and what lies
 between two anchors is matched by kind and order inside the gap. Sections of more than ``MAX_GAP``
-blocks in any document are free content, which also bounds every per-(document, section) window.
+blocks in any document are free content: their rows stay, without a column, and a warning names them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import keys as K
+from plenum.skew import settle
 
 # Fixed values
 MAX_GAP = 300
@@ -99,32 +103,92 @@ def wide_sections(rows: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     return size.groupBy("corpus", "section").agg(F.max("n").alias("widest")).where(F.col("widest") > max_gap)
 
 
-def align(rows: DataFrame, totals: DataFrame, max_gap: int | None = MAX_GAP) -> DataFrame:
-    """I4: adds ``col`` to every item of the sections that can be aligned (all of them without ``max_gap``).
-
-    Gaps lie between anchors that nearly all documents share: a block that some documents lack does not
-    move what follows it into another gap.
-
-    ``rows``: corpus, section (string), doc, pos, kind, key, is_heading; ``totals``: corpus, n_docs.
-    """
-    narrow = rows if max_gap is None else rows.join(wide_sections(rows, max_gap).select("corpus", "section"), ["corpus", "section"], "left_anti")
+def _anchors(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows with ``occ``, ``rn`` (place in the document), ``anchor`` and ``backbone`` where their token anchors a column."""
     in_key = Window.partitionBy("corpus", "section", "doc", "kind", "key").orderBy("pos")
-    counted = narrow.withColumn("occ", F.row_number().over(in_key))
+    counted = rows.withColumn("occ", F.row_number().over(in_key))
     share = counted.groupBy("corpus", "section", "kind", "key", "occ", "is_heading").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
         share.join(totals, "corpus")
         .where((F.col("n") >= 2) & (F.col("is_heading") | (F.col("n") >= ANCHOR_SHARE * F.col("n_docs"))))
         .select("corpus", "section", "kind", "key", "occ", F.concat_ws("|", F.lit("k"), "kind", "key", F.col("occ").cast("string")).alias("anchor"),
                 (F.col("n") >= BACKBONE_SHARE * F.col("n_docs")).alias("backbone")))
-    marked = counted.join(anchors, ["corpus", "section", "kind", "key", "occ"], "left")
     flow = Window.partitionBy("corpus", "section", "doc").orderBy("pos")
-    gap = F.coalesce(F.last(F.when(F.col("backbone"), F.col("anchor")), ignorenulls=True).over(flow.rowsBetween(Window.unboundedPreceding, -1)), F.lit("start"))
-    placed = marked.withColumn("gap", gap)
+    return counted.join(anchors, ["corpus", "section", "kind", "key", "occ"], "left").withColumn("rn", F.row_number().over(flow))
+
+
+def _gap(flag, value):
+    """Of the rows before this one in its document, the last flagged one's value."""
+    before = Window.partitionBy("corpus", "section", "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(flag, value), ignorenulls=True).over(before)
+
+
+def column_order(marked: DataFrame) -> DataFrame:
+    """The order of a section's anchors, ``(corpus, section, anchor, ord)``.
+
+    Backbone anchors stand by their mean place in the documents, the others behind the backbone anchor they follow in
+    most documents, by their mean distance from it.
+    """
+    by = ["corpus", "section", "anchor"]
+    live = marked.where("anchor is not null")
+    spine = live.where("backbone").groupBy(*by).agg(F.round(F.sum("rn") / F.count(F.lit(1)), 6).alias("at"))
+    behind = marked.withColumn("gap", _gap(F.col("backbone"), F.col("anchor"))).withColumn("off", F.col("rn") - F.coalesce(_gap(F.col("backbone"), F.col("rn")), F.lit(0)))
+    behind = behind.where("anchor is not null and not backbone").groupBy(*by, "gap").agg(F.count(F.lit(1)).alias("n"), F.sum("off").alias("off"))
+    usual = behind.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.coalesce("gap", F.lit("")).alias("gap"), "off")).alias("m")).select(
+        *by, F.col("m.gap").alias("gap"), F.round(-F.col("m.off") / F.col("m.n"), 6).alias("off"))
+    placed = usual.join(spine.withColumnRenamed("anchor", "gap"), ["corpus", "section", "gap"], "left").select(*by, F.coalesce("at", F.lit(0.0)).alias("at"), "gap", "off")
+    every = placed.unionByName(spine.select(*by, "at", F.col("anchor").alias("gap"), F.lit(0.0).alias("off")))
+    return every.select(*by, F.row_number().over(Window.partitionBy("corpus", "section").orderBy("at", "gap", "off", "anchor")).alias("ord"))
+
+
+def _rising(batches):
+    """Of each document's anchors in order, the places of a longest sequence that keeps to the columns' order (by patience)."""
+    for batch in batches:
+        out: list[tuple] = []
+        for corpus, section, doc, line in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            tails, piles, before = [], [], []
+            for i, x in enumerate(line):
+                at = bisect_left(tails, x["ord"])
+                tails[at:at + 1], piles[at:at + 1] = [x["ord"]], [i]
+                before.append(piles[at - 1] if at else None)
+            i = piles[-1]
+            while i is not None:
+                out.append((corpus, section, doc, line[i]["pos"]))
+                i = before[i]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["corpus", "section", "doc", "pos"])
+
+
+def align(rows: DataFrame, totals: DataFrame, max_gap: int | None = MAX_GAP) -> DataFrame:
+    """I4: adds ``col`` to every item; it is null for the items of sections too wide to align (free content).
+
+    A token that most documents share anchors a column. The anchors of a section have one order, and a document
+    keeps to the longest run of its anchors that follows it: anchors that cross others, as those of swapped blocks do,
+    are matched like any other block, by kind and order inside their gap. Gaps lie between anchors that nearly all
+    documents share: a block that some documents lack does not move what follows it into another gap.
+
+    ``rows``: corpus, section (string), doc, pos, kind, key, is_heading; ``totals``: corpus, n_docs.
+    """
+    narrow, free = rows, None
+    if max_gap is not None:
+        wide = wide_sections(rows, max_gap).select("corpus", "section")
+        narrow, free = rows.join(wide, ["corpus", "section"], "left_anti"), rows.join(wide, ["corpus", "section"], "left_semi")
+    marked = settle(_anchors(narrow, totals))
+    # one document's anchors: from one source row, and of one section
+    lines = marked.where("anchor is not null").join(column_order(marked), ["corpus", "section", "anchor"]).groupBy("corpus", "section", "doc").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "ord"))).alias("line"))
+    kept = lines.mapInArrow(_rising, "corpus string, section string, doc string, pos bigint").withColumn("in_order", F.lit(True))
+    held = marked.join(kept, ["corpus", "section", "doc", "pos"], "left").withColumn("anchor", F.when(F.col("in_order"), F.col("anchor")))
+    placed = held.withColumn("gap", F.coalesce(_gap(F.col("backbone") & F.col("anchor").isNotNull(), F.col("anchor")), F.lit("start")))
     loose = Window.partitionBy("corpus", "section", "doc", "gap", "kind", F.col("anchor").isNull()).orderBy("pos")
-    return (
-        placed.withColumn("ord", F.row_number().over(loose))
-        .withColumn("col", F.coalesce("anchor", F.concat_ws("|", F.lit("g"), "gap", "kind", F.col("ord").cast("string"))))
-        .drop("occ", "anchor", "backbone", "gap", "ord"))
+    found = placed.withColumn("nth", F.row_number().over(loose)).select(
+        *rows.columns, F.coalesce("anchor", F.concat_ws("|", F.lit("g"), "gap", "kind", F.col("nth").cast("string"))).alias("col"))
+    return found if free is None else found.unionByName(free.withColumn("col", F.lit(None).cast("string")))
+
+
+def skeleton_warnings(rows: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """What the alignment leaves free, as warnings ``(corpus, section, widest, message)``."""
+    return wide_sections(rows, max_gap).select("corpus", "section", "widest", F.concat(
+        F.lit("section "), "section", F.lit(" holds "), F.col("widest").cast("string"), F.lit(" blocks in one document and stays free content")).alias("message"))
 
 
 def two_tier(rows: DataFrame, totals: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
@@ -144,9 +208,9 @@ def two_tier(rows: DataFrame, totals: DataFrame, max_gap: int = MAX_GAP) -> Data
 
 
 def column_stats(aligned: DataFrame, totals: DataFrame) -> DataFrame:
-    """Occupancy, modal token, token agreement, place of each column."""
+    """Occupancy, modal token, token agreement, place of each column; free content has no column."""
     by = ["corpus", "section", "col"]
-    tokens = aligned.groupBy(*by, "kind", "key", "is_heading").agg(
+    tokens = aligned.where("col is not null").groupBy(*by, "kind", "key", "is_heading").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
     top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("kind"), F.col("key"))).alias("m")
     stats = tokens.groupBy(*by).agg(top, F.sum("n").alias("members"), F.sum("pos").alias("pos"), F.bool_or("is_heading").alias("is_heading"))

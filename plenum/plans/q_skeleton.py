@@ -58,16 +58,34 @@ tot AS (SELECT 'forms' AS corpus, count(*) AS n_docs FROM customer)"""
 def align_sql(src: str, out: str, max_gap: int = 300) -> str:
     """CTEs adding ``col`` to ``src`` (corpus, section, doc, pos, kind, key, is_heading, ...)."""
     o = out
+    doc = "PARTITION BY corpus, section, doc ORDER BY pos"
+    last = lambda what, flag: f"last_value(CASE WHEN {flag} THEN {what} END IGNORE NULLS) OVER ({doc} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    same = "x.corpus = y.corpus AND x.section = y.section AND x.doc = y.doc"
     return f"""
 {o}_w AS (SELECT DISTINCT corpus, section FROM (SELECT corpus, section, doc, count(*) AS n FROM {src} GROUP BY ALL) WHERE n > {max_gap}),
-{o}_c AS (SELECT *, row_number() OVER (PARTITION BY corpus, section, doc, kind, key ORDER BY pos) AS occ FROM {src}
+{o}_c AS (SELECT *, row_number() OVER (PARTITION BY corpus, section, doc, kind, key ORDER BY pos) AS occ, row_number() OVER ({doc}) AS rn FROM {src}
   WHERE (corpus, section) NOT IN (SELECT (corpus, section) FROM {o}_w)),
 {o}_a AS (SELECT corpus, section, kind, key, occ, concat_ws('|', 'k', kind, key, occ) AS anchor, n >= 0.9 * n_docs AS backbone FROM
   (SELECT corpus, section, kind, key, occ, is_heading, count(*) AS n FROM {o}_c GROUP BY ALL) JOIN tot USING (corpus) WHERE n >= 2 AND (is_heading OR n >= 0.5 * n_docs)),
 {o}_m AS (SELECT * FROM {o}_c LEFT JOIN {o}_a USING (corpus, section, kind, key, occ)),
-{o}_g AS (SELECT *, coalesce(last_value(CASE WHEN backbone THEN anchor END IGNORE NULLS) OVER (PARTITION BY corpus, section, doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS gap FROM {o}_m),
+{o}_s AS (SELECT corpus, section, anchor, round(sum(rn) / count(*), 6) AS at_ FROM {o}_m WHERE backbone GROUP BY ALL),
+{o}_b AS (SELECT corpus, section, anchor, coalesce(gap, '') AS gap, count(*) AS n, round(sum(rn - coalesce(from_, 0)) / count(*), 6) AS off_ FROM
+  (SELECT *, {last('anchor', 'backbone')} AS gap, {last('rn', 'backbone')} AS from_ FROM {o}_m) WHERE anchor IS NOT NULL AND NOT backbone GROUP BY ALL),
+{o}_u AS (SELECT * FROM {o}_b QUALIFY row_number() OVER (PARTITION BY corpus, section, anchor ORDER BY n DESC, gap) = 1),
+{o}_n AS (SELECT corpus, section, anchor, row_number() OVER (PARTITION BY corpus, section ORDER BY at_, gap, off_, anchor) AS no FROM (
+  SELECT corpus, section, anchor, at_, anchor AS gap, 0.0 AS off_ FROM {o}_s
+  UNION ALL SELECT u.corpus, u.section, u.anchor, coalesce(s.at_, 0.0), u.gap, u.off_ FROM {o}_u u LEFT JOIN {o}_s s ON s.corpus = u.corpus AND s.section = u.section AND s.anchor = u.gap)),
+{o}_i AS (SELECT corpus, section, doc, pos, no FROM {o}_m JOIN {o}_n USING (corpus, section, anchor)),
+{o}_l AS (SELECT *, 1 AS len FROM {o}_i UNION SELECT y.*, x.len + 1 FROM {o}_l x JOIN {o}_i y ON {same} AND y.pos > x.pos AND y.no > x.no),
+{o}_z AS (SELECT corpus, section, doc, pos, no, max(len) AS len FROM {o}_l GROUP BY ALL),
+{o}_k AS (SELECT * FROM (SELECT * FROM {o}_z QUALIFY row_number() OVER (PARTITION BY corpus, section, doc ORDER BY len DESC, pos DESC) = 1)
+  UNION ALL SELECT y.* FROM {o}_k x JOIN {o}_z y ON {same} AND y.len = x.len - 1 AND y.pos < x.pos AND y.no < x.no
+    AND NOT EXISTS (SELECT 1 FROM {o}_z v WHERE v.corpus = x.corpus AND v.section = x.section AND v.doc = x.doc AND v.len = x.len - 1 AND v.pos < x.pos AND v.no < x.no AND v.pos > y.pos)),
+{o}_h AS (SELECT m.* REPLACE (CASE WHEN k.pos IS NOT NULL THEN anchor END AS anchor) FROM {o}_m m LEFT JOIN {o}_k k ON k.corpus = m.corpus AND k.section = m.section AND k.doc = m.doc AND k.pos = m.pos),
+{o}_g AS (SELECT *, coalesce({last('anchor', 'backbone AND anchor IS NOT NULL')}, 'start') AS gap FROM {o}_h),
 {o}_o AS (SELECT *, row_number() OVER (PARTITION BY corpus, section, doc, gap, kind, anchor IS NULL ORDER BY pos) AS ord FROM {o}_g),
-{o} AS (SELECT * EXCLUDE (occ, anchor, backbone, gap, ord), coalesce(anchor, concat_ws('|', 'g', gap, kind, ord)) AS col FROM {o}_o)"""
+{o} AS (SELECT * EXCLUDE (occ, rn, anchor, backbone, gap, ord), coalesce(anchor, concat_ws('|', 'g', gap, kind, ord)) AS col FROM {o}_o
+  UNION ALL SELECT *, NULL FROM {src} WHERE (corpus, section) IN (SELECT (corpus, section) FROM {o}_w))"""
 
 
 TIER_SQL = f"""{FORM_SQL},
@@ -138,7 +156,7 @@ named AS (SELECT *, CASE WHEN base IS NOT NULL AND nth > 1 THEN base || '_' || n
 
 def aligned(spark, sf):
     # every later step reads the alignment several times
-    return settle(SK.two_tier(settle(form_rows(spark, sf)), form_totals(spark, sf)))
+    return settle(SK.two_tier(settle(form_rows(spark, sf)), form_totals(spark, sf)).where("col is not null"))
 
 
 def slots(spark, sf):
@@ -189,14 +207,14 @@ def i3(spark, sf):
     return SK.medoid_scores(turns(spark, sf)).select("doc", F.round("score", 6).alias("score"))
 
 
-@query("i4_align", f"WITH {_TURN_SQL},{align_sql('tn', 'al')} SELECT doc, pos, kind, col FROM al")
+@query("i4_align", f"WITH RECURSIVE {_TURN_SQL},{align_sql('tn', 'al')} SELECT doc, pos, kind, col FROM al")
 def i4(spark, sf):
     t = turns(spark, sf)
     totals = t.select("corpus", "doc").distinct().groupBy("corpus").agg(F.count("*").alias("n_docs"))
     return SK.align(t, totals).select("doc", "pos", "kind", "col")
 
 
-@query("i5_two_tier", f"WITH {TIER_SQL} SELECT doc, CAST(pos AS INT) AS pos, section, col FROM al")
+@query("i5_two_tier", f"WITH RECURSIVE {TIER_SQL} SELECT doc, CAST(pos AS INT) AS pos, section, col FROM al")
 def i5(spark, sf):
     return aligned(spark, sf).select("doc", "pos", "section", "col")
 
@@ -207,37 +225,37 @@ def i6(spark, sf):
     return SK.wide_sections(rows, 30)
 
 
-@query("i7_column_stats", f"WITH {STATS_SQL} SELECT section, col, members, round(occupancy, 6) AS occupancy, modal_kind, modal_key, round(agreement, 6) AS agreement, place, is_heading AND occupancy >= 0.75 AS required FROM st")
+@query("i7_column_stats", f"WITH RECURSIVE {STATS_SQL} SELECT section, col, members, round(occupancy, 6) AS occupancy, modal_kind, modal_key, round(agreement, 6) AS agreement, place, is_heading AND occupancy >= 0.75 AS required FROM st")
 def i7(spark, sf):
     st = SK.column_stats(aligned(spark, sf), form_totals(spark, sf))
     return st.select("section", "col", "members", F.round("occupancy", 6).alias("occupancy"), "modal_kind", "modal_key", F.round("agreement", 6).alias("agreement"),
                      "place", (F.col("is_heading") & (F.col("occupancy") >= SK.PRESENT)).alias("required"))
 
 
-@query("i8_split_variable_part", f"WITH {TIER_SQL},{split_sql('al', B, 'spl')} SELECT section, col, doc, prefix, suffix, middle, is_field FROM spl")
+@query("i8_split_variable_part", f"WITH RECURSIVE {TIER_SQL},{split_sql('al', B, 'spl')} SELECT section, col, doc, prefix, suffix, middle, is_field FROM spl")
 def i8(spark, sf):
     a = aligned(spark, sf).select(*SL.BY, "doc", "text")
     return SK.split_variable_part(a, SL.BY).drop("corpus")
 
 
-@query("j1_slot_kinds", f"WITH {SLOT_SQL} SELECT section, col, kind, role, optional, round(occupancy, 6) AS occupancy, round(text_agreement, 6) AS agreement, framed, prefix, suffix, review AS needs_review FROM s1")
+@query("j1_slot_kinds", f"WITH RECURSIVE {SLOT_SQL} SELECT section, col, kind, role, optional, round(occupancy, 6) AS occupancy, round(text_agreement, 6) AS agreement, framed, prefix, suffix, review AS needs_review FROM s1")
 def j1(spark, sf):
     s = SL.classify_columns(aligned(spark, sf), form_totals(spark, sf))
     return s.select("section", "col", "kind", "role", "optional", F.round("occupancy", 6).alias("occupancy"), F.round("agreement", 6).alias("agreement"), "framed", "prefix", "suffix", "needs_review")
 
 
-@query("j2_enforced", f"WITH {SLOT_SQL} SELECT section, col, enforced FROM s1")
+@query("j2_enforced", f"WITH RECURSIVE {SLOT_SQL} SELECT section, col, enforced FROM s1")
 def j2(spark, sf):
     return SL.classify_columns(aligned(spark, sf), form_totals(spark, sf)).select("section", "col", "enforced")
 
 
-@query("j3_names", f"WITH {NAME_SQL} SELECT section, col, base AS name, CAST(name_confidence AS DOUBLE) AS confidence, name_source AS source FROM named WHERE kind = 'placeholder'")
+@query("j3_names", f"WITH RECURSIVE {NAME_SQL} SELECT section, col, base AS name, CAST(name_confidence AS DOUBLE) AS confidence, name_source AS source FROM named WHERE kind = 'placeholder'")
 def j3(spark, sf):
     _, n, _ = named(spark, sf)
     return n.where("kind = 'placeholder'").select("section", "col", F.regexp_replace("name", "_[0-9]+$", "").alias("n"), "name", F.col("name_confidence").alias("confidence"), F.col("name_source").alias("source")).drop("n")
 
 
-@query("j4_unique_names", f"WITH {NAME_SQL} SELECT idx, name, needs_review FROM named WHERE kind = 'placeholder'")
+@query("j4_unique_names", f"WITH RECURSIVE {NAME_SQL} SELECT idx, name, needs_review FROM named WHERE kind = 'placeholder'")
 def j4(spark, sf):
     return named(spark, sf)[1].where("kind = 'placeholder'").select(F.col("index").cast("bigint").alias("idx"), "name", "needs_review")
 
@@ -288,7 +306,7 @@ def j6(spark, sf):
 _DONOR = "'7'"
 
 
-@query("j7_exemplar_location", f"WITH {NAME_SQL} SELECT sl.section, sl.col, CAST(a.pos AS INT) AS donor_index, coalesce(va.value, {collapse_sql('a.text')}) AS donor_value FROM sl LEFT JOIN (SELECT * FROM al WHERE doc = {_DONOR}) a USING ({B}) LEFT JOIN (SELECT * FROM va WHERE doc = {_DONOR}) va USING ({B})")
+@query("j7_exemplar_location", f"WITH RECURSIVE {NAME_SQL} SELECT sl.section, sl.col, CAST(a.pos AS INT) AS donor_index, coalesce(va.value, {collapse_sql('a.text')}) AS donor_value FROM sl LEFT JOIN (SELECT * FROM al WHERE doc = {_DONOR}) a USING ({B}) LEFT JOIN (SELECT * FROM va WHERE doc = {_DONOR}) va USING ({B})")
 def j7(spark, sf):
     a, s, v = slots(spark, sf)
     return SL.locate_in_donor(s, a, v, donors(spark, sf)).select("section", "col", "donor_index", "donor_value")
@@ -298,7 +316,7 @@ def donors(spark, sf):
     return table(spark, sf, "customer").where("c_custkey = 7").select(F.lit("forms").alias("corpus"), F.col("c_custkey").cast("string").alias("doc"))
 
 
-@query("j8_specs", f"""WITH {NAME_SQL}, {_PAT_SQL.replace('FROM uv', 'FROM uvx').replace('dv AS', "uvx AS (SELECT section || chr(0) || col AS col, value FROM va), dv AS", 1)},
+@query("j8_specs", f"""WITH RECURSIVE {NAME_SQL}, {_PAT_SQL.replace('FROM uv', 'FROM uvx').replace('dv AS', "uvx AS (SELECT section || chr(0) || col AS col, value FROM va), dv AS", 1)},
 fl AS (SELECT col, false AS dates, bool_and(TRY_CAST(replace(value, ',', '') AS DOUBLE) IS NOT NULL) AS numbers, bool_and(regexp_matches(value, '^[A-Z][A-Za-z.''-]*(?:\\s+[A-Z][A-Za-z.''-]*){{1,3}}$')) AS people,
   count(*) AS n_distinct, sum(n) AS n_values FROM dv GROUP BY col),
 ty AS (SELECT *, CASE WHEN numbers THEN 'number' WHEN n_distinct <= 5 AND n_values >= 2 * n_distinct AND n_values >= 4 THEN 'enum' WHEN people THEN 'person' WHEN pattern IS NOT NULL THEN 'identifier' ELSE 'text' END AS value_type FROM fl LEFT JOIN pt USING (col))
@@ -309,14 +327,14 @@ def j8(spark, sf):
     return SL.specs(n, SL.infer_types(v, SL.BY)).select("name", "type", "required", "pattern", "needs_review", "template")
 
 
-@query("j8_unconfident_required", f"WITH {NAME_SQL} SELECT 'unconfident' AS list, name AS item FROM named WHERE kind = 'placeholder' AND NOT optional AND name_confidence < 0.7 UNION ALL SELECT 'required section', modal_text FROM sl WHERE is_heading AND NOT optional")
+@query("j8_unconfident_required", f"WITH RECURSIVE {NAME_SQL} SELECT 'unconfident' AS list, name AS item FROM named WHERE kind = 'placeholder' AND NOT optional AND name_confidence < 0.7 UNION ALL SELECT 'required section', modal_text FROM sl WHERE is_heading AND NOT optional")
 def j8_lists(spark, sf):
     _, n, _ = named(spark, sf)
     return SL.unconfident(n).select(F.lit("unconfident").alias("list"), F.col("name").alias("item")).unionByName(
         SL.required_sections(n).select(F.lit("required section").alias("list"), F.col("modal_text").alias("item")))
 
 
-@query("j10_prompts", f"""WITH {NAME_SQL}, lo AS (SELECT n.name, CAST(a.pos AS INT) AS donor_index, a.text AS block, va.value FROM named n JOIN (SELECT * FROM al WHERE doc = {_DONOR}) a USING ({B}) JOIN (SELECT * FROM va WHERE doc = {_DONOR}) va USING ({B}) WHERE n.kind = 'placeholder')
+@query("j10_prompts", f"""WITH RECURSIVE {NAME_SQL}, lo AS (SELECT n.name, CAST(a.pos AS INT) AS donor_index, a.text AS block, va.value FROM named n JOIN (SELECT * FROM al WHERE doc = {_DONOR}) a USING ({B}) JOIN (SELECT * FROM va WHERE doc = {_DONOR}) va USING ({B}) WHERE n.kind = 'placeholder')
 SELECT name, donor_index, CASE WHEN (length(block) - length(replace(block, value, ''))) // length(value) > 1 THEN 'value not unique in its block' END AS reason,
  CASE WHEN (length(block) - length(replace(block, value, ''))) // length(value) = 1 THEN replace(block, value, list_aggregate(list_transform(string_split(name, '_'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ')) END AS text FROM lo""")
 def j10(spark, sf):

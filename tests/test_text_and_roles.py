@@ -127,7 +127,60 @@ def test_split_frames(spark):
 def test_long_section_is_free(spark):
     rows = spark.createDataFrame([("all", "", "d", i, "body", str(i), False) for i in range(5)], "corpus string, section string, doc string, pos int, kind string, key string, is_heading boolean")
     totals = spark.createDataFrame([("all", 1)], "corpus string, n_docs bigint")
-    assert SK.align(rows, totals, max_gap=4).count() == 0 and SK.align(rows, totals, max_gap=5).count() == 5
+    free = SK.align(rows, totals, max_gap=4)
+    assert free.count() == 5 and free.where("col is null").count() == 5 and SK.align(rows, totals, max_gap=5).where("col is not null").count() == 5
+    assert SK.column_stats(free, totals).count() == 0
+    assert [(r.widest, "free content" in r.message) for r in SK.skeleton_warnings(rows, 4).collect()] == [(5, True)]
+
+
+def _section(spark, texts):
+    rows = [("c", "s", d, i, "body", t.lower(), False) for d, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "corpus string, section string, doc string, pos int, kind string, key string, is_heading boolean")
+    return df, spark.createDataFrame([("c", len(texts))], "corpus string, n_docs bigint")
+
+
+def test_one_wide_document_leaves_no_row_out(spark):
+    df, totals = _section(spark, {"a": [f"line {i}" for i in range(301)], "b": ["line 0", "line 1"], "c": ["line 1"]})
+    other = df.where("doc <> 'a'").withColumn("section", F.lit("t"))
+    out = SK.align(df.unionByName(other), totals)
+    assert out.count() == 307 and out.where("col is null").count() == 304 and out.where("section = 't' and col is not null").count() == 3
+
+
+def test_swapped_blocks_do_not_share_columns_across(spark):
+    straight = ["Start", "One", "Two", "Three", "End"]
+    df, totals = _section(spark, {"a": straight, "b": straight, "c": straight, "d": ["Start", "Three", "One", "Two", "End"]})
+    col = {(r.doc, r.key): r.col for r in SK.align(df, totals).collect()}
+    assert all(col["a", k] == col["d", k] for k in ("start", "one", "two", "end"))
+    assert col["a", "three"] == col["c", "three"] != col["d", "three"]
+    order = [col["a", k.lower()] for k in straight]
+    assert len(set(order)) == 5 and col["d", "three"] not in order
+
+
+def test_columns_of_a_document_never_cross(spark):
+    import random
+    rng = random.Random(6)
+    blocks = [f"b{i}" for i in range(12)]
+    texts = {}
+    for d in range(20):
+        line = [b for b in blocks if rng.random() < .9]
+        for _ in range(rng.randint(0, 3)):
+            i, j = rng.randrange(len(line)), rng.randrange(len(line))
+            line[i], line[j] = line[j], line[i]
+        texts[f"d{d}"] = line
+    df, totals = _section(spark, texts)
+    marked = SK._anchors(df, totals)
+    order = {r.anchor: r.ord for r in SK.column_order(marked).collect()}
+    by = {}
+    for r in SK.align(df, totals).orderBy("doc", "pos").collect():
+        if r.col in order:
+            by.setdefault(r.doc, []).append(order[r.col])
+    assert len(by) == 20 and all(x == sorted(set(x)) for x in by.values())
+    for d, line in texts.items():  # and no longer run in order exists
+        ranks = [order.get(f"k|body|{b}|1") for b in line]
+        run = []
+        for i, x in enumerate(ranks):
+            run.append(0 if x is None else 1 + max([run[j] for j in range(i) if ranks[j] is not None and ranks[j] < x], default=0))
+        assert len(by[d]) == max(run)
 
 
 def test_marker_grammar(spark):
