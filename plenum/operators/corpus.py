@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators.votes import percent
-from plenum.skew import settle
+from plenum.skew import numbered, settle
 
 # Fixed values
 OUTLIER_AGREEMENT = 0.60
@@ -15,8 +19,8 @@ MIN_CORPUS = 3
 SPLIT_MIN_DOCS = 4
 W_AGREEMENT, W_STYLES, W_COMPLETENESS, W_DIRECT = 0.45, 0.30, 0.25, 0.60
 
-# Distances are taken between distinct vote vectors. The number of pairs is quadratic in them, so
-# a corpus beyond this bound is refused instead of being sampled.
+# Distances are taken between distinct vote vectors, in tiles of so many on a side.
+TILE = 250
 
 
 def agreement_by_document(doc_votes: DataFrame, voted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -57,21 +61,81 @@ def vote_vectors(doc_votes: DataFrame) -> DataFrame:
     )
 
 
-def distances(vectors: DataFrame) -> DataFrame:
+def distances(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """H3: share of shared pointers on which two vectors differ (1.0 when nothing is shared).
 
-    The result is the upper triangle of the matrix over distinct vectors, however many there are.
+    For requested ``pairs(corpus, a, b)`` the entries of both sides meet by pointer. Without them the result is the
+    upper triangle of the matrix over distinct vectors, computed tile by tile as products of incidence matrices.
     """
-    v = vectors
-    a = v.select("corpus", F.col("vector").alias("a"), F.col("profile").alias("pa"))
-    b = v.select("corpus", F.col("vector").alias("b"), F.col("profile").alias("pb"))
-    shared = F.array_intersect(F.map_keys("pa"), F.map_keys("pb"))
-    differing = F.size(F.filter(F.col("shared"), lambda k: F.col("pa")[k] != F.col("pb")[k]))
-    return (
-        a.join(b, "corpus").where("a < b").withColumn("shared", shared)
-        .select("corpus", "a", "b",
-                F.when(F.size("shared") == 0, F.lit(1.0)).otherwise(differing / F.size("shared")).alias("distance"))
-    )
+    if pairs is None:
+        return _blocks(_tiled(vectors)).mapInPandas(_upper, "corpus string, a string, b string, distance double")
+    entry = vectors.select("corpus", "vector", F.explode("profile").alias("pointer", "bkey"))
+    left = pairs.join(entry.select("corpus", F.col("vector").alias("a"), "pointer", F.col("bkey").alias("ka")), ["corpus", "a"])
+    met = left.join(entry.select("corpus", F.col("vector").alias("b"), "pointer", F.col("bkey").alias("kb")), ["corpus", "b", "pointer"])
+    counts = met.groupBy("corpus", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(F.col("ka") != F.col("kb"), 1)).alias("differing"))
+    return pairs.join(counts, ["corpus", "a", "b"], "left").select("corpus", "a", "b", F.coalesce(F.col("differing") / F.col("shared"), F.lit(1.0)).alias("distance"))
+
+
+def _tiled(vectors: DataFrame) -> DataFrame:
+    """Written vectors with their ``tile``: alike ones side by side, so that a tile's bounds are tight; none above ``TILE``."""
+    order = F.array_join(F.transform(F.array_sort(F.map_entries("profile")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    placed = numbered(vectors.withColumn("_order", order), ["corpus"], ["_order", "vector"], "_pos")
+    return settle(placed.withColumn("tile", F.floor((F.col("_pos") - 1) / F.lit(TILE)).cast("int")).drop("_order", "_pos"))
+
+
+def _matrix(a, b) -> np.ndarray:
+    """Distances between two lists of profiles, from the products of their incidence matrices."""
+    def product(marks):
+        """How many marks each profile of ``a`` shares with each of ``b``."""
+        sides = [[marks(p) for p in side] for side in (a, b)]
+        number = {k: i for i, k in enumerate(dict.fromkeys(k for side in sides for p in side for k in p))}
+        left, right = (np.zeros((len(side), len(number)), np.float32) for side in sides)
+        for out, side in ((left, sides[0]), (right, sides[1])):
+            for i, p in enumerate(side):
+                out[i, [number[k] for k in p]] = 1
+        return (left @ right.T).astype(np.float64)
+
+    shared, equal = product(lambda p: list(p)), product(lambda p: list(p.items()))
+    return np.where(shared > 0, (shared - equal) / np.maximum(shared, 1), 1.0)
+
+
+_BLOCK = "corpus string, tile_a int, tile_b int, names_a array<string>, names_b array<string>, members_a array<long>, members_b array<long>, block binary"
+
+
+def _block(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One tile of the distance matrix, in both orientations where it is not on the diagonal."""
+    corpus, tile_a, tile_b = key
+    side = [pdf[pdf.tile == t].sort_values("vector") for t in (tile_a, tile_b)]
+    d = _matrix(list(side[0].profile), list(side[1].profile))
+    if tile_a == tile_b:
+        np.fill_diagonal(d, 0.0)
+    rows = [(corpus, tile_a, tile_b, *(list(s.vector) for s in side), *(list(s.members) for s in side), d.tobytes())]
+    if tile_a != tile_b:
+        rows.append((corpus, tile_b, tile_a, *(list(s.vector) for s in side[::-1]), *(list(s.members) for s in side[::-1]), np.ascontiguousarray(d.T).tobytes()))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _blocks(tiled: DataFrame) -> DataFrame:
+    """All blocks of the distance matrices, dealt out by (corpus, tile, tile): no key holds a corpus."""
+    tiles = tiled.groupBy("corpus").agg((F.max("tile") + 1).alias("tiles"))
+    met = tiled.join(tiles, "corpus").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = met.select("corpus", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "tile", "vector", "members", "profile")
+    return dealt.groupBy("corpus", "tile_a", "tile_b").applyInPandas(_block, _BLOCK)
+
+
+def _square(row) -> np.ndarray:
+    return np.frombuffer(row.block, np.float64).reshape(len(row.names_a), len(row.names_b))
+
+
+def _upper(frames):
+    for pdf in frames:
+        for row in pdf.itertuples():
+            if row.tile_a > row.tile_b:
+                continue
+            a, b = np.array(row.names_a, object), np.array(row.names_b, object)
+            i, j = np.triu_indices(len(a), 1) if row.tile_a == row.tile_b else (x.ravel() for x in np.indices((len(a), len(b))))
+            low, high = np.where(a[i] < b[j], a[i], b[j]), np.where(a[i] < b[j], b[j], a[i])
+            yield pd.DataFrame({"corpus": row.corpus, "a": low, "b": high, "distance": _square(row)[i, j]})
 
 
 def split(vectors: DataFrame) -> DataFrame:
@@ -79,63 +143,118 @@ def split(vectors: DataFrame) -> DataFrame:
     return best_medoids(vectors).where("is_split").drop("is_split")
 
 
+def _bounds(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the vectors of one tile add at least to the cost of any pair of medoids from two tiles."""
+    pdf = pdf.sort_values("tile_a")
+    least, weight = np.stack(pdf.least.to_numpy()), np.array(pdf.members_b.iloc[0], np.float64)
+    i, j = np.triu_indices(len(pdf))
+    tiles = pdf.tile_a.to_numpy()
+    return pd.DataFrame({"corpus": key[0], "tile_a": tiles[i], "tile_b": tiles[j], "part": [float(np.minimum(least[x], least[y]) @ weight) for x, y in zip(i, j)]})
+
+
+def _least(frames):
+    for pdf in frames:
+        yield pd.DataFrame({"corpus": pdf.corpus, "tile_a": pdf.tile_a, "tile_c": pdf.tile_b, "members_b": pdf.members_b, "least": [_square(r).min(axis=0) for r in pdf.itertuples()]})
+
+
+def _costs(frames):
+    """Rows sorted by pair of tiles: adds up the cost of every pair of medoids block by block, keeps the best of each pair of tiles."""
+    key, cost, names = None, None, None
+
+    def best():
+        a, b = names
+        i, j = np.triu_indices(len(a), 1) if key[1] == key[2] else (x.ravel() for x in np.indices((len(a), len(b))))
+        if not len(i):  # a lone vector
+            return
+        of = np.round(cost[i, j], 9)
+        i, j, low = i[of == of.min()], j[of == of.min()], of.min()
+        pair = min((min(a[x], b[y]), max(a[x], b[y])) for x, y in zip(i, j))
+        yield pd.DataFrame({"corpus": [key[0]], "cost": [low], "medoid_a": [pair[0]], "medoid_b": [pair[1]]})
+
+    for pdf in frames:
+        for r in pdf.itertuples():
+            if key != (r.corpus, r.tile_a, r.tile_b):
+                if key is not None:
+                    yield from best()
+                key, names, cost = (r.corpus, r.tile_a, r.tile_b), (r.names_a, r.names_b), np.zeros((len(r.names_a), len(r.names_b)))
+            weight = np.array(r.members_c, np.float64)
+            a, b = (np.frombuffer(x, np.float64).reshape(len(n), len(weight)) for x, n in ((r.block_a, r.names_a), (r.block_b, r.names_b)))
+            for i in range(len(a)):
+                cost[i] += np.minimum(a[i], b) @ weight
+    if key is not None:
+        yield from best()
+
+
+def _pair_costs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The best pair of medoids ``(corpus, cost, medoid_a, medoid_b)`` of each pair of tiles."""
+    side = lambda x: blocks.select("corpus", F.col("tile_a").alias(f"tile_{x}"), F.col("tile_b").alias("tile_c"), F.col("names_a").alias(f"names_{x}"), F.col("block").alias(f"block_{x}"))
+    weight = blocks.where("tile_a = 0").select("corpus", F.col("tile_b").alias("tile_c"), F.col("members_b").alias("members_c"))
+    met = pairs.join(side("a"), ["corpus", "tile_a"]).join(side("b"), ["corpus", "tile_b", "tile_c"]).join(weight, ["corpus", "tile_c"])
+    keys = ["corpus", "tile_a", "tile_b"]
+    dealt = met.select(*keys, "tile_c", "names_a", "names_b", "members_c", "block_a", "block_b").repartition(*keys).sortWithinPartitions(*keys, "tile_c")
+    return dealt.mapInPandas(_costs, "corpus string, cost double, medoid_a string, medoid_b string")
+
+
+def _means(frames):
+    """Of one block above the diagonal: distances and numbers of pairs, within the two groups and between them."""
+    for pdf in frames:
+        out = []
+        for r in pdf.itertuples():
+            weight = np.outer(np.array(r.members_a, np.float64), np.array(r.members_b, np.float64))
+            if r.tile_a == r.tile_b:
+                weight = np.triu(weight, 1)
+            same = np.equal.outer(np.array(r.in_a, bool), np.array(r.in_b, bool))
+            d = _square(r)
+            out.append((r.corpus, (d * weight)[same].sum(), weight[same].sum(), (d * weight)[~same].sum(), weight[~same].sum()))
+        yield pd.DataFrame(out, columns=["corpus", "within", "n_within", "between", "n_between"])
+
+
 def best_medoids(vectors: DataFrame) -> DataFrame:
-    """H4: the best pair of medoids by exhaustive search over distinct vectors, weighted by members.
+    """H4: the best pair of medoids over distinct vectors, weighted by members, by an exact pruned search.
 
     Returns ``(corpus, medoid_a, medoid_b, size_a, size_b, strength, is_split)``.
-    Each candidate pair is one row carrying two distance arrays, so the search spreads over tasks.
+
+    The distance matrix is kept as written tiles. For two tiles of vectors, every vector adds at least its smaller
+    distance to their nearest members; these sums bound the cost of all their pairs from below (no triangle inequality is
+    needed, which does not hold where vectors share different pointers). The pair of tiles with the least bound is
+    searched in full, and then only those whose bound does not exceed what it found.
     """
-    # a bounded table read by every step of the search
-    vectors = settle(vectors)
-    d = settle(distances(vectors))
-    both = d.unionByName(d.select("corpus", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    own = vectors.select("corpus", F.col("vector").alias("a"), F.col("vector").alias("b"),
-                         F.lit(0.0).alias("distance"))
-    m = vectors.select("corpus", F.col("vector").alias("b"), "members")
-    rows = (
-        both.unionByName(own).join(m, ["corpus", "b"])
-        .groupBy("corpus", "a")
-        .agg(F.array_sort(F.collect_list(F.struct("b", "distance", "members"))).alias("row"))
-    )
-    ra = rows.select("corpus", F.col("a").alias("medoid_a"), F.col("row").alias("ra"))
-    rb = rows.select("corpus", F.col("a").alias("medoid_b"), F.col("row").alias("rb"))
-    nearest = F.zip_with("ra", "rb", lambda x, y: F.least(x["distance"], y["distance"]) * x["members"])
-    cost = F.round(F.aggregate(nearest, F.lit(0.0), lambda s, x: s + x), 9)
-    best = (
-        ra.join(rb, "corpus").where("medoid_a < medoid_b").withColumn("cost", cost)
-        .groupBy("corpus").agg(F.min(F.struct("cost", "medoid_a", "medoid_b")).alias("m"))
-        .select("corpus", "m.medoid_a", "m.medoid_b")
-    )
-    side = (
-        best.join(ra, ["corpus", "medoid_a"]).join(rb, ["corpus", "medoid_b"])
-        .select("corpus", "medoid_a", "medoid_b", F.inline(F.zip_with("ra", "rb", lambda x, y: F.struct(
-            x["b"].alias("vector"), x["members"].alias("members"),
-            (x["distance"] <= y["distance"]).alias("in_a")))))
-    )
-    one = side.select("corpus", F.col("vector").alias("a"), F.col("in_a").alias("ga"), F.col("members").alias("ma"))
-    two = side.select("corpus", F.col("vector").alias("b"), F.col("in_a").alias("gb"), F.col("members").alias("mb"))
-    pairs = F.col("ma") * F.col("mb")
-    same = F.col("ga") == F.col("gb")
-    means = (
-        d.join(one, ["corpus", "a"]).join(two, ["corpus", "b"]).groupBy("corpus").agg(
-            F.sum(F.when(same, F.col("distance") * pairs)).alias("within"),
-            F.sum(F.when(same, pairs)).alias("n_within"),
-            F.sum(F.when(~same, F.col("distance") * pairs)).alias("between"),
-            F.sum(F.when(~same, pairs)).alias("n_between"))
-    )
+    vectors = _tiled(vectors)
+    blocks = settle(_blocks(vectors))
+    least = blocks.mapInPandas(_least, "corpus string, tile_a int, tile_c int, members_b array<long>, least array<double>")
+    bounds = least.groupBy("corpus", "tile_c").applyInPandas(_bounds, "corpus string, tile_a int, tile_b int, part double")
+    bounds = settle(bounds.groupBy("corpus", "tile_a", "tile_b").agg(F.sum("part").alias("bound")))
+    first = bounds.groupBy("corpus").agg(F.min(F.struct("bound", "tile_a", "tile_b")).alias("m")).select("corpus", "m.tile_a", "m.tile_b")
+    found = settle(_pair_costs(blocks, first))
+    open_ = bounds.join(first, ["corpus", "tile_a", "tile_b"], "left_anti").join(found.select("corpus", "cost"), "corpus", "left").where(
+        F.col("cost").isNull() | (F.col("bound") <= F.col("cost") + 1e-6))
+    every = found.unionByName(_pair_costs(blocks, open_.select("corpus", "tile_a", "tile_b")))
+    best = settle(every.groupBy("corpus").agg(F.min(F.struct("cost", "medoid_a", "medoid_b")).alias("m")).select("corpus", "m.medoid_a", "m.medoid_b"))
+    wanted = best.join(vectors.select("corpus", "vector"), "corpus")
+    away = distances(vectors, wanted.select("corpus", F.explode(F.array("medoid_a", "medoid_b")).alias("a"), F.col("vector").alias("b")))
+    away = away.withColumn("distance", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("distance")))
+    side = settle(wanted.join(away.select("corpus", F.col("a").alias("medoid_a"), F.col("b").alias("vector"), F.col("distance").alias("da")), ["corpus", "medoid_a", "vector"])
+                  .join(away.select("corpus", F.col("a").alias("medoid_b"), F.col("b").alias("vector"), F.col("distance").alias("db")), ["corpus", "medoid_b", "vector"])
+                  .join(vectors.select("corpus", "vector", "members", "tile"), ["corpus", "vector"])
+                  .select("corpus", "medoid_a", "medoid_b", "vector", "members", "tile", (F.col("da") <= F.col("db")).alias("in_a")))
+    flags = side.groupBy("corpus", "tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("vector", "in_a"))), lambda x: x["in_a"]).alias("flags"))
+    flagged = blocks.where("tile_a <= tile_b").join(flags.select("corpus", F.col("tile").alias("tile_a"), F.col("flags").alias("in_a")), ["corpus", "tile_a"]).join(
+        flags.select("corpus", F.col("tile").alias("tile_b"), F.col("flags").alias("in_b")), ["corpus", "tile_b"])
+    means = flagged.mapInPandas(_means, "corpus string, within double, n_within double, between double, n_between double").groupBy("corpus").agg(
+        *[F.sum(c).alias(c) for c in ("within", "n_within", "between", "n_between")])
     sizes = side.groupBy("corpus", "medoid_a", "medoid_b").agg(
         F.sum(F.when(F.col("in_a"), F.col("members")).otherwise(0)).alias("size_a"),
         F.sum(F.when(F.col("in_a"), 0).otherwise(F.col("members"))).alias("size_b"),
         F.sum(F.expr("members * (members - 1) div 2")).alias("twins"))
     zero = F.lit(0.0)
-    mean_within = F.coalesce(F.try_divide(F.coalesce("within", zero), F.coalesce("n_within", F.lit(0)) + F.col("twins")), zero)
-    mean_between = F.coalesce(F.try_divide(F.coalesce("between", zero), F.col("n_between")), zero)
     strength = (
         F.when(F.col("mw") > 0, F.try_divide(F.col("mb"), F.col("mw")))
         .when(F.col("mb") > 0, F.lit(float("inf"))).otherwise(zero))
     return (
         sizes.join(means, "corpus")
-        .withColumn("mw", mean_within).withColumn("mb", mean_between).withColumn("strength", strength)
+        .withColumn("mw", F.coalesce(F.try_divide(F.col("within"), F.col("n_within") + F.col("twins")), zero))
+        .withColumn("mb", F.coalesce(F.try_divide(F.col("between"), F.col("n_between")), zero))
+        .withColumn("strength", strength)
         .withColumn("is_split", (F.col("size_a") >= 2) & (F.col("size_b") >= 2)
                     & (F.col("size_a") + F.col("size_b") >= SPLIT_MIN_DOCS)
                     & (F.col("strength") >= SPLIT_STRENGTH))

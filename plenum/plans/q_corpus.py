@@ -60,29 +60,32 @@ def h2(spark, sf):
     return C.outliers(judged(spark, sf)[3]).select("corpus", "doc", F.round("agreement", 6).alias("agreement"))
 
 
-DIST_SQL = f"""WITH {PROFILE_OBS},{S.doc_votes()},
+SPLIT_CTES = """
 prof AS (SELECT corpus, doc, string_agg(pointer || '=' || bkey, '|' ORDER BY pointer) AS p FROM dv GROUP BY ALL),
 vec AS (SELECT corpus, min(doc) AS vector, count(*) AS members FROM prof GROUP BY corpus, p),
-dist AS (SELECT a.corpus, a.vector AS a, b.vector AS b,
-  coalesce((SELECT avg(CASE WHEN x.bkey <> y.bkey THEN 1.0 ELSE 0.0 END) FROM dv x JOIN dv y USING (corpus, pointer)
-            WHERE x.doc = a.vector AND y.doc = b.vector), 1.0) AS distance
-  FROM vec a JOIN vec b ON a.corpus = b.corpus AND a.vector < b.vector),
-full_d AS (SELECT a, b, distance FROM dist UNION ALL SELECT b, a, distance FROM dist
-  UNION ALL SELECT vector, vector, 0.0 FROM vec),
-cost AS (SELECT m.a, m.b, round(sum(least(da.distance, db.distance) * vec.members), 9) AS cost
-  FROM dist m JOIN full_d da ON da.b = m.a JOIN full_d db ON db.b = m.b AND db.a = da.a
-  JOIN vec ON vec.vector = da.a GROUP BY ALL),
-best AS (SELECT a AS medoid_a, b AS medoid_b FROM cost ORDER BY cost, a, b LIMIT 1),
-side AS (SELECT vec.vector, vec.members, da.distance <= db.distance AS in_a FROM best
-  JOIN full_d da ON da.b = medoid_a JOIN full_d db ON db.b = medoid_b AND db.a = da.a JOIN vec ON vec.vector = da.a),
-pr AS (SELECT x.in_a = y.in_a AS same, d.distance, x.members * y.members AS w
-  FROM dist d JOIN side x ON x.vector = d.a JOIN side y ON y.vector = d.b
-  UNION ALL SELECT true, 0.0, members * (members - 1) / 2 FROM side WHERE members > 1),
-stat AS (SELECT sum(CASE WHEN same THEN distance * w END) / sum(CASE WHEN same THEN w END) AS mw,
-  sum(CASE WHEN NOT same THEN distance * w END) / sum(CASE WHEN NOT same THEN w END) AS mb FROM pr),
-two AS (SELECT medoid_a, medoid_b, (SELECT sum(members) FROM side WHERE in_a) AS size_a,
-  (SELECT sum(members) FROM side WHERE NOT in_a) AS size_b, mb / mw AS strength FROM best, stat)
+met AS (SELECT x.corpus, x.doc AS a, y.doc AS b, avg(CASE WHEN x.bkey <> y.bkey THEN 1.0 ELSE 0.0 END) AS distance
+  FROM dv x JOIN dv y USING (corpus, pointer) JOIN vec va ON va.corpus = x.corpus AND va.vector = x.doc JOIN vec vb ON vb.corpus = x.corpus AND vb.vector = y.doc WHERE x.doc < y.doc GROUP BY ALL),
+dist AS (SELECT a.corpus, a.vector AS a, b.vector AS b, coalesce(distance, 1.0) AS distance
+  FROM vec a JOIN vec b ON a.corpus = b.corpus AND a.vector < b.vector LEFT JOIN met ON met.corpus = a.corpus AND met.a = a.vector AND met.b = b.vector),
+full_d AS (SELECT corpus, a, b, distance FROM dist UNION ALL SELECT corpus, b, a, distance FROM dist
+  UNION ALL SELECT corpus, vector, vector, 0.0 FROM vec),
+cost AS (SELECT m.corpus, m.a, m.b, round(sum(least(da.distance, db.distance) * vec.members), 9) AS cost
+  FROM dist m JOIN full_d da ON da.corpus = m.corpus AND da.b = m.a JOIN full_d db ON db.corpus = m.corpus AND db.b = m.b AND db.a = da.a
+  JOIN vec ON vec.corpus = m.corpus AND vec.vector = da.a GROUP BY ALL),
+best AS (SELECT corpus, a AS medoid_a, b AS medoid_b FROM cost QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY cost, a, b) = 1),
+side AS (SELECT best.corpus, vec.vector, vec.members, da.distance <= db.distance AS in_a FROM best
+  JOIN full_d da ON da.corpus = best.corpus AND da.b = medoid_a JOIN full_d db ON db.corpus = best.corpus AND db.b = medoid_b AND db.a = da.a JOIN vec ON vec.corpus = best.corpus AND vec.vector = da.a),
+pr AS (SELECT d.corpus, x.in_a = y.in_a AS same, d.distance, x.members * y.members AS w
+  FROM dist d JOIN side x ON x.corpus = d.corpus AND x.vector = d.a JOIN side y ON y.corpus = d.corpus AND y.vector = d.b
+  UNION ALL SELECT corpus, true, 0.0, members * (members - 1) / 2 FROM side WHERE members > 1),
+stat AS (SELECT corpus, coalesce(sum(CASE WHEN same THEN distance * w END) / sum(CASE WHEN same THEN w END), 0.0) AS mw,
+  coalesce(sum(CASE WHEN NOT same THEN distance * w END) / sum(CASE WHEN NOT same THEN w END), 0.0) AS mb FROM pr GROUP BY corpus),
+two AS (SELECT corpus, medoid_a, medoid_b, CAST(size_a AS BIGINT) AS size_a, CAST(size_b AS BIGINT) AS size_b,
+  CASE WHEN mw > 0 THEN mb / mw WHEN mb > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS strength
+  FROM best JOIN stat USING (corpus) JOIN (SELECT corpus, sum(CASE WHEN in_a THEN members ELSE 0 END) AS size_a, sum(CASE WHEN in_a THEN 0 ELSE members END) AS size_b FROM side GROUP BY corpus) USING (corpus)),
+splits AS (SELECT *, size_a >= 2 AND size_b >= 2 AND size_a + size_b >= 4 AND strength >= 1.5 AS is_split FROM two)
 """
+DIST_SQL = f"WITH {PROFILE_OBS},{S.doc_votes()}," + SPLIT_CTES
 
 
 @query("h3_distance_matrix", DIST_SQL + "SELECT a, b, round(distance, 6) AS distance FROM dist")
@@ -91,27 +94,30 @@ def h3(spark, sf):
     return C.distances(vectors).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query("h4_split", DIST_SQL + """SELECT medoid_a, medoid_b, CAST(size_a AS BIGINT) AS size_a,
- CAST(size_b AS BIGINT) AS size_b, round(strength, 6) AS strength,
- size_a >= 2 AND size_b >= 2 AND strength >= 1.5 AS is_split FROM two""")
+@query("h4_split", f"WITH {NATION_OBS},{S.doc_votes()},{SPLIT_CTES} SELECT corpus, medoid_a, medoid_b, size_a, size_b, CASE WHEN strength < 1e300 THEN round(strength, 6) END AS strength, is_split FROM splits")
 def h4(spark, sf):
+    """One search per nation, over the vote vectors of its suppliers."""
+    vectors = C.vote_vectors(O.document_votes(nation_ballots(spark, sf)))
+    return C.best_medoids(vectors).select("corpus", "medoid_a", "medoid_b", "size_a", "size_b", F.when(F.col("strength") < 1e300, F.round("strength", 6)).alias("strength"), "is_split")
+
+
+@query("h4_split_nations", DIST_SQL + "SELECT medoid_a, medoid_b, size_a, size_b, CASE WHEN strength < 1e300 THEN round(strength, 6) END AS strength, is_split FROM splits")
+def h4_nations(spark, sf):
     vectors = C.vote_vectors(O.document_votes(nation_profiles(spark, sf)))
-    return C.best_medoids(vectors).select("medoid_a", "medoid_b", "size_a", "size_b", "is_split",
-                                          F.round("strength", 6).alias("strength"))
+    return C.best_medoids(vectors).select("medoid_a", "medoid_b", "size_a", "size_b", F.when(F.col("strength") < 1e300, F.round("strength", 6)).alias("strength"), "is_split")
 
 
-@query("h5_warnings", H_SQL + """
+@query("h5_warnings", H_SQL + "," + SPLIT_CTES + """
 SELECT corpus, 'small' AS kind, '' AS subject, 'with ' || n_docs || ' document(s) agreement moves in steps of '
   || CAST(CAST(round_even(100.0 / n_docs, 0) AS BIGINT) AS VARCHAR) || '%' AS message FROM sz WHERE n_docs < 3
 UNION ALL SELECT corpus, 'outlier', doc, doc || ' shares '
   || CAST(CAST(round_even(agreement * 100, 0) AS BIGINT) AS VARCHAR) || '% of the common votes' FROM agr WHERE agreement < 0.6
+UNION ALL SELECT corpus, 'split', medoid_a || ' / ' || medoid_b, 'two groups of ' || size_a || ' and ' || size_b || ' documents' FROM splits WHERE is_split
 UNION ALL SELECT corpus, 'undecided', '', count(*) || ' pointer(s) without a majority'
   FROM votes WHERE status = 'undecided' GROUP BY corpus""")
 def h5(spark, sf):
     docs, dv, v, agreement = judged(spark, sf)
-    # a corpus here is one nation's suppliers; the split of corpora is h4's subject
-    none = v.limit(0).selectExpr("corpus", "'' medoid_a", "'' medoid_b", "0L size_a", "0L size_b")
-    return C.warnings(O.corpus_sizes(docs), agreement, v, none)
+    return C.warnings(O.corpus_sizes(docs), agreement, v, C.split(C.vote_vectors(dv)))
 
 
 @query("h6_views", VOTES_SQL + f"""

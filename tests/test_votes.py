@@ -116,4 +116,42 @@ def test_small_corpus_warning(spark):
     v = O.votes(dv, O.corpus_sizes(d))
     none = v.limit(0).selectExpr("corpus", "'' medoid_a", "'' medoid_b", "0L size_a", "0L size_b")
     w = C.warnings(O.corpus_sizes(d), C.agreement_by_document(dv, v, d), v, none).collect()
-    assert [r.kind for r in w] == ["small"] and "only 2 exemplar" in w[0].message
+    assert [(r.kind, r.message) for r in w] == [("small", "with 2 document(s) agreement moves in steps of 50%")]
+
+
+def _plain_split(profiles, members):
+    """Exhaustive search over all pairs of medoids."""
+    names = sorted(profiles)
+
+    def distance(x, y):
+        both = profiles[x].keys() & profiles[y].keys()
+        return 0.0 if x == y else sum(profiles[x][k] != profiles[y][k] for k in both) / len(both) if both else 1.0
+
+    d = {(x, y): distance(x, y) for x in names for y in names}
+    _, a, b = min((round(sum(min(d[n, a], d[n, b]) * members[n] for n in names), 9), a, b) for i, a in enumerate(names) for b in names[i + 1:])
+    one = {n for n in names if d[n, a] <= d[n, b]}
+    return a, b, sum(members[n] for n in one), sum(members[n] for n in names if n not in one), d
+
+
+@pytest.mark.parametrize("tile", [3, 7, 250])
+def test_pruned_split_is_the_exhaustive_one(spark, monkeypatch, tile):
+    import random
+    monkeypatch.setattr(C, "TILE", tile)
+    rng = random.Random(tile)
+    rows, want = [], {}
+    for corpus in ("x", "y", "z", "one"):
+        profiles, members = {}, {}
+        for i in range({"x": 24, "y": 17, "z": 2, "one": 1}[corpus]):
+            side = rng.random() < .5
+            profile = {f"/p{k}": str((k + side) % 2 if rng.random() < .8 else rng.randint(0, 3)) for k in range(8) if rng.random() < .8}
+            profiles[f"v{i:02d}"], members[f"v{i:02d}"] = profile, rng.randint(1, 4)
+            rows.append((corpus, f"v{i:02d}", members[f"v{i:02d}"], profile))
+        if len(profiles) > 1:
+            want[corpus] = _plain_split(profiles, members)
+    vectors = spark.createDataFrame(rows, "corpus string, vector string, members long, profile map<string,string>")
+    got = {r.corpus: (r.medoid_a, r.medoid_b, r.size_a, r.size_b) for r in C.best_medoids(vectors).collect()}
+    assert got == {c: w[:4] for c, w in want.items()}
+    every = C.distances(vectors).collect()
+    assert {(r.corpus, r.a, r.b): r.distance for r in every} == {(c, a, b): x for c, w in want.items() for (a, b), x in w[4].items() if a < b}
+    some = vectors.select("corpus", F.col("vector").alias("a")).join(vectors.select("corpus", F.col("vector").alias("b")), "corpus").where("a < b and substr(b, 3) = '7'")
+    assert all(r.distance == want[r.corpus][4][r.a, r.b] for r in C.distances(vectors, some).collect())
