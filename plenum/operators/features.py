@@ -151,15 +151,23 @@ def direct_density(runs: DataFrame, by: list[str]) -> DataFrame:
         F.countDistinct("style_name").alias("styles_used"))
 
 
-def doc_meta(blocks: DataFrame) -> DataFrame:
-    """One row per document: counts, flags and what disqualifies it as an exemplar."""
+# Run properties that say an author reached past the styles; bold and italic are emphasis and do not
+DIRECT_MARKERS = ["rFonts", "sz", "szCs", "color", "highlight", "shd", "spacing", "position", "kern", "u", "bdr", "em"]
+
+
+def doc_meta(blocks: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per document: counts, flags and what disqualifies it as an exemplar.
+
+    ``runs(doc, idx, markers)`` has one row per run of a block with the names of its own properties. Runs of deleted
+    blocks and of blocks that are no paragraphs do not count.
+    """
     flag = lambda c: F.coalesce(F.bool_or(F.col(c)), F.lit(False))
+    own = runs.groupBy("doc", "idx").agg(F.count(F.lit(1)).alias("n_runs"), F.count(F.when(F.arrays_overlap("markers", F.array(*map(F.lit, DIRECT_MARKERS))), 1)).alias("n_direct"))
     live = (F.col("kind") == "p") & ~F.col("in_del")
-    direct = F.count(F.when(live & F.col("bold"), 1))
-    return blocks.groupBy("doc").agg(
-        F.count(F.lit(1)).alias("blocks"), F.count(F.when(live, 1)).alias("paragraphs"),
-        F.count(F.when(live & (F.col("runs") > 0), 1)).alias("runs"), direct.alias("direct_runs"),
-        F.coalesce(F.try_divide(direct, F.count(F.when(live & (F.col("runs") > 0), 1))), F.lit(0.0)).alias("direct_density"),
+    total, direct = (F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0)) for c in ("n_runs", "n_direct"))
+    return blocks.join(own, ["doc", "idx"], "left").groupBy("doc").agg(
+        F.count(F.lit(1)).alias("blocks"), F.count(F.when(live, 1)).alias("paragraphs"), total.alias("runs"), direct.alias("direct_runs"),
+        F.coalesce(F.try_divide(direct, total), F.lit(0.0)).alias("direct_density"),
         F.countDistinct(F.when(live, F.col("style_name"))).alias("styles_used"),
         F.countDistinct("num_id").alias("list_count"),
         F.countDistinct(F.when(F.col("ctx_kind") == "header", F.col("part"))).alias("header_parts"),

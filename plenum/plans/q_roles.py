@@ -275,23 +275,32 @@ def t7(spark, sf):
 
 
 META_FIX = {"in_textbox": "false", "in_sdt": "tag = 'footer'", "in_ins": "false", "in_del": "false"}
+# a block's sentences are its runs; what the page says of them stands for their properties, valid in both dialects
+RUN_MARKERS = "CASE WHEN region = 'nav' THEN {a}'u', 'color'{b} WHEN sentence LIKE '%***%' THEN {a}'b', 'highlight'{b} WHEN bold THEN {a}'b', 'i'{b} ELSE {a}'rStyle'{b} END"
+
+
+def page_runs(spark, sf):
+    cut = features(spark, sf).select("doc", "idx", "region", "bold", F.explode(F.split("text", "\\. ", -1)).alias("sentence"))
+    return cut.select("doc", "idx", F.expr(RUN_MARKERS.format(a="array(", b=")")).alias("markers"))
 
 
 def meta(spark, sf):
     f = features(spark, sf)
     closed = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("doc"), "html").select(
         "doc", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("corpus"), F.endswith("html", F.lit("</html>")).alias("closed"))
-    f = f.withColumns({n: F.expr(e) for n, e in META_FIX.items()}).withColumn("runs", F.lit(1)).withColumn(
+    f = f.withColumns({n: F.expr(e) for n, e in META_FIX.items()}).withColumn(
         "part", F.when(F.col("region") == "nav", "nav").otherwise(F.col("part"))).withColumn(
         "ctx_kind", F.when(F.col("region") == "nav", "header").otherwise(F.col("ctx_kind")))
-    return FE.doc_meta(f).join(closed, "doc")
+    return FE.doc_meta(f, page_runs(spark, sf)).join(closed, "doc")
 
 
 _META_SQL = f"""{FT_SQL}, pg AS (SELECT CAST(page_id AS VARCHAR) AS doc, regexp_extract(html, 'lang="([a-z]+)"', 1) AS corpus, html LIKE '%</html>' AS closed FROM pages),
-meta AS (SELECT doc, any_value(pg.corpus) AS corpus, any_value(closed) AS closed, count(*) AS blocks, count(*) AS paragraphs, count(*) AS runs, count(CASE WHEN bold THEN 1 END) AS direct_runs,
- count(CASE WHEN bold THEN 1 END) / count(*) AS direct_density, count(DISTINCT style_name) AS styles_used, count(DISTINCT num_id) AS list_count,
+rw AS (SELECT doc, idx, count(*) AS n_runs, count(CASE WHEN list_has_any(markers, ['rFonts', 'sz', 'szCs', 'color', 'highlight', 'shd', 'spacing', 'position', 'kern', 'u', 'bdr', 'em']) THEN 1 END) AS n_direct FROM
+  (SELECT doc, idx, {RUN_MARKERS.format(a='[', b=']')} AS markers FROM (SELECT doc, idx, region, bold, unnest(string_split(text, '. ')) AS sentence FROM ft)) GROUP BY ALL),
+meta AS (SELECT doc, any_value(pg.corpus) AS corpus, any_value(closed) AS closed, count(*) AS blocks, count(*) AS paragraphs, CAST(sum(n_runs) AS BIGINT) AS runs, CAST(sum(n_direct) AS BIGINT) AS direct_runs,
+ sum(n_direct) / sum(n_runs) AS direct_density, count(DISTINCT style_name) AS styles_used, count(DISTINCT num_id) AS list_count,
  CAST(max(CASE WHEN region = 'nav' THEN 1 ELSE 0 END) AS BIGINT) AS header_parts, CAST(max(CASE WHEN region = 'footer' THEN 1 ELSE 0 END) AS BIGINT) AS footer_parts,
- bool_or(tag = 'footer') AS has_content_controls FROM ft JOIN pg USING (doc) GROUP BY doc)"""
+ bool_or(tag = 'footer') AS has_content_controls FROM ft JOIN pg USING (doc) JOIN rw USING (doc, idx) GROUP BY doc)"""
 
 
 @query("a14_doc_meta", f"WITH {_META_SQL} SELECT doc, blocks, paragraphs, runs, direct_runs, round(direct_density, 6) AS direct_density, styles_used, list_count, header_parts, footer_parts, has_content_controls FROM meta")

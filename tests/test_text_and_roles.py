@@ -356,3 +356,14 @@ def test_near_misses_match_plain_edit_distance(spark, monkeypatch):
     got = {(r.doc, r.slot): r.ratio for r in LI.near_misses(blocks, wording).collect()}
     assert got == want and len(got) > 10
     assert LI.near_misses(blocks.limit(0), wording).count() == 0 and LI.near_misses(blocks, wording.limit(0)).count() == 0
+
+
+def test_direct_runs_are_counted_by_their_markers(spark):
+    """Bold and italic are emphasis; a size, colour or underline of its own is direct; deleted blocks are silent."""
+    from plenum.operators import features as FE
+    block = "doc string, idx int, kind string, in_del boolean, style_name string, num_id int, ctx_kind string, part string, in_textbox boolean, in_sdt boolean, in_ins boolean"
+    blocks = spark.createDataFrame([("d", 0, "p", False, "a", None, "body", "m", False, False, False), ("d", 1, "p", True, "b", None, "body", "m", False, False, False),
+                                    ("d", 2, "tbl", False, "c", None, "body", "m", False, False, False), ("e", 0, "p", False, "a", 1, "header", "h", False, True, False)], block)
+    runs = spark.createDataFrame([("d", 0, ["b", "i"]), ("d", 0, ["b", "sz"]), ("d", 0, []), ("d", 0, ["color", "u"]), ("d", 1, ["sz"]), ("d", 2, ["sz"])], "doc string, idx int, markers array<string>")
+    got = {r.doc: (r.blocks, r.paragraphs, r.runs, r.direct_runs, r.direct_density, r.disqualified) for r in FE.doc_meta(blocks, runs).collect()}
+    assert got == {"d": (3, 1, 4, 2, .5, True), "e": (1, 1, 0, 0, 0.0, False)}
