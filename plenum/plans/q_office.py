@@ -29,18 +29,28 @@ def l4(spark, sf):
     return FI.control_fields(sdt.unionByName(ff)).select("doc", "slug", "source", "value", F.col("confidence").cast("double").alias("confidence"))
 
 
-_IMG = """case p_partkey % 4 when 0 then unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size * 10), 8, '0'), lpad(hex(p_size * 20), 8, '0'), '0806000000'))
+# a picture per part: PNG with and without density (300 dots per inch; an aspect only), GIF, JPEG, BMP (top-down for odd sizes), none
+_IMG = """case p_partkey % 6 when 0 then unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size * 10), 8, '0'), lpad(hex(p_size * 20), 8, '0'), '080600000000000000',
+  '0000000470454E4741414141' || '00000000', '00000009704859730000', '2E2300002E23', if(p_size % 2 = 0, '01', '00'), '00000000', '0000000049444154'))
  when 1 then unhex(concat('474946383961', lpad(hex(p_size), 2, '0'), '00', lpad(hex(p_size + 1), 2, '0'), '00', '457869660000'))
- when 2 then unhex(concat('FFD8FFE000104A46494600010101012C012C0000FFC0000B08', lpad(hex(p_size * 3), 4, '0'), lpad(hex(p_size * 4), 4, '0'), '010111')) else unhex('00112233') end"""
-
-
-@query("b9_image_audit", """WITH i AS (SELECT p_partkey, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN p_size * 10 WHEN 1 THEN p_size WHEN 2 THEN p_size * 4 END AS w, CASE p_partkey % 4 WHEN 0 THEN p_size * 20 WHEN 1 THEN p_size + 1 WHEN 2 THEN p_size * 3 END AS h, CASE WHEN p_partkey % 4 = 2 THEN 300 ELSE 96 END AS dpi FROM part),
-e AS (SELECT *, greatest(1, floor(w / dpi * 914400)) AS ew, greatest(1, floor(h / dpi * 914400)) AS eh FROM i)
-SELECT CAST(p_partkey AS VARCHAR) AS doc, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' END AS media_type, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CASE WHEN k < 3 THEN CAST(ew AS BIGINT) END AS emu_width, CASE k WHEN 1 THEN 'EXIF' ELSE '' END AS metadata FROM e""")
+ when 2 then unhex(concat('FFD8FFFFE000104A46494600010101012C00960000FFC0000B08', lpad(hex(p_size * 3), 4, '0'), lpad(hex(p_size * 4), 4, '0'), '010111'))
+ when 3 then unhex(concat('424D0000000000000000360000002800', '0000', lpad(hex(p_size), 2, '0'), '000000', if(p_size % 2 = 1, concat(lpad(hex(256 - p_size), 2, '0'), 'FFFFFF'), concat(lpad(hex(p_size), 2, '0'), '000000')),
+  '0100180000000000000000', '00', '232E0000', '232E0000'))
+ when 4 then unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size), 8, '0'), lpad(hex(p_size), 8, '0'), '080600000000000000', '0000000049444154', '0000000970485973', '00002E2300002E2301', '687474703A2F2F6E732E61646F62652E636F6D2F7861702F'))
+ else unhex('00112233') end"""
+
+
+@query("b9_image_audit", """WITH i AS (SELECT p_partkey, p_partkey % 6 AS k, p_size AS s FROM part),
+d AS (SELECT *, CASE k WHEN 0 THEN s * 10 WHEN 2 THEN s * 4 WHEN 5 THEN NULL ELSE s END AS w, CASE k WHEN 0 THEN s * 20 WHEN 1 THEN s + 1 WHEN 2 THEN s * 3 WHEN 5 THEN NULL ELSE s END AS h,
+  CASE WHEN k = 0 AND s % 2 = 0 THEN 11811 * 0.0254::DOUBLE WHEN k = 2 THEN 300 WHEN k = 3 THEN 11811 / 39.3701::DOUBLE ELSE 96 END AS x,
+  CASE WHEN k = 0 AND s % 2 = 0 THEN 11811 * 0.0254::DOUBLE WHEN k = 2 THEN 150 WHEN k = 3 THEN 11811 / 39.3701::DOUBLE ELSE 96 END AS y FROM i)
+SELECT CAST(p_partkey AS VARCHAR) AS doc, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/bmp' WHEN 4 THEN 'image/png' END AS media_type, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height,
+ CAST(greatest(1, floor(w / x * 914400)) AS BIGINT) AS emu_width, CAST(greatest(1, floor(h / y * 914400)) AS BIGINT) AS emu_height, CASE k WHEN 1 THEN 'EXIF' WHEN 4 THEN 'XMP' ELSE '' END AS metadata FROM d WHERE k < 5
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL, '' FROM d WHERE k = 5""")
 def b9(spark, sf):
     m = table(spark, sf, "part").selectExpr("cast(p_partkey as string) as doc", "'word/media/i' as part", f"{_IMG} as bytes")
     a = OF.fit_within(OF.image_audit(m), F.lit(5486400), F.lit(6858000))
-    return a.select("doc", "media_type", "width", "height", "emu_width", F.array_join("metadata", ",").alias("metadata"))
+    return a.select("doc", "media_type", "width", "height", "emu_width", "emu_height", F.array_join("metadata", ",").alias("metadata"))
 
 
 _SP = [("/run/size", "sz", "size"), ("/para/alignment", "s", "align")]

@@ -76,3 +76,32 @@ def test_watch_folder(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out" / "findings")).collect()) == ["hi", "there"]
     assert spark.read.parquet(str(tmp_path / "out" / "quarantine")).count() == 1
+
+
+def test_picture_density_by_chunks(spark):
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def png(*chunks, size=(300, 150)):
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", *size, 8, 6, 0, 0, 0)) + b"".join(chunks) + chunk(b"IDAT", b"x" * 40) + chunk(b"IEND", b"")
+
+    def bmp(width, height, ppm, header=40):
+        return b"BM" + bytes(8) + struct.pack("<I", 54) + struct.pack("<IiiHHIIiiII", header, width, height, 1, 24, 0, 0, ppm, ppm, 0, 0)
+
+    density = chunk(b"pHYs", struct.pack(">IIB", 11811, 5906, 1))
+    exif = b"MM\0*" + struct.pack(">IHHHIIHHIHHI", 8, 2, 282, 5, 1, 38, 296, 3, 1, 3, 0, 0) + struct.pack(">II", 100, 1)
+    jpeg = b"\xff\xd8\xff\xff\xff\xe1" + struct.pack(">H", len(exif) + 8) + b"Exif\0\0" + exif + b"\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 96, 254) + b"\x01\x01\x11"
+    files = {
+        "300 dpi": png(density), "behind text": png(chunk(b"tEXt", b"pHYs inside a text"), density), "none": png(), "aspect": png(chunk(b"pHYs", struct.pack(">IIB", 4, 3, 0))),
+        "late": png(chunk(b"IDAT", b"y"), density), "cut": png(density)[:30], "bmp": bmp(300, 150, 11811), "top-down": bmp(300, -150, 11811), "no density": bmp(300, 150, 0), "jpeg": jpeg, "trace": png(chunk(b"eXIf", b"AExif\0\0GPS"))}
+    rows = spark.createDataFrame([(k, "i", v) for k, v in files.items()], "doc string, part string, bytes binary")
+    got = {r.doc: (r.width, r.height, r.emu_width, r.emu_height, r.metadata) for r in OF.image_audit(rows).collect()}
+    plain = (300, 150, 2857500, 1428750)
+    assert got["300 dpi"] == got["behind text"] == (300, 150, 300 / (11811 * .0254) * 914400 // 1, 150 / (5906 * .0254) * 914400 // 1, [])
+    assert all(got[k][:4] == plain for k in ("none", "aspect", "late", "no density", "trace"))
+    assert got["bmp"] == got["top-down"] and got["bmp"][2] == 300 / (11811 / 39.3701) * 914400 // 1
+    assert got["cut"][2:4] == got["none"][2:4] and got["jpeg"][:4] == (254, 96, 914400, 345600) and got["jpeg"][4] == ["EXIF"]
+    assert got["trace"][4] == ["EXIF", "GPS"]
