@@ -22,9 +22,9 @@ smallest document speaks for all later ones with the same surrounding, so a pass
 sends one position to this step.
 
 A rank is a 48-bit hash where only a filter depends on it, and 96 bits and more where a decision does.
-Sampled positions travel as packed, compressed columns, one block per task and bucket, strings of the rim as rows;
-before they leave a task, repeated surroundings are settled in it, so a passage that fills the corpus arrives once
-per task. The number of partitions of the sampled positions follows the bytes of the texts.
+Positions travel as packed, compressed columns, one block per task and bucket; before they leave a task,
+repeated surroundings are settled in it, so a passage that fills the corpus arrives once per task. The number of
+partitions follows the bytes of the texts and, for the strings of the rim, their count.
 
 Defined cases: null counts as empty; texts under 50 bytes lose nothing; matches inside one document, and
 between rows that share a document id, remove nothing; a null id counts as greater than all others; repeated
@@ -41,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm.common import documents, settle, shuffle_partitions, utf8_column, with_rows
@@ -57,7 +57,7 @@ _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 _COVERED, _OPEN, _HOT, _MANY = 0x80, 0x40, 0x20, 0x1F  # marks above the number of strings
 HOT = 64
-PART_BYTES = 32 << 20
+PART_BYTES, PART_STRINGS = 32 << 20, 2_000_000
 _WIDE = 2 * LENGTH - SEED_LENGTH  # bytes of the widest surrounding
 
 
@@ -297,73 +297,69 @@ def pair_ranks(wide: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return *np.nonzero(pick), *ranks
 
 
-def rims(batches):
-    """Marked texts to the strings of open positions, as runs: those settled in this task by their row, the others one by one by their ranks."""
-    held: list[dict[str, np.ndarray]] = []
-    size = 0
-
-    def flush():
-        rows = _joined(held)
-        held.clear()
-        settle_in_task(rows)
-        settled = rows["n"] & _COVERED > 0
-        for q, row, n in _runs(rows["row"][settled], rows["q"][settled]):
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(len(q), _SETTLED)), pa.array(row), pa.array(row), pa.array(q), pa.array(n)], _STRINGS)
-        left = np.flatnonzero(~settled)
-        for at in range(0, len(left), 200_000):
-            s = left[at: at + 200_000]
-            one = pa.array(np.ones(len(s), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["g"][s]), pa.array(rows["c"][s]), pa.array(rows["doc"][s]), pa.array(rows["row"][s]), pa.array(rows["q"][s].astype(np.int32)), one], _STRINGS)
-
-    for batch in batches:
-        raw, at = utf8_column(batch.column(2))
-        row, doc = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(2))
-        marks = batch.column(3)
-        many = np.diff(marks.offsets.to_numpy())
-        of = np.repeat(np.arange(batch.num_rows), many)
-        q, n, x, open_ = (marks.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        pick = np.flatnonzero(open_)
-        of, q, n = of[pick], q[pick].astype(np.int64), n[pick].astype(np.int64)
-        data = np.frombuffer(raw, np.uint8)
-        for low in range(0, len(of), 10_000):
-            s = slice(low, low + 10_000)
-            base = at[of[s]] + q[s]
-            wide = base[:, None] + np.arange(_WIDE)
-            wide = np.where(np.arange(_WIDE) < (n[s] + LENGTH - 1)[:, None], data[np.minimum(wide, len(data) - 1)], 0).astype(np.uint8)
-            rim, j, g, c = pair_ranks(wide, n[s])
-            held.append({"g": g, "c": c, "q": q[s][rim] + j, "x": np.zeros(len(g), np.int64), "n": np.ones(len(g), np.int64), "row": row[of[s]][rim], "doc": doc[of[s]][rim]})
-            size += len(g)
-            if size >= FLUSH:
-                yield from flush()
-                size = 0
-    if held:
-        yield from flush()
-
-
-_STRINGS = ["g", "c", "doc", "row", "q", "n"]
-_SETTLED = -1  # in the place of a rank
-
-
-def _runs(row: np.ndarray, q: np.ndarray):
-    """Places as runs: first place, row, how many."""
-    if not len(row):
+def _rims(buckets: int):
+    """Marked texts to packed strings of open positions."""
+    def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            rows = _joined(held)
+            held.clear()
+            settle_in_task(rows)
+            settled = rows["n"] & _COVERED > 0
+            rows["g"][settled] = rows["c"][settled] = 0
+            yield from _emit(_blocks(rows, buckets))
+
+        for batch in batches:
+            raw, at = utf8_column(batch.column(2))
+            row, doc = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(2))
+            marks = batch.column(3)
+            many = np.diff(marks.offsets.to_numpy())
+            of = np.repeat(np.arange(batch.num_rows), many)
+            q, n, x, open_ = (marks.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            pick = np.flatnonzero(open_)
+            of, q, n = of[pick], q[pick].astype(np.int64), n[pick].astype(np.int64)
+            data = np.frombuffer(raw, np.uint8)
+            for low in range(0, len(of), 10_000):
+                s = slice(low, low + 10_000)
+                base = at[of[s]] + q[s]
+                wide = base[:, None] + np.arange(_WIDE)
+                wide = np.where(np.arange(_WIDE) < (n[s] + LENGTH - 1)[:, None], data[np.minimum(wide, len(data) - 1)], 0).astype(np.uint8)
+                rim, j, g, c = pair_ranks(wide, n[s])
+                held.append({"g": g, "c": c, "q": q[s][rim] + j, "x": np.zeros(len(g), np.int64), "n": np.ones(len(g), np.int64), "row": row[of[s]][rim], "doc": doc[of[s]][rim]})
+                size += len(g)
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def rank_pairs(batches):
+    """One partition of buckets: strings whose pair of ranks occurs in a smaller document, as runs ``(row, q, n)``."""
+    parts = [unpack(b)[0] for batch in batches for b in batch.column(1).to_pylist()]
+    if not parts:
+        return
+    rows = _joined(parts)
+    del parts
+    done = rows["n"] & _COVERED > 0
+    order = np.flatnonzero(~done)
+    order = order[np.lexsort((rows["doc"][order], rows["c"][order], rows["g"][order]))]
+    new, group = _groups(rows["g"][order], rows["c"][order])
+    doc = rows["doc"][order]
+    hit = np.concatenate([np.flatnonzero(done), order[doc > doc[np.flatnonzero(new)][group]]])
+    if not len(hit):
         return
-    order = np.lexsort((q, row))
-    row, q = row[order], q[order]
+    hit = hit[np.lexsort((rows["q"][hit], rows["row"][hit]))]
+    row, q = rows["row"][hit], rows["q"][hit]
     first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (q[1:] > q[:-1] + 1)]))
     last = np.append(first[1:], len(row)) - 1
     for s in range(0, len(first), 200_000):
         a, b = first[s: s + 200_000], last[s: s + 200_000]
-        yield q[a].astype(np.int32), row[a], (q[b] - q[a] + 1).astype(np.int32)
-
-
-def rank_pairs(strings: DataFrame) -> DataFrame:
-    """Strings whose pair of ranks occurs in a smaller document, and those settled before, as runs ``(row, q, n)``.
-
-    Spark deals the strings out by their ranks and sorts them; every task sent a string at most once per document.
-    """
-    first = F.min("doc").over(Window.partitionBy("g", "c"))
-    return strings.withColumn("first", first).where((F.col("c") == _SETTLED) | (F.col("doc") > F.col("first"))).select("row", "q", "n")
+        yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(q[a].astype(np.int32)), pa.array((q[b] - q[a] + 1).astype(np.int32))], ["row", "q", "n"])
 
 
 def remove(text: bytes, q: np.ndarray, n: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
@@ -421,8 +417,9 @@ def removed(docs: DataFrame, with_text: bool = True) -> DataFrame:
     blocks = texts.mapInArrow(_positions(8 * parts), "bucket int, block binary")
     marks = settle(blocks.repartition(parts, "bucket").mapInArrow(rank_seeds, "row long, q int, n short, x short, open boolean"))
     marked = texts.join(marks.groupBy("row").agg(F.collect_list(F.struct("q", "n", "x", "open")).alias("marks")), "row", "left")
-    strings = marked.where("marks is not null").select("row", "doc", "text", "marks").mapInArrow(rims, "g long, c long, doc long, row long, q int, n int")
-    runs = rank_pairs(strings)
+    parts = max(least, -(-(marks.where("open").agg(F.sum("n")).first()[0] or 0) // PART_STRINGS))
+    rims = marked.where("marks is not null").select("row", "doc", "text", "marks").mapInArrow(_rims(8 * parts), "bucket int, block binary")
+    runs = rims.repartition(parts, "bucket").mapInArrow(rank_pairs, "row long, q int, n int")
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("q", "n")).alias("runs"))
     none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
     both = marked.join(runs, "row", "left").select(
