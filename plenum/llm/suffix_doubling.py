@@ -22,9 +22,9 @@ smallest document speaks for all later ones with the same surrounding, so a pass
 sends one position to this step.
 
 A rank is a 48-bit hash where only a filter depends on it, and 96 bits and more where a decision does.
-Positions travel as packed, compressed columns, one block per task and bucket; before they leave a task,
+Positions travel as packed, compressed columns, one block per task and partition; before they leave a task,
 repeated surroundings are settled in it, so a passage that fills the corpus arrives once per task. The number of
-partitions follows the bytes of the texts and, for the strings of the rim, their count.
+partitions follows the bytes of the texts and, for the strings of the rim, their count; a partition has one bucket.
 
 Defined cases: null counts as empty; texts under 50 bytes lose nothing; matches inside one document, and
 between rows that share a document id, remove nothing; a null id counts as greater than all others; repeated
@@ -175,10 +175,17 @@ def open_in_task(rows: dict[str, np.ndarray]) -> None:
     rows["n"][live[hot & new]] |= _HOT
 
 
-def _blocks(rows: dict[str, np.ndarray], buckets: int):
+def even_labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """As many bucket numbers as partitions, each of which Spark's hash partitioning sends to a partition of its own."""
+    number = F.col("id").cast("int")
+    first = spark.range(64 * parts).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("part")).agg(F.min(number).alias("label"))
+    return np.array(sorted(row.label for row in first.collect()), np.int64)
+
+
+def _blocks(rows: dict[str, np.ndarray], labels: np.ndarray):
     """Packed blocks by bucket; what is settled already goes to a bucket of its document."""
     key = np.where(rows["n"] & (_COVERED | _OPEN), rows["row"], rows["g"]).astype(_U)
-    bucket = (mix(key) % _U(buckets)).astype(np.int64)
+    bucket = labels[(mix(key) % _U(len(labels))).astype(np.int64)]
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for low, high in zip(edges, np.append(edges[1:], len(order))):
@@ -198,7 +205,7 @@ def _emit(pairs):
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in batch], pa.int32()), pa.array([x for _, x in batch], pa.binary())], ["bucket", "block"])
 
 
-def _positions(buckets: int):
+def _positions(labels: np.ndarray):
     """Texts to packed sampled positions."""
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -217,7 +224,7 @@ def _positions(buckets: int):
             held.clear()
             settle_in_task(rows)
             open_in_task(rows)
-            yield from _emit(_blocks(rows, buckets))
+            yield from _emit(_blocks(rows, labels))
 
         size = 0
         for batch in batches:
@@ -297,7 +304,7 @@ def pair_ranks(wide: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return *np.nonzero(pick), *ranks
 
 
-def _rims(buckets: int):
+def _rims(labels: np.ndarray):
     """Marked texts to packed strings of open positions."""
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -309,7 +316,7 @@ def _rims(buckets: int):
             settle_in_task(rows)
             settled = rows["n"] & _COVERED > 0
             rows["g"][settled] = rows["c"][settled] = 0
-            yield from _emit(_blocks(rows, buckets))
+            yield from _emit(_blocks(rows, labels))
 
         for batch in batches:
             raw, at = utf8_column(batch.column(2))
@@ -414,11 +421,11 @@ def removed(docs: DataFrame, with_text: bool = True) -> DataFrame:
     least = shuffle_partitions(docs.sparkSession)
     texts = docs.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(least, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    blocks = texts.mapInArrow(_positions(8 * parts), "bucket int, block binary")
+    blocks = texts.mapInArrow(_positions(even_labels(texts.sparkSession, parts)), "bucket int, block binary")
     marks = settle(blocks.repartition(parts, "bucket").mapInArrow(rank_seeds, "row long, q int, n short, x short, open boolean"))
     marked = texts.join(marks.groupBy("row").agg(F.collect_list(F.struct("q", "n", "x", "open")).alias("marks")), "row", "left")
     parts = max(least, -(-(marks.where("open").agg(F.sum("n")).first()[0] or 0) // PART_STRINGS))
-    rims = marked.where("marks is not null").select("row", "doc", "text", "marks").mapInArrow(_rims(8 * parts), "bucket int, block binary")
+    rims = marked.where("marks is not null").select("row", "doc", "text", "marks").mapInArrow(_rims(even_labels(texts.sparkSession, parts)), "bucket int, block binary")
     runs = rims.repartition(parts, "bucket").mapInArrow(rank_pairs, "row long, q int, n int")
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("q", "n")).alias("runs"))
     none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)

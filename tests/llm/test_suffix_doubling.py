@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from plenum.llm import suffix_doubling as sd
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +48,7 @@ def test_rims_overlaps_and_edges(make_docs, store, spark, monkeypatch):
     want = brute(rows)
     assert rows_of(sd.query(spark, store(make_docs(rows)))) == want
     monkeypatch.setattr(sd, "SEGMENT", 64)  # in this process only: the functions below run here
-    got = list(sd._positions(4)(iter(_batches(rows))))
+    got = list(sd._positions(np.arange(4))(iter(_batches(rows))))
     assert got
     assert sd.query(spark, store(make_docs([]))).count() == 0
 
@@ -65,12 +67,12 @@ def test_segments_change_nothing(monkeypatch):
     for size in (64, 333, 1 << 20):
         monkeypatch.setattr(sd, "SEGMENT", size)
         monkeypatch.setattr(sd, "FLUSH", 100)
-        marks = [r for b in sd.rank_seeds(iter(sd._positions(4)(iter(_batches(rows))))) for r in b.to_pylist()]
+        marks = [r for b in sd.rank_seeds(iter(sd._positions(np.arange(4))(iter(_batches(rows))))) for r in b.to_pylist()]
         import pyarrow as pa
         kind = pa.list_(pa.struct([("q", pa.int32()), ("n", pa.int16()), ("x", pa.int16()), ("open", pa.bool_())]))
         per = [[{k: m[k] for k in ("q", "n", "x", "open")} for m in marks if m["row"] == i] for i in range(3)]
         batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array([1, 2, 3]), pa.array([t for _, t in rows]), pa.array(per, kind)], ["row", "doc", "text", "marks"])
-        runs = [r for b in sd.rank_pairs(iter(sd._rims(4)(iter([batch])))) for r in b.to_pylist()]
+        runs = [r for b in sd.rank_pairs(iter(sd._rims(np.arange(4))(iter([batch])))) for r in b.to_pylist()]
         runs_kind = pa.list_(pa.struct([("q", pa.int32()), ("n", pa.int32())]))
         last = pa.RecordBatch.from_arrays([*batch.columns, pa.array([[{"q": r["q"], "n": r["n"]} for r in runs if r["row"] == i] for i in range(3)], runs_kind)],
                                           ["row", "doc", "text", "marks", "runs"])
@@ -98,14 +100,14 @@ def test_a_hot_seed_is_dealt_over_many_buckets():
     rows = _hot(300)
     share = lambda many: max(many.values()) / sum(many.values())
     seeds, rims = {}, {}
-    for b in sd._positions(64)(iter(_batches(rows))):
+    for b in sd._positions(np.arange(64))(iter(_batches(rows))):
         for bucket, blob in zip(*b.to_pydict().values()):
             seeds[bucket] = seeds.get(bucket, 0) + len(sd.unpack(blob)[0]["g"])
     assert share(seeds) < 0.1
     kind = pa.list_(pa.struct([("q", pa.int32()), ("n", pa.int16()), ("x", pa.int16()), ("open", pa.bool_())]))
     at = [[{"q": 40, "n": 20, "x": 20, "open": True}] for _ in rows[:300]]
     batch = pa.RecordBatch.from_arrays([*_batches(rows[:300])[0].columns, pa.array(at, kind)], ["row", "doc", "text", "marks"])
-    for b in sd._rims(64)(iter([batch])):
+    for b in sd._rims(np.arange(64))(iter([batch])):
         for bucket, blob in zip(*b.to_pydict().values()):
             rims[bucket] = rims.get(bucket, 0) + len(sd.unpack(blob)[0]["g"])
     assert share(rims) < 0.1
@@ -116,3 +118,11 @@ def test_a_hot_seed_changes_no_result(make_docs, spark, store, monkeypatch):
     monkeypatch.setattr(sd, "PART_BYTES", 10_000)
     monkeypatch.setattr(sd, "PART_STRINGS", 10_000)
     assert rows_of(sd.query(spark, store(make_docs(rows)))) == brute(rows)
+
+
+def test_every_bucket_has_a_partition_of_its_own(spark):
+    for parts in (1, 7, 50):
+        labels = sd.even_labels(spark, parts)
+        rows = spark.createDataFrame([(int(x),) for x in labels], "bucket int")
+        got = rows.repartition(parts, "bucket").groupBy(sd.F.spark_partition_id()).count().collect()
+        assert len(labels) == parts == len(got) and all(r["count"] == 1 for r in got)
