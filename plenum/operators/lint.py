@@ -24,6 +24,7 @@ TRIGRAM_BITS = 14
 WORDING_BLOCK = 2000
 NEAR_MISS = 0.80
 TRIGRAM_BITS, WORDING_BLOCK = 14, 2000  # slots of the trigram table, and wordings it holds at a time
+WORDING_LOT = 4096  # wordings whose complement is taken at a time
 FINDING = ["doc", "code", "severity", "rule_id", "expected", "actual", "n", "idx"]
 
 
@@ -208,18 +209,24 @@ def boilerplate_checks(docs: DataFrame, blocks: DataFrame, wording: DataFrame, n
 
     ``wording``: slot, text. ``near``: doc, slot, text of near misses (P14), reported as altered.
     """
-    w = small(wording.select("slot", F.col("text").alias("wanted"), K.match_key(F.col("text")).alias("mk"), K.exact_key(F.col("text")).alias("ek")))
-    hits = blocks.withColumn("mk", K.match_key(F.col("text"))).where("mk <> ''").join(w, "mk").groupBy("doc", "slot").agg(
-        F.bool_or(K.exact_key(F.col("text")) == F.col("ek")).alias("exact"), F.min(F.struct("idx", "text")).alias("m"))
-    arr = few(wording, "required passages").agg(F.collect_list(F.struct("slot", F.col("text").alias("wanted"))).alias("r"))
-    every = docs.select("doc").distinct().withColumn("k", F.lit(1)).join(F.broadcast(arr.withColumn("k", F.lit(1))), "k").select("doc", F.inline("r"))
-    joined = every.join(hits, ["doc", "slot"], "left")
+    listed = numbered(wording.select("slot", F.col("text").alias("wanted"), K.match_key(F.col("text")).alias("mk"), K.exact_key(F.col("text")).alias("ek")), [], ["slot"], "number")
+    listed = settle(listed)
+    total = listed.count()
+    hits = settle(blocks.withColumn("mk", K.match_key(F.col("text"))).where("mk <> ''").join(small(listed.drop("wanted")), "mk").groupBy("doc", "number").agg(
+        F.bool_or(K.exact_key(F.col("text")) == F.col("ek")).alias("exact"), F.min(F.struct("idx", "text")).alias("m")))
+    # what a document lacks is the complement of what it has, lot by lot of the list: no document meets every wording
+    lot = lambda n: F.floor((n - 1) / F.lit(WORDING_LOT)).cast("bigint")
+    has = hits.where("exact").groupBy("doc", lot(F.col("number")).alias("lot")).agg(F.collect_list("number").alias("has"))
+    every = docs.select("doc").distinct().where(F.lit(total > 0)).withColumn("lot", F.explode(F.expr(f"sequence(0L, {max(total - 1, 0) // WORDING_LOT}L)")))
+    first = F.col("lot") * WORDING_LOT + 1
+    lacking = every.join(has, ["doc", "lot"], "left").select("doc", F.explode(F.array_except(
+        F.sequence(first, F.least(first + WORDING_LOT - 1, F.lit(total).cast("bigint"))), F.coalesce("has", F.array().cast("array<bigint>")))).alias("number"))
+    bad = lacking.join(small(listed.select("number", "slot", "wanted")), "number").join(hits.drop("exact"), ["doc", "number"], "left")
     if near is not None:
-        joined = joined.join(near.select("doc", "slot", F.col("text").alias("near")), ["doc", "slot"], "left")
+        bad = bad.join(near.select("doc", "slot", F.col("text").alias("near")), ["doc", "slot"], "left")
     else:
-        joined = joined.withColumn("near", F.lit(None).cast("string"))
-    bad = joined.where("not coalesce(exact, false)")
-    code = F.when(F.col("exact").isNull() & F.col("near").isNull(), "structure.boilerplate_missing").otherwise("structure.boilerplate_altered")
+        bad = bad.withColumn("near", F.lit(None).cast("string"))
+    code = F.when(F.col("m").isNull() & F.col("near").isNull(), "structure.boilerplate_missing").otherwise("structure.boilerplate_altered")
     return finding(bad.withColumn("code", code), F.col("code"), structure_severity(F.col("code")), F.concat(F.lit("/skeleton/slots/"), F.col("slot").cast("string")), F.col("wanted"), F.coalesce("m.text", "near"), idx=F.col("m.idx"))
 
 

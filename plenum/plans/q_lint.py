@@ -205,12 +205,6 @@ def wording(spark, sf):
 _BOIL = f"""WITH {LINES_SQL}, w AS ({_WORDING}), hit AS (SELECT doc, slot, bool_or({exact_sql('text')} = {exact_sql('wtext')}) AS exact FROM tb JOIN w ON {match_sql('text')} = {match_sql('wtext')} GROUP BY ALL)"""
 
 
-@query("p13_boilerplate", _BOIL + " SELECT CAST(doc_id AS VARCHAR) AS doc, CASE WHEN exact IS NULL THEN 'structure.boilerplate_missing' ELSE 'structure.boilerplate_altered' END AS code, CASE WHEN exact IS NULL THEN 'warn' ELSE 'error' END AS severity, '/skeleton/slots/' || w.slot AS rule_id FROM documents CROSS JOIN w LEFT JOIN hit ON hit.doc = CAST(doc_id AS VARCHAR) AND hit.slot = w.slot WHERE NOT coalesce(exact, false)")
-def p13(spark, sf):
-    b = lines(spark, sf)
-    return LI.boilerplate_checks(b, b, wording(spark, sf)).select("doc", "code", "severity", "rule_id")
-
-
 # the other side's levenshtein counts bytes: letters beyond ASCII become control signs, which no text here holds, one for one
 _WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 
@@ -226,6 +220,17 @@ def p14(spark, sf):
     return LI.near_misses(lines(spark, sf), wording(spark, sf)).select("doc", "slot", F.round("ratio", 6).alias("ratio"))
 
 
+_NEAR = f"""nw AS (SELECT slot, {_narrow(match_sql('wtext'))} AS wk FROM ({_WORDING})), nb AS (SELECT DISTINCT doc, {_narrow(match_sql('text'))} AS bk FROM tb),
+near AS (SELECT DISTINCT doc, slot FROM nb JOIN nw ON abs(length(bk) - length(wk)) < 0.2 * greatest(length(bk), length(wk)) AND bk <> wk
+  WHERE round(1 - levenshtein(bk, wk) / greatest(length(bk), length(wk)), 9) > 0.8)"""
+
+
+@query("p13_boilerplate", _BOIL + f", {_NEAR} SELECT CAST(doc_id AS VARCHAR) AS doc, CASE WHEN exact IS NULL AND near.slot IS NULL THEN 'structure.boilerplate_missing' ELSE 'structure.boilerplate_altered' END AS code, CASE WHEN exact IS NULL AND near.slot IS NULL THEN 'warn' ELSE 'error' END AS severity, '/skeleton/slots/' || w.slot AS rule_id FROM documents CROSS JOIN w LEFT JOIN hit ON hit.doc = CAST(doc_id AS VARCHAR) AND hit.slot = w.slot LEFT JOIN near ON near.doc = CAST(doc_id AS VARCHAR) AND near.slot = w.slot WHERE NOT coalesce(exact, false)")
+def p13(spark, sf):
+    b = lines(spark, sf)
+    return LI.boilerplate_checks(b, b, wording(spark, sf), LI.near_misses(b, wording(spark, sf))).select("doc", "code", "severity", "rule_id")
+
+
 @query("p15_pattern_checks", f"WITH pv AS ({_PV}) SELECT doc, CASE WHEN name = 'account' THEN 'placeholder.pattern' ELSE 'placeholder.bad_pattern' END AS code, value AS actual FROM pv WHERE (name = 'account' AND NOT regexp_matches(value, '^Customer#\\d{{8}}[0-7]$')) OR (name = 'segment' AND value <> '')")
 def p15(spark, sf):
     v = LI.placeholder_values(account_lines(spark, sf), frames(spark, sf))
@@ -233,10 +238,10 @@ def p15(spark, sf):
     return LI.pattern_checks(v, pats).select("doc", "code", "actual")
 
 
-@query("p16_structure_severity", _BOIL + " SELECT CASE WHEN exact IS NULL THEN 'structure.boilerplate_missing' ELSE 'structure.boilerplate_altered' END AS code, CASE WHEN exact IS NULL THEN 'info' ELSE 'error' END AS severity, count(*) AS n FROM documents CROSS JOIN w LEFT JOIN hit ON hit.doc = CAST(doc_id AS VARCHAR) AND hit.slot = w.slot WHERE NOT coalesce(exact, false) GROUP BY ALL")
+@query("p16_structure_severity", _BOIL + f", {_NEAR} SELECT CASE WHEN exact IS NULL AND near.slot IS NULL THEN 'structure.boilerplate_missing' ELSE 'structure.boilerplate_altered' END AS code, CASE WHEN exact IS NULL AND near.slot IS NULL THEN 'info' ELSE 'error' END AS severity, count(*) AS n FROM documents CROSS JOIN w LEFT JOIN hit ON hit.doc = CAST(doc_id AS VARCHAR) AND hit.slot = w.slot LEFT JOIN near ON near.doc = CAST(doc_id AS VARCHAR) AND near.slot = w.slot WHERE NOT coalesce(exact, false) GROUP BY ALL")
 def p16(spark, sf):
     b = lines(spark, sf)
-    f = LI.boilerplate_checks(b, b, wording(spark, sf))
+    f = LI.boilerplate_checks(b, b, wording(spark, sf), LI.near_misses(b, wording(spark, sf)))
     return f.groupBy("code", LI.structure_severity(F.col("code"), {"structure.boilerplate_missing": "info"}).alias("severity")).agg(F.count("*").alias("n"))
 
 

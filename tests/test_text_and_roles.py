@@ -367,3 +367,17 @@ def test_direct_runs_are_counted_by_their_markers(spark):
     runs = spark.createDataFrame([("d", 0, ["b", "i"]), ("d", 0, ["b", "sz"]), ("d", 0, []), ("d", 0, ["color", "u"]), ("d", 1, ["sz"]), ("d", 2, ["sz"])], "doc string, idx int, markers array<string>")
     got = {r.doc: (r.blocks, r.paragraphs, r.runs, r.direct_runs, r.direct_density, r.disqualified) for r in FE.doc_meta(blocks, runs).collect()}
     assert got == {"d": (3, 1, 4, 2, .5, True), "e": (1, 1, 0, 0, 0.0, False)}
+
+
+def test_boilerplate_found_altered_and_missing(spark, monkeypatch):
+    monkeypatch.setattr(LI, "WORDING_LOT", 2)  # the list is taken in several lots
+    blocks = spark.createDataFrame([("a", 0, "Keep dry."), ("a", 1, "Handle with  care."), ("b", 0, "Keep dry"), ("b", 1, "Handle with care"), ("c", 0, "else")], "doc string, idx int, text string")
+    wording = spark.createDataFrame([(10, "Keep dry."), (20, "Handle with care."), (30, "This side up."), (40, "Fragile."), (50, "Keep dry.")], "slot int, text string")
+    docs = blocks.select("doc").unionByName(spark.createDataFrame([("empty",)], "doc string"))
+    got = {}
+    for r in LI.boilerplate_checks(docs, blocks, wording, LI.near_misses(blocks, wording)).collect():
+        got.setdefault(r.doc, {})[int(r.rule_id.split("/")[-1])] = r.code.split("_")[-1]
+    assert got["a"] == {30: "missing", 40: "missing"}
+    assert got["b"] == {10: "altered", 50: "altered", 20: "altered", 30: "missing", 40: "missing"}
+    assert set(got["c"].values()) == set(got["empty"].values()) == {"missing"} and len(got["c"]) == len(got["empty"]) == 5
+    assert LI.boilerplate_checks(docs, blocks, wording.limit(0)).count() == 0
