@@ -40,8 +40,8 @@ ORACLE = None  # a segmentation search has no SQL
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20  # a larger file is no piece vocabulary
 MARK = "▁"
-STORE_WORDS, STORE_LENGTH = 200_000, 64
-CHUNK = 4 << 20
+STORE_WORDS, STORE_LENGTH = 250_000, 64
+CHUNK = 8 << 20
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
