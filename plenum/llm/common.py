@@ -53,7 +53,9 @@ def with_rows(df: DataFrame, name: str) -> DataFrame:
     files = sorted(row[0] for row in placed.select(path).distinct().collect())
     numbers = spark.createDataFrame(list(enumerate(files)), f"{name} long, {path} string")
     joined = placed.join(small(numbers), path)
-    return joined.select(*df.columns, F.shiftleft(F.col(name), 36).bitwiseOR(F.col(index)).alias(name))
+    # never null, and said to be so: joins by it need no filter of their own and share one exchange of the rows
+    number = F.coalesce(F.shiftleft(F.col(name), 36).bitwiseOR(F.col(index)), F.lit(-1).cast("long"))
+    return joined.select(*df.columns, number.alias(name))
 
 
 def held_out(doc_id: Column) -> Column:
