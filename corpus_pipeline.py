@@ -5,8 +5,8 @@ documents; the last one adds the ids. Between stages the rows are written as Par
 ``spark.checkpoint.dir`` names and read again, so a lost executor costs at most one stage.
 
 Defined cases: null texts and texts without a letter go in the first stage; a null id or source is a value like any
-other (of copies, a row with an id stays before one without); repeated rows are exact copies, of which one stays; texts
-of any length are taken whole; ties are settled by the smallest id; further columns are carried through, also where
+other (a null id counts as the smallest among exact copies, as the greatest among near ones); repeated rows are exact
+copies, of which one stays; texts of any length are taken whole; ties are settled by the smallest id; further columns are carried through, also where
 their names are those of inner columns, except that ``piece_ids``, ``n_pieces``, ``decoded_text`` and ``round_trip``
 give way to the last stage's; an empty table gives an empty result.
 """
