@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm.common import documents, settle, shuffle_partitions, utf8_column, with_rows
-from plenum.llm.shingles import _SPACE, FACTOR, mix
+from plenum.llm.shingles import _SPACE, mix
 from plenum.llm.suffix_doubling import _LOW48, LAST, _emit, _groups, _joined, inverses, pack, powers, prefix_sums, unpack
 
 NAME = "op3_phrase_automata"
