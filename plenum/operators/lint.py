@@ -20,8 +20,6 @@ from plenum.skew import few, numbered, settle, small
 # Fixed values
 RANK = {"error": 0, "warn": 1, "info": 2}
 STRUCTURE_WARN = ["structure.section_order", "structure.boilerplate_missing", "structure.section_missing"]
-TRIGRAM_BITS = 14
-WORDING_BLOCK = 2000
 NEAR_MISS = 0.80
 TRIGRAM_BITS, WORDING_BLOCK = 14, 2000  # slots of the trigram table, and wordings it holds at a time
 WORDING_LOT = 4096  # wordings whose complement is taken at a time
@@ -235,14 +233,26 @@ def _reach(longer):
     return (longer - 1) // 5
 
 
-def _trigrams(text: str) -> np.ndarray:
-    """Slots of the distinct trigrams of a text; trigrams that share a slot only make a text look nearer."""
+def _slots(text: str) -> np.ndarray:
+    """Slots of a text's trigrams in order; trigrams that share a slot only make a text look nearer."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(points) < 3:
         return np.zeros(0, np.int64)
     code = (points[:-2] * np.uint64(0x9E3779B1) + points[1:-1]) * np.uint64(0x85EBCA77) + points[2:]
     code = code * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique((code >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64))
+    return (code >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64)
+
+
+def _within(missing: np.ndarray, edits: int) -> bool:
+    """Whether so many edits can spoil the trigrams at these places: one edit spoils three that follow each other at most."""
+    free = -1
+    for place in missing.tolist():
+        if place >= free:
+            edits -= 1
+            if edits < 0:
+                return False
+            free = place + 3
+    return True
 
 
 class _Wordings:
@@ -252,18 +262,32 @@ class _Wordings:
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         self.numbers, self.length = np.array(order), np.array([len(texts[i]) for i in order])
         self.table, self.many = np.zeros((1 << TRIGRAM_BITS, len(texts)), np.uint8), np.zeros(len(texts), np.int64)
-        for column, i in enumerate(order):
-            slots = _trigrams(texts[i])
+        self.places = [_slots(texts[i]) for i in order]
+        for column, places in enumerate(self.places):
+            slots = np.unique(places)
             self.table[slots, column], self.many[column] = 1, len(slots)
+        self.held = np.zeros(1 << TRIGRAM_BITS, bool)
 
     def candidates(self, text: str) -> np.ndarray:
-        """Wordings that an edit distance within reach does not rule out: one edit spoils three trigrams at most."""
+        """Wordings that an edit distance within reach does not rule out.
+
+        The trigrams that one side lacks are first counted (an edit spoils three at most), then covered by edits in order.
+        """
         n = len(text)
         low, high = np.searchsorted(self.length, [n - _reach(n), n + (n + 3) // 4], side="left")
+        if low >= high:
+            return self.numbers[:0]
         length = self.length[low:high]
         reach = _reach(np.maximum(length, n))
-        shared = self.table[_trigrams(text), low:high].sum(axis=0, dtype=np.int64)
-        return self.numbers[low:high][(np.abs(length - n) <= reach) & (self.many[low:high] - shared <= 3 * reach)]
+        places = _slots(text)
+        slots = np.unique(places)
+        shared = self.table[slots, low:high].sum(axis=0, dtype=np.uint16).astype(np.int64)
+        near = (np.abs(length - n) <= reach) & (np.maximum(self.many[low:high], len(slots)) - shared <= 3 * reach)
+        self.held[slots] = True
+        found = [low + i for i in np.flatnonzero(near)
+                 if _within(np.flatnonzero(~self.held[self.places[low + i]]), reach[i]) and _within(np.flatnonzero(self.table[places, low + i] == 0), reach[i])]
+        self.held[slots] = False
+        return self.numbers[found]
 
 
 def _candidates(texts: DataFrame, wordings: list[tuple[int, str]]) -> DataFrame:
@@ -284,8 +308,8 @@ def near_misses(blocks: DataFrame, wording: DataFrame) -> DataFrame:
     """The closest block above .80 for each wording, ``1 - edit distance / longer length``.
 
     An exact bounded similarity search: distinct texts are counted against an inverted table of the wordings'
-    trigrams, which rules out what cannot be within reach (and nothing else), and only the rest is measured, by an edit
-    distance that stops at the bound. Wordings are taken in blocks of ``WORDING_BLOCK``, however many there are.
+    trigrams, and the trigrams a pair does not share are covered by as few edits as they need, which rules out what
+    cannot be within reach (and nothing else); only the rest is measured, by an edit distance that stops at the bound. Wordings are taken in blocks of ``WORDING_BLOCK``, however many there are.
     """
     keyed = wording.select("slot", K.match_key(F.col("text")).alias("wk")).where("wk <> ''")
     distinct = numbered(keyed.select("wk").distinct(), [], ["wk"], "number")

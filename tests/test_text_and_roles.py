@@ -358,6 +358,15 @@ def test_near_misses_match_plain_edit_distance(spark, monkeypatch):
     assert LI.near_misses(blocks.limit(0), wording).count() == 0 and LI.near_misses(blocks, wording.limit(0)).count() == 0
 
 
+def test_near_misses_are_not_measured_where_edits_lie_apart():
+    """Eleven insertions spoil two trigrams each: ten edits could spoil as many, but not at these places."""
+    from plenum.operators.lint import _Wordings
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQR"
+    text = "".join(letters[i:i + 4] + "0123456789#"[i // 4] for i in range(0, 44, 4))
+    assert list(_Wordings([letters]).candidates(text)) == []
+    assert list(_Wordings([letters]).candidates(text.replace("#", ""))) == [0]
+
+
 def test_direct_runs_are_counted_by_their_markers(spark):
     """Bold and italic are emphasis; a size, colour or underline of its own is direct; deleted blocks are silent."""
     from plenum.operators import features as FE
