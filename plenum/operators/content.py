@@ -183,11 +183,21 @@ def merge_inlines(inlines: DataFrame) -> DataFrame:
 
     ``inlines``: doc, idx, seq, kind (text | emphasis | other), strong, value.
     """
-    one = Window.partitionBy("doc", "idx").orderBy("seq")
-    same = (F.col("kind") == F.lag("kind").over(one)) & F.col("strong").eqNullSafe(F.lag("strong").over(one)) & F.col("kind").isin("text", "emphasis")
-    work = inlines.withColumn("grp", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(one.rowsBetween(Window.unboundedPreceding, 0)))
-    out = _ordered_text(work, ["doc", "idx", "grp", "kind", "strong"], "seq", "value", "", "value")
-    return out.where("not (kind = 'text' and value = '')")
+    return merge_inline_lists(inlines.groupBy("doc", "idx").agg(F.collect_list(F.struct("seq", "kind", "strong", "value")).alias("inlines")))
+
+
+def merge_inline_lists(blocks: DataFrame) -> DataFrame:
+    """T6 for blocks ``(doc, idx, inlines)`` that carry their inlines ``(seq, kind, strong, value)`` as one array: no shuffle, no sort of rows.
+
+    A new inline starts where one differs from the one before; each runs up to the next start.
+    """
+    same = "inlines[i - 1].kind = inlines[i - 2].kind and inlines[i - 1].strong <=> inlines[i - 2].strong and inlines[i - 1].kind in ('text', 'emphasis')"
+    sorted_ = blocks.where("size(inlines) > 0").select("doc", "idx", F.array_sort("inlines").alias("inlines"))
+    starts = sorted_.withColumn("starts", F.expr(f"filter(sequence(1, size(inlines)), i -> i = 1 or not coalesce({same}, false))"))
+    merged = starts.select("doc", "idx", F.expr(
+        "inline(transform(starts, (s, n) -> struct(inlines[s - 1].kind as kind, inlines[s - 1].strong as strong,"
+        " array_join(transform(slice(inlines, s, coalesce(get(starts, n + 1), size(inlines) + 1) - s), x -> x.value), '') as value)))"))
+    return merged.where("not (kind = 'text' and value = '')")
 
 
 def escape(text: Column) -> Column:

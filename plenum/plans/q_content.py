@@ -100,9 +100,9 @@ def t5(spark, sf):
 
 @query("t6_merge_inlines", "SELECT CAST(o_orderkey AS VARCHAR) AS doc, 'text' AS kind, NULL AS strong, o_orderstatus || 'b' AS value FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'emphasis', true, 'xy' FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'emphasis', false, o_orderpriority FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'other', NULL, 'k' FROM orders")
 def t6(spark, sf):
-    i = table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) as doc", "0 as idx", """inline(array(struct(0 as seq, 'text' as kind, cast(null as boolean) as strong, o_orderstatus as value), struct(1 as seq, 'text' as kind, null as strong, 'b' as value), struct(2 as seq, 'emphasis' as kind, true as strong, 'x' as value), struct(3 as seq, 'emphasis' as kind, true as strong, 'y' as value),
-      struct(4 as seq, 'emphasis' as kind, false as strong, o_orderpriority as value), struct(5 as seq, 'other' as kind, null as strong, 'k' as value), struct(6 as seq, 'text' as kind, null as strong, '' as value)))""")
-    return CO.merge_inlines(i).select("doc", "kind", "strong", "value")
+    i = table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) as doc", "0 as idx", """array(struct(0 as seq, 'text' as kind, cast(null as boolean) as strong, o_orderstatus as value), struct(1 as seq, 'text' as kind, null as strong, 'b' as value), struct(2 as seq, 'emphasis' as kind, true as strong, 'x' as value), struct(3 as seq, 'emphasis' as kind, true as strong, 'y' as value),
+      struct(4 as seq, 'emphasis' as kind, false as strong, o_orderpriority as value), struct(5 as seq, 'other' as kind, null as strong, 'k' as value), struct(6 as seq, 'text' as kind, null as strong, '' as value)) as inlines""")
+    return CO.merge_inline_lists(i).select("doc", "kind", "strong", "value")
 
 
 def page_content(spark, sf):

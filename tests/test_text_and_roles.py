@@ -390,3 +390,17 @@ def test_boilerplate_found_altered_and_missing(spark, monkeypatch):
     assert got["b"] == {10: "altered", 50: "altered", 20: "altered", 30: "missing", 40: "missing"}
     assert set(got["c"].values()) == set(got["empty"].values()) == {"missing"} and len(got["c"]) == len(got["empty"]) == 5
     assert LI.boilerplate_checks(docs, blocks, wording.limit(0)).count() == 0
+
+
+def test_inlines_are_merged_in_rows_and_in_lists_alike(spark):
+    from plenum.operators import content as CO
+    rows = [("a", 0, 2, "text", None, "b"), ("a", 0, 1, "text", None, "a"), ("a", 0, 3, "other", None, "k"), ("a", 0, 4, "other", None, "k"), ("a", 0, 5, "emphasis", True, "x"),
+            ("a", 0, 6, "emphasis", False, "y"), ("a", 0, 7, "emphasis", False, None), ("a", 1, 1, "text", None, ""), ("b", 0, 1, "text", True, "t"), ("b", 0, 2, "text", None, "u")]
+    inlines = spark.createDataFrame(rows, "doc string, idx int, seq int, kind string, strong boolean, value string")
+    want = [("a", 0, "emphasis", False, "y"), ("a", 0, "emphasis", True, "x"), ("a", 0, "other", None, "k"), ("a", 0, "other", None, "k"), ("a", 0, "text", None, "ab"),
+            ("b", 0, "text", None, "u"), ("b", 0, "text", True, "t")]
+    assert sorted((tuple(r) for r in CO.merge_inlines(inlines).collect()), key=str) == sorted(want, key=str)
+    lists = spark.createDataFrame([("a", 0, [r[2:] for r in rows if r[:2] == ("a", 0)]), ("c", 0, []), ("d", 0, None)], "doc string, idx int, inlines array<struct<seq int, kind string, strong boolean, value string>>")
+    got = CO.merge_inline_lists(lists)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((w for w in want if w[0] == "a"), key=str)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
