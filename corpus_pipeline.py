@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their number and the decoded text beside the columns of documents."""
-    return piece_viterbi.encoded(docs)
+    return piece_viterbi.encoded(docs, keep=False)  # the next run's stages use the same workers
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixture", mixture), ("pieces", pieces)]

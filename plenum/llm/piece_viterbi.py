@@ -280,15 +280,19 @@ def _lists(parts: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([*offsets, total], pa.int32()), flat)
 
 
-def encoded(docs: DataFrame, model: bytes | None = None) -> DataFrame:
-    """``docs``, with its columns, and ``piece_ids``, ``n_pieces``, ``decoded_text`` and ``round_trip``; own columns of these names give way."""
+def encoded(docs: DataFrame, model: bytes | None = None, keep: bool = True) -> DataFrame:
+    """``docs``, with its columns, and ``piece_ids``, ``n_pieces``, ``decoded_text`` and ``round_trip``; own columns of these names give way.
+
+    With ``keep`` a worker process holds the model and the words met from task to task; without, a task gives them back
+    at its end, so that other work in the same workers has the memory.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_model() if model is None else model)
     new = T.StructType.fromDDL("piece_ids array<int>, n_pieces long, decoded_text string, round_trip boolean")
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new.names])
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, *new.fields])
 
     def run(batches):
-        vocabulary, store = loaded(shared.value)
+        vocabulary, store = loaded(shared.value) if keep else (Vocabulary(shared.value), Store())
         for batch in batches:
             low = 0
             while low < batch.num_rows:

@@ -73,3 +73,13 @@ def test_edges(make_docs, store, spark):
     got = cp.run(spark, store(docs)).collect()
     assert Counter(r.doc_id for r in got) == Counter([5, None, 8]) and got[0].row == "x"
     assert cp.run(spark, store(make_docs([]))).count() == 0
+
+
+def test_the_pieces_stage_leaves_nothing_in_its_worker(spark, monkeypatch):
+    """Workers are used again by the stages of the next run; words and model of this one must not lie in them."""
+    docs, taken = spark.read.parquet(f"{SF}/documents.parquet").limit(5), []
+    batches = docs.toArrow().to_batches()
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run))
+    cp.pieces(spark, docs, SF)
+    pv.loaded.cache_clear()
+    assert sum(b.num_rows for b in taken[0](iter(batches))) == 5 and pv.loaded.cache_info().currsize == 0
