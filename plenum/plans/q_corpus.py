@@ -8,7 +8,7 @@ from plenum.functions import values as V
 from plenum.operators import corpus as C
 from plenum.operators import votes as O
 from plenum.plans import sqlparts as S
-from plenum.plans.q_votes import (NATION_DOCS, NATION_OBS, nation_ballots, nation_docs, spark_specs,
+from plenum.plans.q_votes import (NATION_DOCS, NATION_OBS, nation_buckets, nation_docs, spark_specs,
                                   VOTES_SQL, lineitem_ballots, supplier_docs)
 from plenum.plans.registry import query, table
 from plenum.skew import settle
@@ -45,8 +45,8 @@ H_SQL = f"WITH {NATION_OBS},{S.votes(NATION_DOCS)}" + AGREE_SQL.format(docs=NATI
 
 def judged(spark, sf):
     docs = nation_docs(spark, sf)
-    dv = settle(O.document_votes(nation_ballots(spark, sf)))  # read by the votes and by every document's agreement
-    v = O.votes(dv, O.corpus_sizes(docs))
+    dv = settle(nation_buckets(spark, sf))  # read by the votes and by every document's agreement
+    v = O.bucket_votes(dv, O.corpus_sizes(docs))
     return docs, dv, v, C.agreement_by_document(dv, v, docs)
 
 
@@ -97,7 +97,7 @@ def h3(spark, sf):
 @query("h4_split", f"WITH {NATION_OBS},{S.doc_votes()},{SPLIT_CTES} SELECT corpus, medoid_a, medoid_b, size_a, size_b, CASE WHEN strength < 1e300 THEN round(strength, 6) END AS strength, is_split FROM splits")
 def h4(spark, sf):
     """One search per nation, over the vote vectors of its suppliers."""
-    vectors = C.vote_vectors(O.document_votes(nation_ballots(spark, sf)))
+    vectors = C.vote_vectors(nation_buckets(spark, sf))
     return C.best_medoids(vectors).select("corpus", "medoid_a", "medoid_b", "size_a", "size_b", F.when(F.col("strength") < 1e300, F.round("strength", 6)).alias("strength"), "is_split")
 
 

@@ -131,6 +131,12 @@ def nation_ballots(spark, sf):
     return O.ballots(rows, F.col("l_suppkey"), spark_specs(LINEITEM), F.col("s_nationkey"))
 
 
+def nation_buckets(spark, sf):
+    """The bucket of each supplier's verdict per pointer; the nation joins the verdicts, not the line items."""
+    of = nation_docs(spark, sf).where("doc is not null").distinct()
+    return O.document_buckets(table(spark, sf, "lineitem"), F.col("l_suppkey"), spark_specs(LINEITEM)).join(of, "doc")
+
+
 def nation_docs(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("corpus"),
                                                F.col("s_suppkey").cast("string").alias("doc"))

@@ -155,3 +155,18 @@ def test_pruned_split_is_the_exhaustive_one(spark, monkeypatch, tile):
     assert {(r.corpus, r.a, r.b): r.distance for r in every} == {(c, a, b): x for c, w in want.items() for (a, b), x in w[4].items() if a < b}
     some = vectors.select("corpus", F.col("vector").alias("a")).join(vectors.select("corpus", F.col("vector").alias("b")), "corpus").where("a < b and substr(b, 3) = '7'")
     assert all(r.distance == want[r.corpus][4][r.a, r.b] for r in C.distances(vectors, some).collect())
+
+
+def test_buckets_alone_are_those_of_the_verdicts(spark):
+    rows = [(d, v, "ab"[v % 2]) for d in range(4) for v in (1, 1, 2, 30, 30 + d, 47)] + [(9, None, None), (9, 5, None)]
+    specs = [("/x/width", "len", F.col("v")), ("/x/n", "n", F.col("v")), ("/x/s", "s", F.col("s"))]
+    df = spark.createDataFrame(rows, "d int, v double, s string")
+    full = O.document_votes(O.ballots(df, F.col("d"), specs))
+    near = O.document_buckets(df, F.col("d"), specs)
+    assert sorted(near.select("doc", "pointer", "bkey").collect()) == sorted(full.select("doc", "pointer", "bkey").collect())
+    sizes = O.corpus_sizes(full)
+    cols = ["pointer", "bkey", "observed_in", "modal_count", "coverage", "agreement", "status"]
+    assert sorted(O.bucket_votes(near.withColumn("corpus", F.lit("all")), sizes).select(*cols).collect()) == sorted(O.votes(full, sizes).select(*cols).collect())
+    # rows meet by document before they become ballots
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("REBALANCE_PARTITIONS_BY_COL") > plan.index("Generate") > plan.index("hashpartitioning(doc")
