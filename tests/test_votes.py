@@ -158,7 +158,7 @@ def test_pruned_split_is_the_exhaustive_one(spark, monkeypatch, tile):
 
 
 def test_buckets_alone_are_those_of_the_verdicts(spark):
-    rows = [(d, v, "ab"[v % 2]) for d in range(4) for v in (1, 1, 2, 30, 30 + d, 47)] + [(9, None, None), (9, 5, None)]
+    rows = [(d, float(v), "ab"[v % 2]) for d in range(4) for v in (1, 1, 2, 30, 30 + d, 47)] + [(9, None, None), (9, 5.0, None)]
     specs = [("/x/width", "len", F.col("v")), ("/x/n", "n", F.col("v")), ("/x/s", "s", F.col("s"))]
     df = spark.createDataFrame(rows, "d int, v double, s string")
     full = O.document_votes(O.ballots(df, F.col("d"), specs))
