@@ -404,3 +404,25 @@ def test_inlines_are_merged_in_rows_and_in_lists_alike(spark):
     got = CO.merge_inline_lists(lists)
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((w for w in want if w[0] == "a"), key=str)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extremes_are_found_before_anything_is_sorted(spark):
+    rows = [("f", "1", 0, "Name: Ann"), ("f", "2", 0, "Name: Bob Zed"), ("f", "3", 0, None), ("f", "1", 1, "Same."), ("f", "2", 1, "Same."), ("f", "3", 1, "\U0001f600 x"), ("f", "2", 2, "\uffee x"), ("f", "1", 2, None)]
+    copies = spark.createDataFrame(rows, "form string, doc string, idx int, text string").repartition(3)
+    out = BX.varying_spans(copies, spark.createDataFrame([("f", "1")], "form string, doc string"))
+    assert [tuple(r) for r in out.orderBy("idx").collect()] == [("f", 0, "Name: Ann", 6, 9, "Name: "), ("f", 1, "Same.", 0, 5, "")]
+    # whole copies are not sorted: each batch is reduced to its groups' ends first
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_alignment_deals_documents_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 1)
+    assert skew.pieces(spark, 4_600_000, 500_000) == 10 and skew.pieces(spark, 3) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([("c", "", d, p, "body", k, False) for d in ("a", "b", "c") for p, k in enumerate(("x", "y", "z") if d != "c" else ("y", "x", "z"))],
+                                 "corpus string, section string, doc string, pos int, kind string, key string, is_heading boolean")
+    out = SK.align(rows, spark.createDataFrame([("c", 3)], "corpus string, n_docs bigint"), parts=3)
+    col = {(r.doc, r.key): r.col for r in out.collect()}
+    assert col["a", "x"] == col["b", "x"] == "k|body|x|1" and len({col["c", k] for k in "xyz"}) == 3 and sum(col["c", k].startswith("k|") for k in "xyz") == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
