@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plenum.operators import fill as FL
 from plenum.plans.registry import query, table
+from plenum.skew import spread
 
 TEMPLATE = [
     "'Dear {{full_name*|Full name}} of ' || n_name || ','",
@@ -22,7 +23,7 @@ def template(spark, sf):
 
 
 def records(spark, sf):
-    return table(spark, sf, "customer").selectExpr(
+    return spread(table(spark, sf, "customer"), "c_custkey").selectExpr(
         "cast(c_custkey as string) as record", "c_nationkey as template_id",
         """map('full_name', c_name, 'segment', c_mktsegment, 'code', '{{full_name}}', 'vip', if(c_acctbal > 5000, ' Yes', 'no'), 'status', 'Final',
           'balance', cast(cast(c_acctbal as decimal(12,2)) as string), 'due', cast(null as string), 'photo', 'bytes', 'extra', 'unused') as answers""")
