@@ -12,6 +12,7 @@ MARKERS = [
     ("###", r"###\s*([^#]{1,40}?)\s*###"), ("merge", r"«\s*([^»]{1,40}?)\s*»"),
     ("braces", r"\{\{\s*([^}]{1,40}?)\s*\}\}"), ("bracket", r"\[([A-Z][A-Za-z0-9 _/'-]{2,30})\]"),
 ]
+SIGNS = {MARKERS[0][1]: "###", MARKERS[1][1]: "«", MARKERS[2][1]: "{{", MARKERS[3][1]: "["}  # what every match of a pattern holds
 ANY_MARKER = "|".join(p for _, p in MARKERS)
 CLEAR_MARKER = "|".join(p for n, p in MARKERS if n != "bracket")
 CHOICE = r"(?i)^\s*(?:choice|select|pick)\s*:\s*([^|]+?)\s*(?:\|\s*(.*?))?\s*$"
@@ -25,11 +26,14 @@ FILLER = "^[\\s\\x{2002}-\\x{200b} ._]*$"
 NAME_WORDS = 6
 
 
-def parse_marker(inner: Column) -> Column:
-    """L2: ``[type:] name [*] [| label]`` as ``struct(kind, name, choices, required, label)``."""
-    choice = F.regexp_extract(inner, CHOICE, 1)
+def _heads(inner: Column) -> Column:
+    """What decides how a marker is read: its inner text, the name of a choice, the typed prefix."""
+    return F.struct(inner.alias("inner"), F.regexp_extract(inner, CHOICE, 1).alias("choice"), F.lower(F.regexp_extract(inner, TYPED, 1)).alias("typed"))
+
+
+def _read(heads: Column) -> Column:
+    inner, choice, typed = heads["inner"], heads["choice"], heads["typed"]
     is_choice = choice != ""
-    typed = F.lower(F.regexp_extract(inner, TYPED, 1))
     body = F.when(typed != "", F.regexp_extract(inner, TYPED, 2)).otherwise(inner)
     kind = F.lit("text")
     for prefix, value in KINDS.items():
@@ -44,21 +48,36 @@ def parse_marker(inner: Column) -> Column:
         named.endswith("*").alias("required"), label.alias("label"))
 
 
+def parse_marker(inner: Column) -> Column:
+    """L2: ``[type:] name [*] [| label]`` as ``struct(kind, name, choices, required, label)``."""
+    return _read(_heads(inner))
+
+
 def _found(text: Column, styles: list[tuple[str, str]]) -> Column:
-    """Markers of a text, style by style, in reading order within a style."""
+    """Markers of a text with their parsed parts, style by style, in reading order within a style.
+
+    A pattern is tried only where its sign stands. Each step is bound by a transform of its own, so that no
+    expression on a marker is worked out again where a later one uses it.
+    """
+    none = F.array().cast("array<string>")
+
     def of(style: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: F.struct(
+        raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        if pattern in SIGNS:
+            raws = F.when(F.contains(text, F.lit(SIGNS[pattern])), raws).otherwise(none)
+        return F.transform(raws, lambda raw: F.struct(
             F.lit(style).alias("style"), raw.alias("raw"), F.trim(F.regexp_extract(raw, pattern, 1)).alias("inner")))
 
-    per = [of(style, pattern) for style, pattern in styles]
-    return F.concat(*per)
+    found = F.concat(*[of(style, pattern) for style, pattern in styles])
+    headed = F.transform(found, lambda m: F.struct(m["style"].alias("style"), m["raw"].alias("raw"), _heads(m["inner"]).alias("heads")))
+    return F.transform(headed, lambda m: F.struct(m["style"].alias("style"), m["raw"].alias("raw"), _read(m["heads"]).alias("p")))
 
 
 def _exploded(blocks: DataFrame, styles) -> DataFrame:
     """One row per marker with its parsed parts; ``pos`` is its place in the block."""
-    raw = blocks.select("doc", "idx", F.posexplode(_found(F.col("text"), styles)).alias("pos", "m"))
-    return raw.select("doc", "idx", "pos", "m.*").withColumn("p", parse_marker(F.col("inner"))).select(
-        "doc", "idx", "pos", "style", "raw", "p.*")
+    # outer, then no nulls: for an inner explode Spark would find the markers twice, first to see whether there are any
+    rows = blocks.select("doc", "idx", F.posexplode_outer(_found(F.col("text"), styles)).alias("pos", "m")).where("m is not null")
+    return rows.select("doc", "idx", "pos", "m.style", "m.raw", "m.p.*")
 
 
 def markers(blocks: DataFrame, styles=None) -> DataFrame:

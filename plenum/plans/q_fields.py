@@ -9,6 +9,7 @@ from plenum.operators import byexample as BX
 from plenum.operators import fields as FI
 from plenum.plans.q_text import collapse_sql
 from plenum.plans.registry import query, table
+from plenum.skew import spread
 
 # lines of a letter, valid in both dialects
 LETTER = [
@@ -23,7 +24,7 @@ LETTER = [
 
 def letters(spark, sf):
     entries = ", ".join(f"struct({i} as idx, {e} as text)" for i, e in enumerate(LETTER))
-    return table(spark, sf, "customer").selectExpr("cast(c_custkey as string) as doc", f"inline(array({entries}))")
+    return spread(table(spark, sf, "customer"), "c_custkey").selectExpr("cast(c_custkey as string) as doc", f"inline(array({entries}))")
 
 
 LETTER_SQL = "lt AS (" + " UNION ALL ".join(

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from plenum.operators import fields as FI
 from plenum.operators import fill as FL
-from plenum.plans import q_fill
+from plenum.plans import q_fields, q_fill
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,6 +13,13 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_markers_are_looked_for_once_and_on_all_cores(spark):
+    letters = q_fields.letters(spark, SF)
+    assert letters.rdd.getNumPartitions() >= 8
+    found = FI.markers(letters)
+    assert sum(line.count("regexp_extract_all(") for line in plan(found).splitlines()) == len(FI.MARKERS)
+
+
 def test_answers_are_kept_once_and_never_sorted(spark):
     saved = FL.session(FL.fill(q_fill.template(spark, SF), q_fill.records(spark, SF)))
     n = saved.select("record").distinct().count()
