@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from plenum.functions import keys as K
 from plenum.operators import fields as FI
 from plenum.operators import fill as FL
-from plenum.plans import q_fields, q_fill
+from plenum.operators import verify as VE
+from plenum.plans import q_fields, q_fill, q_text
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,18 @@ def test_outputs_without_answers_are_refilled_too(spark):
     changed = spark.createDataFrame([("r", {"a": "y"})], "record string, changes map<string,string>")
     got = FL.refill(FL.session(FL.fill(t, r)), t, changed)
     assert {(x.record, x.idx, x.text) for x in got.collect()} == {("r", 0, "y!"), ("r", 1, "{{b}}?"), ("s", 0, "{{a}}!"), ("s", 1, "?")}
+
+
+def test_lines_are_keyed_on_all_cores_and_travel_as_digests(spark):
+    lines = q_text.lines(spark, SF)
+    assert lines.rdd.getNumPartitions() >= 8
+    snap = spark.createDataFrame([("d", False, 0, "k")], "doc string, chrome boolean, seq int, key string")
+    dealt = [line for line in plan(VE.text_faults(snap, snap.limit(1))).splitlines() if "RepartitionByExpression" in line or "Union" in line]
+    assert dealt and "xxhash64" in plan(VE.text_faults(snap, snap.limit(1))).split("RepartitionByExpression")[1]
+
+
+def test_plain_text_is_told_by_cheap_searches_and_nothing_else_is(spark):
+    texts = ["", "a", "a b", "naïve Größe", " a", "a ", "a  b", "a\n", "a\tb", "a\u00a0b", "x\u2028", "e\u0301", "\u00ad", "½", "a – b", "“q”", "…", None]
+    got = {r.t: (r.k, r.plain) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.match_key(F.col("t")).alias("k"), K._plain(F.col("t")).alias("plain")).collect()}
+    assert [t for t in texts if got[t][1]] == ["", "a", "a b", "naïve Größe"]
+    assert got["a  b"][0] == got["a\tb"][0] == got["a\u00a0b"][0] == "a b" and got["e\u0301"][0] == "é" and got["a\n"][0] == "a" and got[None][0] is None
