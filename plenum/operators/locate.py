@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import keys as K
@@ -73,18 +73,26 @@ def containers(blocks: DataFrame) -> DataFrame:
 def find_strings(blocks: DataFrame) -> DataFrame:
     """The shortest opening of 5-14 words that occurs once in the document, as a substring.
 
-    The document's whole text is assembled once per document and joined back on the document key;
-    ten candidates are counted inside the row.
+    A document's blocks are gathered once, with its whole text beside them; a longer opening is only tried where the
+    shorter ones occur again.
     """
-    flat = blocks.withColumn("flat", K.collapse(F.col("text")))
-    whole = flat.where("flat <> ''").groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "flat"))), lambda x: x["flat"]), "\n").alias("whole"))
-    found = flat.join(whole, "doc", "left").withColumn("_w", F.split("flat", " ")).withColumn("_c", F.expr(
-        f"""array_distinct(transform(sequence({MIN_WORDS}, {MAX_WORDS}), k -> array_join(slice(_w, 1, k), ' ')))"""))
-    unique = F.expr("""get(filter(_c, c -> length(whole) - length(replace(whole, c, '')) <= length(c)), 0)""")
-    return found.withColumn(
-        "find_string", F.when(F.col("flat") == "", "").otherwise(F.coalesce(unique, F.element_at("_c", -1)))
-    ).drop("flat", "whole", "_w", "_c")
+    names = [c for c in blocks.columns if c != "doc"]
+    flat = blocks.select("doc", F.struct("idx", K.collapse(F.col("text")).alias("flat"), F.struct(*names).alias("block")).alias("b"))
+    docs = flat.groupBy("doc").agg(F.collect_list("b").alias("bs"))
+    shown = F.transform(F.array_sort(F.transform(F.filter("bs", lambda b: b["flat"] != ""), lambda b: F.struct(b["idx"].alias("idx"), b["flat"].alias("flat")))), lambda b: b["flat"])
+    docs = docs.withColumn("whole", F.array_join(shown, "\n"))
+
+    def opening(flat: Column, k: int) -> Column:
+        return F.substring_index(flat, " ", k)
+
+    def once(words: Column) -> Column:
+        return F.length("whole") - F.length(F.replace(F.col("whole"), words)) <= F.length(words)
+
+    found = F.when(F.col("flat") == "", "")
+    for k in range(MIN_WORDS, MAX_WORDS):
+        found = found.when(once(opening(F.col("flat"), k)), opening(F.col("flat"), k))
+    rows = docs.select("doc", "whole", F.explode_outer("bs").alias("b")).select("doc", "whole", "b.flat", "b.block.*")
+    return rows.withColumn("find_string", found.otherwise(opening(F.col("flat"), MAX_WORDS))).select(*blocks.columns, "find_string")
 
 
 def cover(blocks: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Steps whose time or memory must not grow faster than their input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from plenum.functions import keys as K
 from plenum.operators import fields as FI
 from plenum.operators import fill as FL
+from plenum.operators import locate as LO
 from plenum.operators import verify as VE
 from plenum.plans import q_fields, q_fill, q_text
+from plenum.sources import text as X
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +56,30 @@ def test_plain_text_is_told_by_cheap_searches_and_nothing_else_is(spark):
     got = {r.t: (r.k, r.plain) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.match_key(F.col("t")).alias("k"), K._plain(F.col("t")).alias("plain")).collect()}
     assert [t for t in texts if got[t][1]] == ["", "a", "a b", "naïve Größe"]
     assert got["a  b"][0] == got["a\tb"][0] == got["a\u00a0b"][0] == "a b" and got["e\u0301"][0] == "é" and got["a\n"][0] == "a" and got[None][0] is None
+
+
+def test_pages_are_cut_with_one_sort_and_rows_and_cells_counted_as_before(spark):
+    blocks = q_text.page_blocks(spark, SF)
+    assert len(re.findall(r"\bSort \[", blocks._jdf.queryExecution().executedPlan().toString())) == 1
+    assert blocks.rdd.getNumPartitions() >= 8
+    tags = "td table td tr th td table tr td /table td tr td /table p tr td table td /table".split()
+    df = spark.createDataFrame([("d", "".join(f"<{t}>{i}" for i, t in enumerate(tags)))], "doc string, html string")
+    got = {r.text: (r.row, r.col) for r in X.html_blocks(df, F.col("doc"), F.col("html")).collect()}
+    want, tbl, tr, depth = {}, 0, 0, 0
+    for i, t in enumerate(tags):
+        depth += (t == "table") - (t == "/table")
+        tbl, tr = tbl + (t == "table"), tr + (t == "tr")
+        so_far = [(tags[j], tags[: j + 1].count("table"), tags[: j + 1].count("tr")) for j in range(i + 1)]
+        if t in ("td", "th", "p"):
+            want[str(i)] = (sum(x == "tr" and n == tbl for x, n, _ in so_far), sum(x in ("td", "th") and n == tr for x, _, n in so_far)) if depth > 0 else (None, None)
+    assert got == want
+
+
+def test_find_strings_need_no_join(spark):
+    texts = ["a b c d e f", "a b c d e g", "a b c d e", "x", "", "x", None, "one two three four five six"]
+    df = spark.createDataFrame([("d", i, t, "kept") for i, t in enumerate(texts)] + [("e", 0, "x", "kept")], "doc string, idx int, text string, more string")
+    out = LO.find_strings(df)
+    assert "Join" not in plan(out) and out.columns == ["doc", "idx", "text", "more", "find_string"]
+    got = {(r.doc, r.idx): (r.text, r.more, r.find_string) for r in out.collect()}
+    assert [got["d", i][2] for i in range(8)] == ["a b c d e f", "a b c d e g", "a b c d e", "x", "", "x", None, "one two three four five"]
+    assert got["e", 0] == ("x", "kept", "x") and len(got) == 9
