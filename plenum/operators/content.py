@@ -168,14 +168,17 @@ def nest_lists(blocks: DataFrame) -> DataFrame:
 def shape_tables(cells: DataFrame) -> DataFrame:
     """T5: rectangular tables: ragged rows padded, the first row is the header, alignment from the first body row.
 
-    ``cells``: doc, tbl, row, col, text, align.
+    ``cells``: doc, tbl, row, col, text, align. The cells of a table meet once: rows are gathered, then tables, in one partitioning.
     """
-    size = cells.groupBy("doc", "tbl").agg(F.max("col").alias("cols"), F.max("row").alias("rows"))
-    rows = cells.select("doc", "tbl", "row").distinct().join(size, ["doc", "tbl"])
-    grid = rows.select("doc", "tbl", "row", "rows", F.explode(F.sequence(F.lit(1), F.col("cols"))).alias("col"))
-    sample = cells.join(size, ["doc", "tbl"]).where("row = least(2, rows)").select("doc", "tbl", "col", F.when(F.col("align").isin("center", "right"), F.col("align")).alias("_a"))
-    filled = grid.join(cells.select("doc", "tbl", "row", "col", "text"), ["doc", "tbl", "row", "col"], "left").join(sample, ["doc", "tbl", "col"], "left")
-    return filled.select("doc", "tbl", "row", "col", F.coalesce("text", F.lit("")).alias("text"), (F.col("row") == 1).alias("header"), F.coalesce("_a", F.lit("left")).alias("align"))
+    rows = cells.repartition("doc", "tbl").groupBy("doc", "tbl", "row").agg(F.collect_list(F.struct("col", "text", "align")).alias("cs"), F.max("col").alias("n"))
+    tables = rows.groupBy("doc", "tbl").agg(F.collect_list(F.struct("row", "cs")).alias("ls"), F.max("n").alias("cols"), F.max("row").alias("rows"))
+    body = F.flatten(F.transform(F.filter("ls", lambda r: r["row"] == F.least(F.lit(2), F.col("rows"))), lambda r: r["cs"]))
+    aligned = F.filter(body, lambda c: c["align"].isin("center", "right"))
+    row = tables.withColumn("aligned", aligned).select("doc", "tbl", "cols", "aligned", F.explode_outer("ls").alias("l")).select("doc", "tbl", "cols", "aligned", "l.row", "l.cs")
+    grid = row.select("doc", "tbl", "row", F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.col("cols")), lambda k: F.struct(
+        k.alias("col"), F.filter("cs", lambda c: c["col"] == k).alias("own"), F.get(F.filter("aligned", lambda c: c["col"] == k), F.lit(0))["align"].alias("align")))).alias("_p", "g"))
+    filled = grid.select("doc", "tbl", "row", F.col("g.col").alias("col"), F.explode_outer("g.own").alias("c"), F.col("g.align").alias("_a"))
+    return filled.select("doc", "tbl", "row", "col", F.coalesce("c.text", F.lit("")).alias("text"), (F.col("row") == 1).alias("header"), F.coalesce("_a", F.lit("left")).alias("align"))
 
 
 def merge_inlines(inlines: DataFrame) -> DataFrame:
@@ -206,15 +209,25 @@ def escape(text: Column) -> Column:
 
 def render_tables(shaped: DataFrame) -> DataFrame:
     """Padded pipe tables: ``(doc, tbl, text)``."""
-    col = Window.partitionBy("doc", "tbl", "col")
-    work = shaped.withColumn("w", F.greatest(F.lit(3), F.max(F.length("text")).over(col)))
-    cell = F.rpad("text", F.col("w"), F.lit(" "))
-    rule = F.when(F.col("align") == "right", F.concat(F.repeat(F.lit("-"), F.col("w") - 1), F.lit(":"))).when(
-        F.col("align") == "center", F.concat(F.lit(":"), F.repeat(F.lit("-"), F.col("w") - 2), F.lit(":"))).otherwise(F.repeat(F.lit("-"), F.col("w")))
-    rows = work.select("doc", "tbl", (F.col("row") * 2).alias("at"), "col", cell.alias("c")).unionByName(
-        work.where("header").select("doc", "tbl", F.lit(3).alias("at"), "col", rule.alias("c")))
-    line = _ordered_text(rows, ["doc", "tbl", "at"], "col", "c", " | ", "l").withColumn("l", F.concat(F.lit("| "), "l", F.lit(" |")))
-    return _ordered_text(line, ["doc", "tbl"], "at", "l", "\n", "text")
+    rows = shaped.groupBy("doc", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "align"))).alias("cs"), F.max("header").alias("header"), F.max("col").alias("n"))
+    tables = rows.groupBy("doc", "tbl").agg(F.array_sort(F.collect_list(F.struct("row", "header", "cs"))).alias("ls"), F.max("n").alias("cols"))
+    longest = lambda r, k: F.array_max(F.transform(F.filter(r["cs"], lambda c: c["col"] == k), lambda c: F.length(c["text"])))
+    widths = F.transform(F.sequence(F.lit(1), F.col("cols")), lambda k: F.greatest(F.lit(3), F.array_max(F.transform("ls", lambda r: longest(r, k)))))
+    width = lambda c: F.get(F.col("ws"), c["col"] - 1)
+
+    def cell(c: Column) -> Column:
+        return F.rpad(c["text"], width(c), F.lit(" "))
+
+    def rule(c: Column) -> Column:
+        dashes = lambda n: F.repeat(F.lit("-"), width(c) - n)
+        return F.when(c["align"] == "right", F.concat(dashes(1), F.lit(":"))).when(c["align"] == "center", F.concat(F.lit(":"), dashes(2), F.lit(":"))).otherwise(dashes(0))
+
+    def line(cells: Column, shown) -> Column:
+        return F.concat(F.lit("| "), F.array_join(F.transform(cells, shown), " | "), F.lit(" |"))
+
+    lines = F.flatten(F.transform("ls", lambda r: F.when(r["header"], F.array(line(r["cs"], cell), line(r["cs"], rule))).otherwise(F.array(line(r["cs"], cell)))))
+    # written out row by row before it is used, so that the widths are worked out once for a table
+    return tables.select("doc", "tbl", "ls", F.explode_outer(F.array(widths)).alias("ws")).select("doc", "tbl", F.array_join(lines, "\n").alias("text"))
 
 
 def to_markdown(blocks: DataFrame) -> DataFrame:

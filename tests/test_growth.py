@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from plenum.functions import keys as K
+from plenum.operators import content as CO
 from plenum.operators import fields as FI
 from plenum.operators import fill as FL
 from plenum.operators import locate as LO
@@ -83,3 +84,12 @@ def test_find_strings_need_no_join(spark):
     got = {(r.doc, r.idx): (r.text, r.more, r.find_string) for r in out.collect()}
     assert [got["d", i][2] for i in range(8)] == ["a b c d e f", "a b c d e g", "a b c d e", "x", "", "x", None, "one two three four five"]
     assert got["e", 0] == ("x", "kept", "x") and len(got) == 9
+
+
+def test_tables_meet_once(spark):
+    cells = spark.createDataFrame([("a", 1, 1, 1, "h", "left"), ("a", 1, 1, 4, "hh", "right"), ("a", 1, 2, 2, "long text", "center"), ("a", 1, 3, 4, "z", "right"), ("b", 1, 2, 1, "no head", "right")],
+                                  "doc string, tbl int, row int, col int, text string, align string")
+    out = CO.render_tables(CO.shape_tables(cells))
+    assert "Join" not in plan(out) and out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = "| h   |           |     | hh  |\n| --- | :-------: | --- | --- |\n|     | long text |     |     |\n|     |           |     | z   |"
+    assert {tuple(r) for r in out.collect()} == {("a", 1, want), ("b", 1, "| no head |")}
