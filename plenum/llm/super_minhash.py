@@ -100,15 +100,19 @@ def _list_column(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _pieces(batch, limit: int = 4 << 20):
+SLICE_ROWS = 2048  # rows taken out of a batch at once: their bytes are copied, those of the others are not
+
+
+def _pieces(batch, limit: int = 1 << 20):
     """Row ranges of a batch with about ``limit`` bytes of text each."""
-    raw, at = utf8_column(batch.column(1))
-    low = 0
-    while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + limit)))
-        high = min(high, batch.num_rows)
-        yield low, high, raw[at[low]: at[high]], at[low: high + 1] - at[low]
-        low = high
+    for first in range(0, batch.num_rows, SLICE_ROWS):
+        raw, at = utf8_column(batch.column(1).slice(first, SLICE_ROWS))
+        low, rows = 0, len(at) - 1
+        while low < rows:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + limit)))
+            high = min(high, rows)
+            yield first + low, first + high, raw[at[low]: at[high]], at[low: high + 1] - at[low]
+            low = high
 
 
 def sketch(rows: DataFrame, words: int, bands: int = KEYS) -> DataFrame:

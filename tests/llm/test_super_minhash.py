@@ -132,3 +132,15 @@ def test_components_of_chains_and_stars(spark):
 
 def test_empty_table(make_docs):
     assert sm.groups(make_docs([])).count() == 0 and sm.drop_near_copies(make_docs([])).count() == 0
+
+
+def test_a_batch_is_not_copied_as_a_whole(monkeypatch):
+    import pyarrow as pa
+
+    from plenum.llm import super_minhash as sm
+    taken = []
+    monkeypatch.setattr(sm, "utf8_column", lambda column, real=sm.utf8_column: taken.append(len(column)) or real(column))
+    texts = [f"text {i}" if i % 7 else None for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts)], ["row", "text"])
+    got = [(low + i, raw[at[i]: at[i + 1]].decode()) for low, high, raw, at in sm._pieces(batch, 1000) for i in range(high - low)]
+    assert got == [(i, t or "") for i, t in enumerate(texts)] and max(taken) < 5000 and sm._pieces.__defaults__[0] <= 1 << 20
