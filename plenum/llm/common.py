@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.skew import settle, small
+from plenum.skew import give_back, settle, small
 
-__all__ = ["documents", "fresh", "held_out", "join_facts", "path_exists", "scratch_path", "settle", "shuffle_partitions", "sorted_ids", "utf8_column", "rounds_for", "with_rows"]
+__all__ = ["documents", "fresh", "give_back", "held_out", "join_facts", "path_exists", "scratch_path", "settle", "shuffle_partitions", "sorted_ids", "utf8_column", "rounds_for", "with_rows"]
 
 # The six ASCII white-space bytes of the contracts: blank, tab to carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -51,7 +52,8 @@ def with_rows(df: DataFrame, name: str) -> DataFrame:
     except AnalysisException:  # files of a kind whose rows have no index
         placed = place(settle(df))
     files = sorted(row[0] for row in placed.select(path).distinct().collect())
-    numbers = spark.createDataFrame(list(enumerate(files)), f"{name} long, {path} string")
+    # as an Arrow table: a list of Python rows would keep a second set of Python workers alive on every executor
+    numbers = spark.createDataFrame(pa.table({name: pa.array(range(len(files)), pa.int64()), path: pa.array(files, pa.string())}))
     joined = placed.join(small(numbers), path)
     # never null, and said to be so: joins by it need no filter of their own and share one exchange of the rows
     number = F.coalesce(F.shiftleft(F.col(name), 36).bitwiseOR(F.col(index)), F.lit(-1).cast("long"))
@@ -78,8 +80,6 @@ def sorted_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def utf8_column(column) -> tuple[bytes, np.ndarray]:
     """Concatenated bytes and offsets (n + 1) of an Arrow string or binary column; null counts as empty."""
-    import pyarrow as pa
-
     kind = pa.large_binary()
     column = column.cast(pa.large_string()).cast(kind) if pa.types.is_string(column.type) else column.cast(kind)
     column = column.fill_null(b"")

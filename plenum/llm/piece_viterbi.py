@@ -41,7 +41,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20  # a larger file is no piece vocabulary
 MARK = "▁"
 STORE_WORDS, STORE_LENGTH = 250_000, 64
-CHUNK = 8 << 20
+CHUNK, LEAN_CHUNK = 8 << 20, 1 << 20  # characters whose words are held at once; large chunks share more columns
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -284,8 +284,9 @@ def encoded(docs: DataFrame, model: bytes | None = None, keep: bool = True) -> D
     """``docs``, with its columns, and ``piece_ids``, ``n_pieces``, ``decoded_text`` and ``round_trip``; own columns of these names give way.
 
     With ``keep`` a worker process holds the model and the words met from task to task; without, a task gives them back
-    at its end, so that other work in the same workers has the memory.
+    at its end and holds the words of less text at once, so that other work on the executor has the memory.
     """
+    chunk = CHUNK if keep else LEAN_CHUNK
     shared = docs.sparkSession.sparkContext.broadcast(read_model() if model is None else model)
     new = T.StructType.fromDDL("piece_ids array<int>, n_pieces long, decoded_text string, round_trip boolean")
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new.names])
@@ -297,7 +298,7 @@ def encoded(docs: DataFrame, model: bytes | None = None, keep: bool = True) -> D
             low = 0
             while low < batch.num_rows:
                 part, high, size = [], low, 0
-                while high < batch.num_rows and size < CHUNK:
+                while high < batch.num_rows and size < chunk:
                     part.append(batch.column(at)[high].as_py())
                     size += len(part[-1] or "")
                     high += 1

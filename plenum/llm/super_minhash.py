@@ -11,7 +11,8 @@ so far backwards.
 are cut into bands; documents that share a band are candidates. First each candidate is held against the
 least document of its bucket; the links that full sets confirm give components. Then, bucket by bucket, only
 documents of different components are held against each other, so a bucket of thousands of near copies that
-hang together costs no pairs. Before any set travels, a pair must be able to reach the threshold: shingles
+hang together costs no pairs. That is done twice: pairs whose signatures agree as linked ones mostly do come first,
+and what they join need not be compared any more when the others, of which few are linked, have their turn. Before any set travels, a pair must be able to reach the threshold: shingles
 that no other candidate has cannot be shared, and ``min(shared a, shared b)`` bounds the intersection from
 above. That bound is exact, and it removes edited copies that only look alike.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import documents, fresh, settle, utf8_column, with_rows
+from plenum.llm.common import documents, fresh, give_back, settle, utf8_column, with_rows
 from plenum.llm.components import components
 from plenum.llm.shingles import FACTOR, mix, shingle_sets
 
@@ -94,6 +95,12 @@ def least_agreement(percent: int, bands: int = KEYS) -> int:
     return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
 
+def typical_agreement(percent: int, bands: int = KEYS) -> int:
+    """One standard deviation under that average: most pairs at the threshold and nearly all above show this much."""
+    n, p = bands * ROWS, percent / 100
+    return int(n * p - (n * p * (1 - p)) ** 0.5)
+
+
 def _list_column(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -174,7 +181,17 @@ def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> Data
     middle = sizes.select(F.col("row").alias("center"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
     spokes = sized.where("row <> center").withColumnsRenamed({"n": "n_b", "shared": "shared_b"}).join(middle, "center").where(_reachable(percent))
     first = confirm(spokes.select(F.col("center").alias("a"), F.col("row").alias("b")).distinct(), sets, percent)
-    found = settle(components(first))
+    high = typical_agreement(percent)
+    strong = _met(sized, leaders, components(first), sets, percent, high, None)
+    near = first.unionByName(strong)
+    weak = _met(sized, leaders, components(near), sets, percent, least_agreement(percent), high)
+    return components(near.unionByName(weak))
+
+
+def _met(sized: DataFrame, leaders: DataFrame, found: DataFrame, sets: DataFrame, percent: int, low: int, below: int | None) -> DataFrame:
+    """Written table of the linked pairs that share a bucket, lie in different components of ``found`` and agree in ``low``
+    values or more, but in fewer than ``below``."""
+    found = settle(found)
     placed = sized.join(found.withColumnRenamed("node", "row"), "row", "left").select("band", "key", "row", "n", "shared", F.coalesce("root", "row").alias("root"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
     able = placed.where(100 * F.col("shared") >= percent * F.col("n"))  # cannot link with anything otherwise
@@ -183,10 +200,13 @@ def links(rows: DataFrame, leaders: DataFrame, words: int, percent: int) -> Data
     left, right = side("a"), side("b")
     # a pair is met in every band it shares and taken in the first
     foremost = F.array_position(F.zip_with(F.slice("keys_a", 1, BANDS), F.slice("keys_b", 1, BANDS), lambda x, y: x == y), True) == left["band"] + 1
+    top = KEYS * ROWS if below is None else below - 1
+    between = F.abs(2 * agreeing("keys_a", "keys_b") - (low + top)) <= top - low  # low <= agreeing <= top, computed once
     across = left.join(right, (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-                       & _reachable(percent) & foremost & (agreeing("keys_a", "keys_b") >= least_agreement(percent)))
-    second = confirm(across.select("a", "b"), sets, percent)
-    return components(first.unionByName(second))
+                       & _reachable(percent) & foremost & between)
+    linked = confirm(across.select("a", "b"), sets, percent)
+    give_back(open_)
+    return linked
 
 
 def keyed(docs: DataFrame) -> DataFrame:

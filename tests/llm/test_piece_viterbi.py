@@ -110,3 +110,17 @@ def test_edges(make_docs, store, spark):
     out = pv.encoded(docs)
     assert out.count() == 8 and out.columns == [*docs.columns[:-1], "piece_ids", "n_pieces", "decoded_text", "round_trip"]
     assert pv.query(spark, store(make_docs([]))).count() == 0
+
+
+def test_a_task_that_gives_its_words_back_holds_those_of_little_text(make_docs, monkeypatch):
+    import pyarrow as pa
+
+    docs = make_docs([]).select("doc_id", "text")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    texts = [f"some words of text {i} " * 2500 for i in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(62)), pa.array(texts)], ["doc_id", "text"])
+    taken = []
+    monkeypatch.setattr(pv, "encode_texts", lambda vocabulary, part, store, real=pv.encode_texts: taken.append(sum(len(t or "") for t in part)) or real(vocabulary, part, store))
+    out = [r for b in pv.encoded(docs, keep=False)(iter([batch])) for r in b.to_pylist()]
+    assert [r["text"] for r in out] == texts and all(r["decoded_text"] == r["text"] for r in out)
+    assert max(taken) < (1 << 20) + 60_000 and len(taken) > 2

@@ -73,3 +73,19 @@ def test_numbers_are_unique_and_hold(spark, table):
         spark.conf.unset("spark.sql.files.minPartitionNum")
         assert both == 0, name
     assert with_rows(docs.limit(0), "row").count() == 0
+
+
+def test_numbers_of_files_need_no_python_workers(spark, table):
+    plan = with_rows(spark.read.parquet(f"{table}/documents.parquet"), "row")._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+def test_an_intermediate_is_given_back_alone(spark, table):
+    import os
+
+    from plenum import skew
+    first, second = skew.settle(spark.range(3)), skew.settle(spark.range(4))
+    folder = first.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    skew.give_back(first)
+    assert not os.path.exists(folder) and second.count() == 4 and not any(p.endswith(folder.rsplit("/", 1)[1]) for p in skew._SETTLED)

@@ -144,3 +144,15 @@ def test_a_batch_is_not_copied_as_a_whole(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts)], ["row", "text"])
     got = [(low + i, raw[at[i]: at[i + 1]].decode()) for low, high, raw, at in sm._pieces(batch, 1000) for i in range(high - low)]
     assert got == [(i, t or "") for i, t in enumerate(texts)] and max(taken) < 5000 and sm._pieces.__defaults__[0] <= 1 << 20
+
+
+def test_a_loose_group_is_not_held_against_itself(make_docs, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    # the one that all are held against first has many edits, so that it brings few of the others together
+    rows = [(i, edited(base, 3 if i < 1 else rng.choice((1, 1, 2, 2, 3)), rng)) for i in range(120)]
+    asked, real = [], sm.confirm
+    monkeypatch.setattr(sm, "confirm", lambda pairs, sets, percent: asked.append(pairs.count()) or real(pairs, sets, percent))
+    got = sm.groups(make_docs(rows).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), 5, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 5, 80)
+    assert sum(asked) < 120 * 119 // 2 // 3, asked
