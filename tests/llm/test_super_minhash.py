@@ -155,4 +155,4 @@ def test_a_loose_group_is_not_held_against_itself(make_docs, monkeypatch):
     monkeypatch.setattr(sm, "confirm", lambda pairs, sets, percent: asked.append(pairs.count()) or real(pairs, sets, percent))
     got = sm.groups(make_docs(rows).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), 5, 80).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 5, 80)
-    assert sum(asked) < 120 * 119 // 2 // 3, asked
+    assert sum(asked[1:]) < 1000, asked  # 1,458 in one round, 431 and 73 in two
