@@ -27,6 +27,8 @@ are taken whole; an empty table gives an empty result; other columns are not rea
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,32 +45,72 @@ KEYS = 128  # keys kept per signature: the first BANDS look for candidates, all
 STAGE_WORDS, STAGE_PERCENT = 5, 80  # stages on word shingles unless a contract says otherwise
 QUERY_WORDS, QUERY_PERCENT = 3, 85
 _U = np.uint64
+HELD = 8192  # elements whose permutations are held at once, at two bytes a place
+TRACED = 4  # steps in which places are found by tracing swaps back; long documents need no more
+
+
+@lru_cache
+def _salts(size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=_U) * FACTOR)
+
+
+def _draw(element: np.ndarray, j: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each element offers in step ``j``, and the place it swaps with the ``j``-th."""
+    drawn = mix(element ^ _salts(size)[j])
+    return (drawn >> _U(11)).astype(np.float64) / 9007199254740992.0 + j, (j + (mix(drawn) % _U(size - j))).astype(np.int16)
+
+
+def _open(out: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which elements are of documents with places that nothing has taken (``of`` ascends)."""
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return np.repeat(np.isinf(out[of[first]]).any(axis=1), np.diff(first, append=len(of)))
 
 
 def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     """One row of ``size`` values per non-empty set (rows of empty sets stay infinite)."""
-    out = np.full(len(sets) * size, np.inf)
+    order = np.argsort([-len(s) for s in sets], kind="stable")  # documents that need as many steps side by side
+    sets = [sets[i] for i in order]
+    out = np.full((len(sets), size), np.inf)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     element = np.concatenate(sets) if sets else np.zeros(0, _U)
     swaps: list[np.ndarray] = []
-    for j in range(size):
-        if not len(element):
-            break
-        with np.errstate(over="ignore"):
-            drawn = mix(element ^ mix(np.full(1, j + 1, _U) * FACTOR))
-        fraction = (drawn >> _U(11)).astype(np.float64) / 9007199254740992.0
-        swap = (j + (mix(drawn) % _U(size - j))).astype(np.int16)
+    for j in range(min(TRACED, size)):
+        offer, swap = _draw(element, j, size)
         place = swap.copy()
         for i in range(j - 1, -1, -1):  # what the swapped place held before: trace the earlier swaps back
             np.copyto(place, np.int16(i), where=place == swaps[i])
-        np.minimum.at(out, of * size + place, fraction + j)
-        open_ = np.isinf(out.reshape(-1, size)).any(axis=1)[of]
-        if open_.all():
-            swaps.append(swap)
-        else:
-            element, of = element[open_], of[open_]
-            swaps = [s[open_] for s in swaps] + [swap[open_]]
-    return out.reshape(-1, size)
+        np.minimum.at(out.reshape(-1), of * size + place, offer)
+        open_ = _open(out, of)
+        element, of, swaps = element[open_], of[open_], [s[open_] for s in [*swaps, swap]]
+    low = 0
+    while low < len(element):  # whole documents: an element must not find its document filled by later steps of others
+        high = max(np.searchsorted(of, of[min(low + HELD, len(of) - 1)]), np.searchsorted(of, of[low], "right")) if low + HELD < len(of) else len(of)
+        _finish(out, element[low:high], of[low:high], [s[low:high] for s in swaps])
+        low = high
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _finish(out: np.ndarray, element: np.ndarray, of: np.ndarray, swaps: list[np.ndarray]) -> None:
+    """The steps after ``swaps`` on held permutations, until every place of the elements' documents is taken.
+
+    An offer of a later step is never less than what a taken place has, so a step too many changes nothing.
+    """
+    size = out.shape[1]
+    held, row = np.tile(np.arange(size, dtype=np.int16), (len(element), 1)), np.arange(len(element))
+    for j, swap in enumerate(swaps):
+        held[row, swap] = held[:, j]
+    for j in range(len(swaps), size):
+        offer, swap = _draw(element, j, size)
+        np.minimum.at(out.reshape(-1), of * size + held[row, swap], offer)
+        held[row, swap] = held[row, j]
+        if j < 16 or j % 8 == 0:
+            open_ = _open(out, of)
+            if not open_.all():
+                element, of, row = element[open_], of[open_], row[open_]
+                if not len(element):
+                    break
 
 
 def band_keys(values: np.ndarray, bands: int) -> np.ndarray:

@@ -156,3 +156,23 @@ def test_a_loose_group_is_not_held_against_itself(make_docs, monkeypatch):
     got = sm.groups(make_docs(rows).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), 5, 80).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 5, 80)
     assert sum(asked[1:]) < 1000, asked  # 1,458 in one round, 431 and 73 in two
+
+
+def test_signatures_of_short_texts_trace_few_swaps(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64)) for n in [3] * 40 + [0, 1, 700] + [60] * 300]
+    monkeypatch.setattr(sm, "HELD", 100)
+    calls, copyto = [], np.copyto
+    monkeypatch.setattr(np, "copyto", lambda *a, **k: (calls.append(1), copyto(*a, **k)))
+    got = sm.signatures(sets, 128)
+    assert len(calls) < 100  # every step traced back made 8,128 of them
+    for i in (0, 39, 40, 41, 42, 43, 342):  # permutations written out
+        want = np.full(128, np.inf)
+        for element in sets[i]:
+            place = list(range(128))
+            for j in range(128):
+                drawn = sm.mix(np.array([element]) ^ sm.mix(np.array([j + 1], np.uint64) * sm.FACTOR))
+                k = j + int(sm.mix(drawn)[0] % np.uint64(128 - j))
+                place[j], place[k] = place[k], place[j]
+                want[place[j]] = min(want[place[j]], j + float(drawn[0] >> np.uint64(11)) / 9007199254740992.0)
+        assert np.array_equal(got[i], want)
