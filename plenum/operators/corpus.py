@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators.votes import percent
-from plenum.skew import numbered, settle
+from plenum.skew import numbered, settle, spread
 
 # Fixed values
 OUTLIER_AGREEMENT = 0.60
@@ -209,18 +209,183 @@ def _means(frames):
         yield pd.DataFrame(out, columns=["corpus", "within", "n_within", "between", "n_between"])
 
 
+# One task searches a corpus of at most so many cells (vectors times pointers, or times pointer sets), pointers and pointer sets.
+CELLS, POINTERS, CLASSES = 1 << 21, 64, 128
+AT_ONCE = 1 << 22  # numbers that a step of that search holds at once
+BLOCKS_A_FILE = 64  # a scan reads thousands of rows of a file at once, and a block has half a megabyte
+
+_FOUND = ("corpus string, medoid_a string, medoid_b string, size_a long, size_b long, twins long, "
+          "within double, n_within double, between double, n_between double")
+
+
+def _codes(profiles) -> np.ndarray:
+    """A row per profile and a column per pointer: the number of the bucket, -1 where a profile is silent."""
+    columns: dict = {}
+    numbers: dict = {}
+    cells = [(i, columns.setdefault(k, len(columns)), numbers.setdefault((k, v), len(numbers))) for i, p in enumerate(profiles) for k, v in (p or {None: None}).items()]
+    out = np.full((len(profiles), len(columns)), -1, np.int32)
+    row, column, code = np.array(cells).T
+    out[row, column] = code
+    return out
+
+
+def _classes(codes: np.ndarray, most: int) -> tuple[np.ndarray, list[int]]:
+    """Classes of vectors with one pointer set and one bucket on each of the returned pointers, those of fewest buckets; ``most`` at most,
+    unless there are more pointer sets."""
+    together = lambda marks: np.unique(marks, axis=0, return_inverse=True)[1].reshape(-1)
+    of, tail = together(codes >= 0), list(range(codes.shape[1]))
+    for p in sorted(tail, key=lambda p: len(np.unique(codes[:, p]))):
+        finer = together(np.stack([of, codes[:, p]], 1))
+        if finer.max() >= most:
+            break
+        of = finer
+        tail.remove(p)
+    return of, [p for p in range(codes.shape[1]) if p not in tail]
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """On how many pointers each row of ``a`` has the bucket of each row of ``b``."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for p in range(a.shape[1]):
+        out += (a[:, p, None] == b[None, :, p]) & (a[:, p] >= 0)[:, None]
+    return out
+
+
+def _best_pair(codes: np.ndarray, weight: np.ndarray, names: list[str], most: int) -> tuple[float, str, str, int]:
+    """``(cost, medoid_a, medoid_b, pairs that were costed)`` of the pair of least cost; ties go to the smallest names.
+
+    What a vector saves by a medoid is the share of their common pointers on which they agree. Two classes save
+    ``least`` on their head pointers alone, whichever of their members are the medoids; a medoid adds to that what it
+    saves beyond, counted by classes. The sum is exact but where both medoids go beyond ``least`` for one vector, so that few pairs
+    need their cost in full.
+    """
+    of, head = _classes(codes, most)
+    order = np.argsort(of, kind="stable")
+    codes, weight, of, names = codes[order], weight[order], of[order], np.array(names, object)[order]
+    tail = [p for p in range(codes.shape[1]) if p not in head]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    last, n, k = np.append(first[1:], len(of)), len(of), len(first)
+    has = (codes[first] >= 0).astype(np.float64)
+    common = np.maximum(has @ has.T, 1)
+    alike = _equal(codes[first][:, head], codes[first][:, head]).astype(np.float64)
+    in_class, total = np.add.reduceat(weight, first), weight.sum()
+    least = np.stack([in_class @ np.maximum(alike[:, [c]] / common[:, [c]], alike / common) for c in range(k)])
+    beyond = np.empty((n, k))  # by medoid and class of the other one
+    more = np.arange(1, len(tail) + 1)
+    step = max(1, AT_ONCE // max(n, k * len(more)))
+    for c in range(k):
+        gain = np.maximum(0, (alike[:, c, None, None] + more[:, None]) / common[:, c, None, None] - np.maximum(alike[:, [c]] / common[:, [c]], alike / common)[:, None])
+        for low in range(first[c], last[c], step):
+            rows = slice(low, min(low + step, last[c]))
+            agree = _equal(codes[rows][:, tail], codes[:, tail])
+            held = [np.add.reduceat(np.where(agree == m, weight, 0.0), first, axis=1) for m in range(1, int(agree.max()) + 1)]
+            beyond[rows] = np.stack(held, 2).reshape(len(agree), -1) @ gain[:, :len(held)].reshape(-1, k) if held else 0.0
+    most_beyond = np.maximum.reduceat(beyond, first, axis=0)
+    upper = np.where(np.tri(k, k=-1, dtype=bool), -np.inf, least + most_beyond + most_beyond.T)
+    best, costed = (np.inf, "", ""), 0
+    for at in np.argsort(-upper, axis=None, kind="stable"):
+        x, y = divmod(int(at), k)
+        if upper[x, y] < total - best[0] - 1e-6:
+            break
+        step = max(1, AT_ONCE // (last[y] - first[y]))
+        for low in range(first[x], last[x], step):
+            high = min(low + step, last[x])
+            saved = least[x, y] + beyond[low:high, y, None] + beyond[None, first[y]: last[y], x]
+            if x == y:
+                saved[np.arange(first[y], last[y]) <= np.arange(low, high)[:, None]] = -np.inf
+            i, j = np.nonzero(saved >= total - best[0] - 1e-6)
+            saved = saved[i, j]
+            by = np.argsort(-saved, kind="stable")
+            i, j, saved = i[by] + low, j[by] + first[y], saved[by]
+            done = 0
+            while done < len(i) and saved[done] >= total - best[0] - 1e-6:
+                a, b = (z[done: done + max(1, min(64, AT_ONCE // n))] for z in (i, j))
+                cost = np.round((1 - np.maximum(_equal(codes[a], codes) / common[x][of], _equal(codes[b], codes) / common[y][of])) @ weight, 9)
+                best = min(best, min((c, min(p, q), max(p, q)) for c, p, q in zip(cost, names[a], names[b]) if c == cost.min()))
+                done += len(a)
+                costed += len(a)
+    return (*best, costed)
+
+
+def _searched(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The whole search of one corpus that fits a task."""
+    names, members = list(pdf.vector), pdf.members.to_numpy(np.float64)
+    if len(names) < 2:
+        return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+    codes = _codes(list(pdf.profile))
+    patterns = len(np.unique(codes >= 0, axis=0))
+    _, a, b, _ = _best_pair(codes, members, names, max(patterns, min(CLASSES, 4 * CELLS // len(names))))
+    has = (codes >= 0).astype(np.float32)
+
+    def away(rows):
+        shared = (has[rows] @ has.T).astype(np.float64)
+        return np.where(shared > 0, (shared - _equal(codes[rows], codes)) / np.maximum(shared, 1), 1.0)
+
+    at = [names.index(a), names.index(b)]
+    to = away(at)
+    to[[0, 1], at] = 0.0
+    in_a = to[0] <= to[1]
+    sides = np.stack([members * in_a, members * ~in_a], 1)
+    sums = np.zeros((2, 2))
+    step = max(1, AT_ONCE // len(names))
+    for low in range(0, len(names), step):
+        rows = slice(low, low + step)
+        d = away(rows)
+        d[np.arange(len(d)), np.arange(low, low + len(d))] = 0.0
+        sums += sides[rows].T @ (d @ sides)
+    size, squares = sides.sum(axis=0), (sides ** 2).sum(axis=0)
+    row = (key[0], a, b, int(size[0]), int(size[1]), int((members * (members - 1) / 2).sum()),
+           (sums[0, 0] + sums[1, 1]) / 2, ((size ** 2 - squares) / 2).sum(), sums[0, 1], size[0] * size[1])
+    return pd.DataFrame([row], columns=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _fitting(vectors: DataFrame) -> DataFrame:
+    """Corpora that one task can search within bounded memory."""
+    keys = F.array_sort(F.map_keys("profile"))
+    sets = vectors.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(keys).alias("sets"))
+    width = vectors.select("corpus", F.explode(keys).alias("pointer")).distinct().groupBy("corpus").agg(F.count(F.lit(1)).alias("width"))
+    return sets.join(width, "corpus").where((F.col("width") <= POINTERS) & (F.col("sets") <= CLASSES) & (F.col("n") * F.greatest("width", "sets") <= CELLS)).select("corpus")
+
+
 def best_medoids(vectors: DataFrame) -> DataFrame:
     """H4: the best pair of medoids over distinct vectors, weighted by members, by an exact pruned search.
 
     Returns ``(corpus, medoid_a, medoid_b, size_a, size_b, strength, is_split)``.
 
+    A corpus is searched in one task that never holds a distance matrix, where its vectors fit; the others by tiles. Both find the same.
+    """
+    vectors = settle(vectors.where("corpus is not null"))
+    fitting = settle(_fitting(vectors))
+    found = spread(vectors.join(fitting, "corpus"), "corpus").groupBy("corpus").applyInPandas(_searched, _FOUND)
+    rest = vectors.join(fitting, "corpus", "left_anti")
+    if not rest.isEmpty():
+        found = found.unionByName(_by_tiles(rest))
+    zero = F.lit(0.0)
+    strength = (
+        F.when(F.col("mw") > 0, F.try_divide(F.col("mb"), F.col("mw")))
+        .when(F.col("mb") > 0, F.lit(float("inf"))).otherwise(zero))
+    return (
+        found
+        .withColumn("mw", F.coalesce(F.try_divide(F.col("within"), F.col("n_within") + F.col("twins")), zero))
+        .withColumn("mb", F.coalesce(F.try_divide(F.col("between"), F.col("n_between")), zero))
+        .withColumn("strength", strength)
+        .withColumn("is_split", (F.col("size_a") >= 2) & (F.col("size_b") >= 2)
+                    & (F.col("size_a") + F.col("size_b") >= SPLIT_MIN_DOCS)
+                    & (F.col("strength") >= SPLIT_STRENGTH))
+        .select("corpus", "medoid_a", "medoid_b", "size_a", "size_b", "strength", "is_split")
+    )
+
+
+def _by_tiles(vectors: DataFrame) -> DataFrame:
+    """``_FOUND`` of corpora of any size.
+
     The distance matrix is kept as written tiles. For two tiles of vectors, every vector adds at least its smaller
     distance to their nearest members; these sums bound the cost of all their pairs from below (no triangle inequality is
     needed, which does not hold where vectors share different pointers). The pair of tiles with the least bound is
     searched in full, and then only those whose bound does not exceed what it found.
     """
     vectors = _tiled(vectors)
-    blocks = settle(_blocks(vectors))
+    blocks = settle(_blocks(vectors), BLOCKS_A_FILE)
     least = blocks.mapInPandas(_least, "corpus string, tile_a int, tile_c int, members_b array<long>, least array<double>")
     bounds = least.groupBy("corpus", "tile_c").applyInPandas(_bounds, "corpus string, tile_a int, tile_b int, part double")
     bounds = settle(bounds.groupBy("corpus", "tile_a", "tile_b").agg(F.sum("part").alias("bound")))
@@ -246,20 +411,7 @@ def best_medoids(vectors: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("in_a"), F.col("members")).otherwise(0)).alias("size_a"),
         F.sum(F.when(F.col("in_a"), 0).otherwise(F.col("members"))).alias("size_b"),
         F.sum(F.expr("members * (members - 1) div 2")).alias("twins"))
-    zero = F.lit(0.0)
-    strength = (
-        F.when(F.col("mw") > 0, F.try_divide(F.col("mb"), F.col("mw")))
-        .when(F.col("mb") > 0, F.lit(float("inf"))).otherwise(zero))
-    return (
-        sizes.join(means, "corpus")
-        .withColumn("mw", F.coalesce(F.try_divide(F.col("within"), F.col("n_within") + F.col("twins")), zero))
-        .withColumn("mb", F.coalesce(F.try_divide(F.col("between"), F.col("n_between")), zero))
-        .withColumn("strength", strength)
-        .withColumn("is_split", (F.col("size_a") >= 2) & (F.col("size_b") >= 2)
-                    & (F.col("size_a") + F.col("size_b") >= SPLIT_MIN_DOCS)
-                    & (F.col("strength") >= SPLIT_STRENGTH))
-        .select("corpus", "medoid_a", "medoid_b", "size_a", "size_b", "strength", "is_split")
-    )
+    return sizes.join(means, "corpus")
 
 
 def warnings(sizes: DataFrame, agreement: DataFrame, voted: DataFrame, splits: DataFrame) -> DataFrame:

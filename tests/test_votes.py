@@ -170,3 +170,50 @@ def test_buckets_alone_are_those_of_the_verdicts(spark):
     # rows meet by document before they become ballots
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert plan.index("REBALANCE_PARTITIONS_BY_COL") > plan.index("Generate") > plan.index("hashpartitioning(doc")
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 200])
+def test_best_pair_is_the_exhaustive_one_for_any_classes(most):
+    import random
+
+    import numpy as np
+    for seed in range(12):
+        rng = random.Random(seed)
+        found = {}
+        for _ in range(40):
+            found[tuple((f"/p{k}", str(rng.randint(0, 1 + 2 * k))) for k in range(6) if rng.random() < (.7, 1)[seed % 2])] = 0
+        profiles = {f"v{i:02d}": dict(p) for i, p in enumerate(found)}
+        members = {v: rng.randint(1, 3) for v in profiles}
+        names = sorted(profiles, key=lambda v: rng.random())
+        got = C._best_pair(C._codes([profiles[v] for v in names]), np.array([members[v] for v in names], float), names, most)
+        assert got[1:3] == _plain_split(profiles, members)[:2]
+
+
+def _three_ways(spark, n):
+    import random
+    rng = random.Random(n)
+    rows = [(c, f"v{i:04d}", rng.randint(1, 3), {"/a": str(rng.randint(0, 2)), "/b": str(rng.randint(0, 1)), "/c": str(rng.randint(0, 40)), "/d": f"{c}{i}"}) for c in "xy" for i in range(n)]
+    return spark.createDataFrame(rows, "corpus string, vector string, members long, profile map<string,string>")
+
+
+def test_split_in_one_task_is_that_by_tiles(spark, monkeypatch):
+    vectors = _three_ways(spark, 60)
+    cols = ["corpus", "medoid_a", "medoid_b", "size_a", "size_b", F.round("strength", 9), "is_split"]
+    one = sorted(C.best_medoids(vectors).select(*cols).collect())
+    monkeypatch.setattr(C, "TILE", 20)
+    monkeypatch.setattr(C, "CELLS", 0)
+    assert len(one) == 2 and one == sorted(C.best_medoids(vectors).select(*cols).collect())
+
+
+def test_split_of_many_vectors_holds_no_distance_matrix(spark, monkeypatch):
+    monkeypatch.setattr(C, "_blocks", None)  # would hold 2,000 x 2,000 distances of each corpus
+    assert C.best_medoids(_three_ways(spark, 2000)).count() == 2
+    import numpy as np
+    names = [f"v{i:04d}" for i in range(2000)]
+    profiles = [dict(r.profile) for r in _three_ways(spark, 2000).where("corpus = 'x'").collect()]
+    assert C._best_pair(C._codes(profiles), np.ones(2000), names, C.CLASSES)[3] < 2000  # of 1,999,000 pairs
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    from plenum.skew import settle
+    assert len(settle(spark.range(0, 200, 1, 1), 64).inputFiles()) == 4
