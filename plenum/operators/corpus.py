@@ -211,7 +211,7 @@ def _means(frames):
 
 # One task searches a corpus of at most so many cells (vectors times pointers, or times pointer sets), pointers and pointer sets.
 CELLS, POINTERS, CLASSES = 1 << 21, 64, 128
-AT_ONCE = 1 << 22  # numbers that a step of that search holds at once
+AT_ONCE = 1 << 20  # numbers that a step of that search holds at once
 BLOCKS_A_FILE = 64  # a scan reads thousands of rows of a file at once, and a block has half a megabyte
 
 _FOUND = ("corpus string, medoid_a string, medoid_b string, size_a long, size_b long, twins long, "

@@ -217,3 +217,16 @@ def test_split_of_many_vectors_holds_no_distance_matrix(spark, monkeypatch):
 def test_blocks_are_read_a_few_at_a_time(spark):
     from plenum.skew import settle
     assert len(settle(spark.range(0, 200, 1, 1), 64).inputFiles()) == 4
+
+
+def test_warnings_of_a_large_corpus_hold_few_numbers_at_once(spark):
+    import tracemalloc
+
+    import pandas as pd
+    rows = [r.asDict() for r in _three_ways(spark, 3000).where("corpus = 'x'").select("corpus", "vector", "members", "profile").collect()]
+    pdf = pd.DataFrame(rows)
+    tracemalloc.start()
+    C._searched(("x",), pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # the distances of its vectors alone would be 72 MB; steps of four million numbers held 132 MB
